@@ -10,6 +10,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -28,5 +34,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {f.__name__: f for f in (op7_sharding, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op5_ngram_jaccard, op7_sharding, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
