@@ -10,6 +10,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch_path
+    from .warc import fields, read_archive, reconstruct, write_archive
+
+    path = scratch_path(spark, "archive")
+    write_archive(read(spark, sf_dir, "pages"), path)
+    records = fields(reconstruct(*read_archive(spark, path)))
+    return records.select(F.col("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_model, score_toxicity
+
+    docs = read(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_model(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -34,5 +51,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_jaccard, op7_sharding, op9_decontamination, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_warc, op4_toxicity, op5_ngram_jaccard, op7_sharding, op9_decontamination, op10_mixing)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
+        o as (select d, min(page_id) as owner from p group by d)
+        select page_id, cast(n as bigint) as payload_bytes, p.d as payload_digest,
+               case when n < 100 or page_id = owner then 'response' else 'revisit' end as record_type,
+               case when n < 100 or page_id = owner then null else owner end as refers_to
+        from p join o on p.d = o.d
+    """,
+}
