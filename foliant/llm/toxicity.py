@@ -28,6 +28,10 @@ CALIBRATION = 0.3
 CUT = 0.7
 #: A learned lexicon entry stands this many standard errors above even odds; at most so many entries.
 LEAST_Z, MOST_TERMS = 3.3, 400
+#: ... and is in this share of the toxic documents at least.
+LEAST_SHARE = 0.01
+#: Min-hashes that tell near copies in the sample.
+MARKS = 3
 STEMS = (4, 5, 6, 7)
 NEAR = 6
 
@@ -124,7 +128,16 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
     share = F.when(F.col("y") == 1, rate[1]).otherwise(rate[0])
     drawn = known.where(u < share).select("i", "y", (1 / share).alias("weight"), unit_hash(43, F.col("i").cast("string")).alias("part")).orderBy("part", "i", "y").limit(2 * (MOST_TOXIC + MOST_CLEAN))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return settle(rows.join(F.broadcast(drawn), rows["id"] == drawn["i"]).select("text", "y", "weight", "part"), "toxic-sample")
+    found = rows.join(F.broadcast(drawn), rows["id"] == drawn["i"]).select("text", "y", "weight", "part")
+    found = settle(found.withColumns({f"k{i}": _mark(F.col("text"), i) for i in range(MARKS)}), "toxic-sample")
+    for i in range(MARKS):  # near copies would count the same evidence again and again
+        found = found.groupBy(f"k{i}", "y").agg(F.min_by(F.struct(*[c for c in found.columns if c not in (f"k{i}", "y")]), "part").alias("s")).select(f"k{i}", "y", "s.*")
+    return settle(found.select("text", "y", "weight", "part"), "toxic-sample")
+
+
+def _mark(text: Column, seed: int) -> Column:
+    """Min-hash of a text's words, one of a few by which near copies in the sample are told."""
+    return F.array_min(F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.xxhash64(w, F.lit(seed))))
 
 
 def _terms(text: str | None) -> set[str]:
@@ -152,7 +165,7 @@ def _lexicon(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     summed = sample.select("text", "y").mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = lambda c, all_: F.log((F.col(c) + 0.5) / (F.lit(float(all_)) - F.col(c) + 0.5))
     z = (odds("pos", n.get(1, 0)) - odds("neg", n.get(0, 0))) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    best = summed.where("pos >= 3").withColumn("z", z).where(F.col("z") >= LEAST_Z).where((F.col("pos") + 0.5) / (n.get(1, 0) + 1) > 8 * (F.col("neg") + 0.5) / (n.get(0, 0) + 1)).orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
+    best = summed.where(F.col("pos") >= max(3.0, LEAST_SHARE * n.get(1, 0))).withColumn("z", z).where(F.col("z") >= LEAST_Z).where((F.col("pos") + 0.5) / (n.get(1, 0) + 1) > 8 * (F.col("neg") + 0.5) / (n.get(0, 0) + 1)).orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
     found = [r["term"] for r in best]
     return frozenset(SEED) | {t[1:] for t in found if t[0] == "="}, frozenset(t for t in found if t[0] != "=")
 
