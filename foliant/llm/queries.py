@@ -20,6 +20,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit_model, identify
+
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, fit_model(docs))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_model, score_toxicity
 
@@ -51,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_toxicity, op5_ngram_jaccard, op7_sharding, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_language_id, op4_toxicity, op5_ngram_jaccard, op7_sharding, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
