@@ -5,8 +5,8 @@
    results; a rarer prefix only gives fewer candidates.
 2. Documents with equal shingle sets become one representative.  Each representative gives its prefix in that order
    and a sketch: how many of its shingles fall in each of ``PARTS`` hash ranges.
-3. Documents meet on prefix shingles.  In every list of a shingle all members are first held against one leader
-   (the smallest set).  Candidates that pass the length and positional filters are taken once per pair, the suffix
+3. Documents meet on prefix shingles.  In every list of a shingle all members are first held against one leader,
+   drawn by a hash of shingle and id, so that the lists of a group of copies have many leaders.  Candidates that pass the length and positional filters are taken once per pair, the suffix
    filter compares the partition sizes (their summed difference is at most the size of the symmetric difference),
    and the rest is verified on the texts.
 4. Components of these links.  In lists whose members still belong to several components, members outside the
@@ -250,12 +250,12 @@ def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     members = prefixes.join(classes, prefixes["sig"] == classes["sig_"], "left").select("id", "n", "rep")
 
     postings = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    leaders = settle(postings.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("n", "id", "pos")).alias("lead")).where("held > 1"), "leaders")
+    leaders = settle(postings.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min_by(F.struct("n", "id", "pos"), F.xxhash64("id", "token")).alias("lead")).where("held > 1"), "leaders")
     lists = settle(postings.join(leaders, "token"), "lists")
     if lists.isEmpty():
         return None, members
     need = f"cast(ceil({num} * (n + lead.n) / {num + den}) as long)"
-    star = lists.where(f"id <> lead.id and {den} * lead.n >= {num} * n and least(n - pos, lead.n - lead.pos) >= {need}")
+    star = lists.where(f"id <> lead.id and {den} * least(n, lead.n) >= {num} * greatest(n, lead.n) and least(n - pos, lead.n - lead.pos) >= {need}")
     star = star.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
     links = _verified(rows, sets, star, n, num, den)
 
