@@ -40,6 +40,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(read(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -64,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_language_id, op4_toxicity, op5_ngram_jaccard, op7_sharding, op8_nearest, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_language_id, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_sharding, op8_nearest, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
