@@ -26,6 +26,8 @@ MOST_TOXIC, MOST_CLEAN = 5_000, 8_000
 #: Share of the sample that fits the calibration alone.
 CALIBRATION = 0.3
 CUT = 0.7
+#: Distinct tokens, and lexicon terms, that a task holds at once.
+CACHED_TOKENS, COUNTED_TERMS = 100_000, 200_000
 #: A learned lexicon entry stands this many standard errors above even odds; at most so many entries.
 LEAST_Z, MOST_TERMS = 3.3, 400
 #: ... and is in this share of the toxic documents at least.
@@ -54,7 +56,7 @@ class _Codes(dict):
         return _LEX if word in self.words else _STEM if any(word[:n] in self.stems for n in STEMS) else 0
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > CACHED_TOKENS:
             self.clear()
         core = token.strip("\"'.,;:!?()[]{}<>%&*#$|-_/\\…»«“”‘’")
         low = core.lower()
@@ -150,6 +152,12 @@ def _terms(text: str | None) -> set[str]:
     return out
 
 
+def _counted(by: tuple[Counter, Counter]) -> Iterator[pd.DataFrame]:
+    for y, (pos, neg) in enumerate(((0, 1), (1, 0))):
+        n = np.fromiter(by[y].values(), np.int64, len(by[y]))
+        yield pd.DataFrame({"term": list(by[y].keys()), "pos": n * pos, "neg": n * neg})
+
+
 def _lexicon(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     """Words and beginnings of words whose documents are toxic far beyond the usual odds."""
 
@@ -158,8 +166,10 @@ def _lexicon(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["y"], strict=True):
                 by[y].update(_terms(text))
-        yield pd.DataFrame([(t, c, by[0][t]) for t, c in by[1].items()], columns=["term", "pos", "neg"])
-        yield pd.DataFrame([(t, 0, c) for t, c in by[0].items() if t not in by[1]], columns=["term", "pos", "neg"])
+                if len(by[0]) + len(by[1]) > COUNTED_TERMS:
+                    yield from _counted(by)
+                    by = (Counter(), Counter())
+        yield from _counted(by)
 
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     summed = sample.select("text", "y").mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
