@@ -36,7 +36,7 @@ FAN_IN = 64
 #: Members of a list held against each other at once: outside the main component, and all.
 REST_BLOCK, ALL_BLOCK = 128, 256
 #: Words whose hash is kept while a task runs.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
