@@ -10,6 +10,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, *fit(docs))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import scratch_path
     from .warc import fields, read_archive, reconstruct, write_archive
@@ -70,7 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_language_id, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_sharding, op8_nearest, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_warc, op3_language_id, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_sharding, op8_nearest, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
