@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,32 @@ def unit_hash(seed: int, *cols: Column) -> Column:
 
 def utf8_length(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
+
+
+#: Bits of an id filter: sixteen an id, up to a fixed 32 MB; a fuller filter only lets more rows through.
+MOST_FILTER_BITS = 28
+
+
+def may_hold(ids: DataFrame, id_col: str = "id") -> Callable[[Column], Column]:
+    """A test "this id may be in ``ids``", without false negatives: a bitmap of hashes, built by an aggregate."""
+    bits = min(MOST_FILTER_BITS, max(10, int(np.ceil(np.log2(16 * ids.count() + 1)))))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(F.col(id_col)), F.lit(64)).cast("int"))
+    words = ids.groupBy(F.shiftright(place(F.col(id_col)), 6).alias("w")).agg(F.bit_or(one).alias("x")).toPandas()
+    bitmap = np.zeros((1 << bits) // 64, np.int64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.int64)
+        return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    return lambda c: held(place(c))
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the ids in ``gone`` (one column): rows that the id filter clears never move, the rest meet in an anti join."""
+    gone = settle(gone.toDF("_gone").where("_gone is not null").distinct(), "gone-ids")
+    maybe = F.coalesce(may_hold(gone, "_gone")(F.col(id_col)), F.lit(True))
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(gone, docs[id_col] == F.col("_gone"), "left_anti"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, spread
+from .common import drop_ids, settle, spread
 
 WINDOW = 10
 #: Words of one broadcast block of benchmark items.
@@ -292,5 +292,4 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents without any benchmark window; ids must be unique."""
-    hit = contamination(docs, benchmark, id_col, text_col, window=window).where("contaminated").select(F.col(id_col).alias("_hit"))
-    return docs.join(hit, docs[id_col] == F.col("_hit"), "left_anti")
+    return drop_ids(docs, contamination(docs, benchmark, id_col, text_col, window=window).where("contaminated").select(id_col), id_col)

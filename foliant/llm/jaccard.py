@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, spread
+from .common import drop_ids, may_hold, settle, spread
 from .graph import components
 
 BUCKETS_LOG2, BLOCKS, PARTS = 20, 64, 64
@@ -125,24 +125,6 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, i
     return settle(rows.mapInArrow(run, "id long, n long, sig binary, prefix array<long>, sketch binary"), "prefixes")
 
 
-def _holds_ids(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Documents whose id may be in ``pairs``: a Bloom-like bitmap, sized by the ids up to a fixed 32 MB."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bits = min(28, max(10, int(np.ceil(np.log2(16 * pairs.count() + 1)))))
-    at = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
-    words = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("x")).toPandas()
-    bitmap = np.zeros((1 << bits) // 64, np.int64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def may(at: pd.Series) -> pd.Series:
-        x = at.to_numpy(np.int64)
-        return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
-
-    return docs.where(may(at))
-
-
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Candidate pairs (a, b), each once -> true links: suffix filter on sketches, then the texts themselves."""
     sketches = sets.select("id", "n", "sketch")
@@ -155,7 +137,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, num: i
             yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(keep)), x.column("b").filter(pa.array(keep))], names=["a", "b"])
 
     pairs = settle(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(suffix, "a long, b long"), "pairs-kept")
-    texts = _holds_ids(docs, pairs)
+    texts = docs.where(may_hold(pairs.select(F.explode(F.array("a", "b")).alias("id")))(F.col("id")))
     with_texts = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,5 +264,5 @@ def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each component; documents without words and with null ids stay; ids must be unique."""
     found = jaccard_components(docs, n, num, den, id_col, text_col)
-    gone = found.where((F.col(id_col) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = found.where((F.col(id_col) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(id_col)
+    return drop_ids(docs, gone, id_col)

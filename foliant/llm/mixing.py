@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2
 #: Documents in one hash bin of a length group, on average.
-BIN_ROWS = 500
+BIN_ROWS = 100
 #: Rows of the selection table (distinct source and length) up to which it is broadcast; beyond, a shuffle join.
 BROADCAST_ROWS = 400_000
 #: The dynamic programme's table has at most this many sums; it is reached only with documents longer than that.
@@ -117,51 +117,63 @@ def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(base=base, extra=extra)[["source", "size", "source_size", "target", "n", "base", "extra"]]
 
 
-def mix_sources(docs: DataFrame, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How often each document enters the mix: (id, source, size, source_size, target, taken, repeats).
+def _measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with the columns that decide: source, words, and a draw in [0, 1) from the id."""
+    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumns({"_source": F.col(source_col).cast("string"), "_size": words, "_u": unit_hash(seed, F.col(id_col).cast("string"))})
 
-    Size counts words; a null text has none and is taken for 0 words.  A null source is a source of its own.
-    Rows that repeat count one by one; equal ids of equal length are interchangeable.  Documents of one source and
-    length are drawn by a hash of id and seed, so reruns agree.  An empty table gives no rows; other columns are
-    ignored, whatever their names.
-    """
-    sized = settle(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("u", unit_hash(seed, F.col("id").cast("string"))),
-        "mix-sizes",
-    )
+
+def _plan(sized: DataFrame) -> DataFrame:
+    """(source, size) -> source_size, target, base repeats and ``u_max``: draws up to it are taken once more."""
     counted = settle(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-lengths")
     targets = source_targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
-    same = counted["source"].eqNullSafe(targets["source"])
-    lengths = counted.join(targets, same).select(counted["source"], "size", "n", "source_size", "target")
+    lengths = counted.join(targets, counted["source"].eqNullSafe(targets["source"])).select(counted["source"], "size", "n", "source_size", "target")
     chosen = settle(lengths.groupBy("source").applyInPandas(_choose, "source string, size long, source_size long, target double, n long, base int, extra long"), "mix-choice")
     few = chosen.count() <= BROADCAST_ROWS
-    side = (F.broadcast(chosen) if few else chosen).withColumnsRenamed({"source": "s_", "size": "z_"})
-    bins = F.greatest(F.ceil(F.col("n") / BIN_ROWS), F.lit(1))
-    joined = sized.join(side, sized["source"].eqNullSafe(side["s_"]) & (sized["size"] == side["z_"])).drop("s_", "z_").withColumn("bin", F.floor(F.col("u") * bins).cast("long"))
-    joined = settle(joined, "mix-bins")
-    part = joined.where((F.col("extra") > 0) & (F.col("extra") < F.col("n")))
-    # rows of a group in earlier bins, from one row a bin
-    per_bin = part.groupBy("source", "size", "bin").agg(F.count(F.lit(1)).alias("held"), F.first("extra").alias("extra"))
+    part = chosen.where("extra > 0 and extra < n")
+    bins = F.ceil(F.col("n") / BIN_ROWS)
+    binned = settle(_with_plan(sized, part.select("source", "size", "n", "extra"), few).withColumn("bin", F.floor(F.col("u") * bins).cast("long")), "mix-bins")
+    # rows of a group in earlier bins, from one row a bin; the bin in which the count of extra rows is reached
+    per_bin = binned.groupBy("source", "size", "bin").agg(F.count(F.lit(1)).alias("held"), F.first("extra").alias("extra"))
     w = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     per_bin = per_bin.withColumn("earlier", F.coalesce(F.sum("held").over(w), F.lit(0)))
-    split = settle(per_bin.where((F.col("earlier") <= F.col("extra")) & (F.col("earlier") + F.col("held") > F.col("extra"))).select("source", "size", "bin", (F.col("extra") - F.col("earlier")).alias("from_bin")), "mix-thresholds")  # one a group
-    split = (F.broadcast(split) if few else split).withColumnsRenamed({"source": "s_", "size": "z_", "bin": "b_"})
-    # documents against their group's threshold: whole bins by comparison, the split bin by rank
-    at = joined.join(split, joined["source"].eqNullSafe(split["s_"]) & (joined["size"] == split["z_"]), "left").drop("s_", "z_")
-    at = at.withColumn("tied", F.coalesce(F.col("bin") == F.col("b_"), F.lit(False)))
-    nth = Window.partitionBy("source", "size", "bin").orderBy("u", "id")
-    ranked = at.where("tied").withColumn("more", F.when(F.row_number().over(nth) <= F.col("from_bin"), 1).otherwise(0))
-    whole = F.when(F.col("extra") >= F.col("n"), 1).when(F.col("bin") < F.col("b_"), 1).otherwise(0)
-    return _finish(at.where("not tied").withColumn("more", whole), id_col).unionByName(_finish(ranked, id_col))
-
-
-def _finish(rows: DataFrame, id_col: str) -> DataFrame:
-    repeats = F.col("base") + F.col("more")
-    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.cast("int").alias("repeats"))
-
-
-def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of the mix, one row for each time they are taken; ids must be unique."""
-    times = mixed.where("repeats > 0").select(F.col(id_col).alias("_id"), "repeats")
-    joined = docs.join(times, docs[id_col] == F.col("_id"))
-    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*[docs[c] for c in docs.columns])
+    split = settle(per_bin.where("earlier < extra and earlier + held >= extra").select("source", "size", F.col("bin").alias("last"), (F.col("extra") - F.col("earlier")).alias("nth")), "mix-thresholds")
+    nth = Window.partitionBy("source", "size", "bin").orderBy("u")
+    edge = _with_plan(binned.drop("n", "extra"), split, few).where("bin = last").withColumn("r", F.row_number().over(nth)).where("r = nth")
+    edge = settle(edge.select(F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("u").alias("edge")), "mix-edges")
+    same = chosen["source"].eqNullSafe(edge["s_"]) & (chosen["size"] == edge["z_"])
+    u_max = F.when(F.col("extra") <= 0, -1.0).when(F.col("extra") >= F.col("n"), 2.0).otherwise(F.col("edge"))
+    return settle(chosen.join(edge, same, "left").select("source", "size", "source_size", "target", "base", u_max.alias("u_max")), "mix-plan")
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame, few: bool, source: str = "source", size: str = "size") -> DataFrame:
+    """Rows joined to the plan of their source and length: broadcast where its size was checked, else a shuffle join of plain tables, which adaptive execution splits at hot keys."""
+    side = plan.withColumnsRenamed({"source": "s_", "size": "z_"})
+    return rows.join(F.broadcast(side) if few else side, rows[source].eqNullSafe(side["s_"]) & (rows[size] == side["z_"])).drop("s_", "z_")
+
+
+_REPEATS = "cast(base + if(u <= u_max, 1, 0) as int)"
+
+
+def mix_sources(docs: DataFrame, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """How often each document enters the mix: (id, source, size, source_size, target, taken, repeats).
+
+    Size counts words; a null text has none and is taken for 0 words.  A null source is a source of its own.
+    Documents of one source and length are drawn by a hash of id and seed, so reruns agree; rows that repeat an id have
+    the same draw and are taken alike.  An empty table gives no rows; other columns are ignored, whatever their names.
+    """
+    measured = _measured(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col)
+    sized = settle(measured.select(F.col(id_col).alias("id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u")), "mix-sizes")
+    plan = _plan(sized)
+    mixed = _with_plan(sized, plan, plan.count() <= BROADCAST_ROWS).withColumn("repeats", F.expr(_REPEATS))
+    return mixed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+
+
+def mix_documents(docs: DataFrame, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every document as often as it is taken, with the columns of ``docs``; texts aren't shuffled."""
+    measured = _measured(docs, seed, id_col, text_col, source_col)
+    plan = _plan(settle(measured.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u")), "mix-sizes"))
+    plan = plan.select(F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("base").alias("base_"), F.col("u_max").alias("u_max_"))
+    side = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    joined = measured.join(side, measured["_source"].eqNullSafe(side["s_"]) & (measured["_size"] == side["z_"]))
+    return joined.withColumn("_nth", F.explode(F.expr("array_repeat(0, base_ + if(_u <= u_max_, 1, 0))"))).select(*docs.columns)
