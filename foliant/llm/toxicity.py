@@ -138,8 +138,10 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
 
 
 def _mark(text: Column, seed: int) -> Column:
-    """Min-hash of a text's words, one of a few by which near copies in the sample are told."""
-    return F.array_min(F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.xxhash64(w, F.lit(seed))))
+    """Min-hash of a text's three-word shingles, one of a few by which near copies in the sample are told."""
+    w = F.split(F.coalesce(text, F.lit("")), r"\s+")
+    two = F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
+    return F.array_min(F.zip_with(two, F.slice(w, 3, 1 << 30), lambda h, c: F.xxhash64(h, c, F.lit(seed))))
 
 
 def _terms(text: str | None) -> set[str]:
@@ -155,7 +157,8 @@ def _terms(text: str | None) -> set[str]:
 def _counted(by: tuple[Counter, Counter]) -> Iterator[pd.DataFrame]:
     for y, (pos, neg) in enumerate(((0, 1), (1, 0))):
         n = np.fromiter(by[y].values(), np.int64, len(by[y]))
-        yield pd.DataFrame({"term": list(by[y].keys()), "pos": n * pos, "neg": n * neg})
+        if len(n):
+            yield pd.DataFrame({"term": list(by[y].keys()), "pos": n * pos, "neg": n * neg})
 
 
 def _lexicon(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
