@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from .common import drop_ids, may_hold, settle, spread
 from .graph import components
 
-BUCKETS_LOG2, BLOCKS, PARTS = 20, 64, 64
+BUCKETS_LOG2, BLOCKS, PARTS = 20, 64, 256
 #: Count tables summed in one group.
 FAN_IN = 64
 #: Members of a list held against each other at once: outside the main component, and all.
 REST_BLOCK, ALL_BLOCK = 128, 256
 #: Words whose hash is kept while a task runs.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
+#: Documents whose shingles are held at once.
+SLICE = 256
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -77,9 +79,10 @@ def shingle_counts(docs: DataFrame, n: int, text: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKETS_LOG2, np.int64)
         for batch in batches:
-            sets = [shingle_set(t.as_py(), n) for t in batch.column(0)]
-            if sets:
-                total += np.bincount(_bucket(np.concatenate(sets)), minlength=len(total))
+            for lo in range(0, batch.num_rows, SLICE):
+                sets = [shingle_set(t.as_py(), n) for t in batch.column(0).slice(lo, SLICE)]
+                at, held = np.unique(_bucket(np.concatenate(sets)), return_counts=True)
+                total[at] += held
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([part] * BLOCKS, pa.int32()), pa.array([x.tobytes() for x in np.split(total, BLOCKS)])], names=["block", "part", "counts"])
 

@@ -2,7 +2,7 @@
 
 Features: densities of lexicon words and stems, their distance to second-person words, capitals, punctuation, and
 obfuscated spellings.  The lexicon has a small fixed seed and grows by the words and word beginnings that labelled
-training rows show to be toxic (a log-odds test on document counts).  Lexicon, trees and calibration are fitted on a
+training rows show to be toxic (a likelihood-ratio test on document counts).  Lexicon, trees and calibration are fitted on a
 bounded sample of labelled rows (``MOST_TOXIC`` and ``MOST_CLEAN``); scoring reads every text once, without a shuffle.
 """
 
@@ -28,8 +28,8 @@ CALIBRATION = 0.3
 CUT = 0.7
 #: Distinct tokens, and lexicon terms, that a task holds at once.
 CACHED_TOKENS, COUNTED_TERMS = 100_000, 200_000
-#: A learned lexicon entry stands this many standard errors above even odds; at most so many entries.
-LEAST_Z, MOST_TERMS = 3.3, 400
+#: A learned lexicon entry has this likelihood ratio (G squared) and this ratio of toxic to clean shares at least; at most so many entries.
+LEAST_G, LEAST_RATIO, MOST_TERMS = 22.0, 8.0, 400
 #: ... and is in this share of the toxic documents at least.
 LEAST_SHARE = 0.01
 #: Min-hashes that tell near copies in the sample.
@@ -176,9 +176,11 @@ def _lexicon(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
 
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     summed = sample.select("text", "y").mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    odds = lambda c, all_: F.log((F.col(c) + 0.5) / (F.lit(float(all_)) - F.col(c) + 0.5))
-    z = (odds("pos", n.get(1, 0)) - odds("neg", n.get(0, 0))) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    best = summed.where(F.col("pos") >= max(3.0, LEAST_SHARE * n.get(1, 0))).withColumn("z", z).where(F.col("z") >= LEAST_Z).where((F.col("pos") + 0.5) / (n.get(1, 0) + 1) > 8 * (F.col("neg") + 0.5) / (n.get(0, 0) + 1)).orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
+    share = n.get(1, 0) / max(n.get(0, 0) + n.get(1, 0), 1)
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("pos") + F.col("neg")) * max(p, 1e-9)))).otherwise(0.0)
+    over = (F.col("pos") + 0.5) / (n.get(1, 0) + 1) > LEAST_RATIO * (F.col("neg") + 0.5) / (n.get(0, 0) + 1)
+    kept = summed.where(F.col("pos") >= max(3.0, LEAST_SHARE * n.get(1, 0))).withColumn("g", 2 * (part("pos", share) + part("neg", 1 - share)))
+    best = kept.where((F.col("g") >= LEAST_G) & over).orderBy(F.desc("g"), "term").limit(MOST_TERMS).collect()
     found = [r["term"] for r in best]
     return frozenset(SEED) | {t[1:] for t in found if t[0] == "="}, frozenset(t for t in found if t[0] != "=")
 
