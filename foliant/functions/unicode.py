@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ONLY_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~+ -])+")
@@ -43,16 +44,16 @@ def clean_content(value: str | None) -> str:
     return decode_escapes(t) if t and _ENCODED_CJK.search(t) and _ONLY_ESCAPES.fullmatch(t.strip()) else t
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_filename(c: pd.Series) -> pd.Series:
     return c.map(clean_filename)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_metadata_text(c: pd.Series) -> pd.Series:
     return c.map(clean_metadata)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_content(c: pd.Series) -> pd.Series:
     return c.map(clean_content)

@@ -44,7 +44,7 @@ def acl_tokens(visibility: Column, chain: Column, owner: Column, users: Column |
 def resolve_tokens(tokens: Column, json_tokens: Column, legacy: Column, missing: str = "no_access") -> Column:
     """Tokens of a payload: the list, else its JSON form, else the comma-separated form, else what the policy says."""
     parsed = F.from_json(json_tokens, "array<string>")
-    split = F.filter(F.transform(F.split(F.replace(legacy, F.lit("，"), F.lit(",")), ","), F.trim), lambda x: x != "")
+    split = F.filter(F.transform(F.split(F.replace(legacy, F.lit("，"), F.lit(",")), ","), lambda x: F.trim(x)), lambda x: x != "")
     some = lambda c: F.when(F.size(c) > 0, c)
     last = {"internal": F.array(F.lit("_INTERNAL")), "no_access": F.array(F.lit(NO_ACCESS)), "error": F.raise_error(F.lit("acl_tokens are missing")).cast("array<string>")}[missing]
     return F.coalesce(some(tokens), some(parsed), some(split), last)

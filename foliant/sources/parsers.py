@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SKIP = {"nav", "footer", "header", "aside", "script", "style"}
 _HEADS = {"h1": "#", "h2": "##", "h3": "###", "h4": "####"}
@@ -62,7 +63,7 @@ def outline(html: str | None) -> str:
     return "\n".join(p.lines)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_markdown(c: pd.Series) -> pd.Series:
     return c.map(outline)
 
@@ -96,6 +97,6 @@ def docx_outline(data: bytes) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def docx_markdown(c: pd.Series) -> pd.Series:
     return c.map(lambda b: docx_outline(bytes(b)) if b is not None else "")

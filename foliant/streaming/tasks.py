@@ -19,7 +19,7 @@ PAYLOAD = "taskId string, task_id string, fileName string, file_name string, fil
 def parse_payload(raw: Column) -> Column:
     """A queue record's JSON, camelCase or snake_case, as one struct with defaults."""
     p = F.from_json(raw, PAYLOAD)
-    split = F.filter(F.transform(F.split(F.replace(p["acl_tokens"], F.lit("，"), F.lit(",")), ","), F.trim), lambda x: x != "")
+    split = F.filter(F.transform(F.split(F.replace(p["acl_tokens"], F.lit("，"), F.lit(",")), ","), lambda x: F.trim(x)), lambda x: x != "")
     size = F.coalesce(p["fileSize"], p["file_size"], F.lit(0))
     return F.struct(
         F.coalesce(p["taskId"], p["task_id"]).alias("task_id"), F.coalesce(p["fileName"], p["file_name"]).alias("file_name"), size.alias("file_size"),
