@@ -87,4 +87,26 @@ ORACLE_SQL: dict[str, str] = {
                case when n < 100 or page_id = owner then null else owner end as refers_to
         from p join o on p.d = o.d
     """,
+    "op5_ngram_jaccard": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select distinct doc_id, array_to_string(list_slice(w, i, i + 2), ' ') as g from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) as i from w where len(w) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        i as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+        e as (select a, b from l union all select b, a from l),
+        r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on r.other = e.a)
+        select r.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(other) as component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id
+    """,
+    "op9_decontamination": r"""
+        with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        bw as (select distinct item, list_slice(w, i, i + 9) as g from (select item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)),
+        sizes as (select distinct len(g) as k from bw),
+        dw as (select rid, p, k, list_slice(w, p, p + k - 1) as g from (select rid, w, k, unnest(generate_series(1, len(w) - k + 1)) as p from d, sizes where len(w) >= k)),
+        m as (select rid, item, p, k from dw join bw using (g)),
+        h as (select rid, count(distinct pos) as n_hit from (select rid, unnest(generate_series(p, p + k - 1)) as pos from m) group by rid),
+        t as (select rid, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from m group by rid)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join h using (rid) left join t using (rid)
+    """,
 }
