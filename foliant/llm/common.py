@@ -33,8 +33,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Most bytes of one Arrow batch between Spark and Python: very long texts don't add up in a worker.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limit to ``BATCH_BYTES``; a lower limit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    at_most = spark.conf.get(name, None)
+    if not at_most or not at_most.rstrip("bB").isdigit() or not 0 < int(at_most.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, lost executors don't matter."""
+    bound_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -42,6 +55,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out where an input has fewer partitions than the cluster has cores; larger inputs stay as they are."""
+    bound_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
