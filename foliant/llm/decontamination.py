@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, settle, spread
+from .common import drop_ids, settle, spread, trimmed
 
 WINDOW = 10
 #: Words of one broadcast block of benchmark items.
 BLOCK_WORDS = 1_000_000
 #: Tokens of documents matched at once, and candidate starts held at once.
-BATCH_TOKENS, BATCH_STARTS = 2_000_000, 4_000_000
+BATCH_TOKENS, BATCH_STARTS = 250_000, 500_000
 
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -130,7 +130,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _postings(shared.value, 1)(batches)
 
-    return settle(rows.mapInArrow(run, f"id {kind}, n_words long, terms array<int>, begins array<int>, positions array<int>"), "positional-index")
+    return settle(rows.mapInArrow(trimmed(run), f"id {kind}, n_words long, terms array<int>, begins array<int>, positions array<int>"), "positional-index")
 
 
 def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -145,7 +145,7 @@ def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["term", "n"])
 
-    summed = index.select("terms", "begins", "positions").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    summed = index.select("terms", "begins", "positions").mapInArrow(trimmed(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(n_terms, np.int64)
     out[summed["term"].to_numpy(np.int64)] = summed["n"]
     return out
@@ -231,7 +231,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, spans: bool, schema: str, id
             yield from _matches(shared.value, spans)(batches)
 
         kind = docs.schema[id_col].dataType.simpleString()
-        out.append(index.mapInArrow(run, schema.format(kind=kind)))
+        out.append(index.mapInArrow(trimmed(run), schema.format(kind=kind)))
     return out
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, may_hold, settle, spread
+from .common import drop_ids, may_hold, settle, spread, trimmed
 from .graph import components
 
 BUCKETS_LOG2, BLOCKS, PARTS = 20, 64, 256
@@ -93,7 +93,7 @@ def shingle_counts(docs: DataFrame, n: int, text: str) -> np.ndarray:
     schema = "block int, part int, counts binary"
     rows = spread(docs.select(text))
     parts = rows.rdd.getNumPartitions()
-    sums = settle(rows.mapInArrow(run, schema), "shingle-counts")
+    sums = settle(rows.mapInArrow(trimmed(run), schema), "shingle-counts")
     while parts > 1:
         parts = -(-parts // FAN_IN)
         sums = sums.withColumn("slice", F.col("part") % parts).groupBy("block", "slice").applyInPandas(add, schema)
@@ -125,7 +125,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int, i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), lists, pa.array(sketch, pa.binary())], names=["id", "n", "sig", "prefix", "sketch"])
 
     rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    return settle(rows.mapInArrow(run, "id long, n long, sig binary, prefix array<long>, sketch binary"), "prefixes")
+    return settle(rows.mapInArrow(trimmed(run), "id long, n long, sig binary, prefix array<long>, sketch binary"), "prefixes")
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, num: i
             keep = _sketch_apart(_sketches(x.column("sa")), _sketches(x.column("sb"))) <= total - 2 * _needed(total, num, den)
             yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(keep)), x.column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    pairs = settle(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(suffix, "a long, b long"), "pairs-kept")
+    pairs = settle(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(suffix), "a long, b long"), "pairs-kept")
     texts = docs.where(may_hold(pairs.select(F.explode(F.array("a", "b")).alias("id")))(F.col("id")))
     with_texts = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
 
@@ -154,7 +154,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, num: i
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column("a").filter(keep), x.column("b").filter(keep)], names=["a", "b"])
 
-    return settle(with_texts.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "links")
+    return settle(with_texts.select("a", "b", "ta", "tb").mapInArrow(trimmed(verify), "a long, b long"), "links")
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -258,7 +258,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     as_any = F.transform(to("blocks_a"), lambda a: F.struct(F.lit(1).alias("role"), a.alias("ra"), own(2, "blocks_b").alias("rb")))
     dealt = open_.withColumn("to", F.explode(F.concat(as_rest, as_any))).select("token", "id", "n", "pos", "label", "rest", "sketch", "to.*")
     dealt = dealt.repartition("token", "ra", "rb").sortWithinPartitions("token", "ra", "rb")
-    crossed = settle(dealt.mapInArrow(_cross_pairs(num, den), "a long, b long").distinct(), "cross-pairs")
+    crossed = settle(dealt.mapInArrow(trimmed(_cross_pairs(num, den)), "a long, b long").distinct(), "cross-pairs")
     if not crossed.isEmpty():
         links = links.unionByName(_verified(rows, sets, crossed, n, num, den))
     return links, members

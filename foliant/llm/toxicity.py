@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import settle, spread, unit_hash
+from .common import settle, spread, trimmed, unit_hash
 
 #: Bounds of the training sample, in labelled rows; rows are drawn by a hash of their id.
 MOST_TOXIC, MOST_CLEAN = 5_000, 8_000
@@ -175,7 +175,7 @@ def _lexicon(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
         yield from _counted(by)
 
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    summed = sample.select("text", "y").mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    summed = sample.select("text", "y").mapInPandas(trimmed(count), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     share = n.get(1, 0) / max(n.get(0, 0) + n.get(1, 0), 1)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("pos") + F.col("neg")) * max(p, 1e-9)))).otherwise(0.0)
     over = (F.col("pos") + 0.5) / (n.get(1, 0) + 1) > LEAST_RATIO * (F.col("neg") + 0.5) / (n.get(0, 0) + 1)
@@ -195,7 +195,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         for pdf in batches:
             yield pd.DataFrame({"x": [features(t, codes) for t in pdf["text"]], "y": pdf["y"], "weight": pdf["weight"], "part": pdf["part"]})
 
-    rows = sample.mapInPandas(run, "x array<float>, y int, weight double, part double").toPandas().sort_values(["part", "y"])
+    rows = sample.mapInPandas(trimmed(run), "x array<float>, y int, weight double, part double").toPandas().sort_values(["part", "y"])
     y, weight = rows["y"].to_numpy(float), rows["weight"].to_numpy(float)
     cal = rows["part"].to_numpy() < CALIBRATION
     if not len(rows) or len(set(y[~cal])) < 2 or len(set(y[cal])) < 2:
@@ -224,7 +224,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     held = F.coalesce(~training_row(F.col("id")), F.lit(False))
-    return rows.mapInArrow(run, f"id {kind}, score double").select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return rows.mapInArrow(trimmed(run), f"id {kind}, score double").select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,4 +240,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             x = np.stack([features(t.as_py(), codes) for t in texts]) if batch.num_rows else np.zeros((0, len(NAMES)))
             yield batch.filter(pa.array(m.score(x) < CUT))
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(trimmed(run), docs.schema)
