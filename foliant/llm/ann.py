@@ -5,9 +5,11 @@ vector costs ``eta`` times its orthogonal part, because it is the parallel part
 Codebooks and coarse centres are fitted on at most ``SAMPLE`` vectors drawn by a hash of the id; every row is indexed.
 
 Rows are kept in lists by coarse centre, lists that are too long (a very common vector) are cut by a hash of the id,
-and queries go to the lists they probe: list and query rows meet by key in groups of bounded size.  A group is scanned
-by adding table entries for the codes, its best rows are reranked with the original vectors in double precision, and
-the best of all groups are ranked per query.
+and queries go to lists: list and query rows meet by key in groups of bounded size.  A group is scanned by adding
+table entries for the codes, its best rows are reranked with the original vectors in double precision, and the best of
+all groups are ranked per query.  A query first reads the lists of largest centre product; that gives a ``k``-th score,
+and of the other lists it then reads all but those that can't reach it: no row of a list with centre c and radius r
+scores above q.c + |q| r.  So no list is left out unless that bound rules it out, at any size.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .common import settle, spread, unit_hash
 
 SAMPLE = 32_768
 CENTRES, SUB = 16, 2
-#: Rows a list should have, most lists, and lists that a query probes at least.
+#: Rows a list should have, most lists, and lists that a query reads at least before others may be ruled out.
 LIST_ROWS, MAX_LISTS, LEAST_PROBES = 4_096, 1_024, 16
 #: Rows and queries of one group; queries scanned at once.
 GROUP_ROWS, GROUP_QUERIES, CHUNK = 8_192, 4_096, 128
@@ -182,32 +184,35 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             if b.num_rows:
                 x = _matrix(b.column("v"), dim)
                 near = (x @ m.lists.T - (m.lists**2).sum(axis=1) / 2).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(near, pa.int32()), pa.array([c.tobytes() for c in m.encode(x)], pa.binary()), b.column("v")], names=["id", "list", "code", "v"])
+                away = np.sqrt(((x - m.lists[near]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(near, pa.int32()), pa.array(away), pa.array([c.tobytes() for c in m.encode(x)], pa.binary()), b.column("v")], names=["id", "list", "away", "code", "v"])
 
     # components are floats in the table; the index keeps them in double, as the ranking needs them
-    indexed = settle(spread(rows).mapInArrow(index, "id long, list int, code binary, v array<double>"), "quantised")
-    counts = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}  # at most MAX_LISTS rows
-    held = np.array([counts.get(i, 0) for i in range(len(q.lists))])
+    indexed = settle(spread(rows).mapInArrow(index, "id long, list int, away double, code binary, v array<double>"), "quantised")
+    stats = {r["list"]: r for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away")).collect()}  # at most MAX_LISTS rows
+    held = np.array([stats[i]["n"] if i in stats else 0 for i in range(len(q.lists))])
+    radius = np.array([stats[i]["away"] if i in stats else 0.0 for i in range(len(q.lists))])
     probes = max(LEAST_PROBES, lists // 8)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            if b.num_rows:
-                x = _matrix(b.column("v"), dim)
-                order = np.argsort(-(x @ m.lists.T), axis=1, kind="stable")
-                enough = np.cumsum(held[order], axis=1) - held[order] < 10 * k
-                go = enough | (np.arange(order.shape[1]) < probes)
-                at = np.nonzero(go & (held[order] > 0))
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at[0])), pa.array(order[at], pa.int32()), b.column("v").take(pa.array(at[0]))], names=["id", "list", "v"])
-
-    queries = indexed.where(F.col("id") % every == 0).dropDuplicates(["id"]).select("id", "v").mapInArrow(route, "id long, list int, v array<double>")
-    asked = {r["list"]: r["count"] for r in queries.groupBy("list").count().collect()}
-    sizes = vectors.sparkSession.createDataFrame([(i, -(-int(held[i]) // GROUP_ROWS), max(1, -(-asked.get(i, 0) // GROUP_QUERIES))) for i in range(len(held)) if held[i]], "list int, subs int, blocks int")
-    own = lambda seed, of: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(of)).cast("int")
-    to = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    data = indexed.join(F.broadcast(sizes), "list").select("list", own(1, "subs").alias("sub"), to("blocks").alias("block"), "id", "code", "v")
-    ask = queries.join(F.broadcast(sizes), "list").select("list", to("subs").alias("sub"), own(2, "blocks").alias("block"), "id", "v")
+    def route(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for b in batches:
+                if b.num_rows:
+                    x = _matrix(b.column("v"), dim)
+                    dots = x @ m.lists.T
+                    order = np.argsort(-dots, axis=1, kind="stable")
+                    enough = np.cumsum(held[order], axis=1) - held[order] < 10 * k
+                    go = enough | (np.arange(order.shape[1]) < probes)
+                    if not first:
+                        bound = dots + np.sqrt((x * x).sum(axis=1))[:, None] * radius
+                        bound += 1e-9 * (1 + np.abs(bound))  # rounding must not rule a list out
+                        go = ~go & np.take_along_axis(bound >= b.column("floor").to_numpy()[:, None], order, axis=1)
+                    at = np.nonzero(go & (held[order] > 0))
+                    rows = pa.array(at[0])
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(rows), pa.array(order[at], pa.int32()), b.column("floor").take(rows), b.column("v").take(rows)], names=["id", "list", "floor", "v"])
+
+        return run
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -215,9 +220,31 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         left, right = left.combine_chunks(), right.combine_chunks()
         codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(left.num_rows, -1)
         a, b, s = _search(shared.value, left["id"].to_numpy(), codes, _matrix(left["v"].chunk(0), dim), right["id"].to_numpy(), _matrix(right["v"].chunk(0), dim), k)
-        return pa.table({"query_id": a, "vec_id": b, "score": s})
+        order = np.argsort(right["id"].to_numpy())
+        floor = right["floor"].to_numpy()[order][np.searchsorted(right["id"].to_numpy(), a, sorter=order)]
+        return pa.table({"query_id": a, "vec_id": b, "score": s}).filter(pa.array(s >= floor))
 
     key = ["list", "sub", "block"]
-    found = data.groupBy(*key).cogroup(ask.groupBy(*key)).applyInArrow(group, "query_id long, vec_id long, score double")
+    own = lambda seed, of: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(of)).cast("int")
+    to = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def scan(asking: DataFrame, first: bool) -> DataFrame:
+        queries = asking.mapInArrow(route(first), "id long, list int, floor double, v array<double>")
+        asked = {r["list"]: r["count"] for r in queries.groupBy("list").count().collect()}
+        sizes = vectors.sparkSession.createDataFrame([(i, -(-int(held[i]) // GROUP_ROWS), -(-n // GROUP_QUERIES)) for i, n in asked.items()], "list int, subs int, blocks int")
+        data = indexed.join(F.broadcast(sizes), "list").select("list", own(1, "subs").alias("sub"), to("blocks").alias("block"), "id", "code", "v")
+        ask = queries.join(F.broadcast(sizes), "list").select("list", to("subs").alias("sub"), own(2, "blocks").alias("block"), "id", "floor", "v")
+        return data.groupBy(*key).cogroup(ask.groupBy(*key)).applyInArrow(group, "query_id long, vec_id long, score double")
+
+    queries = indexed.where(F.col("id") % every == 0).dropDuplicates(["id"]).select("id", F.lit(float("-inf")).alias("floor"), "v")
+    if probes >= lists:
+        return ranked(scan(queries, True))
+    queries = settle(queries, "queries")
+    near = settle(ranked(scan(queries, True)), "near")
+    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    asking = settle(queries.drop("floor").join(floors, "id", "left").select("id", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "v"), "floors")
+    return ranked(near.drop("rank").unionByName(scan(asking, False)))

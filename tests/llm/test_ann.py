@@ -39,6 +39,19 @@ def test_recall_scores_and_order(spark, monkeypatch, lists):
     assert sorted(r.rank for r in rows) == sorted(list(range(1, 21)) * 100)
 
 
+def test_rows_in_far_lists_are_found(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    monkeypatch.setattr(ann, "LEAST_PROBES", 4)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 24)).astype(np.float32)  # no clusters
+    x[::50] *= 3  # rows of large norm in any list
+    want = exact(np.arange(2000), x.astype(float), every=40)
+    got = {}
+    for r in search(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA), every=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: [i for i, _ in v] for q, v in want.items()} == got
+
+
 def test_rows_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [2.0, 0.0], 0), (20, [0.0, 1.0], 0), (40, None, 0), (41, [0.0, 0.0], 0), (42, [nan, 1.0], 0), (43, [inf, 1.0], 0), (44, [None, 1.0], 0), (None, [1.0, 1.0], 0), (45, [1.0], 0)]
