@@ -4,10 +4,11 @@ Every token is predicted from the ``WINDOW`` tokens on either side, itself maske
 tokens are summed into one hidden layer, and a two-level softmax (class, then word in class) gives the token's
 conditional probability.  A document's score is the sum of these log-probabilities over all of its tokens.
 
-The vocabulary comes from word counts over all documents; rarer words share hashed slots.  Training is data-parallel:
-every input partition runs stochastic gradient steps over its share of the training documents (drawn by a hash of the
-id, a fixed share of the corpus), the weights are averaged over partitions by token count, in a tree, for ``ROUNDS``
-rounds.  So what training gathers grows with the input while driver and tasks hold one model of fixed size.
+The vocabulary comes from word counts over all documents.  The most frequent words have slots of their own in the
+network; the others share hashed slots, and a slot's probability is split among its words by their counts, so every
+word has a probability of its own.  Training is data-parallel: every input partition runs stochastic gradient steps over
+all of its documents, and the weights are averaged over partitions by token count, in a tree, for ``ROUNDS`` rounds.
+Driver and tasks hold one model of fixed size and 12 bytes for each shared-slot word that occurs more than once.
 """
 
 from __future__ import annotations
@@ -20,20 +21,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, spread, unit_hash
+from .common import settle, spread
 
 CLASSES, PER_CLASS = 64, 64
 SLOTS = CLASSES * PER_CLASS
 #: Slots for words beyond the vocabulary, by hash.
 RARE = 256
 WINDOW, HIDDEN = 2, 32
-#: Share of documents trained on; more where the corpus has fewer words than give LEAST_TOKENS.
-SHARE, LEAST_TOKENS = 0.05, 2_000_000
-ROUNDS, STEP_TOKENS, RATE = 2, 512, 0.25
+ROUNDS, STEP_TOKENS, RATE = 1, 512, 0.25
 CHUNK = 1 << 15
 BLOCKS, FAN_IN = 16, 64
 PAD = SLOTS
@@ -47,11 +47,34 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Slots(dict):
-    """Word -> slot; words beyond the vocabulary share the last RARE slots."""
+    """Word -> slot; words beyond the vocabulary share the last RARE slots, by their counts.
+
+    ``hashes`` (sorted, XXH64 with seed 42 as Spark's) and ``counts`` hold the shared-slot words that occur more than
+    once, ``totals`` the occurrences in each shared slot.  A word seen once or never weighs 1, and a slot has 1 more for
+    words never seen.
+    """
+
+    hashes = np.empty(0, np.uint64)
+    counts = np.empty(0, np.int64)
+    totals = np.zeros(RARE)
 
     def __missing__(self, word: bytes) -> int:
         return SLOTS - RARE + zlib.crc32(word) % RARE
 
+    def log_shares(self, words: list[bytes]) -> np.ndarray:
+        """Log of the share each word has in its slot's occurrences; 0 for words with slots of their own."""
+        out = np.zeros(len(words))
+        slot = np.fromiter(map(self.__getitem__, words), np.int64, len(words)) - (SLOTS - RARE)
+        rare = np.flatnonzero(slot >= 0)
+        if len(rare):
+            h = np.fromiter((xxhash.xxh64_intdigest(words[i], 42) for i in rare), np.uint64, len(rare))
+            n = np.ones(len(rare))
+            if len(self.hashes):
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                n = np.where(self.hashes[at] == h, self.counts[at], 1.0)
+            out[rare] = np.log(n / (self.totals[slot[rare]] + 1))
+        return out
+
 
 @dataclass
 class Network:
@@ -120,25 +143,35 @@ class Network:
         scale = np.float32(rate)
         change = h.T @ p
         order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cut)):
-            rows = order[cut[c] : cut[c + 1]]
-            q = h[rows] @ self.words[c] + self.word_bias[c]
-            q = np.exp(q - q.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(rows)), word[rows]] -= 1
-            back[rows] += q @ self.words[c].T
-            n = np.float32(max(len(rows), 8))
-            self.words[c] -= scale / n * (h[rows].T @ q)
-            self.word_bias[c] -= scale / n * q.sum(axis=0)
+        of, sorted_h = of[order], h[order]
+        first = np.flatnonzero(np.r_[True, np.diff(of) != 0])
+        cut = [*first.tolist(), len(of)]
+        spans = [(c, slice(lo, hi)) for c, lo, hi in zip(of[first].tolist(), cut, cut[1:], strict=False)]
+        q = np.empty((len(at), PER_CLASS), np.float32)
+        for c, rows in spans:
+            np.matmul(sorted_h[rows], self.words[c], out=q[rows])
+        q += self.word_bias[of]
+        q = np.exp(q - q.max(axis=1, keepdims=True))
+        q /= q.sum(axis=1, keepdims=True)
+        q[np.arange(len(at)), word[order]] -= 1
+        inner = np.empty_like(sorted_h)
+        for c, rows in spans:
+            np.matmul(q[rows], self.words[c].T, out=inner[rows])
+            self.words[c] -= scale / np.float32(max(rows.stop - rows.start, 8)) * (sorted_h[rows].T @ q[rows])
+        back[order] += inner
+        self.word_bias[of[first]] -= scale / np.maximum(np.diff(cut), 8)[:, None].astype(np.float32) * np.add.reduceat(q, first, axis=0)
         n = np.float32(len(at))
         self.classes -= scale / n * change
         self.class_bias -= scale / n * p.sum(axis=0)
         back *= 1 - h * h
         self.bias -= scale / n * back.sum(axis=0)
         back *= scale / np.float32(16)  # a context slot is hit by few of a step's tokens
+        back = np.clip(back, -0.1, 0.1)
         for j, off in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
-            np.subtract.at(self.context[j], tokens[at + off], np.clip(back, -0.1, 0.1))
+            of = tokens[at + off]
+            order = np.argsort(of, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
+            self.context[j, of[order[first]]] -= np.add.reduceat(back[order], first, axis=0)
 
 
 def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +201,16 @@ def vocabulary(docs: DataFrame, text_col: str) -> tuple[Slots, np.ndarray, int]:
     slots = Slots({bytes(r["word"]): i for i, r in enumerate(best)})
     counts = np.zeros(SLOTS)
     counts[: len(best)] = [r["n"] for r in best]
-    counts[SLOTS - RARE :] = (total - counts.sum()) / RARE
+    if len(best) == SLOTS - RARE:
+        n, word = best[-1]["n"], F.lit(bytearray(best[-1]["word"]))
+        rare = counted.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
+        slots.totals = np.zeros(RARE)
+        for r in rare.groupBy((F.crc32("word") % RARE).alias("slot")).agg(F.sum("n").alias("n")).collect():
+            slots.totals[r["slot"]] = r["n"]
+        table = rare.where("n > 1").select(F.xxhash64("word").alias("h"), "n").toArrow()
+        h, order = table["h"].to_numpy().view(np.uint64), np.argsort(table["h"].to_numpy().view(np.uint64))
+        slots.hashes, slots.counts = h[order], np.minimum(table["n"].to_numpy()[order], 2**32 - 1).astype(np.uint32)
+        counts[SLOTS - RARE :] = slots.totals
     return slots, counts, int(total)
 
 
@@ -192,9 +234,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     """Vocabulary and trained network."""
     slots, counts, total = vocabulary(docs, text_col)
     net = Network.fresh(counts)
-    share = min(1.0, max(SHARE, LEAST_TOKENS / max(total, 1)))
-    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).where(unit_hash(71, F.col("id").cast("string")) < share).select("text")
-    shared_slots = docs.sparkSession.sparkContext.broadcast(slots)
+    rows = spread(docs.select(F.col(text_col).alias("text")))
+    shared_slots = docs.sparkSession.sparkContext.broadcast(Slots(slots))
     for nth in range(ROUNDS if total else 0):
         shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -228,12 +269,19 @@ def score(docs: DataFrame, slots: Slots, net: Network, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast((slots, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, net = shared.value[0].__getitem__, shared.value[1]
+        slots, net = shared.value
+        get = slots.__getitem__
         for batch in batches:
-            ids = [np.fromiter(map(get, w), np.int32, len(w)) for w in (words_of(t.as_py()) for t in batch.column(1))]
+            words = [words_of(t.as_py()) for t in batch.column(1)]
+            ids = [np.fromiter(map(get, w), np.int32, len(w)) for w in words]
             size = np.array([len(x) for x in ids], np.int64)
             tokens, at = padded(ids)
             log = np.concatenate([net.log_probs(tokens, at[lo : lo + CHUNK]) for lo in range(0, len(at), CHUNK)]) if len(at) else np.empty(0, np.float32)
+            if len(at):
+                rare = np.flatnonzero(tokens[at] >= SLOTS - RARE)
+                every = [w for d in words for w in d]
+                log = log.astype(np.float64)
+                log[rare] += slots.log_shares([every[i] for i in rare])
             sums = np.diff(np.r_[0.0, np.cumsum(log, dtype=np.float64)][np.r_[0, np.cumsum(size)]])
             mean = [s / n if n else None for s, n in zip(sums.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(sums), pa.array(mean, pa.float64())], names=["id", "n_tokens", "pseudo_log_likelihood", "mean_log_prob"])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import xxhash
 
 from foliant.llm import lm
 from foliant.llm.lm import CLASSES, PAD, SLOTS, WINDOW, Network, Slots, fit, padded, score, words_of
@@ -71,3 +72,50 @@ def test_whole_table(frame, empty, monkeypatch):
 def test_rare_words_share_slots():
     s = Slots({b"a": 0})
     assert s[b"a"] == 0 and SLOTS - lm.RARE <= s[b"rare"] < SLOTS and s[b"rare"] == s[b"rare"]
+
+
+def test_rare_words_have_their_own_probability(frame, monkeypatch):
+    monkeypatch.setattr(lm, "RARE", 4)
+    monkeypatch.setattr(lm, "SLOTS", 8)
+    monkeypatch.setattr(lm, "CLASSES", 2)
+    monkeypatch.setattr(lm, "PER_CLASS", 4)
+    monkeypatch.setattr(lm, "PAD", 8)
+    held = {f"w{i}": 40 - i for i in range(30)}
+    df = frame([" ".join(w for w, n in held.items() for _ in range(n))] + ["once"])
+    slots, counts, _ = lm.vocabulary(df, "text")
+    rare = [w for w in [*held, "once"] if slots[w.encode()] >= 4]
+    assert len(rare) == 27
+    got = np.exp(slots.log_shares([w.encode() for w in rare]))
+    total = {s: sum(held.get(w, 1) for w in rare if slots[w.encode()] == s) for s in range(4, 8)}
+    assert np.allclose(got, [held.get(w, 1) / (total[slots[w.encode()]] + 1) for w in rare])
+    assert slots.log_shares([b"w0"]) == 0 and counts[4:].tolist() == [total.get(i, 0) for i in range(4, 8)]
+
+
+def test_crowded_slots_do_not_lend_their_probability(frame):
+    s = Slots({b"a": 0})
+    slot = s[b"seen"]
+    other = next(w for w in (f"q{i}" for i in range(9999)) if s[w.encode()] == slot)
+    s.hashes, s.counts, s.totals = np.array([xxhash.xxh64_intdigest(b"seen", 42)], np.uint64), np.array([50]), np.full(lm.RARE, 1000.0)
+    rows = {r.doc_id: r.pseudo_log_likelihood for r in score(frame(["a seen a", f"a {other} a"]), s, net()).collect()}
+    assert abs(rows[0] - rows[1] - np.log(50)) < 1e-4
+
+
+def test_a_step_is_the_gradient():
+    n, m = net(), net()
+    tokens, at = padded([np.array([5, 70, 4095, 5, 9, 69], np.int32)])
+    n.step(tokens, at, 0.01)
+    loss = lambda x: sum(dense(x, tokens, i) for i in at)
+    for part, place, share in (("word_bias", (5, 1), 8), ("words", (5, 3, 1), 8), ("context", (1, 5, 2), 16)):
+        up = net()
+        getattr(up, part)[place] += 1e-2
+        down = net()
+        getattr(down, part)[place] -= 1e-2
+        assert np.isclose((getattr(n, part) - getattr(m, part))[place], 0.01 / share * (loss(up) - loss(down)) / 2e-2, rtol=0.02, atol=1e-6)
+
+
+def test_every_document_trains(frame, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "_averaged", lambda rows, train, parts: seen.append(rows.count()))
+    monkeypatch.setattr(lm, "LEAST_TOKENS", 1, raising=False)  # as on a large corpus
+    fit(frame(["a b c"] * 100))
+    assert set(seen) == {100}
