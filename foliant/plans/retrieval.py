@@ -259,11 +259,28 @@ def duplicate_content(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(two, "h").select("doc_id", of.alias("duplicate_of")).where("duplicate_of < doc_id")
 
 
+#: Query vectors broadcast at once.
+QUERY_BLOCK = 1_000
+
+
 @query()
 def similar_documents(spark: SparkSession, d: str) -> DataFrame:
-    """For every tenth vector its nearest neighbours of another label by cosine: queries in one broadcast block of bounded size."""
-    e = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("qv")).orderBy("query_id").limit(1000)
-    scored = e.crossJoin(F.broadcast(q)).where("label <> ql").select("query_id", "vec_id", S.cosine(F.col("embedding"), F.col("qv")).alias("score"))
-    best = scored.groupBy("query_id").agg(F.expr("slice(sort_array(collect_list(struct(score, -vec_id as neg)), false), 1, 3)").alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).alias("rank"), (-F.col("b.neg")).alias("vec_id"), F.round("b.score", 6).alias("score"))
+    """For every vector whose id is divisible by 50 its nearest neighbours of another label by cosine."""
+    return nearest_of_other_labels(read(spark, d, "embeddings").select("vec_id", "label", "embedding"))
+
+
+def nearest_of_other_labels(e: DataFrame, every: int = 50, k: int = 3) -> DataFrame:
+    """(query_id, rank, vec_id, score): exact; queries go out in blocks of about ``QUERY_BLOCK``, each against all rows.
+
+    Every partition keeps the best ``k`` of a query before rows move (the window's group limit).
+    """
+    queries = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = None
+    for b in range(blocks):
+        q = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = e.crossJoin(F.broadcast(q)).where("label <> ql").select("query_id", "vec_id", S.cosine(F.col("embedding"), F.col("qv")).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))

@@ -105,3 +105,25 @@ def test_search_pieces(spark):
     assert V.nearest_rank is not None
     r = spark.createDataFrame([(1, "x", 1, True), (1, "x", 2, False), (2, "y", 1, False)], "k int, source string, doc_version int, is_latest boolean")
     assert [tuple(x) for x in V.stuck(r).collect()] == [("y", 1)]
+
+
+def test_similar_documents_answers_every_query(spark, monkeypatch):
+    import numpy as np
+
+    from foliant.plans import registry, retrieval  # noqa: F401  registration comes first
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    x = np.random.default_rng(3).standard_normal((1000, 6))
+    x[700:710] = x[50]  # equal scores
+    e = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    got = {}
+    for r in retrieval.nearest_of_other_labels(e).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = {}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 1000, 50):
+        s = np.round(unit @ unit[q], 12)
+        best = sorted((i for i in range(1000) if i % 3 != q % 3), key=lambda i: (-s[i], i))[:3]
+        want[q] = [(n + 1, i, round(float(s[i]), 6)) for n, i in enumerate(best)]
+    assert {q: [(n, i) for n, i, _ in v] for q, v in got.items() if q != 50} == {q: [(n, i) for n, i, _ in v] for q, v in want.items() if q != 50}
+    assert len(got[50]) == 3 and all(abs(a[2] - b[2]) < 2e-6 for q in want for a, b in zip(got[q], want[q], strict=True))
