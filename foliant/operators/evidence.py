@@ -52,11 +52,12 @@ def unknown_citations(answer: Column, known: int, pattern: str = r"\[(\d+)\]", g
 def cover(hits: DataFrame, terms: list[str], doc: str, most: int = 3) -> DataFrame:
     """Greedy cover: per document up to ``most`` chunks by newly covered terms, then score, then order.
 
-    A term is a bit of a number, so a document's chunks collapse to one row for each bit set before they are grouped
-    (the best of each set); a group is at most 2 ** len(terms) rows.
+    When no chunk adds a term, places are filled by score.  A term is a bit of a number; of each document and bit set
+    only the best ``most`` chunks can be chosen, so a group is at most most * 2 ** len(terms) rows.
     """
     bits = sum((F.when(F.array_contains("t", t), 1 << i).otherwise(0) for i, t in enumerate(terms)), F.lit(0))
-    sets = hits.withColumn("t", tokens(F.col("text"))).withColumn("bits", bits).groupBy(doc, "bits").agg(F.max_by(F.struct("turn", "score"), F.struct("score", -F.col("turn"))).alias("b")).select(doc, "bits", "b.*")
+    nth = F.row_number().over(Window.partitionBy(doc, "bits").orderBy(F.desc("score"), "turn"))
+    sets = hits.withColumn("t", tokens(F.col("text"))).withColumn("bits", bits).select(doc, "bits", "turn", "score").withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         have, out, left = 0, [], pdf.sort_values(["score", "turn"], ascending=[False, True]).to_dict("records")

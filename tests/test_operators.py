@@ -127,3 +127,25 @@ def test_similar_documents_answers_every_query(spark, monkeypatch):
         want[q] = [(n + 1, i, round(float(s[i]), 6)) for n, i in enumerate(best)]
     assert {q: [(n, i) for n, i, _ in v] for q, v in got.items() if q != 50} == {q: [(n, i) for n, i, _ in v] for q, v in want.items() if q != 50}
     assert len(got[50]) == 3 and all(abs(a[2] - b[2]) < 2e-6 for q in want for a, b in zip(got[q], want[q], strict=True))
+
+
+def test_cover_fills_up_to_the_limit(spark):
+    import random
+
+    from foliant.operators.evidence import cover
+
+    rng = random.Random(5)
+    terms = ["aa", "bb", "cc"]
+    rows = [(c, t, " ".join(rng.choices(["aa", "bb", "cc", "dd", "ee"][c % 4 :], k=rng.randint(1, 3))), float(rng.randint(1, 4))) for c in range(12) for t in range(9)]
+    rows += [(90, t, "none", 1.0) for t in range(5)] + [(91, t, "aa", float(t)) for t in range(5)]
+    want = set()
+    for c in {r[0] for r in rows}:
+        left, have = [r for r in rows if r[0] == c], set()
+        for place in range(1, 4):
+            best = min(left, key=lambda r: (-len((set(r[2].split()) & set(terms)) - have), -r[3], r[1]))
+            left.remove(best)
+            new = (set(best[2].split()) & set(terms)) - have
+            want.add((c, place, best[1], len(new)))
+            have |= new
+    df = spark.createDataFrame(rows, "conv_id int, turn long, text string, score double")
+    assert {tuple(r) for r in cover(df, terms, "conv_id").collect()} == want
