@@ -95,6 +95,38 @@ def access_decisions(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ACL_WHOLE = "select l_orderkey as source_name, case when l_returnflag = 'R' and l_discount >= 0.09 then 'DENY' when l_returnflag = 'A' and l_tax >= 0.07 then 'ALLOW' else 'ABSTAIN' end as effect from lineitem"
+_FOLD_WHOLE = f"select source_name, case when bool_or(effect = 'DENY') then 'DENY' when bool_or(effect = 'ALLOW') then 'ALLOW' else 'ABSTAIN' end as decision from ({_ACL_WHOLE}) group by source_name"
+
+
+def _effects_whole(spark: SparkSession, d: str) -> DataFrame:
+    deny, allow = (F.col("l_returnflag") == "R") & F.expr("l_discount >= 0.09"), (F.col("l_returnflag") == "A") & F.expr("l_tax >= 0.07")
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_name"), F.when(deny, "DENY").when(allow, "ALLOW").otherwise("ABSTAIN").alias("effect"))
+
+
+@query(_FOLD_WHOLE)
+def acl_decision_fold_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``acl_decision_fold`` with an effect from every row."""
+    return A.fold_decisions(_effects_whole(spark, d), ["source_name"])
+
+
+@query(f"""
+    {_DOCS}, dec as ({_FOLD_WHOLE}),
+    gr as (select distinct s from (select l_orderkey as s, case when l_quantity >= 45 then '7' else '8' end as grantee_id from lineitem) where grantee_id = '7')
+    select reason, count(*) as n from (
+      select case when status = 'DELETED' then 'deny:deleted' when decision = 'DENY' then 'deny:acl' when decision = 'ALLOW' then 'allow:acl' when coalesce(visibility, 'PRIVATE') = 'PUBLIC' then 'allow:public'
+        when visibility = 'INTERNAL' then 'allow:internal' when visibility = 'DEPT' and nk = 3 then 'allow:dept' when o_custkey = 7 then 'allow:owner' when visibility = 'GRANT' and s is not null then 'allow:grant'
+        else 'deny:' || lower(coalesce(visibility, 'PRIVATE')) end as reason
+      from g left join dec on o_orderkey = source_name left join gr on o_orderkey = s) group by reason
+""")
+def access_decisions_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``access_decisions`` with an effect and a grant from every row."""
+    docs = documents(spark, d).withColumnRenamed("o_orderkey", "source_name")
+    grants = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_name"), F.expr("case when l_quantity >= 45 then '7' else '8' end").alias("grantee_id"))
+    out = A.decide(docs, A.fold_decisions(_effects_whole(spark, d), ["source_name"]), grants, WHO)
+    return out.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""
     select event_type, count(*) as n from events where value is not null and user_id % 2 = 1 and (ts is null or ts > timestamp '2024-01-10 00:00:00') group by event_type
 """)

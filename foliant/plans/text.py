@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import cleaning as C
+from foliant.operators import evidence as E
 from foliant.sources.tables import read_table as read
 
 from .registry import query
@@ -124,6 +125,17 @@ def bigram_overlap(spark: SparkSession, d: str) -> DataFrame:
     return items.crossJoin(F.broadcast(docs)).select("item_id", "doc_id", F.round(T.ngram_overlap(F.col("q"), F.col("t"), 2), 6).alias("overlap"))
 
 
+@query("""
+    with n as (select conv_id, turn, role, lower(text) as q, lead(role) over (partition by conv_id order by turn) as next_role, lower(lead(text) over (partition by conv_id order by turn)) as a from conversations),
+    g as (select conv_id, turn, a, list_distinct(list_transform(generate_series(1, length(q) - 1), lambda i: substring(q, i, 2))) as grams from n where role = 'user' and next_role = 'assistant' and length(q) >= 2 and a is not null)
+    select conv_id, turn, round(len(list_filter(grams, lambda x: contains(a, x))) / len(grams), 6) as overlap from g
+""")
+def answer_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Bigram overlap of every question with its answer, whole texts; ``bigram_overlap`` is a probe of twenty documents."""
+    pairs = E.qa_pairs(read(spark, d, "conversations")).where("length(question) >= 2 and answer is not null")
+    return pairs.select("conv_id", "turn", F.round(T.ngram_overlap(F.col("question"), F.col("answer"), 2), 6).alias("overlap"))
+
+
 @query(r"""
     select page_id, regexp_extract(url, '^(https?)://', 1) as scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) as host,
            nullif(regexp_extract(url, '\?([^#]*)', 1), '') as query_string, regexp_extract(html, '<title>([^<]*)</title>', 1) as title,

@@ -32,3 +32,9 @@ def test_flagship(spark):
 def test_plans_prune_and_push_down(spark):
     plan = QUERIES["pricing_summary"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "l_comment" not in plan and "l_partkey" not in plan
+
+
+def test_whole_tables_are_folded(spark):
+    every = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert QUERIES["acl_decision_fold_whole"](spark, DATA).count() == every
+    assert QUERIES["answer_overlap"](spark, DATA).count() > 0
