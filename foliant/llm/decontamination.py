@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -239,9 +239,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per document row: (id, n_words, n_hit, n_items, items, items_sha256, contaminated).
 
     A null or empty text has no words and is clean; so is every document where the benchmark is empty.  Items
-    without words never occur; repeated items count once, items with a null id are left out.  Rows that repeat are
-    answered row by row when the benchmark fits one block, and merged by id beyond that.  Other columns are ignored.
+    without words never occur; repeated items count once, items with a null id are left out.  Every row is answered by
+    itself, whatever its id: where the benchmark has several blocks, rows get a key, written once with their texts, on
+    which the blocks' results meet.  Other columns are ignored.
     """
+    if benchmark is not None and len(list(islice(_blocks(benchmark, item_col, item_text), 2))) > 1:
+        named = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+        named = settle(named, "keyed-documents")
+        found = _contamination(named, benchmark, "key", "text", item_col, item_text, window)
+        return named.select("key", F.col("own").alias("_own")).join(found, "key").drop("key").withColumnRenamed("_own", id_col)
+    return _contamination(docs, benchmark, id_col, text_col, item_col, item_text, window)
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int) -> DataFrame:
+    """``contamination`` of documents whose ids are unique, or against a benchmark of one block."""
     schema = "id {kind}, n_words long, n_hit long, items array<string>, runs array<long>"
     parts = _matched(docs, benchmark, False, schema, id_col, text_col, item_col, item_text, window)
     if not parts:

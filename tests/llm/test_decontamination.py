@@ -69,6 +69,17 @@ def test_blocks_of_items_give_the_same(spark, frame, monkeypatch):
     assert sorted(map(tuple, rows)) == brute(docs, items)
 
 
+def test_blocks_answer_row_by_row(spark, frame, monkeypatch):
+    docs, items = case(6)
+    docs += [(3, docs[4][1]), (3, docs[4][1]), (None, docs[0][1]), (None, docs[1][1])]  # repeated rows, one id with two texts, null ids
+    items = [(i, t or "") for i, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = frame([(d, t, "en", "s") for d, t in docs])
+    one = sorted(map(repr, contamination(df, bench).drop("items").collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 60)
+    assert sorted(map(repr, contamination(df, bench).drop("items").collect())) == one and len(one) == len(docs)
+
+
 def test_empty_tables(spark, frame, empty):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert contamination(empty, bench).collect() == []
