@@ -6,9 +6,11 @@ conditional probability.  A document's score is the sum of these log-probabiliti
 
 The vocabulary comes from word counts over all documents.  The most frequent words have slots of their own in the
 network; the others share hashed slots, and a slot's probability is split among its words by their counts, so every
-word has a probability of its own.  Training is data-parallel: every input partition runs stochastic gradient steps over
-all of its documents, and the weights are averaged over partitions by token count, in a tree, for ``ROUNDS`` rounds.
-Driver and tasks hold one model of fixed size and 12 bytes for each shared-slot word that occurs more than once.
+word has a probability of its own.  These counts stay a distributed table: a document's words with shared slots meet
+their counts in a join.  Training is data-parallel: documents are dealt to shards by a hash of id and text, their number
+set by the number of words, so neither cores nor input partitions change the weights; each shard runs stochastic gradient
+steps over all of its documents in hash order, and the weights are averaged over shards by token count, in a tree, for
+``ROUNDS`` rounds.  Driver and tasks hold one model of fixed size, however large the corpus is.
 """
 
 from __future__ import annotations
@@ -22,11 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, spread
+from .common import settle, spread, trimmed
 
 CLASSES, PER_CLASS = 64, 64
 SLOTS = CLASSES * PER_CLASS
@@ -36,6 +37,10 @@ WINDOW, HIDDEN = 2, 32
 ROUNDS, STEP_TOKENS, RATE = 1, 512, 0.25
 CHUNK = 1 << 15
 BLOCKS, FAN_IN = 16, 64
+#: Words of one training shard; beyond MOST_SHARDS shards they grow instead.
+SHARD_WORDS, MOST_SHARDS = 2_000_000, 16_384
+#: Tokens scored at once, so that one batch of very long texts needs no more memory than a short one.
+SCORED_TOKENS = 1 << 18
 PAD = SLOTS
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -47,33 +52,29 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Slots(dict):
-    """Word -> slot; words beyond the vocabulary share the last RARE slots, by their counts.
+    """Word -> slot; words beyond the vocabulary share the last RARE slots.  ``totals`` holds the occurrences in each of those."""
 
-    ``hashes`` (sorted, XXH64 with seed 42 as Spark's) and ``counts`` hold the shared-slot words that occur more than
-    once, ``totals`` the occurrences in each shared slot.  A word seen once or never weighs 1, and a slot has 1 more for
-    words never seen.
-    """
-
-    hashes = np.empty(0, np.uint64)
-    counts = np.empty(0, np.int64)
     totals = np.zeros(RARE)
 
     def __missing__(self, word: bytes) -> int:
         return SLOTS - RARE + zlib.crc32(word) % RARE
 
-    def log_shares(self, words: list[bytes]) -> np.ndarray:
-        """Log of the share each word has in its slot's occurrences; 0 for words with slots of their own."""
-        out = np.zeros(len(words))
-        slot = np.fromiter(map(self.__getitem__, words), np.int64, len(words)) - (SLOTS - RARE)
-        rare = np.flatnonzero(slot >= 0)
-        if len(rare):
-            h = np.fromiter((xxhash.xxh64_intdigest(words[i], 42) for i in rare), np.uint64, len(rare))
-            n = np.ones(len(rare))
-            if len(self.hashes):
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                n = np.where(self.hashes[at] == h, self.counts[at], 1.0)
-            out[rare] = np.log(n / (self.totals[slot[rare]] + 1))
-        return out
+    def log_once(self, slot: np.ndarray) -> np.ndarray:
+        """Log of the share in a shared slot of a word seen once or never; a slot has 1 more for words never seen."""
+        return -np.log(self.totals[slot - (SLOTS - RARE)] + 1)
+
+
+@dataclass
+class Vocabulary:
+    """Slots, occurrences by slot, occurrences of all words, and the shared-slot words that occur more than once.
+
+    ``rare`` has (h, n): the word's XXH64 with seed 42, as Spark's, and its occurrences.
+    """
+
+    slots: Slots
+    counts: np.ndarray
+    words: int
+    rare: DataFrame | None = None
 
 
 @dataclass
@@ -181,8 +182,8 @@ def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return tokens, np.flatnonzero(tokens != PAD)
 
 
-def vocabulary(docs: DataFrame, text_col: str) -> tuple[Slots, np.ndarray, int]:
-    """Slots by frequency over all documents, counts by slot, and the number of words."""
+def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
+    """Slots by frequency over all documents, and the counts of all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -195,96 +196,137 @@ def vocabulary(docs: DataFrame, text_col: str) -> tuple[Slots, np.ndarray, int]:
                 held = Counter()
         yield flush()
 
-    counted = settle(spread(docs.select(text_col)).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counted = settle(spread(docs.select(text_col)).mapInArrow(trimmed(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = counted.agg(F.sum("n")).first()[0] or 0
     best = counted.orderBy(F.desc("n"), "word").limit(SLOTS - RARE).collect()
-    slots = Slots({bytes(r["word"]): i for i, r in enumerate(best)})
-    counts = np.zeros(SLOTS)
-    counts[: len(best)] = [r["n"] for r in best]
+    out = Vocabulary(Slots({bytes(r["word"]): i for i, r in enumerate(best)}), np.zeros(SLOTS), int(total))
+    out.counts[: len(best)] = [r["n"] for r in best]
     if len(best) == SLOTS - RARE:
         n, word = best[-1]["n"], F.lit(bytearray(best[-1]["word"]))
         rare = counted.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
-        slots.totals = np.zeros(RARE)
+        out.slots.totals = np.zeros(RARE)
         for r in rare.groupBy((F.crc32("word") % RARE).alias("slot")).agg(F.sum("n").alias("n")).collect():
-            slots.totals[r["slot"]] = r["n"]
-        table = rare.where("n > 1").select(F.xxhash64("word").alias("h"), "n").toArrow()
-        h, order = table["h"].to_numpy().view(np.uint64), np.argsort(table["h"].to_numpy().view(np.uint64))
-        slots.hashes, slots.counts = h[order], np.minimum(table["n"].to_numpy()[order], 2**32 - 1).astype(np.uint32)
-        counts[SLOTS - RARE :] = slots.totals
-    return slots, counts, int(total)
+            out.slots.totals[r["slot"]] = r["n"]
+        out.rare = rare.where("n > 1").select(F.xxhash64("word").alias("h"), "n")
+        out.counts[SLOTS - RARE :] = out.slots.totals
+    return out
 
 
 def _averaged(rows: DataFrame, train, parts: int) -> tuple[np.ndarray, float] | None:
-    """Mean of the partitions' weights by token count, summed FAN_IN at a time."""
+    """Mean of the shards' weights by token count, FAN_IN at a time."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float64) for x in pdf["sums"])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["slice"].iloc[:1], "n": [pdf["n"].sum()], "sums": [total.tobytes()]})
+        pdf = pdf.sort_values("part")  # sums in one order, so that reruns agree
+        mean = sum(np.frombuffer(x, np.float32).astype(np.float64) * (n / pdf["n"].sum()) for x, n in zip(pdf["mean"], pdf["n"], strict=True))
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["slice"].iloc[:1], "n": [pdf["n"].sum()], "mean": [mean.astype(np.float32).tobytes()]})
 
-    schema = "block int, part int, n double, sums binary"
+    schema = "block int, part int, n double, mean binary"
     sums = settle(rows.mapInArrow(train, schema), "weights")
     while parts > 1:
         parts = -(-parts // FAN_IN)
         sums = sums.withColumn("slice", F.col("part") % parts).groupBy("block", "slice").applyInPandas(add, schema)
     found = sorted(sums.collect(), key=lambda r: r["block"])
-    return np.concatenate([np.frombuffer(r["sums"], np.float64) / r["n"] for r in found]) if found else None
+    return np.concatenate([np.frombuffer(r["mean"], np.float32) for r in found]) if found else None
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Slots, Network]:
-    """Vocabulary and trained network."""
-    slots, counts, total = vocabulary(docs, text_col)
-    net = Network.fresh(counts)
-    rows = spread(docs.select(F.col(text_col).alias("text")))
-    shared_slots = docs.sparkSession.sparkContext.broadcast(Slots(slots))
-    for nth in range(ROUNDS if total else 0):
+def _shards(docs: DataFrame, words: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(shard, text) in training order: shards by a hash of id and text, rows in hash order, whatever the partitions were."""
+    n = max(1, min(MOST_SHARDS, -(-words // SHARD_WORDS)))
+    text = F.col(text_col)
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(n)).cast("int").alias("shard"), F.xxhash64(text, F.lit(1)).alias("turn"), text.alias("text")).where("text is not null")
+    return rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "turn").select("shard", "text"), n
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Vocabulary, Network]:
+    """Vocabulary and trained network.
+
+    Rows of equal id and text train in one shard; the order of rows with equal texts makes no difference.
+    """
+    vocab = vocabulary(docs, text_col)
+    net = Network.fresh(vocab.counts)
+    rows, shards = _shards(docs, vocab.words, id_col, text_col)
+    shared_slots = docs.sparkSession.sparkContext.broadcast(Slots(vocab.slots))
+    for nth in range(ROUNDS if vocab.words else 0):
         shared = docs.sparkSession.sparkContext.broadcast(net)
 
         def train(batches: Iterator[pa.RecordBatch], shared=shared, rate=RATE / (1 + nth)) -> Iterator[pa.RecordBatch]:
-            part = TaskContext.get().partitionId()
-            rng = np.random.default_rng(part)
-            own, seen, get = shared.value.filled(shared.value.flat()), 0, shared_slots.value.__getitem__
+            get = shared_slots.value.__getitem__
+            shard, own, seen = None, None, 0
+
+            def weights() -> pa.RecordBatch:
+                blocks = np.array_split(own.flat(), BLOCKS)
+                return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([shard] * BLOCKS, pa.int32()), pa.array([float(seen)] * BLOCKS), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "part", "n", "mean"])
+
             for batch in batches:
-                ids = [np.fromiter(map(get, w), np.int32, len(w)) for w in (words_of(t.as_py()) for t in batch.column(0)) if w]
-                tokens, at = padded(ids)
-                rng.shuffle(at)
-                for lo in range(0, len(at), STEP_TOKENS):
-                    own.step(tokens, at[lo : lo + STEP_TOKENS], rate)
-                seen += len(at)
+                of = batch.column(0).to_numpy()
+                cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else [0]
+                for lo, hi in zip(cut, cut[1:], strict=False):
+                    if of[lo] != shard:
+                        if seen:
+                            yield weights()
+                        shard, own, seen = int(of[lo]), shared.value.filled(shared.value.flat()), 0
+                        rng = np.random.default_rng(shard)
+                    ids = [np.fromiter(map(get, w), np.int32, len(w)) for w in (words_of(t.as_py()) for t in batch.column(1).slice(lo, hi - lo)) if w]
+                    tokens, at = padded(ids)
+                    rng.shuffle(at)
+                    for a in range(0, len(at), STEP_TOKENS):
+                        own.step(tokens, at[a : a + STEP_TOKENS], rate)
+                    seen += len(at)
             if seen:
-                blocks = np.array_split(own.flat().astype(np.float64) * seen, BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([part] * BLOCKS, pa.int32()), pa.array([float(seen)] * BLOCKS), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "part", "n", "sums"])
+                yield weights()
 
-        mean = _averaged(rows, train, rows.rdd.getNumPartitions())
+        mean = _averaged(rows, trimmed(train), shards)
         net = net if mean is None else net.filled(mean)
-    return slots, net
+    return vocab, net
+
+
+def _scored(words: list[list[bytes]], slots: Slots, net: Network) -> tuple[np.ndarray, list[dict[int, int]]]:
+    """Per document: the sum of its log-probabilities, shared-slot words counted as seen once, and those words' occurrences by hash."""
+    ids = [np.fromiter(map(slots.__getitem__, w), np.int32, len(w)) for w in words]
+    tokens, at = padded(ids)
+    if not len(at):
+        return np.zeros(len(words)), [{} for _ in words]
+    log = np.concatenate([net.log_probs(tokens, at[lo : lo + CHUNK]) for lo in range(0, len(at), CHUNK)]).astype(np.float64)
+    rare = tokens[at] >= SLOTS - RARE
+    log[rare] += slots.log_once(tokens[at][rare])
+    held = [Counter(xxhash.xxh64_intdigest(w[i], 42) for i in np.flatnonzero(x >= SLOTS - RARE)) for w, x in zip(words, ids, strict=True)]
+    return np.array([x.sum() for x in np.split(log, np.cumsum([len(x) for x in ids])[:-1])]), held
 
 
-def score(docs: DataFrame, slots: Slots, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, pseudo_log_likelihood, mean_log_prob) for every row.
 
     A null text or one without words has no tokens, a sum of 0 and a null mean.  Rows that repeat are scored row by row;
-    an empty table gives no rows; other columns are ignored.
+    an empty table gives no rows; other columns are ignored.  Very long texts are scored whole, documents being taken
+    ``SCORED_TOKENS`` tokens at a time.  A shared-slot word adds the logarithm of its occurrences, found in a join.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((slots, net))
+    shared = docs.sparkSession.sparkContext.broadcast((vocab.slots, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, net = shared.value
-        get = slots.__getitem__
         for batch in batches:
-            words = [words_of(t.as_py()) for t in batch.column(1)]
-            ids = [np.fromiter(map(get, w), np.int32, len(w)) for w in words]
-            size = np.array([len(x) for x in ids], np.int64)
-            tokens, at = padded(ids)
-            log = np.concatenate([net.log_probs(tokens, at[lo : lo + CHUNK]) for lo in range(0, len(at), CHUNK)]) if len(at) else np.empty(0, np.float32)
-            if len(at):
-                rare = np.flatnonzero(tokens[at] >= SLOTS - RARE)
-                every = [w for d in words for w in d]
-                log = log.astype(np.float64)
-                log[rare] += slots.log_shares([every[i] for i in rare])
-            sums = np.diff(np.r_[0.0, np.cumsum(log, dtype=np.float64)][np.r_[0, np.cumsum(size)]])
-            mean = [s / n if n else None for s, n in zip(sums.tolist(), size.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(sums), pa.array(mean, pa.float64())], names=["id", "n_tokens", "pseudo_log_likelihood", "mean_log_prob"])
-
-    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, pseudo_log_likelihood double, mean_log_prob double").withColumnRenamed("id", id_col)
+            size, sums, held, group, n = [], [], [], [], 0
+            for i, t in enumerate(batch.column(2)):
+                group.append(words_of(t.as_py()))
+                size.append(len(group[-1]))
+                n += size[-1]
+                if n >= SCORED_TOKENS or i == batch.num_rows - 1:
+                    s, h = _scored(group, slots, net)
+                    sums.extend(s.tolist())
+                    held.extend(h)
+                    group, n = [], 0
+            lists = np.r_[0, np.cumsum([len(h) for h in held])].astype(np.int32)
+            h = np.fromiter((x for d in held for x in d), np.uint64, lists[-1]).view(np.int64)
+            times = np.fromiter((x for d in held for x in d.values()), np.int64, lists[-1])
+            cols = [pa.array(size, pa.int64()), pa.array(sums, pa.float64()), *(pa.ListArray.from_arrays(pa.array(lists), pa.array(x)) for x in (h, times))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["key", "id", "n_tokens", "total", "h", "times"])
+
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(F.monotonically_increasing_id().alias("key"), "id", "text")
+    found = rows.mapInArrow(trimmed(run), f"key long, id {kind}, n_tokens long, total double, h array<long>, times array<long>")
+    if vocab.rare is not None:
+        found = settle(found, "network-scores")
+        each = found.select("key", F.explode(F.arrays_zip("h", "times")).alias("w")).select("key", "w.h", "w.times")
+        more = each.join(vocab.rare, "h").groupBy("key").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+        found = found.drop("h", "times").join(more, "key", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0)))
+    return found.select(F.col("id").alias(id_col), "n_tokens", F.col("total").alias("pseudo_log_likelihood"), F.when(F.col("n_tokens") > 0, F.col("total") / F.col("n_tokens")).alias("mean_log_prob"))

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from foliant.llm import lm
-from foliant.llm.lm import CLASSES, PAD, SLOTS, WINDOW, Network, Slots, fit, padded, score, words_of
+from foliant.llm.lm import CLASSES, PAD, SLOTS, WINDOW, Network, Slots, Vocabulary, fit, padded, score, words_of
 
 
 def net(seed=1):
@@ -54,9 +54,10 @@ def test_whole_table(frame, empty, monkeypatch):
     text = lambda n: " ".join(order[i % 12] for i in range(rng.randrange(12), n + 12))
     docs = [(i, text(60), "en", "s") for i in range(200)] + [(900, None, "en", "s"), (901, " \t", "en", "s"), (902, "zzz", "en", "s")]
     df = frame(docs + docs[:1])
-    slots, n = fit(df)
-    rows = {r.doc_id: r for r in score(df, slots, n).collect()}
-    assert len(rows) == 203 and score(df, slots, n).count() == 204
+    vocab, n = fit(df)
+    slots = vocab.slots
+    rows = {r.doc_id: r for r in score(df, vocab, n).collect()}
+    assert len(rows) == 203 and score(df, vocab, n).count() == 204
     assert (rows[900].n_tokens, rows[900].pseudo_log_likelihood, rows[900].mean_log_prob) == (0, 0.0, None) and rows[901].n_tokens == 0
     for d in docs[:5]:
         w = words_of(d[1])
@@ -64,7 +65,7 @@ def test_whole_table(frame, empty, monkeypatch):
         want = sum(dense(n, tokens, i) for i in at)
         assert rows[d[0]].n_tokens == len(w) and abs(rows[d[0]].pseudo_log_likelihood - want) < 1e-2
     shuffled = frame([(i, " ".join(rng.sample(d[1].split(), len(d[1].split()))), "en", "s") for i, d in enumerate(docs[:50])])
-    mixed = [r.mean_log_prob for r in score(shuffled, slots, n).collect()]
+    mixed = [r.mean_log_prob for r in score(shuffled, vocab, n).collect()]
     assert np.mean([rows[d[0]].mean_log_prob for d in docs[:50]]) > np.mean(mixed) + 0.2
     assert score(empty, *fit(empty)).collect() == []
 
@@ -82,22 +83,44 @@ def test_rare_words_have_their_own_probability(frame, monkeypatch):
     monkeypatch.setattr(lm, "PAD", 8)
     held = {f"w{i}": 40 - i for i in range(30)}
     df = frame([" ".join(w for w, n in held.items() for _ in range(n))] + ["once"])
-    slots, counts, _ = lm.vocabulary(df, "text")
+    vocab = lm.vocabulary(df, "text")
+    slots, counts = vocab.slots, vocab.counts
     rare = [w for w in [*held, "once"] if slots[w.encode()] >= 4]
-    assert len(rare) == 27
-    got = np.exp(slots.log_shares([w.encode() for w in rare]))
+    assert len(rare) == 27 and vocab.words == sum(held.values()) + 1
+    n = {r.h & (2**64 - 1): r.n for r in vocab.rare.collect()}
+    assert n == {xxhash.xxh64_intdigest(w.encode(), 42): held[w] for w in rare if held.get(w, 1) > 1}
     total = {s: sum(held.get(w, 1) for w in rare if slots[w.encode()] == s) for s in range(4, 8)}
-    assert np.allclose(got, [held.get(w, 1) / (total[slots[w.encode()]] + 1) for w in rare])
-    assert slots.log_shares([b"w0"]) == 0 and counts[4:].tolist() == [total.get(i, 0) for i in range(4, 8)]
+    assert np.allclose(np.exp(slots.log_once(np.arange(4, 8))), [1 / (total[s] + 1) for s in range(4, 8)])
+    assert counts[4:].tolist() == [total.get(i, 0) for i in range(4, 8)]
 
 
-def test_crowded_slots_do_not_lend_their_probability(frame):
+def test_crowded_slots_do_not_lend_their_probability(spark, frame):
     s = Slots({b"a": 0})
     slot = s[b"seen"]
     other = next(w for w in (f"q{i}" for i in range(9999)) if s[w.encode()] == slot)
-    s.hashes, s.counts, s.totals = np.array([xxhash.xxh64_intdigest(b"seen", 42)], np.uint64), np.array([50]), np.full(lm.RARE, 1000.0)
-    rows = {r.doc_id: r.pseudo_log_likelihood for r in score(frame(["a seen a", f"a {other} a"]), s, net()).collect()}
-    assert abs(rows[0] - rows[1] - np.log(50)) < 1e-4
+    s.totals = np.full(lm.RARE, 1000.0)
+    signed = int(np.uint64(xxhash.xxh64_intdigest(b"seen", 42)).view(np.int64))
+    vocab = Vocabulary(s, np.zeros(SLOTS), 1, spark.createDataFrame([(signed, 50)], "h long, n long"))
+    df = frame([(1, "a seen a", "en", "s"), (1, f"a {other} a", "en", "s"), (2, "a seen a seen", "en", "s"), (None, None, "en", "s")])
+    rows = sorted((r.doc_id or 0, r.pseudo_log_likelihood) for r in score(df, vocab, net()).collect())
+    tokens, at = padded([np.array([0, slot, 0, slot], np.int32)])
+    want = sum(dense(net(), tokens, i) for i in at) + 2 * np.log(50 / 1001)
+    assert rows[0] == (0, 0.0) and abs(rows[2][1] - rows[1][1] - np.log(50)) < 1e-4 and abs(rows[3][1] - want) < 1e-2
+
+
+def test_partitions_make_no_difference(frame, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_WORDS", 300)
+    rng = random.Random(3)
+    df = frame([(i, " ".join(rng.choices(["a", "b", "c", "dd", "e"], k=20)), "en", "s") for i in range(60)])
+    one, other = (fit(x)[1].flat() for x in (df.repartition(1), df.repartition(7)))
+    assert np.array_equal(one, other) and not np.array_equal(one, Network.fresh(np.zeros(SLOTS)).flat())
+
+
+def test_very_long_texts(frame, monkeypatch):
+    monkeypatch.setattr(lm, "SCORED_TOKENS", 1000)
+    df = frame(["a b c " * 20_000, "a b", None, "c"])
+    rows = score(df, *fit(df)).collect()
+    assert sorted(r.n_tokens for r in rows) == [0, 1, 2, 60_000] and all(r.pseudo_log_likelihood <= 0 for r in rows)
 
 
 def test_a_step_is_the_gradient():
@@ -115,7 +138,7 @@ def test_a_step_is_the_gradient():
 
 def test_every_document_trains(frame, monkeypatch):
     seen = []
-    monkeypatch.setattr(lm, "_averaged", lambda rows, train, parts: seen.append(rows.count()))
-    monkeypatch.setattr(lm, "LEAST_TOKENS", 1, raising=False)  # as on a large corpus
+    monkeypatch.setattr(lm, "_averaged", lambda rows, train, parts: seen.append((rows.count(), parts)))
+    monkeypatch.setattr(lm, "SHARD_WORDS", 30)  # as on a large corpus
     fit(frame(["a b c"] * 100))
-    assert set(seen) == {100}
+    assert seen == [(100, 10)]
