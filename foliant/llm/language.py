@@ -1,182 +1,230 @@
 """Language identification by string kernels.
 
 The kernel of two texts is the share of letter n-grams (n = 1 to 3, word edges included) that both hold: presence, not
-counts, blended over n, and normalised.  A Nyström approximation on ``LANDMARKS`` training texts turns kernel ridge
-regression, one versus rest, into a small linear system.  Documents are scored in batches: presence matrix times
-landmark matrix gives kernel values, and those times the coefficients give one value a language.
-
-Training sees at most ``ROWS_A_LANGUAGE`` (in expectation) labelled documents of each language, drawn by a hash of the
-id, whole texts; scoring reads every text once and shuffles nothing.
+counts, blended over n, and normalised.  n-grams are of real code points in any script, and the columns are the
+``GRAMS_A_LANGUAGE`` that most training texts of each language hold.  A Nyström approximation, with the same number of
+landmark texts for every language, turns kernel ridge regression, one versus rest, into a small linear system.  Documents
+are scored in batches: presence matrix times landmark matrix gives kernel values, and those times the coefficients give
+one value a language.
+
+Training sees at most ``ROWS_A_LANGUAGE`` labelled documents of each language, the first by a hash of the id, whole
+texts; no language is left out, however rare it is or however many there are.  n-gram counts and the linear system are
+summed over tasks; the driver holds the landmarks and a matrix of landmarks x landmarks, which grow with the number of
+languages alone.  Scoring reads every text once and shuffles nothing.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, spread, unit_hash
+from .common import settle, spread, trimmed, unit_hash
 
-ROWS_A_LANGUAGE, MOST_ROWS = 400, 8_000
-LANDMARKS = 128
-ALPHABET, GRAMS = 64, 6_000
+ROWS_A_LANGUAGE = 400
+GRAMS_A_LANGUAGE = 2_500
+#: Landmarks of one language; with few languages each has more, up to LANDMARKS in all.
+MARKS_A_LANGUAGE, LANDMARKS = 4, 128
 RIDGE = 1e-2
 #: Sharpness of the scores.
 SLOPE = 4.0
 BATCH = 256
-_TABLE = 0x3000  # code points looked up in a table; letters beyond count as "other letter"
-_IDS = ALPHABET + ALPHABET**2 + ALPHABET**3
+#: n-grams looked up at once, repeats included: long texts are taken in parts of a batch.
+BATCH_GRAMS = 1 << 21
+_CODE = 21  # bits of a symbol: any code point plus 1; the symbol 1 is a blank, so shorter n-grams are smaller numbers
 
 
-def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(_TABLE)])
+@functools.cache
+def _classes() -> np.ndarray:
+    """Code point -> 2 for letters, 1 for marks that stand inside words of many scripts, 0 for the rest."""
+    kinds = (unicodedata.category(chr(i)) for i in range(0x110000))
+    return np.fromiter((2 if k[0] == "L" else 1 if k[0] == "M" else 0 for k in kinds), np.uint8, 0x110000)
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def symbols(text: str) -> np.ndarray:
+    """Letters and marks as numbers, every run of anything else as one 1, and a 1 at either end; empty without letters."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    kind = _classes()[c]
+    if not (kind == 2).any():
+        return np.empty(0, np.int64)
+    s = np.r_[1, np.where(kind > 0, c + 1, 1), 1]
+    return s[np.r_[True, (s[1:] != 1) | (s[:-1] != 1)]]
 
 
-@dataclass
-class Alphabet:
-    """Code point -> 0 (no letter), 1 .. ALPHABET - 2 (frequent letters), ALPHABET - 1 (other letters)."""
-
-    table: np.ndarray
-
-    @classmethod
-    def of(cls, texts: list[str]) -> Alphabet:
-        held = np.zeros(_TABLE, np.int64)
-        for t in texts:
-            c = _codes(t)
-            held += np.bincount(c[c < _TABLE], minlength=_TABLE)
-        letter = _letters()
-        best = np.argsort(-np.where(letter, held, 0), kind="stable")[: ALPHABET - 2]
-        table = np.where(letter, ALPHABET - 1, 0).astype(np.int32)
-        table[best[held[best] > 0]] = 1 + np.flatnonzero(held[best] > 0)
-        table[~letter] = 0
-        return cls(table)
-
-    def symbols(self, text: str) -> np.ndarray:
-        """Letters as numbers, every run of anything else as one 0, and a 0 at either end; empty without letters."""
-        c = _codes(text)
-        s = self.table[np.minimum(c, _TABLE - 1)]
-        far = c >= _TABLE
-        if far.any():
-            cp, inv = np.unique(c[far], return_inverse=True)
-            s[far] = np.array([ALPHABET - 1 if not 0xD800 <= x <= 0xDFFF and chr(x).isalpha() else 0 for x in cp.tolist()])[inv]
-        if not s.any():
-            return np.empty(0, np.int32)
-        s = np.r_[0, s, 0]
-        return s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]
-
-    def grams(self, text: str) -> np.ndarray:
-        """Numbers of all n-grams of a text, repeats included."""
-        s = self.symbols(text)
-        if len(s) < 3:
-            return np.empty(0, np.int64)
-        two = s[:-1] * ALPHABET + s[1:]
-        return np.concatenate([s, ALPHABET + two, ALPHABET + ALPHABET**2 + two[:-1] * ALPHABET + s[2:]])
+def grams(text: str) -> np.ndarray:
+    """Numbers of all n-grams of a text, repeats included."""
+    s = symbols(text)
+    if len(s) < 3:
+        return np.empty(0, np.int64)
+    two = (s[:-1] << _CODE) | s[1:]
+    return np.concatenate([s, two, (two[:-1] << _CODE) | s[2:]])
 
 
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: Alphabet
-    column: np.ndarray  # n-gram number -> column, GRAMS for those outside
+    vocabulary: np.ndarray  # n-gram numbers, sorted; the place is the column
     landmarks: np.ndarray  # presence, scaled by its norm
     weights: np.ndarray
 
+    def held(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of every n-gram held, repeats included."""
+        each = [grams(t) for t in texts]
+        row = np.repeat(np.arange(len(texts)), [len(g) for g in each])
+        g = np.concatenate(each) if each else np.empty(0, np.int64)
+        column = np.minimum(np.searchsorted(self.vocabulary, g), max(len(self.vocabulary) - 1, 0))
+        ok = self.vocabulary[column] == g if len(self.vocabulary) else np.zeros(len(g), bool)
+        return row[ok], column[ok]
+
     def presence(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), GRAMS + 1), np.float32)
-        for row, t in zip(out, texts, strict=True):
-            row[self.column[self.alphabet.grams(t)]] = 1
-        return out[:, :GRAMS]
+        out = np.zeros((len(texts), len(self.vocabulary)), np.float32)
+        out[self.held(texts)] = 1
+        return out
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        p = self.presence(texts)
-        return (p @ self.landmarks.T) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+        """Presence times landmarks, over the columns that these texts hold."""
+        row, column = self.held(texts)
+        used = np.zeros(len(self.vocabulary), bool)
+        used[column] = True
+        at = np.cumsum(used) - 1
+        p = np.zeros((len(texts), int(used.sum())), np.float32)
+        p[row, at[column]] = 1
+        return (p @ self.landmarks[:, used].T) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Best language's number and a score in 0 to 1: a softmax of the ridge values."""
+        """Best language's number and a score in 0 to 1: a softmax of the ridge values; ties go to the earlier name."""
         f = SLOPE * (self.kernel(texts) @ self.weights)
         e = np.exp(f - f.max(axis=1, keepdims=True))
         e /= e.sum(axis=1, keepdims=True)
         return e.argmax(axis=1), e.max(axis=1)
 
 
+def parts(texts: list[str]) -> Iterator[list[int]]:
+    """Places of texts that are scored together: at most BATCH, of bounded length in all unless one alone is longer."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        if held and (len(held) == BATCH or size + 3 * len(t) > BATCH_GRAMS):
+            yield held
+            held, size = [], 0
+        held.append(i)
+        size += 3 * len(t)
+    if held:
+        yield held
+
+
 def training_row(ident: Column) -> Column:
     """Languages may be learned from documents whose crc32(id as text) mod 5 is not 0."""
     return F.crc32(ident.cast("string").cast("binary")) % 5 != 0
 
 
-def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """None where no labelled training text has letters."""
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(text, lang, turn): the first ``ROWS_A_LANGUAGE`` training rows of each language by a hash of the id, counted from 1.
+
+    A first cut by hash leaves about twice that number, so that no language is ranked whole.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null").where(training_row(F.col("id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
-    if not counts:
-        return None
-    rates = settle(rows.sparkSession.createDataFrame([(k, min(1.0, ROWS_A_LANGUAGE / n)) for k, n in counts.items()], "l string, rate double"), "language-rates")
-    u = unit_hash(53, F.col("id").cast("string"))
-    drawn = rows.join(F.broadcast(rates), rows["lang"] == rates["l"]).where(u < F.col("rate")).select("text", "lang", u.alias("u")).orderBy("u", "lang").limit(MOST_ROWS).collect()
-    texts, langs = [r["text"] for r in drawn], [r["lang"] for r in drawn]
-    alphabet = Alphabet.of(texts)
-    grams = [np.unique(alphabet.grams(t)) for t in texts]
-    keep = [i for i, g in enumerate(grams) if len(g)]
-    if not keep:
+    rates = settle(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * ROWS_A_LANGUAGE) / F.count(F.lit(1))).alias("rate")), "language-rates")
+    rows = rows.withColumn("u", unit_hash(53, F.col("id").cast("string")))
+    drawn = rows.join(rates, "lang").where("u < rate")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("u", F.xxhash64("text")))
+    return settle(drawn.select("text", "lang", turn.alias("turn")).where(F.col("turn") <= ROWS_A_LANGUAGE), "language-sample")
+
+
+def _vocabulary(sample: DataFrame) -> np.ndarray:
+    """The n-grams that most texts of each language hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, lang in zip(b.column("text"), b.column("lang"), strict=True):
+                g = np.unique(grams(text.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(g), pa.string()), pa.array(g, pa.int64())], names=["lang", "g"])
+
+    held = sample.select("text", "lang").mapInArrow(trimmed(run), "lang string, g long").groupBy("lang", "g").count()
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "g"))
+    kept = held.withColumn("r", best).where(F.col("r") <= GRAMS_A_LANGUAGE).select("g").distinct()
+    return np.sort(kept.toArrow()["g"].to_numpy())
+
+
+def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """None where no labelled training text has letters.  A language whose training texts have no letters is not learned."""
+    sample = training_sample(docs, id_col, text_col, lang_col)
+    lettered = sample.where(F.col("text").rlike(r"\p{L}"))
+    n = {r["lang"]: r["count"] for r in lettered.groupBy("lang").count().orderBy("lang").collect()}  # one row a language
+    names = list(n)
+    vocabulary = _vocabulary(lettered) if names else np.empty(0, np.int64)
+    if not len(vocabulary):
         return None
-    held = np.bincount(np.concatenate([grams[i] for i in keep]), minlength=_IDS)
-    best = np.argsort(-held, kind="stable")[:GRAMS]
-    best = best[held[best] > 0]
-    column = np.full(_IDS, GRAMS, np.int64)
-    column[best] = np.arange(len(best))
-    names = sorted({langs[i] for i in keep})
-    y = np.array([[1.0 if langs[i] == c else -1.0 for c in names] for i in keep])
-    model = Model(names, alphabet, column, np.zeros((0, GRAMS), np.float32), np.zeros((0, len(names))))
-    # landmarks: the same number of texts for every language, as drawn
-    seen: dict[str, int] = {}
-    turn = []
-    for i in keep:
-        turn.append(seen.get(langs[i], 0))
-        seen[langs[i]] = turn[-1] + 1
-    order = sorted(range(len(keep)), key=lambda k: (turn[k], k))
-    marks = model.presence([texts[keep[k]] for k in order[:LANDMARKS]])
-    model.landmarks = marks / np.sqrt(np.maximum(marks.sum(axis=1, keepdims=True), 1))
-    k_nm = np.concatenate([model.kernel([texts[i] for i in keep[a : a + BATCH]]) for a in range(0, len(keep), BATCH)]).astype(np.float64)
+    most = max(MARKS_A_LANGUAGE, LANDMARKS // len(names))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("turn"))
+    marks = lettered.withColumn("r", first).where(F.col("r") <= most).orderBy("lang", "r").select("text")
+    model = Model(names, vocabulary, np.zeros((0, len(vocabulary)), np.float32), np.zeros((0, len(names))))
+
+    def column_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"at": [np.unique(model.held([t])[1]) for t in pdf["text"]]})
+
+    held = [np.asarray(r["at"], np.int64) for r in marks.mapInPandas(column_lists, "at array<long>").toLocalIterator()]
+    rows = np.zeros((len(held), len(vocabulary)), np.float32)
+    for row, at in zip(rows, held, strict=True):
+        row[at] = 1
+    model.landmarks = rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    number = {x: i for i, x in enumerate(names)}
+    m, c = len(rows), len(names)
+    weight = np.array([1 / n[x] for x in names])  # every language weighs the same
+
+    def system(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Weighted sums over a task's texts of k k', and of k by language."""
+        gram, by = np.zeros((m, m)), np.zeros((c, m))
+        for b in batches:
+            texts, of = b.column("text").to_pylist(), np.array([number[x.as_py()] for x in b.column("lang")])
+            for part in parts(texts):
+                k = shared.value.kernel([texts[i] for i in part]).astype(np.float64)
+                own = k * weight[of[part], None]
+                gram += k.T @ own
+                np.add.at(by, of[part], own)
+        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([by.tobytes()], pa.binary())], names=["gram", "total"])
+
+    a, by = np.zeros((m, m)), np.zeros((c, m))
+    for r in spread(lettered.select("text", "lang")).mapInArrow(trimmed(system), "gram binary, total binary").toLocalIterator():
+        a += np.frombuffer(r["gram"]).reshape(m, m)
+        by += np.frombuffer(r["total"]).reshape(c, m)
+    right = 2 * by.T - by.sum(axis=0)[:, None]  # +1 for the language itself, -1 for the others
     k_mm = (model.landmarks @ model.landmarks.T).astype(np.float64)
-    share = 1 / np.maximum((y > 0).sum(axis=0), 1)
-    w = (y > 0) @ share  # every language weighs the same
-    a = k_nm.T @ (k_nm * w[:, None]) + RIDGE * k_mm + 1e-8 * np.eye(len(k_mm))
-    model.weights = np.linalg.solve(a, k_nm.T @ (y * w[:, None])).astype(np.float32)
+    model.weights = np.linalg.solve(a + RIDGE * k_mm + 1e-8 * np.eye(m), right).astype(np.float32)
     return model
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, lang_pred, score) for every row.
 
-    ``und`` with score 0 where the text is null or has no letters, or nothing could be learned.  A null id is never
-    learned from and counts as not held out.  Rows that repeat are answered row by row; other columns are ignored.
+    ``und`` with score 0 where the text is null or has no letters, or nothing could be learned.  Texts of letters that
+    no training text holds are equally near to all languages: the first by name is given, with an even score.  A null id
+    is never learned from and counts as not held out; a row with a null language is scored and never learned from.  Rows
+    that repeat are answered row by row; very long texts are read whole; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
-    letters = _letters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        alphabet = m.alphabet if m else Alphabet(np.where(letters, 1, 0).astype(np.int32))
         for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH):
-                part = batch.slice(lo, BATCH)
-                texts = [t.as_py() or "" for t in part.column(1)]
-                some = np.array([m is not None and len(alphabet.symbols(t)) > 0 for t in texts], bool)
-                lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-                if some.any():
-                    best, p = m.predict([t for t, s in zip(texts, some, strict=True) if s])
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            for part in parts(texts) if m else ():
+                some = [i for i in part if len(symbols(texts[i]))]
+                if some:
+                    best, p = m.predict([texts[i] for i in some])
                     lang[some], score[some] = np.array(m.languages, object)[best], p
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=["id", "lang_pred", "score"])
 
     rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     held = F.coalesce(~training_row(F.col("id")), F.lit(False))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").select(F.col("id").alias(id_col), held.alias("held_out"), "lang_pred", "score")
+    return rows.mapInArrow(trimmed(run), f"id {kind}, lang_pred string, score double").select(F.col("id").alias(id_col), held.alias("held_out"), "lang_pred", "score")
