@@ -1,20 +1,22 @@
 """Personal data by weak supervision.
 
 Base patterns give spans of four kinds that always stay.  Looser patterns give further candidates of the same kinds.
-On every candidate (base ones too) labelers vote: the strict pattern, number checks, a gazetteer of domain endings and
-numbering plans, context words before the span, and what touches its edges.  Votes are counted by pattern over all
-documents; expectation-maximisation on these counts estimates each labeler's reliability and the chance that a
-candidate is personal data, and a logistic span classifier is fitted to those chances on votes, kind and length.  A
-looser candidate becomes a span where the classifier is confident (``ACCEPT``) and it overlaps no base span.
-
-Texts are read once; what is shuffled is one row per vote pattern and task, and the driver sees vote patterns alone
-(their number is fixed by the labelers).
+On every candidate (base ones too) labelers vote: the strict pattern, number checks, a gazetteer of domain endings,
+calling codes and card issuers, context words before the span, and what touches its edges.  Votes are counted by pattern
+over all documents; expectation-maximisation on these counts estimates each labeler's reliability, kind by kind, and the
+chance that a candidate is personal data.  A logistic span classifier is fitted to those chances.  It doesn't see the
+votes but the span and its surroundings: length, digits, separators, shape, neighbouring characters and words.  A looser
+candidate becomes a span where the classifier is confident (``ACCEPT``) and it overlaps no base span.
+
+Texts are read once; what is shuffled is one row per vote pattern and task, and the driver sees vote patterns (their
+number is fixed by the labelers) and at most about ``SAMPLE`` candidates of each kind and pattern type for the classifier.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, spread
+from .common import settle, spread, trimmed, unit_hash
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
 CONTEXT = 40
+#: Candidates of each kind, strict and loose apart, that the span classifier is fitted on, drawn by a hash; hashed features.
+SAMPLE, FEATURES = 10_000, 1 << 13
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -47,7 +51,13 @@ _WORDS = {
     "phone": ("phone", "call", "tel", "mobile", "cell", "fax", "whatsapp", "telefon", "anruf", "móvil", "appel"),
 }
 _AGAINST = ("version", "page", "isbn", "issn", "figure", "section", "chapter", "build", "id ", "no.", "price", "total", "doi")
-_ENDINGS = frozenset("com org net edu gov info biz io co de fr es uk eu us ch at it nl be".split())
+#: Generic domain endings, and country codes in wide use.
+_ENDINGS = frozenset("com org net edu gov mil int info biz name pro io co app dev eu uk us ca mx br ar cl pe de at ch fr be nl lu it es pt ie dk se no fi is pl cz sk hu ro bg gr tr ru ua rs hr si ee lv lt il za eg ma ng ke in pk bd lk cn hk tw jp kr sg my th vn ph id au nz".split())
+#: Calling codes of one and two digits; all others have three digits and begin with one of the zones below.
+_CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_ZONES = frozenset("2 3 4 5 6 8 9".split())
+#: Card issuers: lowest and highest first digits, and lengths.
+_ISSUERS = (("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("300", "305", (14,)), ("36", "36", (14,)), ("38", "39", (14, 16)), ("3528", "3589", (16,)), ("6011", "6011", (16, 19)), ("644", "659", (16, 19)), ("50", "50", (12, 13, 14, 15, 16, 17, 18, 19)), ("56", "58", (12, 13, 14, 15, 16, 17, 18, 19)), ("62", "62", (16, 17, 18, 19)))
 
 #: Labelers, in the order of a vote pattern: strict pattern, checks, gazetteer, context, edges.
 LABELERS = 5
@@ -117,63 +127,82 @@ def loose_spans(text: str | None, base: list[tuple[int, int, int]]) -> list[tupl
     return out
 
 
+def _listed(kind: str, s: str, digits: str) -> int:
+    """The gazetteer's vote."""
+    if kind == "email":
+        return 1 if re.split(r"[^A-Za-z]+", s)[-1].lower() in _ENDINGS else -1
+    if kind == "card":
+        return 1 if any(lo <= digits[: len(lo)] <= hi and len(digits) in n for lo, hi, n in _ISSUERS) else -1
+    if kind == "phone":
+        if not s.startswith(("+", "00")):
+            return 1 if len(digits) in (10, 11) else 0
+        code = digits.lstrip("0")
+        return 1 if code[:1] in _CALLING or code[:2] in _CALLING or (code[:1] in _ZONES and len(code) > 9) else -1
+    first = int(s.split(".")[0].lstrip("0")[:3] or 0)
+    return -1 if first in (0, 127) or first >= 224 else 0 if s.startswith(("10.", "192.168.", "169.254.")) else 1
+
+
 def votes(text: str, span: tuple[int, int, int], strict: bool) -> tuple[int, ...]:
     """One vote in {-1, 0, 1} from each labeler."""
     b, k, e = span
     kind, s, digits = KINDS[k], text[b:e], _digits(text[b:e])
     check = {"email": 0, "ip": 1 if not s.startswith("0.") else -1, "card": 1 if luhn(digits) else -1, "phone": 1 if len(set(digits)) > 2 else -1}[kind]
-    if kind == "email":
-        listed = 1 if re.split(r"[^A-Za-z]+", s)[-1].lower() in _ENDINGS else -1
-    elif kind == "card":
-        listed = 1 if digits[:1] in "3456" else -1
-    elif kind == "phone":
-        listed = 1 if len(digits) in (10, 11, 12) and "555" not in digits[:3] else 0
-    else:
-        listed = 1 if s.startswith(("10.", "192.168.", "172.")) else 0
     before = text[max(0, b - CONTEXT) : b].lower()
     context = 1 if any(w in before for w in _WORDS[kind]) else -1 if any(w in before for w in _AGAINST) else 0
     left, right = text[b - 1 : b], text[e : e + 1]
     edges = -1 if left.isalnum() or right.isalnum() else 1
-    return (1 if strict else 0, check, listed, context, edges)
+    return (1 if strict else 0, check, _listed(kind, s, digits), context, edges)
+
+
+def span_features(text: str, span: tuple[int, int, int]) -> list[int]:
+    """Hashed features of a candidate: the span itself, the characters at its edges, the words around it."""
+    b, k, e = span
+    s = text[b:e]
+    digits = sum("0" <= c <= "9" for c in s)
+    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "9", s)))[:24]
+    side = lambda c: "." if not c else "d" if c.isdigit() else "a" if c.isalpha() else "_" if c.isspace() else c
+    before = re.findall(r"\w+", text[max(0, b - CONTEXT) : b].lower())[-2:]
+    after = re.findall(r"\w+", text[e : e + CONTEXT].lower())[:1]
+    named = [f"n{min(e - b, 40)}", f"d{min(digits, 24)}", f"c{''.join(sorted({c for c in s if not c.isalnum()}))}", f"s{shape}", f"f{s[:1] if digits else ''}", f"l{side(text[b - 1 : b])}", f"r{side(text[e : e + 1])}", *(f"b{w}" for w in before), *(f"a{w}" for w in after)]
+    return [zlib.crc32(f"{k}".encode()) % FEATURES, *(zlib.crc32(f"{k}:{x}".encode("utf-8", "surrogatepass")) % FEATURES for x in named)]
 
 
 def fit_labelers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation for labelers that err independently given the truth.
+    """Expectation-maximisation, kind by kind, for labelers that err independently given the truth.
 
-    ``patterns`` has kind and votes; returns the chance of each pattern to be personal data, and each labeler's
-    reliability (how often a vote that isn't an abstention is right).
+    ``patterns`` has kind and votes; returns the chance of each pattern to be personal data, and by kind each labeler's
+    reliability (how often a vote that isn't an abstention is right; without votes, what is held beforehand).
     """
-    v = patterns[:, 1:]
-    p = np.clip(0.5 + 0.2 * v.sum(axis=1) / LABELERS, 0.05, 0.95)
-    for _ in range(rounds):
-        prior = np.clip((counts * p).sum() / counts.sum(), 0.02, 0.98)
-        log = np.full(len(v), np.log(prior / (1 - prior)))
-        right = np.zeros(LABELERS)
-        for j in range(LABELERS):
-            yes, no = v[:, j] > 0, v[:, j] < 0
-            good = (counts * (p * yes + (1 - p) * no)).sum() + 8.0  # a labeler is held to be better than chance beforehand
-            right[j] = good / ((counts * (yes | no)).sum() + 10.0)
-            r = np.clip(right[j], 0.05, 0.99)
-            log += np.where(yes, np.log(r / (1 - r)), np.where(no, -np.log(r / (1 - r)), 0))
-        p = 1 / (1 + np.exp(-log))
-    return p, right
-
-
-def _design(patterns: np.ndarray) -> np.ndarray:
-    """Kind, and for each labeler whether it votes for or against."""
-    v = patterns[:, 1:]
-    return np.concatenate([patterns[:, :1] == np.arange(len(KINDS)), v > 0, v < 0], axis=1).astype(float)
-
-
-def fit_classifier(patterns: np.ndarray, counts: np.ndarray, chance: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
-    """Logistic regression on the estimated chances, every pattern weighted by its count (Newton steps)."""
-    x = _design(patterns)
-    weight = counts / counts.sum() * min(counts.sum(), 1e4)
-    w = np.zeros(x.shape[1])
+    chance, right = np.zeros(len(patterns)), np.full((len(KINDS), LABELERS), 0.8)
+    for k in np.unique(patterns[:, 0]):
+        own = patterns[:, 0] == k
+        v, n = patterns[own, 1:], counts[own]
+        p = np.clip(0.5 + 0.2 * v.sum(axis=1) / LABELERS, 0.05, 0.95)
+        for _ in range(rounds):
+            prior = np.clip((n * p).sum() / n.sum(), 0.02, 0.98)
+            log = np.full(len(v), np.log(prior / (1 - prior)))
+            for j in range(LABELERS):
+                yes, no = v[:, j] > 0, v[:, j] < 0
+                good = (n * (p * yes + (1 - p) * no)).sum() + 8.0  # a labeler is held to be better than chance beforehand
+                right[k, j] = good / ((n * (yes | no)).sum() + 10.0)
+                r = np.clip(right[k, j], 0.05, 0.99)
+                log += np.where(yes, np.log(r / (1 - r)), np.where(no, -np.log(r / (1 - r)), 0))
+            p = 1 / (1 + np.exp(-log))
+        chance[own] = p
+    return chance, right
+
+
+def fit_classifier(rows: list[list[int]], chance: np.ndarray, ridge: float = 0.02, rounds: int = 200) -> np.ndarray:
+    """Logistic regression of the estimated chances on hashed features, by steps that never raise the loss."""
+    w = np.zeros(FEATURES)
+    if not rows:
+        return w
+    size = np.array([len(x) for x in rows])
+    row, at = np.repeat(np.arange(len(rows)), size), np.concatenate([np.asarray(x, np.int64) for x in rows])
+    curve = np.bincount(at, 0.25 * size[row], FEATURES) + ridge
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + ridge * np.eye(len(w))
-        w = w + np.clip(np.linalg.solve(h, x.T @ (weight * (chance - p)) - ridge * w), -5, 5)
+        p = 1 / (1 + np.exp(-np.bincount(row, w[at], len(rows))))
+        w += (np.bincount(at, (chance - p)[row], FEATURES) - ridge * w) / curve
     return w
 
 
@@ -193,10 +222,12 @@ def pattern_of(n: int) -> list[int]:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: (id, n_email, n_ip, n_card, n_phone, base_sha256, spans, spans_added).
+    """Per document row: (id, n_email, n_ip, n_card, n_phone, base_sha256, spans, spans_added, n_spans).
 
-    The counts and the digest are of base spans; ``spans`` lists base and added ones as ``kind:start:end``.  A null text
-    is empty.  Rows that repeat are answered row by row, an empty table gives no rows, other columns are ignored.
+    The counts and the digest are of base spans; ``spans`` lists base and added ones as ``kind:start:end``, and
+    ``n_spans`` counts both.  A null text is empty, very long texts are read whole.  Of candidates that overlap the leftmost
+    stays, of those the longest.  Rows that repeat are answered row by row, an empty table gives no rows, other columns are
+    ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -208,37 +239,47 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 b = base_spans(text)
                 x = loose_spans(text, b)
                 base.append([v for s in b for v in s])
-                seen.append([pattern_number(s[1], votes(text, s, True)) for s in b])
-                loose.append([v for s in x for v in (*s, pattern_number(s[1], votes(text, s, False)))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in (base, seen, loose))], names=["id", "base", "seen", "loose"])
+                loose.append([v for s in x for v in s])
+                seen.append([{"p": pattern_number(s[1], votes(text, s, strict)), "strict": strict, "f": span_features(text, s)} for own, strict in ((b, True), (x, False)) for s in own])
+            spans = (pa.array(x, pa.list_(pa.int32())) for x in (base, loose))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *spans, pa.array(seen, pa.list_(pa.struct([("p", pa.int32()), ("strict", pa.bool_()), ("f", pa.list_(pa.int32()))])))], names=["id", "base", "loose", "seen"])
 
     rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    found = settle(rows.mapInArrow(run, f"id {kind}, base array<int>, seen array<int>, loose array<int>"), "pii-candidates")
-    added = F.filter("loose", lambda x, i: i % 4 == 3)
-    counted = found.select(F.explode(F.concat("seen", added)).alias("p")).groupBy("p").count().collect()  # at most 4 * 3^LABELERS rows
-    accepted: set[int] = set()
+    found = settle(rows.mapInArrow(trimmed(run), f"id {kind}, base array<int>, loose array<int>, seen array<struct<p:int,strict:boolean,f:array<int>>>"), "pii-candidates")
+    each = found.select("id", F.posexplode("seen").alias("nth", "c")).select("id", "nth", "c.*")
+    counted = each.groupBy("p", "strict").count().collect()  # at most 2 * 4 * 3^LABELERS rows
+    weights = np.zeros(FEATURES)
     if counted:
-        numbers = np.array([r["p"] for r in counted])
-        patterns = np.array([pattern_of(int(n)) for n in numbers])
-        counts = np.array([r["count"] for r in counted], float)
-        chance, _ = fit_labelers(patterns, counts)
-        w = fit_classifier(patterns, counts, chance)
-        accepted = {int(n) for n, p in zip(numbers, 1 / (1 + np.exp(-_design(patterns) @ w)), strict=True) if p >= ACCEPT}
+        numbers = np.array(sorted({r["p"] for r in counted}))
+        of = {int(n): i for i, n in enumerate(numbers)}
+        counts, per_kind = np.zeros(len(numbers)), {}
+        for r in counted:
+            counts[of[r["p"]]] += r["count"]
+            own = (int(r["p"]) // 3**LABELERS, r["strict"])
+            per_kind[own] = per_kind.get(own, 0) + r["count"]
+        chance, _ = fit_labelers(np.array([pattern_of(int(n)) for n in numbers]), counts)
+        share = F.coalesce(*[F.when((F.col("kind") == k) & (F.col("strict") == s), F.lit(min(1.0, SAMPLE / n))) for (k, s), n in sorted(per_kind.items())])
+        drawn = each.withColumn("kind", F.floor(F.col("p") / 3**LABELERS)).where(unit_hash(71, F.col("id").cast("string"), F.col("nth")) < share)
+        sample = drawn.select("p", "f").orderBy("p", "f").collect()  # at most about 2 * 4 * SAMPLE rows
+        weights = fit_classifier([r["f"] for r in sample], np.array([chance[of[r["p"]]] for r in sample]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = lambda s: f"{KINDS[s[1]]}:{s[0]}:{s[2]}"
+        sure = np.log(ACCEPT / (1 - ACCEPT))
         for batch in batches:
-            n, sha, spans, more = [[], [], [], []], [], [], []
-            for flat, loose in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            n, sha, spans, more, every = [[], [], [], []], [], [], [], []
+            for flat, loose, seen in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 b = [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)]
-                x = [tuple(loose[i : i + 3]) for i in range(0, len(loose), 4) if loose[i + 3] in accepted]
+                other = [tuple(loose[i : i + 3]) for i in range(0, len(loose), 3)]
+                x = [s for s, c in zip(other, seen[len(b) :], strict=True) if weights[c["f"]].sum() >= sure]
                 for k in range(4):
                     n[k].append(sum(s[1] == k for s in b))
                 sha.append(hashlib.sha256(",".join(map(name, b)).encode()).hexdigest())
                 spans.append(",".join(map(name, sorted(b + x))))
                 more.append(len(x))
-            cols = [batch.column(0), *(pa.array(c, pa.int64()) for c in n), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "spans_added"])
+                every.append(len(b) + len(x))
+            cols = [batch.column(0), *(pa.array(c, pa.int64()) for c in n), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64()), pa.array(every, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "spans_added", "n_spans"])
 
     counts_schema = ", ".join(f"n_{k} long" for k in KINDS)
-    return found.select("id", "base", "loose").mapInArrow(finish, f"id {kind}, {counts_schema}, base_sha256 string, spans string, spans_added long").withColumnRenamed("id", id_col)
+    return found.select("id", "base", "loose", "seen").mapInArrow(trimmed(finish), f"id {kind}, {counts_schema}, base_sha256 string, spans string, spans_added long, n_spans long").withColumnRenamed("id", id_col)

@@ -1,11 +1,12 @@
 import hashlib
+import random
 import re
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliant.llm.pii import KINDS, LABELERS, base_spans, find_pii, fit_labelers, loose_spans, luhn, pattern_number, pattern_of
+from foliant.llm.pii import KINDS, LABELERS, base_spans, find_pii, fit_classifier, fit_labelers, loose_spans, luhn, pattern_number, pattern_of
 
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -61,6 +62,55 @@ def test_reliabilities_are_recovered():
     v = np.stack([np.where(rng.random(len(truth)) < r, truth, ~truth) * 2 - 1 for r in rates], axis=1)
     patterns, counts = np.unique(np.concatenate([np.zeros((len(v), 1), int), v], axis=1), axis=0, return_counts=True)
     chance, right = fit_labelers(patterns, counts.astype(float), 200)
-    assert np.abs(right - rates).max() < 0.05
+    assert np.abs(right[0] - rates).max() < 0.05
     assert all(pattern_of(pattern_number(k, tuple(p))) == [k, *p] for k in range(4) for p in ([0] * LABELERS, [1, -1, 0, 1, -1]))
     assert (chance >= 0).all() and (chance <= 1).all()
+
+
+def test_reliabilities_differ_by_kind():
+    good = np.array([[0, 1, 1, 1, 1, 1], [0, -1, -1, -1, -1, -1]])
+    odd = np.array([[2, 1, -1, 1, 1, 1], [2, -1, 1, -1, -1, -1]])  # here the second labeler is always wrong
+    _, right = fit_labelers(np.concatenate([good, odd]), np.full(4, 500.0))
+    assert right[0, 1] > 0.95 and right[2, 1] < 0.1
+
+
+def luhn_number(rng):
+    d = "4" + "".join(rng.choices("0123456789", k=14))
+    return next(d + c for c in "0123456789" if luhn(d + c))
+
+
+def test_added_spans_against_planted_ones(frame):
+    rng = random.Random(8)
+    docs, want, decoys = [], {}, set()
+    for i in range(600):
+        kind = i % 6
+        name, number = "".join(rng.choices("abcdefgh", k=6)), luhn_number(rng)
+        if kind == 0:
+            head, span, tail = "Please contact me by mail ", f"{name} [at] {name[::-1]} [dot] com", " soon"
+        elif kind == 1:
+            head, span, tail = "my visa card ", ".".join(number[j : j + 4] for j in range(0, 16, 4)), " expires"
+        elif kind == 2:
+            head, span, tail = "call me on phone ", f"({rng.randint(200, 999)}) {rng.randint(200, 999)} {rng.randint(1000, 9999)}", " tonight"
+        elif kind == 3:
+            head, span, tail = f"see version {name} page ", "{}.{}.{}.{}".format(*(str(rng.randint(1000, 9999)) for _ in range(4))), "x part"  # a bad number, in bad company
+        elif kind == 4:
+            head, span, tail = "write to ", f"{name}@{name}.org", " please"
+        else:
+            head, span, tail = f"we met {name} (at) noon, figure ", "12", " shows it"
+        docs.append((i, head + span + tail, "en", "s"))
+        if kind in (0, 1, 2):
+            want[i] = f"{KINDS[(0, 2, 3)[kind]]}:{len(head)}:{len(head) + len(span)}"
+        elif kind == 3:
+            decoys.add(i)
+    rows = {r.doc_id: r for r in find_pii(frame(docs)).collect()}
+    found = [i for i, s in want.items() if rows[i].spans == s and rows[i].spans_added == 1 == rows[i].n_spans]
+    assert len(found) >= 0.95 * len(want)
+    assert sum(rows[i].spans_added for i in decoys) <= 0.05 * len(decoys)
+    assert all(rows[i].n_email == 1 and rows[i].n_spans == 1 for i in range(4, 600, 6))
+
+
+def test_the_classifier_fits_its_targets():
+    rows, chance = [[1, 2], [1, 3], [1, 2, 4], [1]] * 50, np.array([0.95, 0.1, 0.9, 0.5] * 50)
+    w = fit_classifier(rows, chance, rounds=3000)
+    p = 1 / (1 + np.exp(-np.array([w[r].sum() for r in rows])))
+    assert np.abs(p - chance).max() < 0.05
