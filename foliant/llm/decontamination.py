@@ -4,9 +4,10 @@ The index is partitioned by document: each row holds one document's postings (te
 and for each term its token positions), written once to the shared folder.  Corpus frequencies of all terms are
 summed over every document.  A benchmark window starts from the posting list of its rarest term; the list is
 shifted by the term's offset in the window to give candidate starts, and those are intersected with the
-offset-adjusted lists of the other terms, next rarest first, until all terms agree.  Lists of one document meet in
-that document's row, so no term, however frequent, is gathered in one task, and nothing but the frequency table is
-shuffled.
+offset-adjusted lists of the other terms, next rarest first, until all terms agree.  Proximity matches are the same
+intersection with a stated slack of positions and a stated number of terms that may be missing.  Lists of one document
+meet in that document's row, so no term, however frequent, is gathered in one task, and nothing but the frequency table
+is shuffled.
 
 The benchmark is the stated query set: it is broadcast in blocks of at most ``BLOCK_WORDS`` words, each block against
 all rows; more blocks mean more passes over the index, not more memory.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice, repeat
 
 import numpy as np
@@ -70,27 +72,60 @@ class Windows:
         self.offset = np.argsort(rank, axis=1, kind="stable").astype(np.int32)
 
 
-def starts_of(tokens: np.ndarray, win: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All occurrences (window, start) in a token array where -1 stands for other words and document ends."""
-    order = np.argsort(tokens, kind="stable")
-    bounds = np.searchsorted(tokens[order], np.arange(len(win.terms) + 1))
-    first = win.offset[:, 0]
-    anchor = win.word[np.arange(len(first)), first]
-    many = bounds[anchor + 1] - bounds[anchor]
-    live = np.flatnonzero(many)
-    cut = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(many[live]) // BATCH_STARTS]))
-    for group in np.split(live, cut[1:]) if len(live) else []:
-        n = many[group]
-        w = np.repeat(group, n)
-        at = order[np.repeat(bounds[anchor[group]] - (np.cumsum(n) - n), n) + np.arange(n.sum())] - first[w]
-        ok = (at >= 0) & (at + win.length[w] <= len(tokens))
-        w, at = w[ok], at[ok]
-        for k in range(1, win.word.shape[1]):  # meet the next rarest term's list, shifted by its offset
-            off = win.offset[w, k]
-            want = win.word[w, off]
-            ok = (want < 0) | (tokens[np.minimum(at + off, len(tokens) - 1)] == want)
-            w, at = w[ok], at[ok]
-        yield w, at
+@dataclass
+class Lists:
+    """Posting lists of a group of documents as one sorted array of ``term * span + position``; documents follow each other at a distance."""
+
+    ids: pa.Array
+    n_words: np.ndarray
+    begin: np.ndarray  # first position of each document
+    span: int
+    keys: np.ndarray
+
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, at, "right") - 1
+
+    def next_from(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each term's list has a position in [low, high], and the first such position."""
+        at = np.searchsorted(self.keys, term * self.span + np.maximum(low, 0))
+        key = self.keys[np.minimum(at, len(self.keys) - 1)]
+        return (at < len(self.keys)) & (key <= term * self.span + high) & (high >= 0), key - term * self.span
+
+
+def starts_of(lists: Lists, win: Windows, slack: int = 0, misses: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """Occurrences (window, start, terms found, first and last position): every term within ``slack`` of its place, but for ``misses``.
+
+    Candidates come from the lists of the rarest term and, as any ``misses`` terms may be absent, the next rarest ones.
+    """
+    if not len(lists.keys):
+        return
+    bounds = np.searchsorted(lists.keys, np.arange(len(win.terms) + 1) * lists.span)
+    every = np.arange(len(win.length))
+    for rank in range(misses + 1):
+        first = win.offset[:, min(rank, win.offset.shape[1] - 1)]
+        anchor = win.word[every, first]
+        many = np.where((win.length > max(rank, misses)) & (anchor >= 0), bounds[anchor + 1] - bounds[anchor], 0)
+        live = np.flatnonzero(many)
+        cut = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(many[live]) // BATCH_STARTS]))
+        for group in np.split(live, cut[1:]) if len(live) else []:
+            n = many[group]
+            w = np.repeat(group, n)
+            low = lists.keys[np.repeat(bounds[anchor[group]] - (np.cumsum(n) - n), n) + np.arange(n.sum())] - anchor[w].astype(np.int64) * lists.span
+            at, high, found = low - first[w], low.copy(), np.ones(len(w), np.int32)
+            for k in range(win.word.shape[1]):  # meet the next rarest term's list, shifted by its offset
+                if k == rank or not len(w):
+                    continue
+                off = win.offset[w, k]
+                want = win.word[w, off].astype(np.int64)
+                ok, place = lists.next_from(want, at + off - slack, at + off + slack)
+                ok &= want >= 0
+                found += ok
+                low, high = np.where(ok, np.minimum(low, place), low), np.where(ok, np.maximum(high, place), high)
+                left = win.length[w] - np.minimum(win.length[w], k + 1 + (k < rank))  # terms still to be met
+                keep = (want < 0) | (found + left >= win.length[w] - misses)
+                w, at, low, high, found = w[keep], at[keep], low[keep], high[keep], found[keep]
+            keep = found >= win.length[w] - misses
+            yield tuple(x[keep] for x in (w, at, found, low, high))
 
 
 def _postings(terms: dict[bytes, int], text_col: int):
@@ -151,56 +186,75 @@ def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Groups of documents of a bounded number of tokens: ids and dense token arrays rebuilt from the postings."""
-    ids, arrays, size = [], [], 0
+def _rows(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[Lists]:
+    """Posting lists of groups of documents of a bounded number of words, ``gap`` positions between documents."""
+    ids, n_words, terms, places, begin, size, kind = [], [], [], [], [], 0, None
+
+    def group() -> Lists:
+        t, p = np.concatenate(terms).astype(np.int64), np.concatenate(places)
+        return Lists(pa.array(ids, kind), np.array(n_words, np.int64), np.array(begin, np.int64), size, np.sort(t * size + p))
+
     for batch in batches:
         cols = [batch.column(c) for c in ("id", "n_words", "terms", "begins", "positions")]
+        kind = cols[0].type
         for i, n, t, b, p in zip(*cols, strict=True):
-            tokens = np.full(n.as_py() + 1, -1, np.int32)  # one more, so that no window crosses documents
-            begin, at = b.values.to_numpy(), p.values.to_numpy()
-            tokens[at] = np.repeat(t.values.to_numpy(), np.diff(np.r_[begin, len(at)]))
+            at = p.values.to_numpy()
             ids.append(i.as_py())
-            arrays.append(tokens)
-            size += len(tokens)
+            n_words.append(n.as_py())
+            begin.append(size)
+            terms.append(np.repeat(t.values.to_numpy(), np.diff(np.r_[b.values.to_numpy(), len(at)])))
+            places.append(at.astype(np.int64) + size)
+            size += n_words[-1] + gap
             if size >= BATCH_TOKENS:
-                yield ids, arrays
-                ids, arrays, size = [], [], 0
+                yield group()
+                ids, n_words, terms, places, begin, size = [], [], [], [], [], 0
     if ids:
-        yield ids, arrays
+        yield group()
+
 
+def _held_items(win: Windows, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For occurrences of windows: (place in ``w``, item) of every item that holds the window."""
+    n = win.item_start[w + 1] - win.item_start[w]
+    return np.repeat(np.arange(len(w)), n), win.item[np.repeat(win.item_start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(n) else n
 
-def _matches(win: Windows, spans: bool):
-    """Index rows -> per document the hit intervals and items, or one row an occurrence."""
+
+def _matches(win: Windows):
+    """Index rows -> per document the hit words and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, arrays in _rows(batches):
-            tokens = np.concatenate(arrays)
-            begin = np.r_[0, np.cumsum([len(x) for x in arrays])]
-            edge = np.zeros(len(tokens) + 1, np.int64)
-            pairs, found = [], []
-            for w, at in starts_of(tokens, win):
+        for lists in _rows(batches, 1):
+            edge = np.zeros(lists.span + 1, np.int64)
+            pairs = []
+            for w, at, *_ in starts_of(lists, win):
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + win.length[w], -1)
-                doc = np.searchsorted(begin, at, "right") - 1
-                n = win.item_start[w + 1] - win.item_start[w]
-                item = win.item[np.repeat(win.item_start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(n) else n
-                d = np.repeat(doc, n)
-                pairs.append(np.unique(np.stack([d, item], 1), axis=0) if len(d) else np.empty((0, 2), np.int64))
-                if spans and len(d):
-                    found.append((d, item, np.repeat(at, n) - begin[d], np.repeat(win.length[w], n)))
-            if spans:
-                for d, item, at, n in found:
-                    yield pa.RecordBatch.from_pydict({"id": pa.array([ids[i] for i in d]), "item": pa.array([win.items[i] for i in item], pa.string()), "start": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
-                continue
+                of, item = _held_items(win, w)
+                pairs.append(np.unique(np.stack([lists.doc_of(at)[of], item], 1), axis=0))
             hit = np.cumsum(edge[:-1]) > 0
-            hits = np.add.reduceat(hit, begin[:-1])
+            hits = np.add.reduceat(hit, lists.begin)
             both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-            cut = np.searchsorted(both[:, 0], np.arange(len(ids) + 1))
+            cut = np.searchsorted(both[:, 0], np.arange(len(lists.ids) + 1))
             items = [[win.items[i] for i in both[a:b, 1]] for a, b in zip(cut, cut[1:], strict=False)]
             # runs of hit words, so that later blocks of items can be joined without counting a word twice
-            lows = [np.flatnonzero(np.diff(np.r_[False, hit[a : b - 1], False].astype(np.int8))) if h else np.empty(0, np.int64) for a, b, h in zip(begin, begin[1:], hits, strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(x) - 1 for x in arrays], pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([x.tolist() for x in lows], pa.list_(pa.int64()))], names=["id", "n_words", "n_hit", "items", "runs"])
+            runs = [np.flatnonzero(np.diff(np.r_[False, hit[a : a + n], False].astype(np.int8))) if h else np.empty(0, np.int64) for a, n, h in zip(lists.begin, lists.n_words, hits, strict=True)]
+            yield pa.RecordBatch.from_arrays([lists.ids, pa.array(lists.n_words), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([x.tolist() for x in runs], pa.list_(pa.int64()))], names=["id", "n_words", "n_hit", "items", "runs"])
+
+    return run
+
+
+def _occurrences(win: Windows, slack: int, misses: int):
+    """Index rows -> one row for each place where a window of an item occurs, once however many candidates led there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in _rows(batches, win.word.shape[1] + 2 * slack + 1):
+            found = []
+            for w, _, n, low, high in starts_of(lists, win, slack, misses):
+                doc = lists.doc_of(low)
+                of, item = _held_items(win, w)
+                found.append(np.stack([doc[of], item, (low - lists.begin[doc])[of], (high - low + 1)[of], n[of], win.length[w][of]], 1))
+            if found:
+                x = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([lists.ids.take(pa.array(x[:, 0])), pa.array([win.items[i] for i in x[:, 1]], pa.string()), *(pa.array(x[:, j], pa.int64()) for j in (2, 3, 4, 5))], names=["id", "item", "start", "n", "found", "terms"])
 
     return run
 
@@ -219,18 +273,21 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield block
 
 
-def _matched(docs: DataFrame, benchmark: DataFrame, spans: bool, schema: str, id_col: str, text_col: str, item_col: str, item_text: str, window: int) -> list[DataFrame]:
+def _matched(docs: DataFrame, benchmark: DataFrame, match, schema: str, id_col: str, text_col: str, item_col: str, item_text: str, window: int) -> list[DataFrame]:
+    """``match(windows)`` over the index, for each block of the benchmark."""
     out = []
+    kind = docs.schema[id_col].dataType.simpleString()
     for block in _blocks(benchmark, item_col, item_text) if benchmark is not None else []:
         win = Windows(block, window)
+        if not win.terms:
+            continue
         index = build_index(docs, win.terms, id_col, text_col)
-        win.order_by(term_frequencies(index, len(win.terms)) if win.terms else np.zeros(1, np.int64))
+        win.order_by(term_frequencies(index, len(win.terms)))
         shared = docs.sparkSession.sparkContext.broadcast(win)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            yield from _matches(shared.value, spans)(batches)
+            yield from match(shared.value)(batches)
 
-        kind = docs.schema[id_col].dataType.simpleString()
         out.append(index.mapInArrow(trimmed(run), schema.format(kind=kind)))
     return out
 
@@ -254,7 +311,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _contamination(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int) -> DataFrame:
     """``contamination`` of documents whose ids are unique, or against a benchmark of one block."""
     schema = "id {kind}, n_words long, n_hit long, items array<string>, runs array<long>"
-    parts = _matched(docs, benchmark, False, schema, id_col, text_col, item_col, item_text, window)
+    parts = _matched(docs, benchmark, _matches, schema, id_col, text_col, item_col, item_text, window)
     if not parts:
         parts = [_empty_parts(docs, schema, id_col, text_col)]
     if len(parts) == 1:
@@ -293,10 +350,25 @@ def _merge_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Exact matches, one row an occurrence of an item's window: (id, item, start word, number of words)."""
-    parts = _matched(docs, benchmark, True, "id {kind}, item string, start long, n long", id_col, text_col, item_col, item_text, window)
-    out = parts[0]
-    for p in parts[1:]:
+    """Exact matches, one row an occurrence of an item's window: (id, item, start word, number of words).
+
+    Rows that repeat give repeated matches; nulls and an empty table on either side give none.
+    """
+    return proximity_matches(docs, benchmark, 0, 0, id_col, text_col, item_col, item_text, window).drop("found", "terms")
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int = 2, misses: int = 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Places where all terms of an item's window, but for ``misses``, stand within ``slack`` words of their places.
+
+    Places are counted from a term of the window that is there.  One row for each distinct (id, item, start, n, found,
+    terms): the first word met, the number of words to the last one met, how many of the window's ``terms`` were found.
+    Windows of at most ``misses`` terms have no proximity matches.  Of a term's positions within the slack the first counts.
+    """
+    schema = "id {kind}, item string, start long, n long, found long, terms long"
+    parts = _matched(docs, benchmark, lambda win: _occurrences(win, slack, misses), schema, id_col, text_col, item_col, item_text, window)
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.sparkSession.createDataFrame([], schema.format(kind=kind))
+    for p in parts:
         out = out.unionByName(p)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
