@@ -6,12 +6,16 @@
 2. Documents with equal shingle sets become one representative.  Each representative gives its prefix in that order
    and a sketch: how many of its shingles fall in each of ``PARTS`` hash ranges.
 3. Documents meet on prefix shingles.  In every list of a shingle all members are first held against one leader,
-   drawn by a hash of shingle and id, so that the lists of a group of copies have many leaders.  Candidates that pass the length and positional filters are taken once per pair, the suffix
-   filter compares the partition sizes (their summed difference is at most the size of the symmetric difference),
+   drawn by a hash of shingle and id, so that the lists of a group of copies have many leaders.  Candidates that pass
+   the length and positional filters are taken once per pair, the suffix filter compares the partition sizes (their summed difference is at most the size of the symmetric difference),
    and the rest is verified on the texts.
 4. Components of these links.  In lists whose members still belong to several components, members outside the
    list's main component are held against all others in blocks of bounded size, so a group of copies is never
    expanded into all its pairs; pairs within a component need no further look.  Components of all links are final.
+5. Numbers of links, where asked for.  Inside a component nearly all pairs may link, so each representative is reduced to
+   the shingles in which it differs from the component's leader (the symmetric difference of two sets is that of their
+   differences), representatives are blocked by length band and hash, and a product of two blocks' matrices verifies
+   each pair once.  Only numbers leave a block; work grows with the square of a component's different texts.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_ids, may_hold, settle, spread, trimmed
@@ -39,6 +43,10 @@ REST_BLOCK, ALL_BLOCK = 128, 256
 CACHED_WORDS = 100_000
 #: Documents whose shingles are held at once.
 SLICE = 256
+#: Members, and shingles of their differences, in one block of a component; members for each copy of a leader's text.
+COUNT_BLOCK, COUNT_SHINGLES, MEMBERS_A_LEADER = 1_024, 1_000_000, 500
+#: Columns of a block's matrix at once.
+COLUMNS = 4_096
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -206,24 +214,142 @@ def _cross_pairs(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _differences(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(id, label, copies, n, diff) of every node: the shingles in which its text and that of its component's leader differ."""
+    texts = docs.where(may_hold(nodes, "node")(F.col("id"))).join(nodes, F.col("id") == F.col("node")).drop("node")
+    texts = settle(texts.select("id", "label", "members", "copies", "text"), "component-texts")
+    parts = F.ceil(F.col("members") / MEMBERS_A_LEADER).cast("int")
+    leaders = texts.where("id = label").groupBy("label", "members").agg(F.min("text").alias("lead"))
+    leaders = leaders.select(F.col("label").alias("l_"), "lead", F.explode(F.sequence(F.lit(0), parts - 1)).alias("p_"))
+    both = texts.withColumn("p", F.pmod(F.xxhash64("id"), parts).cast("int")).join(leaders, (F.col("label") == F.col("l_")) & (F.col("p") == F.col("p_")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(8)(lambda text: shingle_set(text, n))
+        for x in batches:
+            size, diff = [], []
+            for text, lead in zip(x.column("text"), x.column("lead"), strict=True):
+                own = shingle_set(text.as_py(), n)
+                size.append(len(own))
+                diff.append(np.setxor1d(own, of(lead.as_py()), assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("id", "label", "copies")), pa.array(size, pa.int64()), pa.array(diff, pa.binary())], names=["id", "label", "copies", "n", "diff"])
+
+    return settle(both.select("id", "label", "copies", "text", "lead").mapInArrow(trimmed(run), "id long, label long, copies long, n long, diff binary"), "differences")
+
+
+def _block_links(num: int, den: int):
+    """Rows sorted by block pair: for every member the copies of the members of the other block that it links with."""
+    key = ("label", "band", "up", "a", "b")
+
+    def matrix(of: np.ndarray, token: np.ndarray, rows: int, lo: int) -> np.ndarray:
+        out = np.zeros((rows, COLUMNS), np.float32)
+        a, b = np.searchsorted(token, (lo, lo + COLUMNS))
+        out[of[a:b], token[a:b] - lo] = 1
+        return out
+
+    def side(diffs: list[np.ndarray], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of = np.repeat(np.arange(len(diffs)), [len(d) for d in diffs])
+        every = np.concatenate(diffs)
+        at = np.minimum(np.searchsorted(shared, every), max(len(shared) - 1, 0))
+        ok = shared[at] == every if len(shared) else np.zeros(len(every), bool)
+        order = np.argsort(at[ok], kind="stable")
+        return of[ok][order], at[ok][order]
+
+    def count(k: dict) -> Iterator[pa.RecordBatch]:
+        left, right = np.flatnonzero(k["role"] != 1), np.flatnonzero(k["role"] != 0)
+        same = bool((k["role"] == 2).any())
+        if not len(left) or not len(right) or (same and len(left) < 2):
+            return
+        diffs = [np.frombuffer(d, np.uint64) for d in k["diff"]]
+        dl, dr = [diffs[i] for i in left], [diffs[i] for i in right]
+        if same:
+            shared, times = np.unique(np.concatenate(dl), return_counts=True)
+            shared = shared[times > 1]
+        else:
+            shared = np.intersect1d(np.concatenate(dl), np.concatenate(dr))
+        l, r = side(dl, shared), side(dr, shared)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, len(shared), COLUMNS):
+            both += matrix(*l, len(left), lo) @ matrix(*r, len(right), lo).T
+        apart = np.array([len(d) for d in dl])[:, None] + np.array([len(d) for d in dr])[None, :] - 2 * both.astype(np.int64)
+        total = k["n"][left][:, None] + k["n"][right][None, :]
+        link = 2 * num * total <= (num + den) * (total - apart)
+        link &= k["id"][left][:, None] != k["id"][right][None, :]
+        yield pa.RecordBatch.from_arrays([pa.array(k["id"][left]), pa.array(link @ k["copies"][right])], names=["id", "more"])
+        if not same:
+            yield pa.RecordBatch.from_arrays([pa.array(k["id"][right]), pa.array(k["copies"][left] @ link)], names=["id", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for x in batches:
+            if not x.num_rows:
+                continue
+            new = {c: (np.array(x.column(c).to_pylist(), object) if c == "diff" else x.column(c).to_numpy()) for c in x.schema.names}
+            held = {c: np.concatenate([held[c], new[c]]) for c in new} if held else new
+            keys = np.stack([held[c] for c in key])
+            cut = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1]  # the last pair may go on in the next batch
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                yield from count({c: v[lo:hi] for c, v in held.items()})
+            held = {c: v[cut[-1] :] for c, v in held.items()}
+        if held:
+            yield from count(held)
+
+    return run
+
+
+def link_counts(docs: DataFrame, labels: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(rep, more): the documents in other classes that each representative links with."""
+    nodes = labels.join(classes.where("rep is not null").groupBy("rep").agg(F.sum("copies").alias("copies")), F.col("node") == F.col("rep")).select("node", "label", "copies")
+    per_label = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("copies").alias("all")).withColumnRenamed("label", "l_")
+    nodes = settle(nodes.join(per_label, F.col("label") == F.col("l_")).drop("l_"), "component-nodes")
+    pairs = nodes.where("members = 2").select(F.col("node").alias("id"), (F.col("all") - F.col("copies")).alias("more"))  # a component of two has its one link
+    diffs = _differences(docs, nodes.where("members > 2").drop("all"), n)
+    # lengths of linked sets differ by den / num at most: they are in one band or in neighbouring ones
+    band = F.floor(F.log(F.col("n")) / F.lit(np.log(den / num) * (1 + 1e-9))) if num < den else F.lit(0)
+    diffs = diffs.withColumn("band", band.cast("int"))
+    held = diffs.groupBy("label", "band").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("diff") / 8).alias("shingles"))
+    held = held.select("label", "band", F.greatest(F.ceil(F.col("rows") / COUNT_BLOCK), F.ceil(F.col("shingles") / COUNT_SHINGLES)).cast("int").alias("blocks"))
+    by_band = Window.partitionBy("label").orderBy("band")
+    beside = lambda step, shift: F.when(shift("band").over(by_band) == F.col("band") + step, shift("blocks").over(by_band)).otherwise(0)
+    held = settle(held.select(F.col("label").alias("l_"), F.col("band").alias("b_"), "blocks", beside(1, F.lead).alias("above"), beside(-1, F.lag).alias("below")), "count-blocks")
+    diffs = diffs.join(held, (F.col("label") == F.col("l_")) & (F.col("band") == F.col("b_"))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    to = lambda blocks: F.filter(F.sequence(F.lit(0), F.col(blocks)), lambda j: j < F.col(blocks))
+    pair = lambda low, up, a, b, role: F.struct(low.cast("int").alias("band"), F.lit(up).alias("up"), a.alias("a"), b.alias("b"), role.cast("int").alias("role"))
+    here = F.transform(to("blocks"), lambda j: pair(F.col("band"), 0, F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.when(j == F.col("own"), 2).when(j > F.col("own"), 0).otherwise(1)))
+    over = F.transform(to("above"), lambda j: pair(F.col("band"), 1, F.col("own"), j, F.lit(0)))
+    under = F.transform(to("below"), lambda j: pair(F.col("band") - 1, 1, j, F.col("own"), F.lit(1)))
+    dealt = diffs.withColumn("to", F.explode(F.concat(here, over, under))).select("label", "to.*", "id", "n", "copies", "diff")
+    dealt = dealt.repartition("label", "band", "up", "a", "b").sortWithinPartitions("label", "band", "up", "a", "b")
+    counted = dealt.mapInArrow(trimmed(_block_links(num, den)), "id long, more long").unionByName(pairs)
+    return settle(counted.groupBy("id").agg(F.sum("more").alias("more")).withColumnRenamed("id", "rep"), "link-counts")
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """Per document row: (id, n_shingles, component_id); links are pairs with intersection / union >= num / den.
 
+    With ``count_links`` also n_links: the other document rows that a row links with, those of equal sets included.
+
     A text without words, or null, has an empty set and links with nothing: its component is its own id.  Documents of
-    equal sets are one component.  Rows that repeat are answered row by row.  A null id takes part through equal
-    sets only and has the component of its class (null where no other row shares it).  An empty table gives no rows.
+    equal sets are one component.  Rows that repeat are answered row by row; where an id repeats with different texts
+    they are one node, with the links of all of them.  A null id takes part through equal sets only and has the component
+    of its class (null where no other row shares it).  Very long texts are compared whole.  An empty table gives no rows.
     """
-    links, members = jaccard_links(docs, n, num, den, id_col, text_col)
-    if links is None:
-        label = members.withColumn("label", F.lit(None).cast("long"))
-    else:
+    links, members, classes = jaccard_links(docs, n, num, den, id_col, text_col)
+    label = members.withColumns({"label": F.lit(None).cast("long"), "more": F.lit(0).cast("long")})
+    if links is not None:
         labels = settle(components(links), "labels")
         label = members.join(labels, members["rep"] == labels["node"], "left").drop("node")
-    return label.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("label", "rep")).alias("component_id"))
+        if count_links:
+            more = link_counts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), labels, classes, n, num, den)
+            label = label.join(more, "rep", "left")
+    out = label.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("label", "rep")).alias("component_id"),
+        *([(F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_links")] if count_links else []),
+    )
+    return out
 
 
-def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame | None, DataFrame]:
-    """Links (a, b) between representatives that join all components, and the membership (id, n, rep).
+def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """Links (a, b) between representatives that join all components, the membership (id, n, rep, copies), the classes (sig, rep, copies).
 
     Links inside a component that other links already join are not all listed; None stands for no candidates.
     """
@@ -231,14 +357,14 @@ def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     prefixes = _prefixes(docs, shingle_counts(docs, n, text_col), n, num, den, id_col, text_col)
     best = F.min_by(F.struct("n", "prefix", "sketch"), "id")
     sets = settle(prefixes.where("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("id"), best.alias("s")).select("sig", "id", "s.*"), "sets")
-    classes = sets.select(F.col("sig").alias("sig_"), F.col("id").alias("rep"))
-    members = prefixes.join(classes, prefixes["sig"] == classes["sig_"], "left").select("id", "n", "rep")
+    classes = settle(prefixes.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumnRenamed("sig", "sig_"), "classes")
+    members = prefixes.join(classes, prefixes["sig"] == classes["sig_"], "left").select("id", "n", "rep", "copies")
 
     postings = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     leaders = settle(postings.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min_by(F.struct("n", "id", "pos"), F.xxhash64("id", "token")).alias("lead")).where("held > 1"), "leaders")
     lists = settle(postings.join(leaders, "token"), "lists")
     if lists.isEmpty():
-        return None, members
+        return None, members, classes
     need = f"cast(ceil({num} * (n + lead.n) / {num + den}) as long)"
     star = lists.where(f"id <> lead.id and {den} * least(n, lead.n) >= {num} * greatest(n, lead.n) and least(n - pos, lead.n - lead.pos) >= {need}")
     star = star.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
@@ -261,7 +387,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
     crossed = settle(dealt.mapInArrow(trimmed(_cross_pairs(num, den)), "a long, b long").distinct(), "cross-pairs")
     if not crossed.isEmpty():
         links = links.unionByName(_verified(rows, sets, crossed, n, num, den))
-    return links, members
+    return links, members, classes
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,7 +44,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
-    return jaccard_components(read(spark, sf_dir, "documents"))
+    return jaccard_components(read(spark, sf_dir, "documents"), count_links=True)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +94,10 @@ ORACLE_SQL: dict[str, str] = {
         i as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
         l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
         e as (select a, b from l union all select b, a from l),
+        d as (select a as doc_id, count(*) as n_links from e group by a),
         r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on r.other = e.a)
-        select r.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(other) as component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id
+        select r.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(other) as component_id, coalesce(any_value(d.n_links), 0) as n_links
+        from r left join n on n.doc_id = r.doc_id left join d on d.doc_id = r.doc_id group by r.doc_id
     """,
     "op9_decontamination": r"""
         with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),

@@ -24,14 +24,17 @@ def brute(docs, n, num, den):
             i = up[i]
         return i
 
+    links = [0] * len(docs)
     for i in range(len(docs)):
         for j in range(i):
             if s[i] and s[j] and den * len(s[i] & s[j]) >= num * len(s[i] | s[j]):
+                links[i] += 1
+                links[j] += 1
                 up[max(root(i), root(j))] = min(root(i), root(j))
     low = {}
     for i, (d, _) in enumerate(docs):
         low[root(i)] = min(low.get(root(i), d), d)
-    return sorted((d, len(s[i]), low[root(i)]) for i, (d, _) in enumerate(docs))
+    return sorted((d, len(s[i]), low[root(i)], links[i]) for i, (d, _) in enumerate(docs))
 
 
 def corpus(seed, base=30, copies=220):
@@ -58,20 +61,34 @@ def corpus(seed, base=30, copies=220):
 def test_components_against_brute_force(frame, monkeypatch, seed, n, num, den):
     monkeypatch.setattr(jaccard, "REST_BLOCK", 8)
     monkeypatch.setattr(jaccard, "ALL_BLOCK", 16)
+    monkeypatch.setattr(jaccard, "COUNT_BLOCK", 12)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    monkeypatch.setattr(jaccard, "MEMBERS_A_LEADER", 10)
     docs = corpus(seed)
-    rows = jaccard_components(frame([(i, t, "en", "s") for i, t in docs]), n, num, den).collect()
+    rows = jaccard_components(frame([(i, t, "en", "s") for i, t in docs]), n, num, den, count_links=True).collect()
     want = brute(docs, n, num, den)
     assert sorted(map(tuple, rows)) == want
     if seed == 2:
         kept = {r.doc_id for r in drop_near_copies(frame([(i, t, "en", "s") for i, t in docs]), n, num, den).collect()}
-        assert kept == {d for d, m, c in want if d == c or not m}
+        assert kept == {d for d, m, c, _ in want if d == c or not m}
 
 
 def test_repeated_rows_null_ids_and_empty(frame, empty):
     assert jaccard_components(empty).collect() == []
     docs = [(7, "a b c d", "en", "s")] * 3 + [(None, "a b c d", "en", "s"), (None, "z", "en", "s"), (9, None, "en", "s")]
-    rows = jaccard_components(frame(docs)).collect()
-    assert sorted(map(tuple, rows), key=str) == sorted([(7, 2, 7)] * 3 + [(None, 2, 7), (None, 1, None), (9, 0, 9)], key=str)
+    rows = jaccard_components(frame(docs), count_links=True).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(7, 2, 7, 3)] * 3 + [(None, 2, 7, 3), (None, 1, None, 0), (9, 0, 9, 0)], key=str)
+
+
+def test_very_long_texts(frame):
+    rng = random.Random(3)
+    w = [f"w{rng.randrange(5000)}" for _ in range(30_000)]
+    far = list(w)
+    far[::10] = ["x"] * 3000
+    near = list(w)
+    near[50] = "x"
+    rows = jaccard_components(frame([(1, " ".join(w), "en", "s"), (2, " ".join(near), "en", "s"), (3, " ".join(far), "en", "s"), (4, "w1", "en", "s")]), count_links=True).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in rows) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
 
 
 def test_components_of_a_chain_and_a_hub(spark):
