@@ -68,13 +68,15 @@ def _assign(x: np.ndarray, books: np.ndarray, eta: float, sweeps: int, codes: np
     if codes is None:
         codes = np.stack([((parts[:, s, None] - books[s]) ** 2).sum(axis=2).argmin(axis=1) for s in range(books.shape[0])], axis=1)
     dots = np.stack([((parts[:, s] - books[s][codes[:, s]]) * parts[:, s]).sum(axis=1) for s in range(books.shape[0])], axis=1)
+    total = dots.sum(axis=1)
     for _ in range(sweeps):
         for s in range(books.shape[0]):
-            other = dots.sum(axis=1) - dots[:, s]
+            other = total - dots[:, s]
             r = parts[:, s, None] - books[s]
             along = (r * parts[:, s, None]).sum(axis=2)
             codes[:, s] = ((r * r).sum(axis=2) + (eta - 1) * (other[:, None] + along) ** 2 / norm[:, None]).argmin(axis=1)
             dots[:, s] = along[np.arange(len(x)), codes[:, s]]
+            total = other + dots[:, s]
     return codes.astype(np.uint8)
 
 
@@ -103,9 +105,11 @@ def train(sample: np.ndarray, lists: int, seed: int = 5) -> Quantiser:
     codes = None
     for _ in range(SWEEPS):
         codes = _assign(padded, books, eta, 1, None if codes is None else codes.astype(np.int64))
+        along = lambda s: ((parts[:, s] - books[s][codes[:, s]]) * parts[:, s]).sum(axis=1)
+        dots = np.stack([along(s) for s in range(subs)], axis=1)
+        total = dots.sum(axis=1)
         for s in range(subs):
-            dots = np.stack([((parts[:, t] - books[t][codes[:, t]]) * parts[:, t]).sum(axis=1) for t in range(subs)], axis=1)
-            other = dots.sum(axis=1) - dots[:, s]
+            other = total - dots[:, s]
             p, w = parts[:, s], (eta - 1) / norm
             for c in range(CENTRES):
                 rows = codes[:, s] == c
@@ -113,6 +117,8 @@ def train(sample: np.ndarray, lists: int, seed: int = 5) -> Quantiser:
                     a = rows.sum() * np.eye(SUB) + (p[rows] * w[rows, None]).T @ p[rows]
                     b = (p[rows] * (1 + w[rows] * (other[rows] + (p[rows] ** 2).sum(axis=1)))[:, None]).sum(axis=0)
                     books[s, c] = np.linalg.solve(a, b)
+            dots[:, s] = along(s)
+            total = other + dots[:, s]
     return Quantiser(books, _kmeans(x, lists, 10, rng), dim)
 
 

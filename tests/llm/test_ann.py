@@ -82,3 +82,14 @@ def test_anisotropic_loss_is_lower_than_plain_quantisation():
 def test_best_takes_earlier_columns_of_equals():
     s = np.array([[1, 3, 3, 2, 3.0], [0, 0, 0, 0, 0]])
     assert [sorted(r) for r in _best(s, 2).tolist()] == [[1, 2], [0, 1]]
+
+
+def test_ties_repeated_ids_and_clashing_names(spark):
+    rows = [(20 * i, [1.0, 0.0], 0) for i in range(3)] + [(i, [2.0, float(i % 2)], 0) for i in range(1, 9)] + [(0, [1.0, 0.0], 0), (3, [2.0, 1.0], 0), (7, [-1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as id", "2 as v", "3 as code", "4 as query_id")
+    got = {}
+    for r in search(df, k=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    # equal scores by the smaller id; a query of a repeated id is asked once and never finds its own id
+    want = [(i, 2.0) for i in (1, 2, 3, 3, 4, 5)]
+    assert got == {q: want for q in (0, 20, 40)}
