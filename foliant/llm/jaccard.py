@@ -44,7 +44,7 @@ CACHED_WORDS = 100_000
 #: Documents whose shingles are held at once.
 SLICE = 256
 #: Members, and shingles of their differences, in one block of a component; members for each copy of a leader's text.
-COUNT_BLOCK, COUNT_SHINGLES, MEMBERS_A_LEADER = 1_024, 1_000_000, 500
+COUNT_BLOCK, COUNT_SHINGLES, MEMBERS_A_LEADER = 256, 1_000_000, 500
 #: Columns of a block's matrix at once.
 COLUMNS = 4_096
 
