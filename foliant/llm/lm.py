@@ -34,8 +34,10 @@ SLOTS = CLASSES * PER_CLASS
 #: Slots for words beyond the vocabulary, by hash.
 RARE = 256
 WINDOW, HIDDEN = 2, 32
-ROUNDS, STEP_TOKENS, RATE = 1, 512, 0.25
-CHUNK = 1 << 15
+ROUNDS, STEP_TOKENS, RATE = 1, 4_096, 1.0
+CHUNK = 1 << 13
+#: Words whose hash is kept while a task runs.
+CACHED_WORDS = 200_000
 BLOCKS, FAN_IN = 16, 64
 #: Words of one training shard; beyond MOST_SHARDS shards they grow instead.
 SHARD_WORDS, MOST_SHARDS = 2_000_000, 16_384
@@ -64,6 +66,16 @@ class Slots(dict):
         return -np.log(self.totals[slot - (SLOTS - RARE)] + 1)
 
 
+class Hashes(dict):
+    """Word -> XXH64 with seed 42; each distinct word is hashed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
 @dataclass
 class Vocabulary:
     """Slots, occurrences by slot, occurrences of all words, and the shared-slot words that occur more than once.
@@ -109,70 +121,85 @@ class Network:
             at += a.size
         return Network(*out)
 
-    def hidden(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = self.bias + self.context[0, tokens[at - WINDOW]]
-        for j, off in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
-            if j:
-                h += self.context[j, tokens[at + off]]
+    def hidden(self, around: list[np.ndarray]) -> np.ndarray:
+        h = self.context[0].take(around[0], axis=0)
+        h += self.bias
+        for table, tokens in zip(self.context[1:], around[1:], strict=True):
+            h += table.take(tokens, axis=0)
         return np.tanh(h, out=h)
 
     def log_probs(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Conditional log-probability of each token at ``at``, from both sides."""
-        h = self.hidden(tokens, at)
-        word, of = np.divmod(tokens[at], CLASSES)
-        z = h @ self.classes + self.class_bias
-        top = z.max(axis=1)
-        out = z[np.arange(len(at)), of] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-        order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cut)):
-            rows = order[cut[c] : cut[c + 1]]
-            z = h[rows] @ self.words[c] + self.word_bias[c]
-            top = z.max(axis=1)
-            out[rows] += z[np.arange(len(rows)), word[rows]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+        order, word, of, around, spans = _by_class(tokens, at)
+        h, rows = self.hidden(around), np.arange(len(at))
+        found = _log_softmax(h @ self.classes + self.class_bias, rows, of)
+        z = np.empty((len(at), PER_CLASS), np.float32)
+        for c, lo, hi in spans:
+            np.matmul(h[lo:hi], self.words[c], out=z[lo:hi])
+            z[lo:hi] += self.word_bias[c]
+        found += _log_softmax(z, rows, word)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def step(self, tokens: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One gradient step on the mean negative log-probability of the tokens at ``at``."""
-        h = self.hidden(tokens, at)
-        word, of = np.divmod(tokens[at], CLASSES)
-        p = h @ self.classes + self.class_bias
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(at)), of] -= 1
-        back = p @ self.classes.T
-        scale = np.float32(rate)
-        change = h.T @ p
-        order = np.argsort(of, kind="stable")
-        of, sorted_h = of[order], h[order]
-        first = np.flatnonzero(np.r_[True, np.diff(of) != 0])
-        cut = [*first.tolist(), len(of)]
-        spans = [(c, slice(lo, hi)) for c, lo, hi in zip(of[first].tolist(), cut, cut[1:], strict=False)]
+        _, word, of, around, spans = _by_class(tokens, at)
+        h, rows = self.hidden(around), np.arange(len(at))
+        scale, n = np.float32(rate), np.float32(len(at))
+        p = _softmax(h @ self.classes + self.class_bias)
+        p[rows, of] -= 1
+        back, change = p @ self.classes.T, h.T @ p
         q = np.empty((len(at), PER_CLASS), np.float32)
-        for c, rows in spans:
-            np.matmul(sorted_h[rows], self.words[c], out=q[rows])
-        q += self.word_bias[of]
-        q = np.exp(q - q.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        q[np.arange(len(at)), word[order]] -= 1
-        inner = np.empty_like(sorted_h)
-        for c, rows in spans:
-            np.matmul(q[rows], self.words[c].T, out=inner[rows])
-            self.words[c] -= scale / np.float32(max(rows.stop - rows.start, 8)) * (sorted_h[rows].T @ q[rows])
-        back[order] += inner
-        self.word_bias[of[first]] -= scale / np.maximum(np.diff(cut), 8)[:, None].astype(np.float32) * np.add.reduceat(q, first, axis=0)
-        n = np.float32(len(at))
+        for c, lo, hi in spans:
+            np.matmul(h[lo:hi], self.words[c], out=q[lo:hi])
+            q[lo:hi] += self.word_bias[c]
+        _softmax(q)
+        q[rows, word] -= 1
+        for c, lo, hi in spans:
+            own = q[lo:hi]
+            back[lo:hi] += own @ self.words[c].T
+            share = scale / np.float32(max(hi - lo, 8))
+            self.words[c] -= share * (h[lo:hi].T @ own)
+            self.word_bias[c] -= share * own.sum(axis=0)
         self.classes -= scale / n * change
         self.class_bias -= scale / n * p.sum(axis=0)
-        back *= 1 - h * h
+        h *= h
+        back *= np.subtract(1, h, out=h)
         self.bias -= scale / n * back.sum(axis=0)
         back *= scale / np.float32(16)  # a context slot is hit by few of a step's tokens
-        back = np.clip(back, -0.1, 0.1)
-        for j, off in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
-            of = tokens[at + off]
-            order = np.argsort(of, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
-            self.context[j, of[order[first]]] -= np.add.reduceat(back[order], first, axis=0)
+        np.clip(back, -0.1, 0.1, out=back)
+        for table, held in zip(self.context, around, strict=True):
+            order = np.argsort(held.astype(np.uint16), kind="stable")
+            held = held[order]
+            first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+            table[held[first]] -= np.add.reduceat(back.take(order, axis=0), first, axis=0)
+
+
+def _by_class(tokens: np.ndarray, at: np.ndarray):
+    """Places in order of their token's class: that order, words in class, classes, context tokens, and (class, from, to)."""
+    order = np.argsort((tokens[at] % CLASSES).astype(np.uint8), kind="stable")
+    at = at[order]
+    word, of = np.divmod(tokens[at], CLASSES)
+    around = [tokens[at + off] for off in [*range(-WINDOW, 0), *range(1, WINDOW + 1)]]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    cut = [*first.tolist(), len(of)]
+    return order, word, of, around, list(zip(of[first].tolist(), cut, cut[1:], strict=False))
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Rows of ``z`` turned into probabilities, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z *= 1 / z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_softmax(z: np.ndarray, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Logarithm of one probability in each row; ``z`` is used up."""
+    z -= z.max(axis=1, keepdims=True)
+    out = z[rows, of].astype(np.float64)
+    return out - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -280,16 +307,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     return vocab, net
 
 
-def _scored(words: list[list[bytes]], slots: Slots, net: Network) -> tuple[np.ndarray, list[dict[int, int]]]:
-    """Per document: the sum of its log-probabilities, shared-slot words counted as seen once, and those words' occurrences by hash."""
+def _scored(words: list[list[bytes]], slots: Slots, net: Network, hashes: Hashes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Per document: the sum of its log-probabilities, shared-slot words counted as seen once, and those words' hashes and occurrences."""
     ids = [np.fromiter(map(slots.__getitem__, w), np.int32, len(w)) for w in words]
     tokens, at = padded(ids)
     if not len(at):
-        return np.zeros(len(words)), [{} for _ in words]
-    log = np.concatenate([net.log_probs(tokens, at[lo : lo + CHUNK]) for lo in range(0, len(at), CHUNK)]).astype(np.float64)
+        return np.zeros(len(words)), [(np.empty(0, np.uint64), np.empty(0, np.int64))] * len(words)
+    log = np.concatenate([net.log_probs(tokens, at[lo : lo + CHUNK]) for lo in range(0, len(at), CHUNK)])
     rare = tokens[at] >= SLOTS - RARE
     log[rare] += slots.log_once(tokens[at][rare])
-    held = [Counter(xxhash.xxh64_intdigest(w[i], 42) for i in np.flatnonzero(x >= SLOTS - RARE)) for w, x in zip(words, ids, strict=True)]
+    held = []
+    for w, x in zip(words, ids, strict=True):
+        at = np.flatnonzero(x >= SLOTS - RARE)
+        held.append(np.unique(np.fromiter((hashes[w[i]] for i in at.tolist()), np.uint64, len(at)), return_counts=True))
     return np.array([x.sum() for x in np.split(log, np.cumsum([len(x) for x in ids])[:-1])]), held
 
 
@@ -305,6 +335,7 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, net = shared.value
+        hashes = Hashes()
         for batch in batches:
             size, sums, held, group, n = [], [], [], [], 0
             for i, t in enumerate(batch.column(2)):
@@ -312,13 +343,13 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_i
                 size.append(len(group[-1]))
                 n += size[-1]
                 if n >= SCORED_TOKENS or i == batch.num_rows - 1:
-                    s, h = _scored(group, slots, net)
+                    s, h = _scored(group, slots, net, hashes)
                     sums.extend(s.tolist())
                     held.extend(h)
                     group, n = [], 0
-            lists = np.r_[0, np.cumsum([len(h) for h in held])].astype(np.int32)
-            h = np.fromiter((x for d in held for x in d), np.uint64, lists[-1]).view(np.int64)
-            times = np.fromiter((x for d in held for x in d.values()), np.int64, lists[-1])
+            lists = np.r_[0, np.cumsum([len(h) for h, _ in held])].astype(np.int32)
+            h, times = (np.concatenate(x) if held else np.empty(0, np.int64) for x in (list(zip(*held, strict=True)) or [[], []]))
+            h, times = h.view(np.int64), times.astype(np.int64)
             cols = [pa.array(size, pa.int64()), pa.array(sums, pa.float64()), *(pa.ListArray.from_arrays(pa.array(lists), pa.array(x)) for x in (h, times))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["key", "id", "n_tokens", "total", "h", "times"])
 
