@@ -15,7 +15,6 @@ steps over all of its documents in hash order, and the weights are averaged over
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +30,7 @@ from .common import settle, spread, trimmed
 
 CLASSES, PER_CLASS = 64, 64
 SLOTS = CLASSES * PER_CLASS
-#: Slots for words beyond the vocabulary, by hash.
+#: Slots for words beyond the vocabulary, by hash; a power of two.
 RARE = 256
 WINDOW, HIDDEN = 2, 32
 ROUNDS, STEP_TOKENS, RATE = 1, 4_096, 1.0
@@ -54,26 +53,36 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Slots(dict):
-    """Word -> slot; words beyond the vocabulary share the last RARE slots.  ``totals`` holds the occurrences in each of those."""
+    """Word -> code: the slot of a vocabulary word, and of any other its XXH64 with seed 42, as Spark's.
+
+    Words beyond the vocabulary share the last RARE slots by that hash; ``totals`` holds the occurrences in each of those.
+    Their hashes are kept while a task runs, for at most CACHED_WORDS words.
+    """
 
     totals = np.zeros(RARE)
 
     def __missing__(self, word: bytes) -> int:
-        return SLOTS - RARE + zlib.crc32(word) % RARE
+        h = xxhash.xxh64_intdigest(word, 42)
+        h += SLOTS if h < SLOTS else 0
+        kept = self.__dict__.setdefault("kept", [])
+        if len(kept) >= CACHED_WORDS:
+            for w in kept:
+                del self[w]
+            kept.clear()
+        kept.append(word)
+        self[word] = h
+        return h
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
     def log_once(self, slot: np.ndarray) -> np.ndarray:
         """Log of the share in a shared slot of a word seen once or never; a slot has 1 more for words never seen."""
         return -np.log(self.totals[slot - (SLOTS - RARE)] + 1)
 
 
-class Hashes(dict):
-    """Word -> XXH64 with seed 42; each distinct word is hashed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
+def slots_of(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes < SLOTS, codes, SLOTS - RARE + codes % np.uint64(RARE)).astype(np.int32)
 
 
 @dataclass
@@ -187,19 +196,27 @@ def _by_class(tokens: np.ndarray, at: np.ndarray):
     return order, word, of, around, list(zip(of[first].tolist(), cut, cut[1:], strict=False))
 
 
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp in place, and the sums of rows; a row's largest value is taken off where values are too large or small for float32."""
+    if len(z) and not -60 < z.min() <= z.max() < 60:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], np.float32)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     """Rows of ``z`` turned into probabilities, in place."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z *= 1 / z.sum(axis=1, keepdims=True)
+    total = _exp(z)
+    z *= (1 / total)[:, None]
     return z
 
 
 def _log_softmax(z: np.ndarray, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Logarithm of one probability in each row; ``z`` is used up."""
-    z -= z.max(axis=1, keepdims=True)
+    if len(z) and not -60 < z.min() <= z.max() < 60:
+        z -= z.max(axis=1, keepdims=True)
     out = z[rows, of].astype(np.float64)
-    return out - np.log(np.exp(z, out=z).sum(axis=1))
+    return out - np.log(_exp(z))
 
 
 def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +249,7 @@ def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
         n, word = best[-1]["n"], F.lit(bytearray(best[-1]["word"]))
         rare = counted.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
         out.slots.totals = np.zeros(RARE)
-        for r in rare.groupBy((F.crc32("word") % RARE).alias("slot")).agg(F.sum("n").alias("n")).collect():
+        for r in rare.groupBy(F.expr(f"cast(xxhash64(word) & {RARE - 1} as int)").alias("slot")).agg(F.sum("n").alias("n")).collect():
             out.slots.totals[r["slot"]] = r["n"]
         out.rare = rare.where("n > 1").select(F.xxhash64("word").alias("h"), "n")
         out.counts[SLOTS - RARE :] = out.slots.totals
@@ -277,7 +294,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
         shared = docs.sparkSession.sparkContext.broadcast(net)
 
         def train(batches: Iterator[pa.RecordBatch], shared=shared, rate=RATE / (1 + nth)) -> Iterator[pa.RecordBatch]:
-            get = shared_slots.value.__getitem__
+            slots = shared_slots.value
             shard, own, seen = None, None, 0
 
             def weights() -> pa.RecordBatch:
@@ -293,7 +310,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
                             yield weights()
                         shard, own, seen = int(of[lo]), shared.value.filled(shared.value.flat()), 0
                         rng = np.random.default_rng(shard)
-                    ids = [np.fromiter(map(get, w), np.int32, len(w)) for w in (words_of(t.as_py()) for t in batch.column(1).slice(lo, hi - lo)) if w]
+                    ids = [slots_of(slots.codes(w)) for w in (words_of(t.as_py()) for t in batch.column(1).slice(lo, hi - lo)) if w]
                     tokens, at = padded(ids)
                     rng.shuffle(at)
                     for a in range(0, len(at), STEP_TOKENS):
@@ -307,19 +324,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     return vocab, net
 
 
-def _scored(words: list[list[bytes]], slots: Slots, net: Network, hashes: Hashes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def _scored(words: list[list[bytes]], slots: Slots, net: Network) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Per document: the sum of its log-probabilities, shared-slot words counted as seen once, and those words' hashes and occurrences."""
-    ids = [np.fromiter(map(slots.__getitem__, w), np.int32, len(w)) for w in words]
+    codes = [slots.codes(w) for w in words]
+    ids = [slots_of(c) for c in codes]
     tokens, at = padded(ids)
     if not len(at):
         return np.zeros(len(words)), [(np.empty(0, np.uint64), np.empty(0, np.int64))] * len(words)
     log = np.concatenate([net.log_probs(tokens, at[lo : lo + CHUNK]) for lo in range(0, len(at), CHUNK)])
     rare = tokens[at] >= SLOTS - RARE
     log[rare] += slots.log_once(tokens[at][rare])
-    held = []
-    for w, x in zip(words, ids, strict=True):
-        at = np.flatnonzero(x >= SLOTS - RARE)
-        held.append(np.unique(np.fromiter((hashes[w[i]] for i in at.tolist()), np.uint64, len(at)), return_counts=True))
+    held = [np.unique(c[c >= SLOTS], return_counts=True) for c in codes]
     return np.array([x.sum() for x in np.split(log, np.cumsum([len(x) for x in ids])[:-1])]), held
 
 
@@ -335,7 +350,6 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, net = shared.value
-        hashes = Hashes()
         for batch in batches:
             size, sums, held, group, n = [], [], [], [], 0
             for i, t in enumerate(batch.column(2)):
@@ -343,7 +357,7 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_i
                 size.append(len(group[-1]))
                 n += size[-1]
                 if n >= SCORED_TOKENS or i == batch.num_rows - 1:
-                    s, h = _scored(group, slots, net, hashes)
+                    s, h = _scored(group, slots, net)
                     sums.extend(s.tolist())
                     held.extend(h)
                     group, n = [], 0

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from foliant.llm import lm
-from foliant.llm.lm import CLASSES, PAD, SLOTS, WINDOW, Network, Slots, Vocabulary, fit, padded, score, words_of
+from foliant.llm.lm import CLASSES, PAD, SLOTS, WINDOW, Network, Slots, Vocabulary, fit, padded, score, slots_of, words_of
 
 
 def net(seed=1):
@@ -61,7 +61,7 @@ def test_whole_table(frame, empty, monkeypatch):
     assert (rows[900].n_tokens, rows[900].pseudo_log_likelihood, rows[900].mean_log_prob) == (0, 0.0, None) and rows[901].n_tokens == 0
     for d in docs[:5]:
         w = words_of(d[1])
-        tokens, at = padded([np.array([slots[x] for x in w], np.int32)])
+        tokens, at = padded([slots_of(slots.codes(w))])
         want = sum(dense(n, tokens, i) for i in at)
         assert rows[d[0]].n_tokens == len(w) and abs(rows[d[0]].pseudo_log_likelihood - want) < 1e-2
     shuffled = frame([(i, " ".join(rng.sample(d[1].split(), len(d[1].split()))), "en", "s") for i, d in enumerate(docs[:50])])
@@ -72,7 +72,24 @@ def test_whole_table(frame, empty, monkeypatch):
 
 def test_rare_words_share_slots():
     s = Slots({b"a": 0})
-    assert s[b"a"] == 0 and SLOTS - lm.RARE <= s[b"rare"] < SLOTS and s[b"rare"] == s[b"rare"]
+    a, rare, again = slots_of(s.codes([b"a", b"rare", b"rare"])).tolist()
+    assert a == 0 and SLOTS - lm.RARE <= rare < SLOTS and rare == again
+
+
+def test_kept_hashes_are_bounded(monkeypatch):
+    monkeypatch.setattr(lm, "CACHED_WORDS", 3)
+    s = Slots({b"a": 0})
+    words = [b"a", *(b"w%d" % (i % 7) for i in range(40))]
+    assert s.codes(words).tolist() == [0, *(xxhash.xxh64_intdigest(w, 42) for w in words[1:])] and len(s) <= 4
+
+
+def test_softmax_of_extreme_values():
+    z = np.array([[1000.0, 0, -1000], [-500, -501, -502], [1, 2, 3]], np.float32)
+    want = np.exp(z.astype(float) - z.max(axis=1, keepdims=True))
+    want /= want.sum(axis=1, keepdims=True)
+    assert np.allclose(lm._softmax(z.copy()), want, atol=1e-6)
+    got = lm._log_softmax(z.copy(), np.arange(3), np.array([0, 2, 1]))
+    assert np.allclose(got, [0, -2.407606, -1.407606], atol=1e-4)
 
 
 def test_rare_words_have_their_own_probability(frame, monkeypatch):
@@ -85,19 +102,19 @@ def test_rare_words_have_their_own_probability(frame, monkeypatch):
     df = frame([" ".join(w for w, n in held.items() for _ in range(n))] + ["once"])
     vocab = lm.vocabulary(df, "text")
     slots, counts = vocab.slots, vocab.counts
-    rare = [w for w in [*held, "once"] if slots[w.encode()] >= 4]
+    rare = [w for w in [*held, "once"] if slots_of(slots.codes([w.encode()]))[0] >= 4]
     assert len(rare) == 27 and vocab.words == sum(held.values()) + 1
     n = {r.h & (2**64 - 1): r.n for r in vocab.rare.collect()}
     assert n == {xxhash.xxh64_intdigest(w.encode(), 42): held[w] for w in rare if held.get(w, 1) > 1}
-    total = {s: sum(held.get(w, 1) for w in rare if slots[w.encode()] == s) for s in range(4, 8)}
+    total = {s: sum(held.get(w, 1) for w in rare if slots_of(slots.codes([w.encode()]))[0] == s) for s in range(4, 8)}
     assert np.allclose(np.exp(slots.log_once(np.arange(4, 8))), [1 / (total[s] + 1) for s in range(4, 8)])
     assert counts[4:].tolist() == [total.get(i, 0) for i in range(4, 8)]
 
 
 def test_crowded_slots_do_not_lend_their_probability(spark, frame):
     s = Slots({b"a": 0})
-    slot = s[b"seen"]
-    other = next(w for w in (f"q{i}" for i in range(9999)) if s[w.encode()] == slot)
+    slot = slots_of(s.codes([b"seen"]))[0]
+    other = next(w for w in (f"q{i}" for i in range(9999)) if slots_of(s.codes([w.encode()]))[0] == slot)
     s.totals = np.full(lm.RARE, 1000.0)
     signed = int(np.uint64(xxhash.xxh64_intdigest(b"seen", 42)).view(np.int64))
     vocab = Vocabulary(s, np.zeros(SLOTS), 1, spark.createDataFrame([(signed, 50)], "h long, n long"))
