@@ -21,12 +21,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local session, as in tests) a temporary folder is set.
+    Only where that setting is absent in a local session, as in tests, a temporary folder is set; a cluster without it
+    has no folder that all see, and is told so.
     """
     set_one = spark.conf.get("spark.checkpoint.dir", None)
     if set_one:
         return set_one.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

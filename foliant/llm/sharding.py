@@ -7,7 +7,8 @@ ranges place every record: shard ``s`` holds the records whose middle byte lies
 all bytes.  Byte totals of two shards therefore differ by less than two records.
 
 Only ids, sizes and hashes are shuffled; texts are read once.  The sample has at most
-``SAMPLES_A_RANGE * MAX_RANGES`` keys however large the input is, so the driver's share is bounded.
+``SAMPLES_A_RANGE * MAX_RANGES`` keys in expectation, and up to 16 times as many keys of overfull ranges alone when
+these are sampled again, however large the input is, so the driver's share is bounded.
 """
 
 from __future__ import annotations
@@ -113,7 +114,42 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, id_col: st
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write documents below ``path``, one folder a shard, ordered by slot; ids must be unique for this join."""
-    joined = docs.join(placed.select(id_col, "shard", "slot"), id_col)
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``_copy``: rows of equal keys counted from 0, first within input partitions and then over these, so that a key of very many rows is never sorted whole."""
+    rows = settle(rows.withColumn("_part", F.spark_partition_id()), "repeated-rows")
+    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    held = held.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("_part").alias("_part_"), "_before")
+    same = F.col("_part") == F.col("_part_")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.lit(0)))
+    return rows.withColumn("_nth", nth).join(held, same).withColumn("_copy", F.col("_before") + F.col("_nth") - 1).drop("_part", "_part_", "_nth", "_before", *[f"{k}_" for k in keys])
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Place the rows of ``docs``, write them below ``path``, one folder a shard, ordered by slot, and return the placements.
+
+    Rows meet their places by id and text (its length and two checksums, which the placement orders by); rows that repeat
+    have places of their own, and which of equal rows gets which of them is left open.  Columns named ``shard`` and
+    ``slot`` are replaced.
+    """
+    placed = settle(assign_shards(docs, n_shards, seed, id_col, text_col), "shard-rows")
+    keys = ["_id", "_size", "_crc"]
+    rows = docs.drop("shard", "slot").withColumns({"_id": F.col(id_col), "_size": utf8_length(F.col(text_col)) + 1, "_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
+    places = placed.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    often = settle(places.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(f"{k}_") for k in keys]), "repeated-keys")
+
+    def meet(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+        right = right.withColumnsRenamed({k: f"{k}_" for k in on})
+        same = F.lit(True)
+        for k in on:
+            same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+        return left.join(right, same, how).drop(*[f"{k}_" for k in on])
+
+    named = often.withColumnsRenamed({f"{k}_": k for k in keys})
+    once = meet(meet(rows, named, keys, "left_anti"), meet(places, named, keys, "left_anti"), keys, "inner")
+    again = meet(_numbered(meet(rows, named, keys, "left_semi"), keys), _numbered(meet(places, named, keys, "left_semi"), keys), [*keys, "_copy"], "inner")
+    joined = once.unionByName(again.drop("_copy")).drop(*keys)
     joined.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return placed

@@ -12,6 +12,7 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,13 +110,38 @@ def split_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         yield head, f.read(size)
 
 
+#: What stands between two records of a WARC file, up to the version.
+BETWEEN = "\r\n\r\nWARC/1."
+
+
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
-    """WARC files as (path, header, block); one file is one task, as gzip members need."""
+    """WARC files, gzipped or not, as (path, header, block).
 
+    Files are split between records: plain ones by Spark over many tasks, gzipped ones as streams, so that a task holds
+    one record and not a file.  A block in which the text between records occurs itself is told by its length; the
+    files of such blocks alone are read whole, each in one task.
+    """
+    raw = spark.read.option("lineSep", BETWEEN).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("b"))
+    text = F.decode("b", "ISO-8859-1")  # one character a byte, whatever the bytes are
+    end = F.locate("\r\n\r\n", text)
+    first = text.startswith("WARC/1.")
+    header = F.concat(F.when(first, F.lit(b"")).otherwise(F.lit(b"WARC/1.")), F.expr("substring(b, 1, e + 3)"))
+    length = F.regexp_extract(text, r"(?is)\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", 1).cast("long")
+    # the last record of a file still has the blank lines at its end
+    block = F.expr("substring(b, e + 4)")
+    cut = raw.where(F.length("b") > 0).withColumns({"e": end, "size": F.coalesce(length, F.lit(0))}).withColumns({"header": header, "block": block})
+    whole = (F.col("e") > 0) & ((F.length("block") == F.col("size")) | ((F.length("block") == F.col("size") + 4) & (F.expr("substring(block, size + 1)") == F.lit(b"\r\n\r\n"))))
+    odd = [r["path"] for r in cut.where(~whole).select("path").distinct().collect()]  # names of files, few or none
+    out = cut.where(~F.col("path").isin(odd) if odd else F.lit(True)).select("path", "header", F.expr("substring(block, 1, cast(size as int))").alias("block"))
+    return out.unionByName(_read_whole(spark, odd)) if odd else out
+
+
+def _read_whole(spark: SparkSession, paths: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, c in zip(pdf["path"], pdf["content"], strict=True):
-                found = list(split_warc(c))
-                yield pd.DataFrame({"path": [p] * len(found), "header": [h for h, _ in found], "block": [b for _, b in found]})
+                found = split_warc(c)
+                while some := list(islice(found, 1000)):
+                    yield pd.DataFrame({"path": p, "header": [h for h, _ in some], "block": [b for _, b in some]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, header binary, block binary")
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, header binary, block binary")

@@ -45,7 +45,7 @@ def test_stages_one_by_one(spark, folder):
     assert len(toxic - left) >= 0.95 * len(toxic) and len(left) >= 0.97 * (len(by) - len(toxic))
     one = stages["near_copies"](spark, docs, path)
     assert one.columns == docs.columns
-    assert {r.doc_id for r in one.collect()} == {d for d, n, c in near([(i, d[1]) for i, d in by.items()], 5, 80, 100) if d == c or not n}
+    assert {r.doc_id for r in one.collect()} == {d for d, n, c, _ in near([(i, d[1]) for i, d in by.items()], 5, 80, 100) if d == c or not n}
     clean = stages["decontamination"](spark, docs, path)
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in contaminated([(i, d[1]) for i, d in by.items()], items) if not r[5]}

@@ -3,7 +3,8 @@ import zlib
 
 import numpy as np
 
-from foliant.llm.sharding import assign_shards, range_of
+from foliant.llm.common import scratch_path
+from foliant.llm.sharding import assign_shards, range_of, write_shards
 
 
 def check(rows, docs, n=8):
@@ -45,3 +46,15 @@ def test_ranges_follow_the_key_order():
     want = [sum(tuple(b) <= k for b in bounds) for k in keys]
     got = range_of(bounds, np.array([k[0] for k in keys]), np.array([k[1] for k in keys]))
     assert got.tolist() == want
+
+
+def test_written_shards_hold_every_row_once(spark, frame):
+    docs = [(i, f"text {i % 50}", "en", "s") for i in range(300)] + [(5, "again", "en", "s"), (5, "again", "fr", "s")] + [(9, "text 9", "en", "t")] * 40 + [(None, None, "en", "s"), (None, "", "en", "s"), (None, "", "en", "s"), (777, "y" * 200_000, "en", "s")]
+    df = frame(docs).repartition(5)
+    path = scratch_path(spark, "shards")
+    placed = write_shards(df, path)
+    rows = spark.read.parquet(path)
+    assert sorted((str(r.doc_id), str(r.text), r.lang, r.source) for r in rows.collect()) == sorted((str(d[0]), str(d[1]), d[2], d[3]) for d in docs)
+    assert sorted((r.shard, r.slot) for r in rows.collect()) == sorted((r.shard, r.slot) for r in placed.collect())
+    key = lambda r, size: (str(r.doc_id), size, r.shard, r.slot)
+    assert sorted(key(r, len((r.text or "").encode()) + 1) for r in rows.collect()) == sorted(key(r, r.size) for r in placed.collect())

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -43,7 +44,26 @@ def test_files_hold_what_was_archived(spark, pages, tmp_path):
         else:
             assert block == b"" and b"WARC-Refers-To" in head
     (tmp_path / "a.warc").write_bytes(data)
-    assert read_warc_files(spark, str(tmp_path)).count() == pages.count()
+    assert sorted((bytes(r.header), bytes(r.block)) for r in read_warc_files(spark, str(tmp_path)).collect()) == sorted(found)
+
+
+@pytest.mark.parametrize("form", ["a.warc", "a.warc.gz"])
+def test_files_are_split_between_records(spark, tmp_path, form):
+    blocks = [b"", b"one\r\n\r\n", bytes(range(256)) * 40, b"WARC/1.0\r\n", "é".encode()] * 30
+    records = [b"WARC/1.%d\r\nWARC-Type: x\r\nContent-Length: %d\r\n\r\n" % (i % 2, len(b)) + b + b"\r\n\r\n" for i, b in enumerate(blocks)]
+    (tmp_path / form).write_bytes(b"".join(gzip.compress(r) for r in records) if form.endswith("gz") else b"".join(records))
+    rows = read_warc_files(spark, str(tmp_path))
+    assert "mapInPandas" not in rows._jdf.queryExecution().toString()  # no file is read whole
+    assert sorted((bytes(r.header), bytes(r.block)) for r in rows.collect()) == sorted(split_warc(b"".join(records)))
+    assert {r.path.rsplit("/", 1)[1] for r in rows.select("path").distinct().collect()} == {form}
+
+
+def test_very_long_payloads(spark):
+    path = scratch_path(spark, "t")
+    big = "long payload é " * 400_000
+    write_archive(spark.createDataFrame([(1, "u", big), (2, "u", big)], "page_id long, url string, html string"), path)
+    rows = fields(reconstruct(*read_archive(spark, path))).collect()
+    assert [bytes(r.payload) == big.encode() for r in rows] == [True, True] and {r.record_type for r in rows} == {"response", "revisit"}
 
 
 def test_damage_is_noticed(spark, pages):
