@@ -13,7 +13,7 @@ from foliant.llm.common import settle
 from foliant.llm.decontamination import drop_contaminated
 from foliant.llm.jaccard import drop_near_copies
 from foliant.llm.mixing import mix_documents
-from foliant.llm.sharding import assign_shards
+from foliant.llm.sharding import assign_shards, write_shards
 from foliant.llm.toxicity import drop_toxic
 
 
@@ -52,9 +52,18 @@ STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("decontaminatio
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written and read again."""
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written and read again: the shard and slot of every row of the mix."""
+    return STAGES[-1][1](spark, _mixed(spark, sf_dir), sf_dir)
+
+
+def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """``run``, and the mixed documents themselves written below ``path``, one folder a shard; returns the placements."""
+    return write_shards(_mixed(spark, sf_dir), path)
