@@ -71,3 +71,11 @@ def test_dropping_ids(spark, frame):
     assert drop_ids(df, gone.limit(0), "doc_id").count() == 502
     held = df.where(may_hold(gone.where("g is not null"), "g")(df["doc_id"]))
     assert {i for i in range(0, 500, 7)} <= {r.doc_id for r in held.collect()}
+
+
+def test_the_corpus_is_written(spark, folder, tmp_path):
+    path, by, *_ = folder
+    placed = corpus_pipeline.write_corpus(spark, path, f"{tmp_path}/corpus")
+    rows = spark.read.parquet(f"{tmp_path}/corpus").collect()
+    assert sorted((r.doc_id, r.shard, r.slot) for r in rows) == sorted((r.doc_id, r.shard, r.slot) for r in placed.collect())
+    assert all(r.text == by[r.doc_id][1] for r in rows) and len({r.doc_id for r in rows}) < len(rows)
