@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import strip
 
 #: Words that mark a line as a watermark when they are all of it.
-WATERMARKS = ("水印", "草稿", "内部资料", "机密", "样本", "CONFIDENTIAL", "DRAFT", "SAMPLE", "WATERMARK")
+WATERMARKS = ("内部文件", "内部资料", "内部使用", "仅供内部使用", "绝密", "机密", "秘密", "保密", "请勿外传", "严禁外传", "禁止复制")
 LEAST_EFFECTIVE = 10
 
 
@@ -23,29 +27,68 @@ def noise_reason(line: Column) -> Column:
     n = F.length(line)
     fffd = n - F.length(F.replace(line, F.lit("�"), F.lit("")))
     return (
-        F.when(line == "", "blank").when((n > 5) & (fffd / n > 0.3), "encoding").when(line.rlike(r"([一-鿿×])\1{3,}"), "repeated")
-        .when(line.rlike(r"(.)\1{7,}"), "repeated").when(line.rlike(r"^[一-鿿×]{1,2}$"), "fragment")
-        .when((n <= 10) & F.upper(line).isin(*WATERMARKS), "watermark").when(line.rlike(r"^\|?[\s:|-]+\|?$"), "separator")
+        F.when(line == "", "blank").when((n > 5) & (fffd / n > 0.3), "encoding").when(line.rlike(r"([一-龥])\1{3,}"), "repeated")
+        .when(line.rlike(r"(.)\1{7,}"), "repeated").when(line.rlike(r"^[一-龥×]{1,2}$"), "fragment")
+        .when((n <= 10) & line.isin(*WATERMARKS), "watermark").when(line.rlike(r"^\|[\s|-]+\|$"), "separator")
     )
 
 
 def effective_chars(text: Column) -> Column:
     """Ideographs, ASCII letters and digits."""
-    return F.regexp_count(text, F.lit(r"[一-鿿A-Za-z0-9]"))
+    return F.regexp_count(text, F.lit(r"[一-龥A-Za-z0-9]"))
+
+
+_REPEATED, _ANY_REPEATED = re.compile(r"([一-龥])\1{3,}"), re.compile(r"(.)\1{7,}")
+_FRAGMENT, _SEPARATOR = re.compile(r"^[一-龥×]{1,2}$"), re.compile(r"^\|[\s|-]+\|$")
+
+
+def _is_noise(line: str) -> bool:
+    """Broken encoding, runs of one character, seal fragments, watermark words."""
+    return (len(line) > 5 and line.count("\ufffd") / len(line) > 0.3) or bool(_ANY_REPEATED.search(line) or _FRAGMENT.match(line)) or (len(line) <= 10 and line in WATERMARKS)
+
+
+def _is_marked(line: str) -> bool:
+    """Watermarks: an ideograph four times over, table separators, table rows of one ideograph."""
+    if _REPEATED.search(line):
+        return True
+    if not (line.startswith("|") and line.endswith("|")):
+        return False
+    cells = {c for c in (x.strip() for x in line.split("|")) if c and c != "---"}
+    return bool(_SEPARATOR.match(line)) or (len(cells) == 1 and bool(re.fullmatch("[一-龥]", next(iter(cells)))))
 
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, cleaned): noise lines go, a run of equal lines keeps two, texts of under ten effective characters become empty.
+def clean_text(text: str | None, margins: bool = False) -> str:
+    """One text without its noise: of a run of equal lines two stay; under ten effective characters nothing does.
 
-    One window per document over its lines; documents are the unit of work and lines never leave them.
+    With ``margins`` lines of at most 30 characters that occur three times or more go as well.
     """
-    at = Window.partitionBy(id_col).orderBy("line_no")
-    kept = lines(docs, id_col, text_col).where(noise_reason(F.col("line")).isNull())
-    kept = kept.withColumn("run", F.sum(F.when(F.col("line").eqNullSafe(F.lag("line").over(at)), 0).otherwise(1)).over(at))
-    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy(id_col, "run").orderBy("line_no"))).where("nth <= 2")
-    joined = kept.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("cleaned"))
-    out = docs.select(id_col).join(joined, id_col, "left").withColumn("cleaned", F.coalesce("cleaned", F.lit("")))
-    return out.withColumn("cleaned", F.when(effective_chars(F.col("cleaned")) < LEAST_EFFECTIVE, "").otherwise(F.col("cleaned")))
+    rows = [(x, x.strip()) for x in (text or "").splitlines()]
+    often = {x for x, n in Counter(s for _, s in rows if s and len(s) <= 30).items() if n >= 3} if margins else ()
+    out: list[str] = []
+    before, again = None, 0
+    for line, s in rows:
+        if not s:
+            before, again = s, 0
+            continue
+        if s in often or _is_marked(s):
+            continue
+        again = again + 1 if s == before else 0
+        if again >= 2 or _is_noise(s):
+            continue
+        before = s
+        out.append(line)
+    cleaned = "\n".join(out)
+    return cleaned if len(re.findall(r"[一-龥A-Za-z0-9]", cleaned)) >= LEAST_EFFECTIVE else ""
+
+
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margins: bool = False) -> DataFrame:
+    """(id, cleaned) of every document row, null texts empty: a narrow Arrow stage in which lines never leave their document."""
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: clean_text(t, margins))
+
+    return docs.select(id_col, cleaned(F.coalesce(F.col(text_col), F.lit(""))).alias("cleaned"))
 
 
 def frequent_short_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = 30, times: int = 3) -> DataFrame:

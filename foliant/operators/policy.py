@@ -42,6 +42,14 @@ def safe_regex(pattern: str) -> re.Pattern | None:
         return None
 
 
+def occurrences(text: str, word: str, most: int = MOST_HITS) -> int:
+    """Places where a word begins, overlapping ones too, counted up to ``most``."""
+    n, at = 0, text.find(word) if word else -1
+    while at >= 0 and n < most:
+        n, at = n + 1, text.find(word, at + 1)
+    return n
+
+
 def filter_text(text: str | None, policies: list[Policy]) -> tuple[str, bool, list[int], int]:
     """Text after masking in order of priority, whether it is blocked, the ids that matched, and hits counted before each mask."""
     out, ids, hits = text or "", [], 0
@@ -50,7 +58,7 @@ def filter_text(text: str | None, policies: list[Policy]) -> tuple[str, bool, li
             rx = safe_regex(p.value) if len(out) <= MOST_REGEX_INPUT else None
             n = min(sum(1 for _ in rx.finditer(out)), MOST_HITS) if rx else 0
         else:
-            rx, n = None, min(out.count(p.value), MOST_HITS) if p.value else 0
+            rx, n = None, occurrences(out, p.value)
         if not n:
             continue
         ids.append(p.id)

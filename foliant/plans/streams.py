@@ -13,10 +13,11 @@ from foliant.streaming import tasks, windows
 from .registry import query
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
+def _stream(spark: SparkSession, d: str, files: int | None = None) -> DataFrame:
     """``events`` as a stream of files; a single file is read through its folder."""
     schema = read(spark, d, "events").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    reader = spark.readStream.option("maxFilesPerTrigger", files) if files else spark.readStream
+    s = reader.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -24,17 +25,23 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream until its input is used up, and its result as a table in the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="foliant-stream-")
     at = f"{base.rstrip('/')}/foliant/stream-{uuid.uuid4().hex[:12]}"
 
+    epochs: list[int] = []
+
     def write(df: DataFrame, epoch: int) -> None:
+        epochs.append(epoch)
         df.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
 
     q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out/epoch=*")
+    last = f"epoch={max(epochs)}" if mode == "complete" and epochs else "epoch=*"  # a complete result replaces earlier ones
+    return spark.read.schema(stream.schema).parquet(f"{at}/out/{last}")
 
 
 @query("select time_bucket(interval '1 day', ts) as day, event_type, count(*) as n from events group by all")

@@ -43,15 +43,15 @@ def _retry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     """One task's failures: each asks for a retry after a growing delay, until it goes to the dead letters."""
     attempts, = state.get if state.exists else (0,)
     out = []
-    for pdf in batches:
-        for at, ok in sorted(zip(pdf["ts"], pdf["ok"], strict=True)):
-            if ok:
-                attempts = 0
-                continue
-            attempts += 1
-            dead = attempts >= MOST_ATTEMPTS
-            out.append((key[0], at, attempts, "DEAD" if dead else "RETRY", at + pd.Timedelta(seconds=0 if dead else DELAY_SECONDS * attempts)))
-            attempts = 0 if dead else attempts
+    # a task's results of one micro-batch in time order, however many Arrow batches they come in
+    for at, ok in sorted(x for pdf in batches for x in zip(pdf["ts"], pdf["ok"], strict=True)):
+        if ok:
+            attempts = 0
+            continue
+        attempts += 1
+        dead = attempts >= MOST_ATTEMPTS
+        out.append((key[0], at, attempts, "DEAD" if dead else "RETRY", at + pd.Timedelta(seconds=0 if dead else DELAY_SECONDS * attempts)))
+        attempts = 0 if dead else attempts
     state.update((attempts,))
     yield pd.DataFrame(out, columns=["task_id", "ts", "attempt", "action", "due"])
 

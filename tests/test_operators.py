@@ -57,10 +57,12 @@ def test_policies():
 
 
 def test_cleaning(spark):
-    text = "标题行内容很长很长\n同一行内容\n同一行内容\n同一行内容\n水印\n\n哈哈哈哈哈\n��������x\n--------\n|---|---|\n最后一行 with  blanks"
+    text = "标题行内容很长很长\n同一行内容\n同一行内容\n同一行内容\n机密\n水印\n\n哈哈哈哈哈\n��������x\n--------\n|---|---|\n|密|密|\n最后一行 with  blanks"
     df = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.cleaned for r in C.clean_documents(df).collect()}
-    assert got == {1: "标题行内容很长很长\n同一行内容\n同一行内容\n最后一行 with blanks", 2: "", 3: ""}
+    assert got == {1: "标题行内容很长很长\n同一行内容\n同一行内容\n最后一行 with  blanks", 2: "", 3: ""}
+    assert C.clean_text("页眉文字在此\n甲乙丙丁戊己庚辛壬癸\n" * 3, margins=True) == "" and C.clean_text("AAAAABBBBB\nx\n" * 3).count("x") == 3
+    assert C.clean_text("line one is here\n" * 2 + "\n" + "line one is here\n" * 3).count("one") == 4  # a blank line starts a new run
     boxes = [(1, p, y0, y1, t) for p in range(3) for y0, y1, t in ((0.0, 5.0, "页眉 2024-01-0%d" % (p + 1)), (50.0, 60.0, "body"), (95.0, 100.0, f"第 {p} 页"))]
     drop = C.repeated_margins(spark.createDataFrame(boxes, "doc_id int, page_idx int, y0 double, y1 double, text string")).where("drop").count()
     assert drop == 6
@@ -69,20 +71,52 @@ def test_cleaning(spark):
 
 
 def test_document_types_and_chunks(spark):
-    law = "第一章 总则\n第一条 为了规范管理工作，根据有关法律制定本条例，适用于全省范围。\n（一）有关部门应当履行职责\n第二条 本条例自发布之日起施行，由省政府负责解释工作。"
-    talk = "询问笔录\n问：你叫什么名字\n答：我叫张三\n问：住在哪里\n答：住在兰州"
+    law = "第一章 总则\n第一条 为了规范管理工作，根据有关法律制定本条例，适用于全省范围。\n（一）有关部门应当履行职责，并向社会公布办理的结果和期限\n第二条 本条例自发布之日起施行，由省政府负责解释工作。"
+    talk = "询问笔录\n依据《刑事诉讼法》，派出所立案\n问：你叫什么名字\n答：我叫张三\n问：住在哪里\n答：住在兰州\n城关区"
     df = spark.createDataFrame([(1, law, "s"), (2, talk, "s"), (3, "One sentence here is long. Another one follows it now! End", "s"), (4, None, "s")], "doc_id long, text string, source string")
     kinds = {r[0]: r[1] for r in df.select("doc_id", K.document_type(F.col("text"))).collect()}
     assert kinds == {1: "法规", 2: "公安文书", 3: "通用", 4: "通用"}
     chunks = K.chunk_documents(df)
-    fine = {(r.doc_id, r.chunk_type) for r in chunks.where("granularity = 'fine'").collect()}
-    assert fine == {(1, "article"), (1, "clause"), (2, "qa"), (3, "body")}
+    fine = {(r.doc_id, r.seq): (r.section_path, r.content) for r in chunks.where("granularity = 'fine'").collect()}
+    first, item = law.split("\n")[1:3]
+    assert fine == {
+        (1, 0): ("第一条/（一）", f"{first}：{item}"),
+        (1, 1): ("第一条", f"[第一条] {first}\n{item}"),
+        (1, 2): ("第二条", "[第二条] 第二条 本条例自发布之日起施行，由省政府负责解释工作。"),
+        (2, 0): ("问答/第1对", "[询问笔录] 问：你叫什么名字 答：我叫张三"),
+        (2, 1): ("问答/第2对", "[询问笔录] 问：住在哪里 答：住在兰州 城关区"),
+        (3, 0): ("", "One sentence here is long. Another one follows it now! End"),
+    }
     paths = {r.section_path for r in chunks.where("doc_id = 1 and granularity = 'coarse'").collect()}
     assert paths == {"第一章 总则"}
     assert K.link_parents(chunks).where("doc_id = 3 and parent_chunk_id is not null").count() >= 1
     assert [len(p) for p in K.split_long("a" * 30 + ". " + "b" * 700, 250, 200)] == [31, 250, 250, 200]
 
 
+def test_fine_chunks_by_hand():
+    rule = "前言不入细片\n第三条 申请人应当符合下列条件，并按规定提交有关的材料：\n（一）具有独立承担民事责任的能力并且依法登记注册\n住所在本省\n但有下列情形的：\n（一）有违法记录且未满三年的单位一律不得提出申请\n第一款 主管部门应当自收到申请之日起二十日内作出决定\n依据《安全法》第三条执行"
+    got = [("/".join(c.path), c.content) for c in K.fine_chunks(rule)]
+    head = "第三条 申请人应当符合下列条件，并按规定提交有关的材料"
+    assert got[0] == ("第三条/（一）", f"[设立条件] {head}：（一）具有独立承担民事责任的能力并且依法登记注册 住所在本省")
+    assert got[1] == ("第三条/但书/（一）", "但有下列情形的：（一）有违法记录且未满三年的单位一律不得提出申请")
+    assert got[2][0] == "第三条/但书/第一款" and got[2][1].endswith("作出决定 依据《安全法》第三条执行")
+    assert got[3] == ("第三条/但书", "[第三条/但书] " + rule.split("\n", 1)[1]) and len(got) == 4
+    minutes = "会议决定如下：\n一、同意城关区提出的供水改造方案\n由住建局牵头\n二、散会"
+    assert [c.content for c in K.fine_chunks(minutes)][:1] == ["[会议决议] 一、同意 一、同意城关区提出的供水改造方案 由住建局牵头"]
+    table = "|姓名|职务|\n|---|---|\n|张三丰|主任科员|\n|李四|x|"
+    assert [(c.kind, c.content) for c in K.fine_chunks(table)] == [("table", "姓名: 张三丰，职务: 主任科员")]
+    long = "第一条 " + "这是一个完整的句子并且不太短。" * 40
+    parts = [c.content for c in K.fine_chunks(long, 250)]
+    assert len(parts) == 3 and parts[0].startswith("[第一条（第1段）] 第一条") and "".join(p.split("] ", 1)[1] for p in parts) == long
+    report = "会议总结\n一是加强组织领导和统筹协调工作；二是压实各级各部门的主体责任；三是强化督促检查和结果运用。"
+    assert len(K.fine_chunks(report)) == 3
+
+
+def test_overlapping_words_are_counted():
+    p = P.Policy(1, "WORD", "aa")
+    assert P.filter_text("aaaa", [p]) == ("******", False, [1], 3) and P.occurrences("a" * 5000, "aa") == 1000 and P.occurrences("x", "") == 0
+
+
 def test_parsers(spark):
     assert outline("<nav>x</nav><h2>T &amp; U</h2><p>a<b>b</b></p><ul><li>1<li>2</ul><script>z</script>") == "## T & U\nab\n1\n2"
     import io

@@ -22,3 +22,22 @@ def test_outbox_and_recovery(spark):
     assert [tuple(r[0]) for r in df.select(tasks.outbox_step(F.col("s"), F.col("ok"), F.col("n"))).collect()] == [("DONE", 0), ("READY", 1), ("FAILED", 3), ("DONE", 1)]
     m = spark.createDataFrame([(1,), (15,), (60,)], "m int").select(tasks.recovery_action(F.col("m"))).collect()
     assert [r[0] for r in m] == ["WAIT", "REQUEUE", "ERROR"]
+
+
+def test_several_micro_batches(spark, tmp_path):
+    """Complete results replace each other; attempts go on over micro-batches and follow time within one."""
+    import datetime
+
+    rows = [(i, datetime.datetime(2024, 1, 1 + i // 40, 0, i % 40), i % 3, "error" if i % 2 else "view", 1.0, "{}") for i in range(120)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    for k in range(3):
+        spark.createDataFrame(rows[k * 40 : k * 40 + 40][::-1], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    from foliant.plans import streams
+    from foliant.streaming import tasks, windows
+
+    s = streams._stream(spark, str(tmp_path), files=1)
+    counted = streams._drained(spark, windows.tumbling(s, "1 day", None).select("window", "event_type", "n"), "complete")
+    assert sum(r.n for r in counted.collect()) == 120 and counted.count() == 6
+    s = streams._stream(spark, str(tmp_path), files=1).select(F.lit(5).cast("long").alias("task_id"), "ts", F.lit(False).alias("ok"))
+    out = streams._drained(spark, tasks.retry_queue(s), "append").orderBy("ts").collect()
+    assert [r.attempt for r in out] == [i % 8 + 1 for i in range(120)]
