@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.sources.tables import spread
+
 #: Patterns of document types in the order in which ties are decided, and (max, min, target, overlap).
 DOC_TYPES = {
     "法规": (("第[一二三四五六七八九十百千零\\d]+条", "本办法", "本条例", "本规定", "本细则"), (400, 80, 280, 0)),
@@ -339,7 +341,7 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (id, chunk_id, granularity, seq, chunk_type, section_path, content, display_content, quality_score); chunks with a
     quality under 0.3 are left out.
     """
-    typed = docs.select(F.col(id_col).alias("id"), F.concat_ws("/", F.col(source_col), F.col(id_col).cast("string")).alias("source"), F.col(text_col).alias("text"), document_type(F.col(text_col)).alias("doc_type"))
+    typed = spread(docs.select(id_col, text_col, source_col)).select(F.col(id_col).alias("id"), F.concat_ws("/", F.col(source_col), F.col(id_col).cast("string")).alias("source"), F.col(text_col).alias("text"), document_type(F.col(text_col)).alias("doc_type"))
     sizes = {name: s for name, (_, s) in DOC_TYPES.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

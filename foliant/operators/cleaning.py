@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import strip
+from foliant.sources.tables import spread
 
 #: Words that mark a line as a watermark when they are all of it.
 WATERMARKS = ("内部文件", "内部资料", "内部使用", "仅供内部使用", "绝密", "机密", "秘密", "保密", "请勿外传", "严禁外传", "禁止复制")
@@ -88,7 +89,7 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cleaned(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: clean_text(t, margins))
 
-    return docs.select(id_col, cleaned(F.coalesce(F.col(text_col), F.lit(""))).alias("cleaned"))
+    return spread(docs.select(id_col, text_col)).select(id_col, cleaned(F.coalesce(F.col(text_col), F.lit(""))).alias("cleaned"))
 
 
 def frequent_short_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = 30, times: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import tokens
+from foliant.sources.tables import spread
 
 K1, B = 1.2, 0.75
 
@@ -18,20 +19,47 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens a text has, without making them."""
+    return F.regexp_count(F.lower(text), F.lit("[a-z0-9]+"))
+
+
+def term_counts(text: Column, terms: list[str]) -> Column:
+    """How often each of a few terms is among a text's tokens, in the terms' order; nothing is split or exploded."""
+    low = F.lower(text)
+    # the pattern starts with the term itself, which the JVM looks for as a literal
+    each = [F.when(F.contains(low, F.lit(w)), F.regexp_count(low, F.lit(f"{w}(?<![a-z0-9]{w})(?![a-z0-9])"))).otherwise(0) for w in terms]
+    return F.array(*each)
+
+
+def bm25_stats(counted: DataFrame, terms: list[str]) -> DataFrame:
+    """One row: number of rows (len, tf), their mean length, and for each term the rows that hold it."""
+    held = [F.sum((F.col("tf")[i] > 0).cast("long")) for i in range(len(terms))]
+    return counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), F.array(*held).alias("df"))
+
+
+def bm25_score() -> Column:
+    """Score of a row (len, tf) beside the one row of ``bm25_stats``."""
+    idf = F.transform("df", lambda d: F.log(1 + (F.col("n_docs") - d + 0.5) / (d + 0.5)))
+    part = F.zip_with("tf", idf, lambda f, w: w * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))
+    return F.aggregate(part, F.lit(0.0), lambda s, x: s + x)
+
+
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of documents that hold any of the terms.
+    """(id, score) of the rows that hold any of the terms, every row a document.
 
-    Statistics (number, mean length, document frequencies) are aggregates of fixed size; scores need one shuffle of the
-    query terms' postings.
+    Statistics are one row, from one aggregate; scores are a projection beside it, and nothing else is shuffled.
     """
-    lengths = docs.select(id_col, F.size(tokens(F.col(text_col))).alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    hits = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("t")).select(id_col, F.size("t").alias("len"), F.explode("t").alias("term")).where(F.col("term").isin(*terms))
-    tf = hits.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row a query term
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy(id_col).agg(F.sum(part).alias("score"))
+    counted = spread(docs.select(id_col, text_col)).select(id_col, token_count(F.col(text_col)).alias("len"), term_counts(F.col(text_col), terms).alias("tf"))
+    hits = counted.where(F.exists("tf", lambda f: f > 0))
+    return hits.crossJoin(F.broadcast(bm25_stats(counted, terms))).select(id_col, bm25_score().alias("score"))
+
+
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df, cf): rows that hold a term and its occurrences, combined before the shuffle."""
+    t = spread(docs.select(text_col)).select(tokens(F.col(text_col)).alias("t"))
+    each = F.concat(F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))), F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))))
+    return t.select(F.explode(each).alias("e")).groupBy("e.term").agg(F.sum("e.d").alias("df"), F.sum("e.c").alias("cf"))
 
 
 def top_k(scored: DataFrame, k: int, id_col: str = "doc_id", score: str = "score") -> DataFrame:

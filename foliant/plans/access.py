@@ -66,7 +66,7 @@ def department_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return A.ancestors(n.unionByName(r).unionByName(root))
 
 
-_ACL = "select l_orderkey as source_name, case when l_returnflag = 'R' then 'DENY' when l_returnflag = 'A' then 'ALLOW' else 'ABSTAIN' end as effect from lineitem where l_linenumber <= 2 and l_suppkey % 7 = 1"
+_ACL = "select l_orderkey as source_name, case when l_linenumber > 2 or l_suppkey % 7 <> 1 then 'ABSTAIN' when l_returnflag = 'R' then 'DENY' when l_returnflag = 'A' then 'ALLOW' else 'ABSTAIN' end as effect from lineitem"
 
 
 @query(f"select source_name, case when bool_or(effect = 'DENY') then 'DENY' when bool_or(effect = 'ALLOW') then 'ALLOW' else 'ABSTAIN' end as decision from ({_ACL}) group by source_name")
@@ -75,13 +75,13 @@ def acl_decision_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _effects(spark: SparkSession, d: str) -> DataFrame:
-    e = F.when(F.col("l_returnflag") == "R", "DENY").when(F.col("l_returnflag") == "A", "ALLOW").otherwise("ABSTAIN")
-    return read(spark, d, "lineitem").where("l_linenumber <= 2 and l_suppkey % 7 = 1").select(F.col("l_orderkey").alias("source_name"), e.alias("effect"))
+    e = F.when(F.expr("l_linenumber > 2 or l_suppkey % 7 <> 1"), "ABSTAIN").when(F.col("l_returnflag") == "R", "DENY").when(F.col("l_returnflag") == "A", "ALLOW").otherwise("ABSTAIN")
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_name"), e.alias("effect"))
 
 
 @query(f"""
     {_DOCS}, dec as (select source_name, case when bool_or(effect = 'DENY') then 'DENY' when bool_or(effect = 'ALLOW') then 'ALLOW' else 'ABSTAIN' end as decision from ({_ACL}) group by source_name),
-    gr as (select distinct l_orderkey as s from lineitem where l_suppkey % 10 = 7)
+    gr as (select distinct s from (select l_orderkey as s, case when l_suppkey % 10 = 7 then '7' else '8' end as grantee_id from lineitem) where grantee_id = '7')
     select reason, count(*) as n from (
       select case when status = 'DELETED' then 'deny:deleted' when decision = 'DENY' then 'deny:acl' when decision = 'ALLOW' then 'allow:acl' when coalesce(visibility, 'PRIVATE') = 'PUBLIC' then 'allow:public'
         when visibility = 'INTERNAL' then 'allow:internal' when visibility = 'DEPT' and nk = 3 then 'allow:dept' when o_custkey = 7 then 'allow:owner' when visibility = 'GRANT' and s is not null then 'allow:grant'
@@ -90,7 +90,7 @@ def _effects(spark: SparkSession, d: str) -> DataFrame:
 """)
 def access_decisions(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).withColumnRenamed("o_orderkey", "source_name")
-    grants = read(spark, d, "lineitem").where("l_suppkey % 10 = 7").select(F.col("l_orderkey").alias("source_name"), F.lit("7").alias("grantee_id"))
+    grants = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_name"), F.expr("case when l_suppkey % 10 = 7 then '7' else '8' end").alias("grantee_id"))
     out = A.decide(docs, A.fold_decisions(_effects(spark, d), ["source_name"]), grants, WHO)
     return out.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

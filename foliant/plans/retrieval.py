@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import search as S
 from foliant.sources.tables import read_table as read
+from foliant.sources.tables import spread
 
 from .registry import query
 from .text import TOK
@@ -41,16 +42,12 @@ BM25_SQL = f"""
 """)
 def search_clean_chunk_bm25(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: split documents into sentence passages, score them by BM25, keep the best documents."""
-    passages = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("x")).select("doc_id", F.trim("x").alias("x")).where(F.length("x") >= 20)
-    each = passages.select("doc_id", "x", T.tokens(F.col("x")).alias("t"))
-    stats = each.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
-    hits = each.groupBy("doc_id", "x").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("copies"))
-    tf = hits.select("doc_id", "x", "copies", F.size("t").alias("len"), F.explode("t").alias("term")).where(F.col("term").isin(*TERMS))
-    tf = tf.groupBy("doc_id", "x", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), F.first("copies").alias("copies"))
-    df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (S.K1 + 1) / (F.col("tf") + S.K1 * (1 - S.B + S.B * F.col("len") / F.col("avg_len")))
-    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("doc_id", "x").agg(F.sum(part).alias("score"))
+    passages = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 20)
+    docs = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", passages.alias("p"))
+    counted = lambda p: docs.select("doc_id", F.explode(p).alias("x")).select("doc_id", S.token_count(F.col("x")).alias("len"), S.term_counts(F.col("x"), TERMS).alias("tf"))
+    # every passage counts in the statistics; a passage that a document repeats is scored once
+    hits = counted(F.array_distinct("p")).where(F.exists("tf", lambda f: f > 0))
+    scored = hits.crossJoin(F.broadcast(S.bm25_stats(counted(F.col("p")), TERMS))).select("doc_id", S.bm25_score().alias("score"))
     best = scored.groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("best"), F.count(F.lit(1)).alias("passages"))
     return best.orderBy(F.desc("best"), "doc_id").limit(10)
 
@@ -73,8 +70,7 @@ def postings_of_terms(spark: SparkSession, d: str) -> DataFrame:
     select term, count(distinct doc_id) as df, count(*) as cf from h group by term having count(distinct doc_id) >= 5
 """)
 def document_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    tf = S.postings(read(spark, d, "documents"))
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where("df >= 5")
+    return S.document_frequencies(read(spark, d, "documents")).where("df >= 5")
 
 
 @query(f"""

@@ -113,27 +113,29 @@ def analyze_tokens(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), both.alias("has_both"))
 
 
-@query("""
-    with q as (select item_id, lower(substring(text, 1, 20)) as q from benchmark),
-    g as (select item_id, q, list_distinct(list_transform(generate_series(1, length(q) - 1), lambda i: substring(q, i, 2))) as grams from q where length(q) >= 2),
-    c as (select substring(lower(text), 1, 400) as t, doc_id from documents where doc_id < 20)
-    select item_id, doc_id, round(len(list_filter(grams, lambda x: contains(t, x))) / len(grams), 6) as overlap from g, c
-""")
+def _overlap_sql(n: int) -> str:
+    return f"""
+        with n as (select conv_id, turn, role, lower(text) as q, lead(role) over (partition by conv_id order by turn) as next_role, lower(lead(text) over (partition by conv_id order by turn)) as a from conversations),
+        g as (select conv_id, turn, a, list_distinct(list_transform(generate_series(1, length(q) - {n - 1}), lambda i: substring(q, i, {n}))) as grams from n where role = 'user' and next_role = 'assistant' and length(q) >= {n} and a is not null)
+        select conv_id, turn, round(len(list_filter(grams, lambda x: contains(a, x))) / len(grams), 6) as overlap from g
+    """
+
+
+def _overlap(spark: SparkSession, d: str, n: int) -> DataFrame:
+    pairs = E.qa_pairs(read(spark, d, "conversations")).where(f"length(question) >= {n} and answer is not null")
+    return pairs.select("conv_id", "turn", F.round(T.ngram_overlap(F.col("question"), F.col("answer"), n), 6).alias("overlap"))
+
+
+@query(_overlap_sql(2))
 def bigram_overlap(spark: SparkSession, d: str) -> DataFrame:
-    items = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 20).alias("q")).where(F.length("q") >= 2)
-    docs = read(spark, d, "documents").where("doc_id < 20").select("doc_id", F.substring("text", 1, 400).alias("t"))  # a probe of twenty documents
-    return items.crossJoin(F.broadcast(docs)).select("item_id", "doc_id", F.round(T.ngram_overlap(F.col("q"), F.col("t"), 2), 6).alias("overlap"))
+    """Character bigrams of every question that its answer holds, whole texts."""
+    return _overlap(spark, d, 2)
 
 
-@query("""
-    with n as (select conv_id, turn, role, lower(text) as q, lead(role) over (partition by conv_id order by turn) as next_role, lower(lead(text) over (partition by conv_id order by turn)) as a from conversations),
-    g as (select conv_id, turn, a, list_distinct(list_transform(generate_series(1, length(q) - 1), lambda i: substring(q, i, 2))) as grams from n where role = 'user' and next_role = 'assistant' and length(q) >= 2 and a is not null)
-    select conv_id, turn, round(len(list_filter(grams, lambda x: contains(a, x))) / len(grams), 6) as overlap from g
-""")
+@query(_overlap_sql(3))
 def answer_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Bigram overlap of every question with its answer, whole texts; ``bigram_overlap`` is a probe of twenty documents."""
-    pairs = E.qa_pairs(read(spark, d, "conversations")).where("length(question) >= 2 and answer is not null")
-    return pairs.select("conv_id", "turn", F.round(T.ngram_overlap(F.col("question"), F.col("answer"), 2), 6).alias("overlap"))
+    """Character trigrams of every question that its answer holds, whole texts."""
+    return _overlap(spark, d, 3)
 
 
 @query(r"""
