@@ -35,11 +35,11 @@ RARE = 256
 WINDOW, HIDDEN = 2, 32
 ROUNDS, STEP_TOKENS, RATE = 1, 4_096, 1.0
 CHUNK = 1 << 13
-#: Words whose hash is kept while a task runs.
-CACHED_WORDS = 200_000
 BLOCKS, FAN_IN = 16, 64
 #: Words of one training shard; beyond MOST_SHARDS shards they grow instead.
 SHARD_WORDS, MOST_SHARDS = 2_000_000, 16_384
+#: Words counted in a task before they are passed on.
+COUNTED_WORDS = 500_000
 #: Tokens scored at once, so that one batch of very long texts needs no more memory than a short one.
 SCORED_TOKENS = 1 << 18
 PAD = SLOTS
@@ -56,22 +56,13 @@ class Slots(dict):
     """Word -> code: the slot of a vocabulary word, and of any other its XXH64 with seed 42, as Spark's.
 
     Words beyond the vocabulary share the last RARE slots by that hash; ``totals`` holds the occurrences in each of those.
-    Their hashes are kept while a task runs, for at most CACHED_WORDS words.
     """
 
     totals = np.zeros(RARE)
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 42)
-        h += SLOTS if h < SLOTS else 0
-        kept = self.__dict__.setdefault("kept", [])
-        if len(kept) >= CACHED_WORDS:
-            for w in kept:
-                del self[w]
-            kept.clear()
-        kept.append(word)
-        self[word] = h
-        return h
+        return h if h >= SLOTS else h + SLOTS
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
@@ -155,7 +146,7 @@ class Network:
         """One gradient step on the mean negative log-probability of the tokens at ``at``."""
         _, word, of, around, spans = _by_class(tokens, at)
         h, rows = self.hidden(around), np.arange(len(at))
-        scale, n = np.float32(rate), np.float32(len(at))
+        scale, n, ones = np.float32(rate), np.float32(len(at)), np.ones(len(at), np.float32)
         p = _softmax(h @ self.classes + self.class_bias)
         p[rows, of] -= 1
         back, change = p @ self.classes.T, h.T @ p
@@ -170,12 +161,12 @@ class Network:
             back[lo:hi] += own @ self.words[c].T
             share = scale / np.float32(max(hi - lo, 8))
             self.words[c] -= share * (h[lo:hi].T @ own)
-            self.word_bias[c] -= share * own.sum(axis=0)
+            self.word_bias[c] -= share * (ones[lo:hi] @ own)
         self.classes -= scale / n * change
-        self.class_bias -= scale / n * p.sum(axis=0)
+        self.class_bias -= scale / n * (ones @ p)
         h *= h
         back *= np.subtract(1, h, out=h)
-        self.bias -= scale / n * back.sum(axis=0)
+        self.bias -= scale / n * (ones @ back)
         back *= scale / np.float32(16)  # a context slot is hit by few of a step's tokens
         np.clip(back, -0.1, 0.1, out=back)
         for table, held in zip(self.context, around, strict=True):
@@ -235,7 +226,7 @@ def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
         for batch in batches:
             for t in batch.column(0):
                 held.update(words_of(t.as_py()))
-            if len(held) > 300_000:
+            if len(held) > COUNTED_WORDS:
                 yield flush()
                 held = Counter()
         yield flush()
