@@ -128,16 +128,23 @@ class Network:
             h += table.take(tokens, axis=0)
         return np.tanh(h, out=h)
 
+    def safe(self) -> tuple[bool, bool]:
+        """Whether no value of the class layer, and of the word layer, can leave what float32 can take to a power: hidden values lie within 1."""
+        of_class = np.abs(self.classes).sum(axis=0) + np.abs(self.class_bias)
+        of_word = np.abs(self.words).sum(axis=1) + np.abs(self.word_bias)
+        return bool(of_class.max() < 60), bool(of_word.max() < 60)
+
     def log_probs(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Conditional log-probability of each token at ``at``, from both sides."""
         order, word, of, around, spans = _by_class(tokens, at)
         h, rows = self.hidden(around), np.arange(len(at))
-        found = _log_softmax(h @ self.classes + self.class_bias, rows, of)
+        safe = self.safe()
+        found = _log_softmax(h @ self.classes + self.class_bias, rows, of, safe[0])
         z = np.empty((len(at), PER_CLASS), np.float32)
         for c, lo, hi in spans:
             np.matmul(h[lo:hi], self.words[c], out=z[lo:hi])
             z[lo:hi] += self.word_bias[c]
-        found += _log_softmax(z, rows, word)
+        found += _log_softmax(z, rows, word, safe[1])
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -147,14 +154,15 @@ class Network:
         _, word, of, around, spans = _by_class(tokens, at)
         h, rows = self.hidden(around), np.arange(len(at))
         scale, n, ones = np.float32(rate), np.float32(len(at)), np.ones(len(at), np.float32)
-        p = _softmax(h @ self.classes + self.class_bias)
+        safe = self.safe()
+        p = _softmax(h @ self.classes + self.class_bias, safe[0])
         p[rows, of] -= 1
         back, change = p @ self.classes.T, h.T @ p
         q = np.empty((len(at), PER_CLASS), np.float32)
         for c, lo, hi in spans:
             np.matmul(h[lo:hi], self.words[c], out=q[lo:hi])
             q[lo:hi] += self.word_bias[c]
-        _softmax(q)
+        _softmax(q, safe[1])
         q[rows, word] -= 1
         for c, lo, hi in spans:
             own = q[lo:hi]
@@ -187,27 +195,27 @@ def _by_class(tokens: np.ndarray, at: np.ndarray):
     return order, word, of, around, list(zip(of[first].tolist(), cut, cut[1:], strict=False))
 
 
-def _exp(z: np.ndarray) -> np.ndarray:
-    """exp in place, and the sums of rows; a row's largest value is taken off where values are too large or small for float32."""
-    if len(z) and not -60 < z.min() <= z.max() < 60:
+def _exp(z: np.ndarray, safe: bool) -> np.ndarray:
+    """exp in place, and the sums of rows; a row's largest value is taken off where values may be too large or small for float32."""
+    if not safe:
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     return z @ np.ones(z.shape[1], np.float32)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
+def _softmax(z: np.ndarray, safe: bool = False) -> np.ndarray:
     """Rows of ``z`` turned into probabilities, in place."""
-    total = _exp(z)
+    total = _exp(z, safe)
     z *= (1 / total)[:, None]
     return z
 
 
-def _log_softmax(z: np.ndarray, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+def _log_softmax(z: np.ndarray, rows: np.ndarray, of: np.ndarray, safe: bool = False) -> np.ndarray:
     """Logarithm of one probability in each row; ``z`` is used up."""
-    if len(z) and not -60 < z.min() <= z.max() < 60:
+    if not safe:
         z -= z.max(axis=1, keepdims=True)
     out = z[rows, of].astype(np.float64)
-    return out - np.log(_exp(z))
+    return out - np.log(_exp(z, True))
 
 
 def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
