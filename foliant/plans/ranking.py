@@ -81,13 +81,13 @@ def baseline_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with c as (select l_orderkey, l_linenumber, l_tax as rrf, (['公示', '法规', '报告'])[l_orderkey % 3 + 1] as kind, row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber) as r, count(*) over (partition by l_orderkey) as n, max(l_tax) over (partition by l_orderkey) as best from lineitem)
+    with c as (select l_orderkey, l_linenumber, l_tax as rrf, (['公示', '法规', '报告'])[l_orderkey % 3 + 1] as kind, row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber, l_partkey, l_extendedprice, l_tax) as r, count(*) over (partition by l_orderkey) as n, max(l_tax) over (partition by l_orderkey) as best from lineitem)
     select l_orderkey, l_linenumber, round(case when r = 1 and n > 1 and kind <> '报告' and best > 0 then greatest(rrf * 1.3e0, best * 0.9e0) else rrf end, 6) as rrf from c
 """)
 def density_boost(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("公示", "法规", "报告"))), (F.col("l_orderkey") % 3 + 1).cast("int"))
-    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("density"), F.col("l_tax").alias("rrf"), kind.alias("doc_type"))
-    return R.boost_densest(rows, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", F.round("rrf", 6).alias("rrf"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("density"), F.col("l_tax").alias("rrf"), kind.alias("doc_type"), F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_tax").alias("place"))
+    return R.boost_densest(rows, "l_orderkey", "place").select("l_orderkey", "l_linenumber", F.round("rrf", 6).alias("rrf"))
 
 
 @query(f"""
