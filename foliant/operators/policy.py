@@ -95,3 +95,20 @@ def missing_any(*cols: Column) -> Column:
 def nearest_position(n: int, p: float) -> int:
     """Position of a nearest-rank percentile: halves go to even, as Python rounds."""
     return min(n - 1, max(0, round((n - 1) * p)))
+
+
+def screen_rows(rows: DataFrame, fields: list[str], policies: list[Policy], stage: str = "ALL", **who) -> DataFrame:
+    """Rows with their text fields masked, ``sensitive_filtered`` (whether any changed), ``blocked``, and ``hits``: an array of
+    (field, policies, hits) of the fields up to the first that blocks the row.  A null field stays null and holds nothing."""
+    run = apply_policies(policies, stage, **who)
+    some = F.array().cast("array<struct<field:string,policies:array<int>,hits:bigint>>")
+    out = rows.withColumns({f"_r_{f}": run(f) for f in fields})
+    blocked, changed, hits = F.lit(False), F.lit(False), some
+    for f in fields:
+        r = F.col(f"_r_{f}")
+        found = ~blocked & F.col(f).isNotNull() & (F.size(r["matched"]) > 0)
+        hits = F.when(found, F.concat(hits, F.array(F.struct(F.lit(f).alias("field"), r["matched"].alias("policies"), r["hits"].alias("hits"))))).otherwise(hits)
+        changed = changed | (F.col(f).isNotNull() & (r["text"] != F.col(f)))
+        blocked = blocked | (F.col(f).isNotNull() & r["blocked"])
+    out = out.withColumns({"sensitive_filtered": changed, "blocked": blocked, "hits": hits})
+    return out.withColumns({f: F.when(F.col(f).isNotNull(), F.col(f"_r_{f}.text")) for f in fields}).drop(*(f"_r_{f}" for f in fields))
