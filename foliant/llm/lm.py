@@ -91,14 +91,21 @@ class Vocabulary:
 
 @dataclass
 class Network:
-    """Weights as float32: context tables by position, hidden bias, class layer, word layer."""
+    """Weights as float32: context tables by position, hidden bias, class layer, and word layer with its bias as last row."""
 
     context: np.ndarray  # 2 * WINDOW, SLOTS + 1, HIDDEN
     bias: np.ndarray
     classes: np.ndarray  # HIDDEN, CLASSES
     class_bias: np.ndarray
-    words: np.ndarray  # CLASSES, HIDDEN, PER_CLASS
-    word_bias: np.ndarray
+    word_layer: np.ndarray  # CLASSES, HIDDEN + 1, PER_CLASS
+
+    @property
+    def words(self) -> np.ndarray:
+        return self.word_layer[:, :HIDDEN]
+
+    @property
+    def word_bias(self) -> np.ndarray:
+        return self.word_layer[:, HIDDEN]
 
     @classmethod
     def fresh(cls, counts: np.ndarray, seed: int = 7) -> Network:
@@ -106,10 +113,12 @@ class Network:
         rng = np.random.default_rng(seed)
         small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         c = (counts + 1.0).reshape(PER_CLASS, CLASSES).T  # slot = word * CLASSES + class
-        return cls(small(2 * WINDOW, SLOTS + 1, HIDDEN), np.zeros(HIDDEN, np.float32), small(HIDDEN, CLASSES), np.log(c.sum(1) / c.sum()).astype(np.float32), small(CLASSES, HIDDEN, PER_CLASS), np.log(c / c.sum(1, keepdims=True)).astype(np.float32))
+        context, classes, words = small(2 * WINDOW, SLOTS + 1, HIDDEN), small(HIDDEN, CLASSES), small(CLASSES, HIDDEN, PER_CLASS)
+        word_bias = np.log(c / c.sum(1, keepdims=True)).astype(np.float32)
+        return cls(context, np.zeros(HIDDEN, np.float32), classes, np.log(c.sum(1) / c.sum()).astype(np.float32), np.concatenate([words, word_bias[:, None]], axis=1))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.bias, self.classes, self.class_bias, self.words, self.word_bias]
+        return [self.context, self.bias, self.classes, self.class_bias, self.word_layer]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays()])
@@ -121,12 +130,16 @@ class Network:
             at += a.size
         return Network(*out)
 
-    def hidden(self, around: list[np.ndarray]) -> np.ndarray:
-        h = self.context[0].take(around[0], axis=0)
+    def hidden(self, around: np.ndarray) -> np.ndarray:
+        """Hidden values of each place, and a last column of ones for the bias; ``around`` has a row of context rows a position."""
+        rows, n = self.context.reshape(-1, HIDDEN), around.shape[1]
+        h = rows.take(around[0], axis=0)
         h += self.bias
-        for table, tokens in zip(self.context[1:], around[1:], strict=True):
-            h += table.take(tokens, axis=0)
-        return np.tanh(h, out=h)
+        for tokens in around[1:]:
+            h += rows.take(tokens, axis=0)
+        out = np.ones((n, HIDDEN + 1), np.float32)
+        np.tanh(h, out=out[:, :HIDDEN])
+        return out
 
     def safe(self) -> tuple[bool, bool]:
         """Whether no value of the class layer, and of the word layer, can leave what float32 can take to a power: hidden values lie within 1."""
@@ -139,11 +152,10 @@ class Network:
         order, word, of, around, spans = _by_class(tokens, at)
         h, rows = self.hidden(around), np.arange(len(at))
         safe = self.safe()
-        found = _log_softmax(h @ self.classes + self.class_bias, rows, of, safe[0])
+        found = _log_softmax(h[:, :HIDDEN] @ self.classes + self.class_bias, rows, of, safe[0])
         z = np.empty((len(at), PER_CLASS), np.float32)
         for c, lo, hi in spans:
-            np.matmul(h[lo:hi], self.words[c], out=z[lo:hi])
-            z[lo:hi] += self.word_bias[c]
+            np.matmul(h[lo:hi], self.word_layer[c], out=z[lo:hi])
         found += _log_softmax(z, rows, word, safe[1])
         out = np.empty_like(found)
         out[order] = found
@@ -152,45 +164,58 @@ class Network:
     def step(self, tokens: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One gradient step on the mean negative log-probability of the tokens at ``at``."""
         _, word, of, around, spans = _by_class(tokens, at)
-        h, rows = self.hidden(around), np.arange(len(at))
+        wide, rows = self.hidden(around), np.arange(len(at))
+        h = wide[:, :HIDDEN]
         scale, n, ones = np.float32(rate), np.float32(len(at)), np.ones(len(at), np.float32)
         safe = self.safe()
         p = _softmax(h @ self.classes + self.class_bias, safe[0])
         p[rows, of] -= 1
         back, change = p @ self.classes.T, h.T @ p
-        q = np.empty((len(at), PER_CLASS), np.float32)
+        q, of_words = np.empty((len(at), PER_CLASS), np.float32), np.empty((len(at), HIDDEN), np.float32)
         for c, lo, hi in spans:
-            np.matmul(h[lo:hi], self.words[c], out=q[lo:hi])
-            q[lo:hi] += self.word_bias[c]
+            np.matmul(wide[lo:hi], self.word_layer[c], out=q[lo:hi])
         _softmax(q, safe[1])
         q[rows, word] -= 1
+        share = np.array([scale / np.float32(max(hi - lo, 8)) for _, lo, hi in spans], np.float32)
+        shared = wide * np.repeat(share, [hi - lo for _, lo, hi in spans])[:, None]
         for c, lo, hi in spans:
-            own = q[lo:hi]
-            back[lo:hi] += own @ self.words[c].T
-            share = scale / np.float32(max(hi - lo, 8))
-            self.words[c] -= share * (h[lo:hi].T @ own)
-            self.word_bias[c] -= share * (ones[lo:hi] @ own)
+            layer, own = self.word_layer[c], q[lo:hi]
+            np.matmul(own, layer[:HIDDEN].T, out=of_words[lo:hi])
+            layer -= shared[lo:hi].T @ own
+        back += of_words
         self.classes -= scale / n * change
         self.class_bias -= scale / n * (ones @ p)
-        h *= h
-        back *= np.subtract(1, h, out=h)
+        back *= 1 - h * h
         self.bias -= scale / n * (ones @ back)
         back *= scale / np.float32(16)  # a context slot is hit by few of a step's tokens
         np.clip(back, -0.1, 0.1, out=back)
-        for table, held in zip(self.context, around, strict=True):
-            order = np.argsort(held.astype(np.uint16), kind="stable")
-            held = held[order]
-            first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-            table[held[first]] -= np.add.reduceat(back.take(order, axis=0), first, axis=0)
+        order = np.argsort(around.ravel().astype(np.uint16), kind="stable")
+        held = around.ravel()[order]
+        first = _starts(held)
+        rows = self.context.reshape(-1, HIDDEN)
+        rows[held[first]] -= np.add.reduceat(back.take(order % len(at), axis=0), first, axis=0)
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    change = np.empty(len(x), bool)
+    change[:1] = True
+    np.not_equal(x[1:], x[:-1], out=change[1:])
+    return np.flatnonzero(change)
+
+
+#: Offsets of context tokens, and the first row of each one's table; the row numbers of all tables fit 16 bits.
+_OFFSETS = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])[:, None]
+_TABLES = (np.arange(2 * WINDOW, dtype=np.int32) * (SLOTS + 1))[:, None]
 
 
 def _by_class(tokens: np.ndarray, at: np.ndarray):
-    """Places in order of their token's class: that order, words in class, classes, context tokens, and (class, from, to)."""
+    """Places in order of their token's class: that order, words in class, classes, rows of context tables, and (class, from, to)."""
     order = np.argsort((tokens[at] % CLASSES).astype(np.uint8), kind="stable")
     at = at[order]
     word, of = np.divmod(tokens[at], CLASSES)
-    around = [tokens[at + off] for off in [*range(-WINDOW, 0), *range(1, WINDOW + 1)]]
-    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    around = tokens[at + _OFFSETS] + _TABLES
+    first = _starts(of)
     cut = [*first.tolist(), len(of)]
     return order, word, of, around, list(zip(of[first].tolist(), cut, cut[1:], strict=False))
 
