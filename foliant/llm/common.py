@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII blanks of the word rule ``[^\x20\x09-\x0D]+``.
@@ -122,3 +122,29 @@ def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     gone = settle(gone.toDF("_gone").where("_gone is not null").distinct(), "gone-ids")
     maybe = F.coalesce(may_hold(gone, "_gone")(F.col(id_col)), F.lit(True))
     return docs.where(~maybe).unionByName(docs.where(maybe).join(gone, docs[id_col] == F.col("_gone"), "left_anti"))
+
+
+#: Rows of a table of spans up to which it is broadcast: about 5 MB.
+BROADCAST_SPANS = 100_000
+
+
+def ranked_spans(rows: DataFrame, order: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """Sort ``rows`` by their column ``part`` and ``order``, nulls first: the sorted table and its spans.
+
+    ``order`` must tell all rows apart.  Rows are dealt out by ranges of all these columns, so a part may hold any share
+    of them.  A span (run, part, first, held, start) is what one task holds of one part: its first position ``at``, its
+    rows, and the rows of the part before it.  ``numbered`` turns both into ranks.
+    """
+    keys = ["part", *order]
+    placed = settle(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), label)
+    spans = placed.groupBy(F.shiftright("at", 33).alias("run"), "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("held"))
+    before = Window.partitionBy("part").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    return placed, settle(spans.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0))), f"{label}-spans")
+
+
+def numbered(placed: DataFrame, spans: DataFrame, *more: str) -> DataFrame:
+    """The sorted table with each row's ``rank`` in its part, from 0, and the columns ``more`` of its span."""
+    side = spans.select(F.col("run").alias("run_"), F.col("part").alias("part_"), (F.col("start") - F.col("first")).alias("shift_"), *more)
+    side = F.broadcast(side) if spans.count() <= BROADCAST_SPANS else side
+    joined = placed.join(side, (F.shiftright("at", 33) == side["run_"]) & placed["part"].eqNullSafe(side["part_"]))
+    return joined.withColumn("rank", F.col("at") + F.col("shift_")).drop("at", "run_", "part_", "shift_")

@@ -77,7 +77,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).drop("source", "repeats")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_warc, op3_language_id, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_sharding, op8_nearest, op9_decontamination, op10_mixing)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import document_manifest
+
+    return document_manifest(read(spark, sf_dir, "documents"))[1]
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_warc, op3_language_id, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_sharding, op8_nearest, op9_decontamination, op10_mixing, op11_merkle_manifest)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
@@ -111,4 +117,31 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join h using (rid) left join t using (rid)
     """,
+    "op11_merkle_manifest": r"""
+        with recursive d as (
+            select *, (select list_reduce([ord(c) for c in string_split(cast(doc_id as varchar), '')],
+                lambda h, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end, xor(h, b)), 4294967295)) as crc from documents),
+        f as (select doc_id, lang, n_chars is not null and xor(crc, 4294967295) % 7 = 0 as forge,
+                coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+                coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as n, strlen(cast(n_chars + 1 as varchar)) || ':' || (n_chars + 1) as more, coalesce(strlen(text) || ':' || text, '-') as body from d),
+        h as (select doc_id, lang, sha256(head || n || body) as leaf, case when forge then sha256(head || more || body) end as forged from f),
+        a as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from h),
+        t as (select lang, 0 as lvl, i, leaf as h, n from a
+              union all select lang, any_value(lvl) + 1, i // 2, sha256(string_agg(h, '' order by i)), any_value((n + 1) // 2) from t where n > 1 group by lang, i // 2),
+        s as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from t where n = 1),
+        u as (select 0 as lvl, i, subroot as h, n from s
+              union all select any_value(lvl) + 1, i // 2, sha256(string_agg(h, '' order by i)), any_value((n + 1) // 2) from u where n > 1 group by i // 2),
+        p as (select a.lang, a.i, string_agg(t.h, '' order by t.lvl) as proof from a join t on t.lang is not distinct from a.lang and t.i = xor(a.i >> t.lvl, 1) group by a.lang, a.i),
+        q as (select s.lang, string_agg(u.h, '' order by u.lvl) as proof from s join u on u.i = xor(s.i >> u.lvl, 1) group by s.lang),
+        g as (select lang, i, 0 as lvl, i as at, n, coalesce(forged, leaf) as h from a
+              union all select g.lang, g.i, g.lvl + 1, g.at // 2, (g.n + 1) // 2, sha256(case when g.at % 2 = 1 then coalesce(t.h, '') || g.h else g.h || coalesce(t.h, '') end)
+              from g left join t on t.lang is not distinct from g.lang and t.lvl = g.lvl and t.i = xor(g.at, 1) where g.n > 1),
+        k as (select g.lang, g.i, 0 as lvl, s.i as at, s.n, g.h from g join s on s.lang is not distinct from g.lang where g.n = 1
+              union all select k.lang, k.i, k.lvl + 1, k.at // 2, (k.n + 1) // 2, sha256(case when k.at % 2 = 1 then coalesce(u.h, '') || k.h else k.h || coalesce(u.h, '') end)
+              from k left join u on u.lvl = k.lvl and u.i = xor(k.at, 1) where k.n > 1)
+        select a.doc_id, a.leaf, s.subroot, u.h as root, sha256(coalesce(p.proof, '') || coalesce(q.proof, '')) as proof_sha256, k.h as folded_root, k.h = u.h as verified
+        from a join s on s.lang is not distinct from a.lang join (select h from u where n = 1) u on true
+        join k on k.lang is not distinct from a.lang and k.i = a.i and k.n = 1
+        left join p on p.lang is not distinct from a.lang and p.i = a.i left join q on q.lang is not distinct from a.lang
+    """,
 }
