@@ -83,7 +83,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(read(spark, sf_dir, "documents"))[1]
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_warc, op3_language_id, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_sharding, op8_nearest, op9_decontamination, op10_mixing, op11_merkle_manifest)}
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine_negatives
+
+    rows = read(spark, sf_dir, "embeddings")
+    return mine_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_warc, op3_language_id, op4_toxicity, op5_ngram_jaccard, op6_pii, op7_sharding, op8_nearest, op9_decontamination, op10_mixing, op11_merkle_manifest, op12_top_k, op13_hard_negatives)}
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
@@ -144,4 +157,24 @@ ORACLE_SQL: dict[str, str] = {
         join k on k.lang is not distinct from a.lang and k.i = a.i and k.n = 1
         left join p on p.lang is not distinct from a.lang and p.i = a.i left join q on q.lang is not distinct from a.lang
     """,
+    "op12_top_k": """
+        with s as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        m as (select len(v) as d from s group by len(v) order by count(*) desc, d limit 1),
+        r as (select s.* from s join m on len(v) = d),
+        p as (select q.rid, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score from r q join r c on q.rid <> c.rid where q.vec_id % 50 = 0)
+        select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by rid order by score desc, vec_id nulls last) as rank from p) where rank <= 5
+    """,
+    "op13_hard_negatives": """
+        with s as (select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+                   from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        m as (select len(v) as d from s group by len(v) order by count(*) desc, d limit 1),
+        r as (select s.* from s join m on len(v) = d),
+        p as (select a.rid, a.vec_id as anchor_id, c.rid as other, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.v, c.v) as bigint) as score from r a join r c on a.rid <> c.rid where a.vec_id % 50 = 0),
+        g as (select * from (select *, row_number() over (partition by rid order by score desc, vec_id nulls last) as nth from p where same) where nth <= 5),
+        n as (select g.anchor_id, g.vec_id as positive_id, p.vec_id as negative_id, g.score as positive_score, p.score as negative_score,
+                     row_number() over (partition by g.rid, g.other order by p.score desc, p.vec_id nulls last) as rank
+              from g join p on g.rid = p.rid and not p.same and 50 * g.score <= 100 * p.score and 100 * p.score <= 95 * g.score)
+        select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 3
+    """,
 }
