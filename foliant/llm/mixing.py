@@ -5,9 +5,10 @@
 2. Per source, documents are counted by exact length.  Every document is taken ``floor(target / words)`` times;
    the remaining budget is fitted by taking the same share of each length's documents and closing the gap with a
    bounded-knapsack dynamic programme over the lengths that are left.
-3. Per (source, length) the chosen number of documents is drawn by a seeded hash.  Large length groups are cut
-   into hash bins, whole bins are taken below the threshold, and only the bin at the threshold is ranked, so no
-   group is ever gathered in one task.
+3. Per (source, length) the chosen number of rows is drawn by a seeded hash of id and text.  Large length groups are
+   cut into hash bins, whole bins are taken below the threshold, and only the different hashes of the bin at the
+   threshold are ranked, by their counts, so no group is ever gathered in one task.  Rows that repeat id and text share a
+   hash; where the threshold falls among them, as many as are wanted are drawn by row number in the same way.
 """
 
 from __future__ import annotations
@@ -118,32 +119,60 @@ def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``docs`` with the columns that decide: source, words, and a draw in [0, 1) from the id."""
+    """``docs`` with the columns that decide: source, words, and a draw in [0, 1) from id and text."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumns({"_source": F.col(source_col).cast("string"), "_size": words, "_u": unit_hash(seed, F.col(id_col).cast("string"))})
+    return docs.withColumns({"_source": F.col(source_col).cast("string"), "_size": words, "_u": unit_hash(seed, F.col(id_col).cast("string"), F.col(text_col))})
 
 
-def _plan(sized: DataFrame) -> DataFrame:
-    """(source, size) -> source_size, target, base repeats and ``u_max``: draws up to it are taken once more."""
+def _cut(rows: DataFrame, want: DataFrame, few: bool, label: str) -> DataFrame:
+    """(source, size, edge, rest, held): the value up to which ``extra`` of a group's ``n`` rows are taken.
+
+    ``rows`` has (source, size, value in [0, 1)), ``want`` (source, size, n, extra).  ``held`` rows have the value ``edge``
+    itself, and ``rest`` of them are due.
+    """
+    bins = F.ceil(F.col("n") / BIN_ROWS)
+    binned = settle(_with_plan(rows, want, few).withColumn("bin", F.floor(F.col("value") * bins).cast("long")), f"{label}-bins")
+    # rows of a group in earlier bins, from one row a bin; the bin in which the count of extra rows is reached
+    per_bin = binned.groupBy("source", "size", "bin").agg(F.count(F.lit(1)).alias("held"), F.first("extra").alias("extra"))
+    w = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    per_bin = per_bin.withColumn("earlier", F.coalesce(F.sum("held").over(w), F.lit(0)))
+    split = settle(per_bin.where("earlier < extra and earlier + held >= extra").select("source", "size", F.col("bin").alias("last"), (F.col("extra") - F.col("earlier")).alias("nth")), f"{label}-thresholds")
+    edge = _with_plan(binned.drop("n", "extra"), split, few).where("bin = last").groupBy("source", "size", "nth", "value").agg(F.count(F.lit(1)).alias("held"))
+    w = Window.partitionBy("source", "size").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("earlier", F.coalesce(F.sum("held").over(w), F.lit(0))).where("earlier < nth and earlier + held >= nth")
+    return settle(edge.select("source", "size", F.col("value").alias("edge"), (F.col("nth") - F.col("earlier")).alias("rest"), "held"), f"{label}-edges")
+
+
+def _plan(sized: DataFrame) -> tuple[DataFrame, bool]:
+    """(source, size, u) -> source_size, target, base repeats and ``u_max``; whether the plan may be broadcast.
+
+    Rows whose draw is below ``u_max`` are taken once more; of the ``held`` rows that have it, ``rest`` are.
+    """
     counted = settle(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-lengths")
     targets = source_targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
     lengths = counted.join(targets, counted["source"].eqNullSafe(targets["source"])).select(counted["source"], "size", "n", "source_size", "target")
     chosen = settle(lengths.groupBy("source").applyInPandas(_choose, "source string, size long, source_size long, target double, n long, base int, extra long"), "mix-choice")
     few = chosen.count() <= BROADCAST_ROWS
     part = chosen.where("extra > 0 and extra < n")
-    bins = F.ceil(F.col("n") / BIN_ROWS)
-    binned = settle(_with_plan(sized, part.select("source", "size", "n", "extra"), few).withColumn("bin", F.floor(F.col("u") * bins).cast("long")), "mix-bins")
-    # rows of a group in earlier bins, from one row a bin; the bin in which the count of extra rows is reached
-    per_bin = binned.groupBy("source", "size", "bin").agg(F.count(F.lit(1)).alias("held"), F.first("extra").alias("extra"))
-    w = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    per_bin = per_bin.withColumn("earlier", F.coalesce(F.sum("held").over(w), F.lit(0)))
-    split = settle(per_bin.where("earlier < extra and earlier + held >= extra").select("source", "size", F.col("bin").alias("last"), (F.col("extra") - F.col("earlier")).alias("nth")), "mix-thresholds")
-    nth = Window.partitionBy("source", "size", "bin").orderBy("u")
-    edge = _with_plan(binned.drop("n", "extra"), split, few).where("bin = last").withColumn("r", F.row_number().over(nth)).where("r = nth")
-    edge = settle(edge.select(F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("u").alias("edge")), "mix-edges")
+    edge = _cut(sized.select("source", "size", F.col("u").alias("value")), part.select("source", "size", "n", "extra"), few, "mix").withColumnsRenamed({"source": "s_", "size": "z_"})
     same = chosen["source"].eqNullSafe(edge["s_"]) & (chosen["size"] == edge["z_"])
     u_max = F.when(F.col("extra") <= 0, -1.0).when(F.col("extra") >= F.col("n"), 2.0).otherwise(F.col("edge"))
-    return settle(chosen.join(edge, same, "left").select("source", "size", "source_size", "target", "base", u_max.alias("u_max")), "mix-plan")
+    plan = chosen.join(edge, same, "left").select("source", "size", "source_size", "target", "base", u_max.alias("u_max"), F.coalesce("rest", F.lit(0)).alias("rest"), F.coalesce("held", F.lit(0)).alias("held"))
+    return settle(plan, "mix-plan"), few
+
+
+def _among_equals(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """``rows`` (source, size, u, v) with their plan and ``repeats``: where draws are equal at the threshold, v decides."""
+    tied = settle(plan.where("rest < held"), "mix-tied")
+    joined = _with_plan(rows, plan, few)
+    more = F.expr("u <= u_max")
+    if not tied.isEmpty():
+        equal = _with_plan(rows, tied.select("source", "size", "u_max"), few).where("u = u_max").select("source", "size", F.col("v").alias("value"))
+        edge = _cut(equal, tied.select("source", "size", F.col("held").alias("n"), F.col("rest").alias("extra")), few, "mix-equal").withColumnsRenamed({"source": "s_", "size": "z_", "edge": "v_max"}).drop("rest", "held")
+        edge = F.broadcast(edge) if few else edge
+        joined = joined.join(edge, joined["source"].eqNullSafe(edge["s_"]) & (joined["size"] == edge["z_"]), "left").drop("s_", "z_")
+        more = F.expr("u < u_max or u = u_max and v <= coalesce(v_max, 2.0)")
+    return joined.withColumn("repeats", (F.col("base") + F.when(more, 1).otherwise(0)).cast("int"))
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame, few: bool, source: str = "source", size: str = "size") -> DataFrame:
@@ -152,28 +181,38 @@ def _with_plan(rows: DataFrame, plan: DataFrame, few: bool, source: str = "sourc
     return rows.join(F.broadcast(side) if few else side, rows[source].eqNullSafe(side["s_"]) & (rows[size] == side["z_"])).drop("s_", "z_")
 
 
-_REPEATS = "cast(base + if(u <= u_max, 1, 0) as int)"
-
-
 def mix_sources(docs: DataFrame, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often each document enters the mix: (id, source, size, source_size, target, taken, repeats).
 
-    Size counts words; a null text has none and is taken for 0 words.  A null source is a source of its own.
-    Documents of one source and length are drawn by a hash of id and seed, so reruns agree; rows that repeat an id have
-    the same draw and are taken alike.  An empty table gives no rows; other columns are ignored, whatever their names.
+    Size counts words; a null text has none and is taken for 0 words; very long texts are counted whole.  A null source is
+    a source of its own.  Documents of one source and length are drawn by a hash of id, text and seed.  Rows that repeat
+    both, or repeat null ids, are drawn one by one, so that every source comes near its target: reruns agree on how many of
+    equal rows are taken, not on which.  An empty table gives no rows; other columns are ignored, whatever their names.
     """
     measured = _measured(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col)
-    sized = settle(measured.select(F.col(id_col).alias("id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u")), "mix-sizes")
-    plan = _plan(sized)
-    mixed = _with_plan(sized, plan, plan.count() <= BROADCAST_ROWS).withColumn("repeats", F.expr(_REPEATS))
+    columns = [F.col(id_col).alias("id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u"), unit_hash(seed + 1, F.monotonically_increasing_id()).alias("v")]
+    sized = settle(measured.select(*columns), "mix-sizes")
+    plan, few = _plan(sized)
+    mixed = _among_equals(sized, plan, few)
     return mixed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
 def mix_documents(docs: DataFrame, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of ``docs``; texts aren't shuffled."""
+    """The mix itself: every document as often as ``mix_sources`` takes it, with the columns of ``docs``.
+
+    Texts aren't shuffled, and only rows among which a threshold falls, because they repeat id and text, are written once
+    more.  Nulls, repeated rows and empty tables are handled as there.
+    """
     measured = _measured(docs, seed, id_col, text_col, source_col)
-    plan = _plan(settle(measured.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u")), "mix-sizes"))
-    plan = plan.select(F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("base").alias("base_"), F.col("u_max").alias("u_max_"))
-    side = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    plan, few = _plan(settle(measured.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u")), "mix-sizes"))
+    side = plan.select(F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("base").alias("base_"), F.col("u_max").alias("u_max_"), (F.col("rest") < F.col("held")).alias("tied_"))
+    side = F.broadcast(side) if few else side
     joined = measured.join(side, measured["_source"].eqNullSafe(side["s_"]) & (measured["_size"] == side["z_"]))
-    return joined.withColumn("_nth", F.explode(F.expr("array_repeat(0, base_ + if(_u <= u_max_, 1, 0))"))).select(*docs.columns)
+    times = lambda of, n: of.withColumn("_nth", F.explode(F.expr(f"array_repeat(0, {n})"))).select(*docs.columns)
+    clear = times(joined.where("not (tied_ and _u = u_max_)"), "base_ + if(_u <= u_max_, 1, 0)")
+    if plan.where("rest < held").isEmpty():
+        return clear
+    # rows that share the draw at a threshold: numbered in a written table, then drawn by number
+    equal = settle(joined.where("tied_ and _u = u_max_").select(F.struct(*docs.columns).alias("row"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u"), unit_hash(seed + 1, F.monotonically_increasing_id()).alias("v")), "mix-equals")
+    drawn = _among_equals(equal, plan, few).select("row", "repeats")
+    return clear.unionByName(drawn.withColumn("_nth", F.explode(F.expr("array_repeat(0, repeats)"))).select("row.*"))

@@ -80,3 +80,31 @@ def test_large_budget_is_met_exactly():
     goal = int((lengths * counts).sum() * 0.37)
     take = fit_budget(lengths, counts, goal)
     assert (take <= counts).all() and (take >= 0).all() and (take * lengths).sum() == goal
+
+
+def test_repeated_and_null_ids_meet_the_target(spark, frame):
+    """Rows are drawn one by one: no source is off by more than the words of its lengths can't make up."""
+    docs = [(None, "a b", "en", "n")] * 1000 + [(5, "a b", "en", "five")] * 1000 + [(7, f"word{i % 2} c", "en", "seven") for i in range(1000)] + [(i, "one", "en", "z") for i in range(50)]
+    sizes = {"n": 2000, "five": 2000, "seven": 2000, "z": 50}
+    want = targets(sizes)
+    runs = []
+    for df in (frame(docs), frame(docs[::-1]).repartition(7)):
+        rows = mix_sources(df).collect()
+        assert len(rows) == len(docs)
+        for s in sizes:
+            assert abs(sum(r.taken for r in rows if r.source == s) - want[s]) <= 1.5
+        runs.append(sorted((r.source, r.doc_id is None, r.doc_id or 0, r.taken) for r in rows))
+    assert runs[0] == runs[1]
+    mixed = mix_documents(frame(docs))
+    assert mixed.columns == frame(docs).columns
+    held = {}
+    for r in mixed.select("source", "text").collect():
+        held[r.source] = held.get(r.source, 0) + words(r.text)
+    assert all(abs(held.get(s, 0) - want[s]) <= 1.5 for s in sizes)
+
+
+def test_very_long_text(frame):
+    docs = [(0, "w " * 300_000, "en", "a"), (1, "w " * 1000, "en", "a"), (2, None, None, None)] + [(i, "w", "en", "b") for i in range(3, 400)]
+    rows = {r.doc_id: r for r in mix_sources(frame(docs)).collect()}
+    assert rows[0].size == 300_000 and rows[2].size == 0 and all(r.taken <= 2 * r.size for r in rows.values())
+    assert abs(sum(r.taken for r in rows.values() if r.source == "b") - rows[3].target) <= 1
