@@ -119,9 +119,12 @@ def loose_spans(text: str | None, base: list[tuple[int, int, int]]) -> list[tupl
         found += [(m.start(), 2, m.end()) for m in _LOOSE_CARD.finditer(text)]
         found += [(m.start(), 3, m.end()) for m in _LOOSE_PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     out, end = [], -1
-    taken = sorted((b, e) for b, _, e in base)
+    taken, at, covered = sorted((b, e) for b, _, e in base), 0, -1  # covered: how far the base spans that begin before a candidate reach
     for b, k, e in sorted(found, key=lambda s: (s[0], -s[2], s[1])):
-        if b >= end and not any(tb < e and b < te for tb, te in taken):
+        while at < len(taken) and taken[at][0] <= b:
+            covered = max(covered, taken[at][1])
+            at += 1
+        if b >= end and covered <= b and (at == len(taken) or taken[at][0] >= e):
             out.append((b, k, e))
             end = e
     return out
