@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.operators.literals import Automaton, build
+
 MOST_HITS, MOST_PATTERN, MOST_REGEX_INPUT = 1000, 200, 200_000
-_NESTED = re.compile(r"\([^)]*[+*][^)]*\)[+*{]|\(\?R\)|\\[1-9]")
+#: Actions that stop output, and what stands for a match where a policy names no replacement.
+BLOCKING = ("BLOCK_DOC", "BLOCK_SNIPPET", "BLOCK_QA")
+REDACTED = "[REDACTED]"
+#: Words of one list; more take a table too large to send.
+MOST_WORDS = 100_000
+_NESTED = re.compile(r"\([^)]*[+*][^)]*\)[+*]")
 
 
 @dataclass(frozen=True)
@@ -19,22 +26,26 @@ class Policy:
     id: int
     kind: str  # WORD or REGEX
     value: str
-    action: str = "MASK"  # or BLOCK_QA, BLOCK_SEARCH
-    replacement: str = "***"
+    action: str = "MASK"  # or one of BLOCKING; any other action only counts
+    replacement: str = REDACTED
     stage: str = "ALL"
     subject_type: str = "ALL"
-    subject_value: str = ""
+    subject_value: str = "*"  # or blank: everybody
     priority: int = 0
     active: bool = True
 
     def applies(self, stage: str, user: str = "", roles: tuple[str, ...] = (), depts: tuple[str, ...] = ()) -> bool:
-        who = {"ALL": True, "USER": self.subject_value == user, "ROLE": self.subject_value in roles, "DEPT": self.subject_value in depts}
-        return self.active and self.stage in ("ALL", stage) and who.get(self.subject_type, False)
+        if not self.active or self.stage not in ("ALL", stage):
+            return False
+        value = self.subject_value.strip()
+        who = {"ALL": True, "USER": value == user, "ROLE": value in roles, "DEPT": value in depts}
+        return value in ("", "*") or who.get(self.subject_type, False)
 
 
 def safe_regex(pattern: str) -> re.Pattern | None:
-    """The compiled pattern, or None for long, nested-repetition or broken ones."""
-    if len(pattern) > MOST_PATTERN or _NESTED.search(pattern):
+    """The compiled pattern, or None for long, nested-repetition, doubly unbounded or broken ones."""
+    compact = re.sub(r"\s+", "", pattern)
+    if len(pattern) > MOST_PATTERN or _NESTED.search(compact) or ".*.*" in compact:
         return None
     try:
         return re.compile(pattern)
@@ -50,36 +61,95 @@ def occurrences(text: str, word: str, most: int = MOST_HITS) -> int:
     return n
 
 
+class Screen:
+    """Policies in order of priority, with one automaton for all words.
+
+    Each batch of texts is searched once for all words.  A text with hits then meets its policies in order: counts are of the
+    text as it stands, so a mask is followed by another search of the masked texts of the batch, all together.
+    """
+
+    def __init__(self, policies: list[Policy]):
+        self.policies = sorted(policies, key=lambda p: (-p.priority, p.id))
+        self.words = [i for i, p in enumerate(self.policies) if p.kind != "REGEX" and p.value.strip()]
+        self.automaton: Automaton = build([self.policies[i].value for i in self.words])
+        self.regexes = {i: safe_regex(p.value) for i, p in enumerate(self.policies) if p.kind == "REGEX" and p.value.strip()}
+
+    def _counts(self, texts: list[str]) -> list[dict[int, int]]:
+        return [{self.words[w]: n for w, n in c.items()} for c in self.automaton.counts(texts, MOST_HITS)]
+
+    def run(self, texts: list[str | None]) -> list[tuple[str, bool, list[tuple[int, int]]]]:
+        """For each text: itself after masking, whether it is blocked (then empty), and (policy, hits) in order."""
+        out = [t or "" for t in texts]
+        blocked, found, at = [False] * len(out), [[] for _ in out], [0] * len(out)
+        open_ = list(range(len(out)))
+        while open_:
+            masked = []
+            for row, counts in zip(open_, self._counts([out[i] for i in open_]), strict=True):
+                due = sorted(i for i in {*counts, *self.regexes} if i >= at[row])
+                for i in due:
+                    p, rx = self.policies[i], self.regexes.get(i)
+                    if i in self.regexes:
+                        n = sum(1 for _, _ in zip(rx.finditer(out[row]), range(MOST_HITS), strict=False)) if rx and len(out[row]) <= MOST_REGEX_INPUT else 0
+                    else:
+                        n = counts[i]
+                    if not n:
+                        continue
+                    found[row].append((p.id, n))
+                    if p.action in BLOCKING:
+                        out[row], blocked[row] = "", True
+                        break
+                    if p.action == "MASK":
+                        put = p.replacement.strip() or REDACTED
+                        out[row] = rx.sub(lambda _, put=put: put, out[row]) if rx else out[row].replace(p.value, put)
+                        at[row] = i + 1
+                        masked.append(row)
+                        break
+            open_ = masked
+        return list(zip(out, blocked, found, strict=True))
+
+
 def filter_text(text: str | None, policies: list[Policy]) -> tuple[str, bool, list[int], int]:
     """Text after masking in order of priority, whether it is blocked, the ids that matched, and hits counted before each mask."""
-    out, ids, hits = text or "", [], 0
-    for p in sorted(policies, key=lambda p: (-p.priority, p.id)):
-        if p.kind == "REGEX":
-            rx = safe_regex(p.value) if len(out) <= MOST_REGEX_INPUT else None
-            n = min(sum(1 for _ in rx.finditer(out)), MOST_HITS) if rx else 0
-        else:
-            rx, n = None, occurrences(out, p.value)
-        if not n:
-            continue
-        ids.append(p.id)
-        hits += n
-        if p.action.startswith("BLOCK"):
-            return "", True, ids, hits
-        out = rx.sub(lambda m, p=p: p.replacement, out) if rx else out.replace(p.value, p.replacement)
-    return out, False, ids, hits
+    ((out, blocked, hits),) = Screen(policies).run([text])
+    return out, blocked, [i for i, _ in hits], sum(n for _, n in hits)
+
+
+SCREENED = "text string, blocked boolean, matched array<int>, hits long, each array<struct<policy:int,hits:long>>"
 
 
 def apply_policies(policies: list[Policy], stage: str = "ALL", **who) -> Callable[[Column | str], Column]:
-    """An Arrow function text -> struct(text, blocked, matched, hits); the list of policies is small and goes with the code."""
+    """An Arrow function text -> struct(text, blocked, matched, hits, each); the automaton is broadcast, ``build`` checks its size."""
     mine = [p for p in policies if p.applies(stage, **who)] if stage != "ALL" or who else [p for p in policies if p.active]
+    shared = SparkSession.active().sparkContext.broadcast(Screen(mine))
 
-    @F.pandas_udf("text string, blocked boolean, matched array<int>, hits long")
-    def run(c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([filter_text(t, mine) for t in c], columns=["text", "blocked", "matched", "hits"])
+    @F.pandas_udf(SCREENED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for c in batches:
+            rows = shared.value.run([t if isinstance(t, str) else None for t in c])
+            each = [[{"policy": i, "hits": n} for i, n in hits] for _, _, hits in rows]
+            yield pd.DataFrame({"text": [r[0] for r in rows], "blocked": [r[1] for r in rows], "matched": [[h["policy"] for h in e] for e in each], "hits": [sum(h["hits"] for h in e) for e in each], "each": each})
 
     return run
 
 
+def word_counts(rows: DataFrame, words: list[str], id_col: str, text_col: str, most: int = MOST_HITS) -> DataFrame:
+    """(id, word, hits): how often each of ``words`` begins in a text, overlapping places too, up to ``most``; one pass for all.
+
+    A null or empty text holds nothing; words that repeat are counted once; empty words never occur.
+    """
+    named = sorted({w for w in words if w})
+    shared = SparkSession.active().sparkContext.broadcast((build(named), named))
+
+    @F.pandas_udf("array<struct<word:string,hits:long>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine, names = shared.value
+        for c in batches:
+            counts = machine.counts([t if isinstance(t, str) else "" for t in c], most)
+            yield pd.Series([[{"word": names[w], "hits": n} for w, n in sorted(x.items())] for x in counts])
+
+    return rows.select(F.col(id_col), F.explode(run(F.col(text_col))).alias("h_")).select(id_col, "h_.word", "h_.hits")
+
+
 def route(rows: DataFrame, routes: DataFrame, key: str, default: str) -> DataFrame:
     """Target of each row by its key, else the default; the routing table is a small dimension and broadcast."""
     return rows.join(F.broadcast(routes), key, "left").withColumn("target", F.coalesce("target", F.lit(default)))
@@ -99,15 +169,16 @@ def nearest_position(n: int, p: float) -> int:
 
 def screen_rows(rows: DataFrame, fields: list[str], policies: list[Policy], stage: str = "ALL", **who) -> DataFrame:
     """Rows with their text fields masked, ``sensitive_filtered`` (whether any changed), ``blocked``, and ``hits``: an array of
-    (field, policies, hits) of the fields up to the first that blocks the row.  A null field stays null and holds nothing."""
+    (field, policies, hits, each) of the fields up to the first that blocks the row; ``each`` has every policy's own hits.
+    A null field stays null and holds nothing."""
     run = apply_policies(policies, stage, **who)
-    some = F.array().cast("array<struct<field:string,policies:array<int>,hits:bigint>>")
+    some = F.array().cast("array<struct<field:string,policies:array<int>,hits:bigint,each:array<struct<policy:int,hits:bigint>>>>")
     out = rows.withColumns({f"_r_{f}": run(f) for f in fields})
     blocked, changed, hits = F.lit(False), F.lit(False), some
     for f in fields:
         r = F.col(f"_r_{f}")
         found = ~blocked & F.col(f).isNotNull() & (F.size(r["matched"]) > 0)
-        hits = F.when(found, F.concat(hits, F.array(F.struct(F.lit(f).alias("field"), r["matched"].alias("policies"), r["hits"].alias("hits"))))).otherwise(hits)
+        hits = F.when(found, F.concat(hits, F.array(F.struct(F.lit(f).alias("field"), r["matched"].alias("policies"), r["hits"].alias("hits"), r["each"].alias("each"))))).otherwise(hits)
         changed = changed | (F.col(f).isNotNull() & (r["text"] != F.col(f)))
         blocked = blocked | (F.col(f).isNotNull() & r["blocked"])
     out = out.withColumns({"sensitive_filtered": changed, "blocked": blocked, "hits": hits})

@@ -169,7 +169,7 @@ def readable_scope(spark: SparkSession, d: str) -> DataFrame:
     return X.readable_indices(read(spark, d, "part").select("p_partkey"), rules, "p_partkey", ["O1", "O2"])
 
 
-_RULES = [P.Policy(1, "WORD", "that", "MASK", "***", priority=1), P.Policy(2, "WORD", "idiot", "BLOCK_QA", priority=5)]
+_RULES = [P.Policy(1, "WORD", "that", "MASK", "***", priority=1), P.Policy(2, "WORD", "idiot", "BLOCK_QA", priority=5), P.Policy(3, "WORD", "the", "MASK", "", priority=3)]
 
 
 def _screened(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +177,8 @@ def _screened(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    select doc_id, md5(replace(text, 'that', '***')) as text_md5, replace(source, 'that', '***') as source, coalesce(contains(text, 'that'), false) or coalesce(contains(source, 'that'), false) as sensitive_filtered from documents
+    with m as (select doc_id, text, source, replace(replace(text, 'the', '[REDACTED]'), 'that', '***') as t, replace(replace(source, 'the', '[REDACTED]'), 'that', '***') as s from documents)
+    select doc_id, md5(t) as text_md5, s as source, coalesce(t <> text, false) or coalesce(s <> source, false) as sensitive_filtered from m
     where not coalesce(contains(text, 'idiot'), false) and not coalesce(contains(source, 'idiot'), false)
 """)
 def screened_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -185,11 +186,12 @@ def screened_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with f as (select doc_id, 'text' as field, text as x from documents union all select doc_id, 'source', source from documents where not coalesce(contains(text, 'idiot'), false))
-    select doc_id, field, case when contains(x, 'idiot') then 2 else 1 end as policy, least(1000, case when contains(x, 'idiot') then len(string_split(x, 'idiot')) - 1 else len(string_split(replace(x, 't', 'tt'), 'that')) - 1 end) as hits
-    from f where contains(x, 'idiot') or contains(x, 'that')
+    with f as (select doc_id, 'text' as field, text as x from documents union all select doc_id, 'source', source from documents where not coalesce(contains(text, 'idiot'), false)),
+    p(policy, word, nth) as (values (2, 'idiot', 1), (3, 'the', 2), (1, 'that', 3)),
+    c as (select doc_id, field, case when policy = 1 then replace(x, 'the', '[REDACTED]') else x end as y, policy, word, nth, contains(x, 'idiot') as stop from f, p)
+    select doc_id, field, policy, least(1000, len(string_split(case word when 'that' then replace(y, 't', 'tt') else y end, word)) - 1) as hits from c where contains(y, word) and (nth = 1 or not stop)
 """)
 def sensitive_hit_audit(spark: SparkSession, d: str) -> DataFrame:
-    """One row a field and policy that was hit; a field's hits are those of all its policies."""
-    hit = _screened(spark, d).select("doc_id", F.explode("hits").alias("h"))
-    return hit.select("doc_id", "h.field", F.explode("h.policies").alias("policy"), "h.hits")
+    """One row a field and policy that was hit, with that policy's own hits."""
+    hit = _screened(spark, d).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.field", F.explode("h.each").alias("e"))
+    return hit.select("doc_id", "field", "e.policy", "e.hits")

@@ -1,3 +1,4 @@
+import random
 import zipfile
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from foliant.operators import access as A
 from foliant.operators import chunking as K
 from foliant.operators import cleaning as C
+from foliant.operators import literals as L
 from foliant.operators import policy as P
 from foliant.operators import search as S
 from foliant.operators import versions as V
@@ -114,7 +116,58 @@ def test_fine_chunks_by_hand():
 
 def test_overlapping_words_are_counted():
     p = P.Policy(1, "WORD", "aa")
-    assert P.filter_text("aaaa", [p]) == ("******", False, [1], 3) and P.occurrences("a" * 5000, "aa") == 1000 and P.occurrences("x", "") == 0
+    assert P.filter_text("aaaa", [p]) == ("[REDACTED]" * 2, False, [1], 3) and P.occurrences("a" * 5000, "aa") == 1000 and P.occurrences("x", "") == 0
+
+
+def test_automaton_against_naive_search():
+    rng = random.Random(1)
+    naive = lambda t, w: sum(t.startswith(w, i) for i in range(len(t))) if w else 0
+    for _ in range(60):
+        words = ["".join(rng.choice("abé😀") for _ in range(rng.randrange(0, 5))) for _ in range(rng.randrange(0, 9))]
+        texts = ["".join(rng.choice("abcé😀") for _ in range(rng.choice([0, 1, 5, 50, 2100]))) for _ in range(rng.randrange(1, 6))]
+        machine = L.build(words)
+        assert machine.counts(texts, 1000) == [{i: min(1000, naive(t, w)) for i, w in enumerate(words) if naive(t, w)} for t in texts]
+        text, word, end = machine.hits(texts)
+        assert all(texts[t][e - len(words[w]) : e] == words[w] for t, w, e in zip(text, word, end))
+    with pytest.raises(ValueError):
+        L.build(["".join(map(chr, range(k, k + 40000))) for k in (100, 70000)])
+
+
+def test_ten_thousand_words_in_one_pass(spark):
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(4, 10))) for _ in range(10_000)})
+    texts = [None, "", "x" * 50_000] + [" ".join(rng.choice(words) + rng.choice(["", "s", "ing"]) for _ in range(300)) for _ in range(40)]
+    got = {(r.id, r.word): r.hits for r in P.word_counts(spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3), words, "id", "text").collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for w in words:
+            if t and w in t:
+                want[i, w] = sum(t.startswith(w, k) for k in range(len(t)) if t[k] == w[0])
+    assert got == want
+
+
+def test_policies_one_by_one_are_the_same_as_together():
+    """Counts of the text as it stands, masks in order, own hits of each policy, actions that only count."""
+    rng = random.Random(3)
+    make = lambda i: P.Policy(i, *rng.choice([("WORD", rng.choice(["ab", "ba", "aa", "b", "[R", " "])), ("REGEX", rng.choice(["a+b", "(b+)+", ".*.*", "[ab]{2}", "("]))]), rng.choice(["MASK", "MASK", "AUDIT", "BLOCK_DOC", "BLOCK_SEARCH"]), rng.choice(["", "*", "ba"]), priority=rng.randrange(3))
+    for _ in range(300):
+        rules = [make(i) for i in range(rng.randrange(6))]
+        texts = ["".join(rng.choice("ab [R") for _ in range(rng.randrange(12))) for _ in range(5)] + [None]
+        for text, got in zip(texts, P.Screen(rules).run(texts), strict=True):
+            out, hits, blocked = text or "", [], False
+            for p in sorted(rules, key=lambda p: (-p.priority, p.id)):
+                rx = P.safe_regex(p.value) if p.kind == "REGEX" else None
+                n = (len(rx.findall(out)) if rx else 0) if p.kind == "REGEX" else P.occurrences(out, p.value) if p.value.strip() else 0
+                if n:
+                    hits.append((p.id, n))
+                    if p.action == "BLOCK_DOC":
+                        out, blocked = "", True
+                        break
+                    if p.action == "MASK":
+                        put = p.replacement or "[REDACTED]"
+                        out = rx.sub(lambda m: put, out) if rx else out.replace(p.value, put)
+            assert got == (out, blocked, hits)
 
 
 def test_parsers(spark):
