@@ -21,8 +21,22 @@ def _stream(spark: SparkSession, d: str, files: int | None = None) -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream until its input is used up, and its result as a table in the shared folder."""
+#: The state store that holds timers.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _drained(spark: SparkSession, stream: DataFrame, mode: str, at: str | None = None) -> DataFrame:
+    """Runs a stream until its input is used up, and its result as a table in the shared folder; ``at`` goes on with an earlier run."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)  # read when a stream starts
+    try:
+        return _run(spark, stream, mode, at)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _run(spark: SparkSession, stream: DataFrame, mode: str, at: str | None) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -30,7 +44,7 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
         import tempfile
 
         base = tempfile.mkdtemp(prefix="foliant-stream-")
-    at = f"{base.rstrip('/')}/foliant/stream-{uuid.uuid4().hex[:12]}"
+    at = at or f"{base.rstrip('/')}/foliant/stream-{uuid.uuid4().hex[:12]}"
 
     epochs: list[int] = []
 
@@ -71,6 +85,22 @@ def stream_retry_queue(spark: SparkSession, d: str) -> DataFrame:
     return _drained(spark, tasks.retry_queue(s).select("task_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "attempt", "action"), "append")
 
 
+@query("""
+    with f as (select user_id as task_id, epoch_us(ts) // 1000 as t, event_type = 'purchase' as ok, event_id from events where event_type in ('error', 'purchase')),
+    r as (select *, sum(case when ok then 1 else 0 end) over (partition by task_id order by t, ok, event_id) as run from f),
+    n as (select task_id, t, run, row_number() over (partition by task_id, run order by t, event_id) as k from r where not ok),
+    s as (select task_id, run, min(t) as done from r where ok group by task_id, run),
+    e as (select n.task_id, cast((k - 1) % 3 + 1 as int) as attempt, case when k % 3 = 0 then 'DEAD' else 'RETRY' end as action, t + case when k % 3 = 0 then 0 else 86400000 * ((k - 1) % 3 + 1) end as t, done
+      from n left join s on s.task_id = n.task_id and s.run = n.run + 1)
+    select task_id, attempt, action, make_timestamp_ms(t) as released from e where t <= (select max(t) from f) and (action = 'DEAD' or done is null or t <= done)
+""")
+def stream_delayed_retries(spark: SparkSession, d: str) -> DataFrame:
+    """Errors come back one, two days later unless a purchase comes first; the third in a row is a dead letter."""
+    s = _stream(spark, d).where("event_type in ('error', 'purchase')").select(F.col("user_id").alias("task_id"), "ts", (F.col("event_type") == "purchase").alias("ok"))
+    out = tasks.delayed_retries(s, most=3, delay=86_400)
+    return _drained(spark, out.withColumn("released", F.col("released").cast("timestamp_ntz")), "append")
+
+
 @query("""
     select event_id, case when value <= 20 then 'HIGH' else 'LOW' end as priority, 'PRIVATE' as visibility, 1 as doc_version from events
 """)

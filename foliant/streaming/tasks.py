@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 MOST_ATTEMPTS, DELAY_SECONDS = 8, 60
 OUTBOX_RETRIES = 3
@@ -61,6 +62,89 @@ def retry_queue(results: DataFrame) -> DataFrame:
     return results.groupBy("task_id").applyInPandasWithState(_retry, "task_id long, ts timestamp, attempt int, action string, due timestamp", "attempts int", "append", GroupStateTimeout.NoTimeout)
 
 
+WAITING, PENDING = "at long, ok boolean", "due long, attempt int"
+DELAYED = "task_id long, attempt int, action string, released timestamp"
+
+
+class DelayQueue(StatefulProcessor):
+    """Failures leave as retries when they are due, by timers in event time.
+
+    Results wait until the watermark has passed them, so they are taken in time order whatever micro-batches bring them.  A
+    failure counts an attempt and is due ``delay`` seconds later for each attempt so far; at ``most`` attempts it is a dead
+    letter at once and the count starts anew.  A success forgets attempts and retries that aren't due yet; what is due at
+    that very time leaves first.  A task that has nothing waiting, pending or counted has no state.
+    """
+
+    def __init__(self, most: int, delay: int):
+        self.most, self.delay = most, delay * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.attempts = handle.getValueState("attempts", "n int")
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.pending = handle.getListState("pending", PENDING)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        new = [(int(at), bool(ok)) for pdf in rows for at, ok in zip(pdf["at"], pdf["ok"], strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(at for at, _ in new))
+        yield self._frame([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        results, due = sorted(tuple(x) for x in self.waiting.get()), sorted(tuple(x) for x in self.pending.get())
+        n, = self.attempts.get() if self.attempts.exists() else (0,)
+        out, taken = [], 0
+        while True:
+            at = results[taken][0] if taken < len(results) else None
+            if due and due[0][0] <= now and (at is None or due[0][0] <= at):
+                when, attempt = due.pop(0)
+                out.append((key[0], attempt, "RETRY", when))
+            elif at is not None and at <= now:
+                ok = results[taken][1]
+                taken += 1
+                if ok:
+                    n, due = 0, []
+                elif n + 1 >= self.most:
+                    out.append((key[0], n + 1, "DEAD", at))
+                    n = 0
+                else:
+                    n += 1
+                    due = sorted([*due, (at + self.delay * n, n)])
+            else:
+                break
+        left = results[taken:]
+        for state, kept in ((self.waiting, left), (self.pending, due), (self.attempts, [(n,)] if n else [])):
+            if not kept:
+                state.clear()
+            elif state is self.attempts:
+                state.update(kept[0])
+            else:
+                state.put(kept)
+        if left or due:
+            self.handle.registerTimer(min(x[0][0] for x in (left, due) if x))
+        yield self._frame(out)
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["task_id", "attempt", "action", "released"])
+        return frame.assign(released=pd.to_datetime(frame["released"].astype("int64"), unit="ms", utc=True))
+
+    def close(self) -> None:
+        pass
+
+
+def delayed_retries(results: DataFrame, most: int = 3, delay: int = 60, late: str = "0 seconds") -> DataFrame:
+    """Stream of task results (task_id, ts, ok) -> retries at the time they are due, and dead letters: (task_id, attempt, action, released).
+
+    Times are whole milliseconds; of results at one time failures come first.  Results more than ``late`` behind are dropped.
+    The session needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass``.
+    """
+    rows = results.withWatermark("ts", late).select("task_id", "ts", F.unix_millis("ts").alias("at"), "ok")
+    return rows.groupBy("task_id").transformWithStateInPandas(DelayQueue(most, delay), DELAYED, "append", "EventTime")
+
+
 def due(retries: DataFrame, now: Column, most: int = 20) -> DataFrame:
     """Retries whose time has come, the earliest first, at most ``most``: the batch drain of the delay queue."""
     return retries.where((F.col("action") == "RETRY") & (F.col("due") <= now)).orderBy("due", "task_id").limit(most)

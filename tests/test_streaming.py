@@ -41,3 +41,71 @@ def test_several_micro_batches(spark, tmp_path):
     s = streams._stream(spark, str(tmp_path), files=1).select(F.lit(5).cast("long").alias("task_id"), "ts", F.lit(False).alias("ok"))
     out = streams._drained(spark, tasks.retry_queue(s), "append").orderBy("ts").collect()
     assert [r.attempt for r in out] == [i % 8 + 1 for i in range(120)]
+
+
+def brute_delayed(rows, most, delay, now):
+    """(task, attempt, action, minute) of results (task, minute, ok) up to ``now``; failures before successes of one minute."""
+    out = []
+    for task in {r[0] for r in rows}:
+        n, pending = 0, []
+        for at, ok in [*sorted((r[1], r[2]) for r in rows if r[0] == task and r[1] <= now), (now, None)]:
+            out += [(task, a, "RETRY", d) for d, a in pending if d <= at]
+            pending = [p for p in pending if p[0] > at]
+            if ok is True:
+                n, pending = 0, []
+            elif ok is False and n + 1 >= most:
+                out.append((task, n + 1, "DEAD", at))
+                n = 0
+            elif ok is False:
+                n += 1
+                pending.append((at + delay * n, n))
+    return sorted(out)
+
+
+def test_delayed_retries_leave_when_due(spark, tmp_path):
+    """Over several micro-batches and a restart, in any order within the lateness, the same rows as in one run."""
+    import random
+
+    from foliant.plans import streams
+
+    rng = random.Random(5)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(rng.randrange(4), m, rng.random() < 0.3) for m in range(0, 300) if rng.random() < 0.7]
+    rows.append((99, 300, True))  # brings the watermark to the end
+    late = sorted(rows, key=lambda r: r[1] + rng.randrange(5))
+    schema = "task_id long, ts timestamp, ok boolean"
+
+    def add(part):
+        spark.createDataFrame([(t, start + datetime.timedelta(minutes=m), ok) for t, m, ok in part], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def go(at):
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return streams._drained(spark, tasks.delayed_retries(s, most=3, delay=7 * 60, late="10 minutes"), "append", at)
+
+    add([(1, -50, False)])
+    for k in range(0, len(late) // 2, 40):
+        add(late[k : min(k + 40, len(late) // 2)])
+    at = f"{tmp_path}/run"
+    go(at)
+    half = spark.read.parquet(f"{at}/out").count()
+    for k in range(len(late) // 2, len(late), 40):
+        add(late[k : k + 40])
+    out = go(at)
+    got = sorted((r.task_id, r.attempt, r.action, int((r.released - start).total_seconds() // 60)) for r in out.collect())
+    rows.append((1, -50, False))
+    assert got == brute_delayed(rows, 3, 7, 290) and 0 < half < len(got)
+    again = sorted((r.task_id, r.attempt, r.action, int((r.released - start).total_seconds() // 60)) for r in go(f"{tmp_path}/other").collect())
+    assert again == got
+
+
+def test_state_is_freed_after_success(spark, tmp_path):
+    from foliant.plans import streams
+
+    t = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    spark.createDataFrame([(1, t(1), False), (1, t(2), True), (2, t(1), False), (3, t(50), True)], "task_id long, ts timestamp, ok boolean").write.parquet(f"{tmp_path}/in")
+    at = f"{tmp_path}/run"
+    s = spark.readStream.schema("task_id long, ts timestamp, ok boolean").parquet(f"{tmp_path}/in")
+    got = streams._drained(spark, tasks.delayed_retries(s, most=3, delay=300), "append", at).collect()
+    assert [(r.task_id, r.attempt, r.action, r.released) for r in got] == [(2, 1, "RETRY", t(6))]
+    held = {name: sorted({r.key.task_id for r in spark.read.format("statestore").option("path", f"{at}/state").option("stateVarName", name).load().collect()}) for name in ("attempts", "waiting", "pending")}
+    assert held == {"attempts": [2], "waiting": [], "pending": []}
