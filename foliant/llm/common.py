@@ -117,6 +117,28 @@ def may_hold(ids: DataFrame, id_col: str = "id") -> Callable[[Column], Column]:
     return lambda c: held(place(c))
 
 
+#: Keys of rows that share their id or have none begin here.
+NEW_KEYS = 1 << 62
+
+
+def with_keys(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a key that no two rows share, and that column's name: the id (as a long) of rows that alone have it, else a number from ``NEW_KEYS`` on.
+
+    Rows whose id repeats or is null are numbered in a written table; all others stay where they are.
+    """
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    own = F.col(id_col).cast("long")
+    ids = docs.select(own.alias("id"))
+    again = settle(ids.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    if again.isEmpty() and ids.where("id is null").isEmpty():
+        return docs.withColumn(name, own), name
+    odd = own.isNull() | may_hold(again)(own)  # a false alarm only gets another key
+    numbered_ = settle(docs.where(odd).withColumn(name, F.lit(NEW_KEYS) + F.monotonically_increasing_id()), "numbered-rows")
+    return docs.where(~odd).withColumn(name, own).unionByName(numbered_), name
+
+
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the ids in ``gone`` (one column): rows that the id filter clears never move, the rest meet in an anti join."""
     gone = settle(gone.toDF("_gone").where("_gone is not null").distinct(), "gone-ids")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, settle, spread, trimmed
+from .common import drop_ids, settle, spread, trimmed, with_keys
 
 WINDOW = 10
 #: Words of one broadcast block of benchmark items.
@@ -374,5 +374,6 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int = 2, mis
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents without any benchmark window; ids must be unique."""
-    return drop_ids(docs, contamination(docs, benchmark, id_col, text_col, window=window).where("contaminated").select(id_col), id_col)
+    """The document rows without any benchmark window; rows that repeat an id, or have none, are told apart."""
+    keyed, key = with_keys(docs, id_col)
+    return drop_ids(keyed, contamination(keyed, benchmark, key, text_col, window=window).where("contaminated").select(key), key).select(*docs.columns)

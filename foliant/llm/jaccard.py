@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_ids, may_hold, settle, spread, trimmed
+from .common import drop_ids, may_hold, settle, spread, trimmed, with_keys
 from .graph import components
 
 BUCKETS_LOG2, BLOCKS, PARTS = 20, 64, 256
@@ -391,7 +391,11 @@ def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component; documents without words and with null ids stay; ids must be unique."""
-    found = jaccard_components(docs, n, num, den, id_col, text_col)
-    gone = found.where((F.col(id_col) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(id_col)
-    return drop_ids(docs, gone, id_col)
+    """One document row of each component, that with the smallest id; documents without words stay.
+
+    Rows that repeat an id, or have none, are told apart: each is a document of its own, after those with an id of their own.
+    """
+    keyed, key = with_keys(docs, id_col)
+    found = jaccard_components(keyed, n, num, den, key, text_col)
+    gone = found.where((F.col(key) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(key)
+    return drop_ids(keyed, gone, key).select(*docs.columns)

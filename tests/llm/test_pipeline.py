@@ -79,3 +79,25 @@ def test_the_corpus_is_written(spark, folder, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/corpus").collect()
     assert sorted((r.doc_id, r.shard, r.slot) for r in rows) == sorted((r.doc_id, r.shard, r.slot) for r in placed.collect())
     assert all(r.text == by[r.doc_id][1] for r in rows) and len({r.doc_id for r in rows}) < len(rows)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, folder):
+    """A clean row with a contaminated row's id stays; of copies under one id or none, one stays; columns may clash."""
+    path, _, _, items = folder
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    dirty = "lead " + items[0][1] + " tail"
+    rows = [(1, dirty), (1, words(1)), (2, words(2)), (2, words(2)), (2, words(3)), (None, words(4)), (None, words(4)), (None, dirty), (3, words(2)), (4, ""), (4, None), (5, words(5)), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _key string")
+    bench = spark.read.parquet(f"{path}/benchmark.parquet")
+    from foliant.llm.decontamination import drop_contaminated
+    from foliant.llm.jaccard import drop_near_copies
+
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    clean = drop_contaminated(df, bench)
+    assert clean.columns == df.columns
+    assert sorted([(r.doc_id, r.text) for r in clean.collect()], key=key) == sorted([r for r in rows if r[1] != dirty], key=key)
+    kept = drop_near_copies(df)
+    assert kept.columns == df.columns
+    got = sorted([(r.doc_id, r.text) for r in kept.collect()], key=key)
+    assert len([r for r in got if r[1] == words(2)]) == 1 and (3, words(2)) in got and len([r for r in got if r[1] == words(4)]) == 1
+    assert [r for r in got if not r[1]] == sorted([r for r in rows if not r[1]], key=key) and {t for _, t in got} == {t for _, t in rows}
