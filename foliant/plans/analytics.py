@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.operators import quantiles as Q
 from foliant.sources.tables import read_table as read
 
 from .registry import query
@@ -20,9 +21,11 @@ def audit_by_mode(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     v = F.col("value")
     by = e.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.95)), 6).alias("p95"),
+        F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 6).alias("mean"),
         F.round(F.sum(F.when(v > 50, 1).otherwise(0)) / F.count(F.lit(1)), 6).alias("slow_rate"), (F.greatest(F.coalesce(F.max(v), F.lit(0)) - F.coalesce(F.avg(v), F.lit(0)), F.lit(0)) > 10).alias("has_tail"),
     )
+    p95 = Q.percentile_cont(e, ["event_type"], "value", {"p95": 0.95}).select(F.col("event_type").alias("mode"), F.round("p95", 6).alias("p95"))
+    by = by.join(p95, by["event_type"].eqNullSafe(p95["mode"]), "left").drop("mode")
     total = by.agg(F.sum("n").alias("total"))
     return by.crossJoin(F.broadcast(total)).withColumn("share", F.round(100.0 * F.col("n") / F.nullif("total", F.lit(0)), 6)).drop("total")
 

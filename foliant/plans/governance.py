@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.operators import policy as P
+from foliant.operators import quantiles as Q
 from foliant.operators import versions as V
 from foliant.sources.tables import read_table as read
 from foliant.sources.tables import spread
@@ -156,12 +157,11 @@ def projection_gaps(spark: SparkSession, d: str) -> DataFrame:
       cast(ceil(a * 100000000 / (30.0 * 1024 * 1024 * 1024)) as bigint) as shards_30gb from s
 """)
 def capacity_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Order statistics by nearest rank: exact percentile positions from a count and a global sort, not one array."""
+    """Order statistics by nearest rank, selected by range counts."""
     docs = read(spark, d, "documents").select("n_chars")
-    n, mean = docs.agg(F.count(F.lit(1)), F.avg("n_chars")).first()
-    disc = [F.percentile("n_chars", F.lit(0.0 if n < 2 else P.nearest_position(n, p) / (n - 1))).cast("long").alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    shards = F.ceil(F.lit(float(mean or 0)) * 100000000 / (30.0 * 1024**3)).cast("long")
-    return docs.agg(F.count(F.lit(1)).alias("n"), *disc).withColumn("shards_30gb", shards)
+    at = {name: Q.nearest_rank(p) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
+    found = Q.select_positions(docs, [], "n_chars", at)
+    return found.crossJoin(F.broadcast(docs.agg(F.ceil(F.coalesce(F.avg("n_chars"), F.lit(0.0)) * 100000000 / (30.0 * 1024**3)).cast("long").alias("shards_30gb"))))  # one row
 
 
 @query("""
