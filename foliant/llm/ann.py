@@ -167,7 +167,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or of
     another length than the most common one.  A query never finds rows of its own id; with fewer than k candidates all
-    are returned.  Equal scores rank the smaller id first.  Repeated ids are searched for once.  Other columns are
+    are returned.  Equal scores rank the smaller id first.  A repeated id is searched for once, with the smallest of its vectors,
+    component by component, whatever the order of rows.  Other columns are
     ignored; an empty table gives no rows.
     """
     sound = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
@@ -246,7 +247,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         ask = queries.join(F.broadcast(sizes), "list").select("list", to("subs").alias("sub"), own(2, "blocks").alias("block"), "id", "floor", "v")
         return data.groupBy(*key).cogroup(ask.groupBy(*key)).applyInArrow(group, "query_id long, vec_id long, score double")
 
-    queries = indexed.where(F.col("id") % every == 0).dropDuplicates(["id"]).select("id", F.lit(float("-inf")).alias("floor"), "v")
+    queries = indexed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).select("id", F.lit(float("-inf")).alias("floor"), "v")
     if probes >= lists:
         return ranked(scan(queries, True))
     queries = settle(queries, "queries")

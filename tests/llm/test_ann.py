@@ -93,3 +93,15 @@ def test_ties_repeated_ids_and_clashing_names(spark):
     # equal scores by the smaller id; a query of a repeated id is asked once and never finds its own id
     want = [(i, 2.0) for i in (1, 2, 3, 3, 4, 5)]
     assert got == {q: want for q in (0, 20, 40)}
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    """The smallest vector of an id asks, in any order and partitioning of the rows."""
+    rng = np.random.default_rng(9)
+    rows = [(i % 60, rng.standard_normal(8).astype(np.float32).tolist(), 0) for i in range(240)]
+    runs = [sorted(tuple(r) for r in search(spark.createDataFrame(order, SCHEMA).repartition(n)).collect()) for order, n in ((rows, 1), (rows[::-1], 5))]
+    assert runs[0] == runs[1]
+    for q in (0, 20, 40):
+        v = np.array(min(r[1] for r in rows if r[0] == q))
+        want = sorted((-float(np.float64(v) @ np.array(r[1], np.float64)), r[0]) for r in rows if r[0] != q)[:20]
+        assert [(round(-s, 9), i) for s, i in want] == [(round(r[3], 9), r[2]) for r in runs[0] if r[0] == q]
