@@ -7,9 +7,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.rolling import first_holders
 from foliant.sources.tables import spread
 
 #: Patterns of document types in the order in which ties are decided, and (max, min, target, overlap).
@@ -360,12 +362,23 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def link_parents(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Fine chunks with the first coarse chunk of their document that contains their first 80 characters.
+    """Fine chunks with the first coarse chunk of their document that contains their first 80 characters, white space left out.
 
-    An equi-join on the document with ``contains`` as a residual; the minimum sequence number is the first match.
+    The chunks of one document meet; the beginnings of fine chunks are looked up among the hashes of all places of coarse ones.
     """
     squeeze = lambda c: F.regexp_replace(c, r"\s+", "")
-    fine = chunks.where("granularity = 'fine'").select(id_col, F.col("chunk_id").alias("fine_id"), F.substring(squeeze(F.col("content")), 1, 80).alias("probe"))
-    coarse = chunks.where("granularity = 'coarse'").select(F.col(id_col).alias("d_"), F.col("chunk_id").alias("parent_chunk_id"), "seq", squeeze(F.col("content")).alias("whole"))
-    hit = fine.join(coarse, (fine[id_col] == coarse["d_"]) & F.contains(coarse["whole"], fine["probe"]), "left")
-    return hit.groupBy(id_col, "fine_id").agg(F.min_by("parent_chunk_id", "seq").alias("parent_chunk_id"))
+    fine = F.col("granularity") == "fine"
+    rows = chunks.where("granularity in ('fine', 'coarse')").select(F.col(id_col).alias("id"), fine.alias("fine"), "seq", "chunk_id", F.when(fine, F.substring(squeeze(F.col("content")), 1, 80)).otherwise(squeeze(F.col("content"))).alias("text"))
+    kind = chunks.schema[id_col].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        own = [r for r in table.to_pylist() if r["text"] is not None]
+        coarse = sorted((r for r in own if not r["fine"]), key=lambda r: r["seq"])
+        asked = [r for r in own if r["fine"]]
+        at = first_holders([r["text"] for r in asked], [r["text"] for r in coarse])
+        named = {r["chunk_id"]: coarse[n]["chunk_id"] if n >= 0 else None for r, n in zip(asked, at, strict=True)}
+        named |= {r["chunk_id"]: None for r in table.to_pylist() if r["fine"] and r["text"] is None}
+        return pa.table({"id": pa.array([table["id"][0].as_py()] * len(named), table.schema.field("id").type), "fine_id": pa.array(list(named), pa.string()), "parent_chunk_id": pa.array(list(named.values()), pa.string())})
+
+    out = rows.groupBy("id").applyInArrow(run, f"id {kind}, fine_id string, parent_chunk_id string")
+    return out.withColumnRenamed("id", id_col)

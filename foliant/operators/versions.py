@@ -44,12 +44,22 @@ def owners(rows: DataFrame, by_id: DataFrame, by_source: DataFrame) -> DataFrame
 
 
 def rollup(chunks: DataFrame, doc: str = "source") -> DataFrame:
-    """Chunk rows (doc, seq, content, doc_version, tokens) to one document row: newest version, up to three summaries and 32 chunk numbers in order, union of tokens."""
-    first = F.array_sort(F.collect_list(F.struct("seq", "content")))
-    return chunks.groupBy(doc).agg(
-        F.max("doc_version").alias("doc_version"), F.count(F.lit(1)).alias("chunks"), F.transform(F.slice(first, 1, 3), lambda s: F.substring(s["content"], 1, 500)).alias("summaries"),
-        F.slice(F.array_sort(F.collect_set("seq")), 1, 32).alias("chunk_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tokens")))).alias("tokens"),
-    )
+    """Chunk rows (doc, seq, content, doc_version, tokens) to one document row: newest version, up to three summaries and 32 chunk numbers in order, union of tokens.
+
+    Ranks come first, and tasks keep what can be among the first three or 32 of a document, so no document's texts are gathered.
+    """
+    def first(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+        return rows.withColumn("r_", F.row_number().over(Window.partitionBy(doc).orderBy(*order))).where(F.col("r_") <= most)
+
+    listed = F.array_sort(F.collect_list(F.struct("r_", "x"))).alias("x")
+    summaries = first(chunks.select(doc, "seq", "content"), ["seq", "content"], 3).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("r_", F.substring("content", 1, 500).alias("x")))).alias("x"))
+    ids = first(chunks.select(doc, F.col("seq").alias("x")).where("x is not null").distinct(), ["x"], 32).groupBy(doc).agg(listed)
+    out = chunks.groupBy(doc).agg(F.max("doc_version").alias("doc_version"), F.count(F.lit(1)).alias("chunks"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tokens")))).alias("tokens"))
+    for name, part in (("summaries", summaries), ("chunk_ids", ids)):
+        part = part.select(F.col(doc).alias("d_"), F.col("x.x").alias(name))
+        out = out.join(part, out[doc].eqNullSafe(part["d_"]), "left").drop("d_")
+    none = F.array()
+    return out.select(doc, "doc_version", "chunks", F.coalesce("summaries", none).alias("summaries"), F.coalesce("chunk_ids", none).alias("chunk_ids"), "tokens")
 
 
 def nearest_rank(values: Column, p: float) -> Column:

@@ -93,14 +93,15 @@ def parent_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with p as (select item_id, lower(substring(text, 1, 40)) as probe from benchmark where length(text) >= 40)
-    select item_id, doc_id from p join documents on contains(lower(text), probe)
+    select item_id, doc_id from benchmark b join documents d on contains(lower(d.text), lower(b.text)) where length(b.text) > 3
 """)
 def literal_probe(spark: SparkSession, d: str) -> DataFrame:
-    """Exact probe of a small query table: a broadcast nested loop, its side bounded by the query table."""
-    p = read(spark, d, "benchmark").where(F.length("text") >= 40).select("item_id", F.lower(F.substring("text", 1, 40)).alias("probe"))
+    """Documents that hold the whole text of an item, by hashes of their windows."""
+    from foliant.operators.rolling import literal_matches
+
+    items = read(spark, d, "benchmark").where(F.length("text") > 3).select("item_id", F.lower("text").alias("probe"))
     docs = read(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    return docs.join(F.broadcast(p), F.contains("t", "probe")).select("item_id", "doc_id")
+    return literal_matches(docs, items, "doc_id", "t", "item_id", "probe")
 
 
 @query(f"""
