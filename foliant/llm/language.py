@@ -9,8 +9,9 @@ one value a language.
 
 Training sees at most ``ROWS_A_LANGUAGE`` labelled documents of each language, the first by a hash of the id, whole
 texts; no language is left out, however rare it is or however many there are.  n-gram counts and the linear system are
-summed over tasks; the driver holds the landmarks and a matrix of landmarks x landmarks, which grow with the number of
-languages alone.  Scoring reads every text once and shuffles nothing.
+summed over tasks; the driver holds the landmarks, as lists of the columns that they hold, and a matrix of landmarks x
+landmarks, which grow with the number of languages alone: about 16 KB and 32 KB x languages for each language of 4 landmarks.
+Beyond ``MOST_SQUARE`` bytes (2,000 languages) languages get fewer landmarks; more than 8,000 languages are refused.  Scoring reads every text once and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ ROWS_A_LANGUAGE = 400
 GRAMS_A_LANGUAGE = 2_500
 #: Landmarks of one language; with few languages each has more, up to LANDMARKS in all.
 MARKS_A_LANGUAGE, LANDMARKS = 4, 128
+#: Landmarks that are laid out as a dense block at a time, and most bytes of a square matrix of landmarks on the driver.
+MARKS_AT_ONCE, MOST_SQUARE = 512, 512 << 20
 RIDGE = 1e-2
 #: Sharpness of the scores.
 SLOPE = 4.0
@@ -71,9 +74,26 @@ def grams(text: str) -> np.ndarray:
 class Model:
     languages: list[str]
     vocabulary: np.ndarray  # n-gram numbers, sorted; the place is the column
-    landmarks: np.ndarray  # presence, scaled by its norm
+    starts: np.ndarray  # column -> its part of ``marks``: the landmarks that hold it
+    marks: np.ndarray
+    scale: np.ndarray  # of each landmark: one over the norm of its presence
     weights: np.ndarray
 
+    def dense(self, columns: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Landmarks ``lo`` to ``hi`` over some columns."""
+        count = self.starts[columns + 1] - self.starts[columns]
+        at = np.repeat(self.starts[columns] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        mark, place = self.marks[at], np.repeat(np.arange(len(columns)), count)
+        own = (mark >= lo) & (mark < hi)
+        out = np.zeros((hi - lo, len(columns)), np.float32)
+        out[mark[own] - lo, place[own]] = self.scale[mark[own]]
+        return out
+
+    @property
+    def landmarks(self) -> np.ndarray:
+        """All landmarks over all columns: for small models, as in tests."""
+        return self.dense(np.arange(len(self.vocabulary)), 0, len(self.scale))
+
     def held(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(row, column) of every n-gram held, repeats included."""
         each = [grams(t) for t in texts]
@@ -96,7 +116,22 @@ class Model:
         at = np.cumsum(used) - 1
         p = np.zeros((len(texts), int(used.sum())), np.float32)
         p[row, at[column]] = 1
-        return (p @ self.landmarks[:, used].T) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+        columns = np.flatnonzero(used)
+        k = [p @ self.dense(columns, lo, min(lo + MARKS_AT_ONCE, len(self.scale))).T for lo in range(0, len(self.scale), MARKS_AT_ONCE)]
+        k = np.concatenate(k, axis=1) if k else np.zeros((len(texts), 0), np.float32)
+        return k / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+
+    def between(self) -> np.ndarray:
+        """Kernel values of the landmarks with each other."""
+        out = np.zeros((len(self.scale), len(self.scale)))
+        for begin in range(0, len(self.vocabulary), 1 << 13):
+            columns = np.arange(begin, min(begin + (1 << 13), len(self.vocabulary)))
+            for lo in range(0, len(self.scale), MARKS_AT_ONCE):
+                left = self.dense(columns, lo, min(lo + MARKS_AT_ONCE, len(self.scale)))
+                for lo2 in range(0, len(self.scale), MARKS_AT_ONCE):
+                    hi2 = min(lo2 + MARKS_AT_ONCE, len(self.scale))
+                    out[lo : lo + len(left), lo2:hi2] += left @ self.dense(columns, lo2, hi2).T
+        return out
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Best language's number and a score in 0 to 1: a softmax of the ridge values; ties go to the earlier name."""
@@ -161,23 +196,27 @@ def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     vocabulary = _vocabulary(lettered) if names else np.empty(0, np.int64)
     if not len(vocabulary):
         return None
-    most = max(MARKS_A_LANGUAGE, LANDMARKS // len(names))
+    room = int((MOST_SQUARE / 8) ** 0.5) // len(names)
+    if not room:
+        raise ValueError(f"{len(names)} languages: their landmarks' kernel matrix would pass {MOST_SQUARE >> 20} MB")
+    most = min(room, max(MARKS_A_LANGUAGE, LANDMARKS // len(names)))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("turn"))
     marks = lettered.withColumn("r", first).where(F.col("r") <= most).orderBy("lang", "r").select("text")
-    model = Model(names, vocabulary, np.zeros((0, len(vocabulary)), np.float32), np.zeros((0, len(names))))
+    model = Model(names, vocabulary, np.zeros(len(vocabulary) + 1, np.int64), np.empty(0, np.int32), np.empty(0, np.float32), np.zeros((0, len(names))))
 
     def column_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"at": [np.unique(model.held([t])[1]) for t in pdf["text"]]})
 
     held = [np.asarray(r["at"], np.int64) for r in marks.mapInPandas(column_lists, "at array<long>").toLocalIterator()]
-    rows = np.zeros((len(held), len(vocabulary)), np.float32)
-    for row, at in zip(rows, held, strict=True):
-        row[at] = 1
-    model.landmarks = rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+    column = np.concatenate(held)
+    order = np.argsort(column, kind="stable")
+    model.starts = np.searchsorted(column[order], np.arange(len(vocabulary) + 1))
+    model.marks = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])[order]
+    model.scale = (1 / np.sqrt(np.maximum([len(x) for x in held], 1))).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     number = {x: i for i, x in enumerate(names)}
-    m, c = len(rows), len(names)
+    m, c = len(held), len(names)
     weight = np.array([1 / n[x] for x in names])  # every language weighs the same
 
     def system(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +236,9 @@ def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         a += np.frombuffer(r["gram"]).reshape(m, m)
         by += np.frombuffer(r["total"]).reshape(c, m)
     right = 2 * by.T - by.sum(axis=0)[:, None]  # +1 for the language itself, -1 for the others
-    k_mm = (model.landmarks @ model.landmarks.T).astype(np.float64)
-    model.weights = np.linalg.solve(a + RIDGE * k_mm + 1e-8 * np.eye(m), right).astype(np.float32)
+    a += RIDGE * model.between()
+    a[np.diag_indices(m)] += 1e-8
+    model.weights = np.linalg.solve(a, right).astype(np.float32)
     return model
 
 

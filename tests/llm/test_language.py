@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from foliant.llm import language
 from foliant.llm.language import fit_model, identify
@@ -103,3 +104,24 @@ def test_null_languages_and_very_long_texts(frame, monkeypatch):
     rows = identify(frame(docs), fit_model(frame(docs))).collect()
     assert len(rows) == 83 and {r.lang_pred for r in rows if (r.doc_id or 0) >= 7000} == {"aa"}
     assert [r.held_out for r in rows if r.doc_id is None] == [False]
+
+
+def test_landmarks_are_sparse_and_bounded(frame, monkeypatch):
+    """Many languages: the model holds lists, not a matrix, and its kernel is that of the matrix; fewer landmarks where room ends."""
+    rng = random.Random(6)
+    units = lambda: ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 3)) for _ in range(40)]
+    docs = []
+    for k in range(120):
+        own = units()
+        docs += [(10 * k + j, " ".join("".join(rng.choices(own, k=3)) for _ in range(30)), f"l{k:03}", "s") for j in range(10)]
+    monkeypatch.setattr(language, "MARKS_AT_ONCE", 50)
+    m = fit_model(frame(docs, extra=False))
+    assert len(m.languages) == 120 and m.marks.nbytes + m.starts.nbytes < m.landmarks.nbytes / 10
+    p = m.presence([d[1] for d in docs[:30]])
+    assert np.allclose(m.kernel([d[1] for d in docs[:30]]), p @ m.landmarks.T / np.sqrt(p.sum(axis=1, keepdims=True)), atol=1e-5)
+    assert np.allclose(m.between(), m.landmarks @ m.landmarks.T, atol=1e-5)
+    monkeypatch.setattr(language, "MOST_SQUARE", 8 * 250**2)
+    assert len(fit_model(frame(docs, extra=False)).scale) <= 250
+    monkeypatch.setattr(language, "MOST_SQUARE", 8 * 100**2)
+    with pytest.raises(ValueError, match="120 languages"):
+        fit_model(frame(docs, extra=False))
