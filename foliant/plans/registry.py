@@ -29,4 +29,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_clean_chunk_bm25"](spark, sf_dir)
 
 
-from . import access, analytics, context, corpus, governance, pipelines, ranking, recalls, retrieval, streams, text  # noqa: E402, F401  registration
+from . import access, analytics, context, corpus, governance, pipelines, ranking, recalls, results, retrieval, streams, text  # noqa: E402, F401  registration
