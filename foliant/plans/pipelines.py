@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import headings as D
 from foliant.operators import history as H
+from foliant.operators import migrations as B
 from foliant.operators import mining as M
 from foliant.operators import pages as G
 from foliant.operators import quantiles as Q
@@ -126,3 +127,34 @@ def incremental_rows(spark: SparkSession, d: str) -> DataFrame:
         part.write.mode("append").parquet(path)
         out = _drained(spark, increments.new_rows(spark, path, e.schema, "event_id", "ts"), "append", run)
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""
+    with s as (select 'c' || c_custkey as source, case when c_custkey % 5 = 0 then ['_NO_ACCESS'] else ['u' || c_nationkey, c_mktsegment] end as tokens, cast(c_nationkey as varchar) as unit, c_custkey % 100 as v from customer where c_custkey % 3 = 0)
+    select o_orderkey, s.source is not null as updated, array_to_string(case when s.source is null then ['old'] else tokens end, ',') as acl_tokens, case when s.source is null then 'global' else unit end as owner_unit_code, case when s.source is null then 0 else v end as permission_version
+    from orders left join s on s.source = 'c' || o_custkey
+""")
+def snapshot_applied(spark: SparkSession, d: str) -> DataFrame:
+    """Rights of a third of the customers, exported as JSON lines and applied to all orders by their source."""
+    path = _fresh(spark, "snapshot")
+    c = read(spark, d, "customer").where("c_custkey % 3 = 0")
+    tokens = F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.to_json(F.array(F.concat(F.lit("u"), F.col("c_nationkey").cast("string")), "c_mktsegment")))
+    c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("source_name"), tokens.alias("acl_tokens"), F.col("c_nationkey").cast("string").alias("dept_code"), (F.col("c_custkey") % 100).alias("permission_version")).write.json(path)
+    rows = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.array(F.lit("old")).alias("acl_tokens"), F.lit("global").alias("owner_unit_code"), F.array(F.lit("global")).alias("visible_unit_codes"), F.lit(0).cast("long").alias("permission_version"))
+    records = B.snapshot_records(B.read_snapshot(spark, path), F.lit(-1).cast("long"))
+    out = B.apply_snapshot(rows, records, "source")
+    return out.select("o_orderkey", "updated", F.array_join("acl_tokens", ",").alias("acl_tokens"), "owner_unit_code", "permission_version")
+
+
+@query("""
+    select conv_id, turn, coalesce(text, '') as content, case when turn % 2 = 0 then role else '_NO_ACCESS' end as acl_tokens, case when turn % 3 = 0 then 'kb_' || role else 'kb_target' end as source_index,
+      case when turn % 3 = 0 then 'kb_' || role else 'kb_target' end as index_code, case when turn % 2 = 0 then role else 'global' end as owner_unit_code, case when turn % 2 = 0 then turn else -1 end as permission_version from conversations
+""")
+def second_form_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Turns brought to the second form of a chunk row: own values first, then the metadata's, then defaults."""
+    c = read(spark, d, "conversations")
+    none, even = F.lit(None).cast("string"), F.col("turn") % 2 == 0
+    meta = F.struct(F.when(even, F.col("role")).alias("acl_tokens"), none.alias("visible_unit_codes"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("kb_"), "role")).alias("source_index"), none.alias("index_code"), F.when(even, F.col("role")).alias("owner_unit_code"), F.when(even, F.col("turn").cast("string")).otherwise("x").alias("permission_version"))
+    own = [F.lit(" ").alias(f) for f in ("acl_tokens", "source_index", "index_code", "owner_unit_code")] + [none.alias(f) for f in ("display_content", "chunk_granularity", "parent_chunk_id", "keywords", "visible_unit_codes", "permission_version")]
+    out = B.second_form(c.select(F.struct("conv_id", "turn").alias("id"), F.col("text").alias("content"), *own, meta.alias("meta")), "kb_target", F.lit(-1).cast("long"))
+    return out.select("id.conv_id", "id.turn", "content", F.array_join("acl_tokens", ",").alias("acl_tokens"), "source_index", "index_code", "owner_unit_code", "permission_version")

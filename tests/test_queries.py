@@ -1,4 +1,4 @@
-"""Every registered query of the engine against its SQL, on the smallest tables."""
+"""Every registered query of the engine against its SQL."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 
 from foliant.plans.registry import ORACLE_SQL, QUERIES, flagship
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are absent")
 
 
@@ -22,7 +22,7 @@ def test_query(spark, con, name):
     if name in ORACLE_SQL:
         assert oracle.compare(df, con, ORACLE_SQL[name]) == ""
     else:
-        assert df.columns and df.count() >= 0
+        assert df.columns and df.count() > 0  # their rows are held against plain Python elsewhere
 
 
 def test_flagship(spark):
