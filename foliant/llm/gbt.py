@@ -69,12 +69,15 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (margin, probability) of a non-decreasing fit, for linear interpolation."""
-    order = np.argsort(margin, kind="stable")
+    """Pool adjacent violators: knots (margin, probability) of a non-decreasing fit, for linear interpolation.
+
+    Rows of one margin are one point from the start: they have one probability whatever their order.
+    """
+    at, group = np.unique(margin, return_inverse=True)
     blocks: list[list[float]] = []  # weight, weighted label, first and last margin
-    for m, t, w in zip(margin[order], y[order], weight[order], strict=True):
-        blocks.append([w, w * t, m, m])
-        while len(blocks) > 1 and (blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0] or blocks[-2][3] == blocks[-1][2]):
+    for m, w, t in zip(at, np.bincount(group, weight, len(at)), np.bincount(group, weight * y, len(at)), strict=True):
+        blocks.append([w, t, m, m])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
             b = blocks.pop()
             a = blocks[-1]
             blocks[-1] = [a[0] + b[0], a[1] + b[1], a[2], b[3]]
