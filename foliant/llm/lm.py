@@ -33,7 +33,8 @@ SLOTS = CLASSES * PER_CLASS
 #: Slots for words beyond the vocabulary, by hash; a power of two.
 RARE = 256
 WINDOW, HIDDEN = 2, 32
-ROUNDS, STEP_TOKENS, RATE = 1, 512, 0.25
+#: Rounds of averaging; tokens of a step and its rate, the best of a grid by held-out likelihood (README).
+ROUNDS, STEP_TOKENS, RATE = 1, 512, 0.5
 CHUNK = 1 << 13
 BLOCKS, FAN_IN = 16, 64
 #: Words of one training shard; beyond MOST_SHARDS shards they grow instead.
