@@ -6,8 +6,10 @@ Codebooks and coarse centres are fitted on at most ``SAMPLE`` vectors drawn by a
 
 Rows are kept in lists by coarse centre, lists that are too long (a very common vector) are cut by a hash of the id,
 and queries go to lists: list and query rows meet by key in groups of bounded size.  A group is scanned by adding
-table entries for the codes, its best rows are reranked with the original vectors in double precision, and the best of
-all groups are ranked per query.  A query first reads the lists of largest centre product; that gives a ``k``-th score,
+table entries for the codes, its best rows are reranked with the original vectors in double precision, then every
+further row of the group whose code doesn't rule it out, and the best of all groups are ranked per query.  A code rules
+a row out where its sum of entries and |q| times the length of the row's residual stay under the query's ``k``-th score
+so far: copies of one vector, or vectors around a far centre, share codes that say nothing about their order.  A query first reads the lists of largest centre product; that gives a ``k``-th score,
 and of the other lists it then reads all but those that can't reach it: no row of a list with centre c and radius r
 scores above q.c + |q| r.  So no list is left out unless that bound rules it out, at any size.
 """
@@ -30,8 +32,8 @@ CENTRES, SUB = 16, 2
 LIST_ROWS, MAX_LISTS, LEAST_PROBES = 4_096, 1_024, 16
 #: Rows and queries of one group; queries scanned at once.
 GROUP_ROWS, GROUP_QUERIES, CHUNK = 8_192, 4_096, 128
-#: Rows of a group that are reranked exactly, for each query.
-RERANK = 200
+#: Rows of a group that are reranked exactly, for each query, before codes rule out others; pairs reranked at once.
+RERANK, PAIRS = 200, 32_768
 #: Cosine from which inner products matter; sets the weight of the parallel residual.
 THRESHOLD = 0.2
 SWEEPS = 6
@@ -56,6 +58,16 @@ class Quantiser:
             t = np.pad(t, ((0, 0), (0, 1), (0, 0)))
         return (t[:, 0::2, :, None] + t[:, 1::2, None, :]).reshape(len(q), -1, CENTRES * CENTRES)
 
+    def reach(self, q: np.ndarray) -> np.ndarray:
+        """Per query what no sum of its table entries exceeds."""
+        parts = np.sqrt((self.padded(q).reshape(len(q), -1, SUB) ** 2).sum(axis=2))
+        return np.maximum(parts @ np.sqrt((self.books**2).sum(axis=2)).max(axis=1), np.finfo(float).tiny)
+
+    def residuals(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Lengths of what the codes leave of each row."""
+        r = self.padded(x).reshape(len(x), -1, SUB) - self.books[np.arange(self.books.shape[0]), codes]
+        return np.sqrt((r * r).sum(axis=(1, 2)))
+
 
 def _eta(dim: int) -> float:
     return max(1.0, (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
@@ -132,29 +144,45 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.nonzero(above | level)[1].reshape(len(scores), k)
 
 
-def _search(q: Quantiser, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """Exact (query, row, score) of the best k rows of a group for each of its queries."""
+def _search(q: Quantiser, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int):
+    """Exact (query, row, score) of the best k rows of a group for each of its queries, of those that reach its ``floor``."""
     order = np.argsort(ids, kind="stable")
     ids, codes, x = ids[order], codes[order], x[order].astype(np.float64)
+    away, longest = q.residuals(x, codes), np.sqrt((x * x).sum(axis=1).max())
     if codes.shape[1] % 2:
         codes = np.pad(codes, ((0, 0), (0, 1)))
     pair = (codes[:, 0::2].astype(np.int64) * CENTRES + codes[:, 1::2]).T.copy()
     out = []
     for lo in range(0, len(query_ids), CHUNK):
-        qi, qv = query_ids[lo : lo + CHUNK], queries[lo : lo + CHUNK].astype(np.float64)
-        table = q.tables(qv)
+        qi, qv, least = query_ids[lo : lo + CHUNK], queries[lo : lo + CHUNK].astype(np.float64), floor[lo : lo + CHUNK]
+        unit = q.reach(qv)
+        table = q.tables(qv / unit[:, None])  # sums within -1 and 1, whatever the vectors' scale
         score = np.zeros((len(qi), len(ids)), np.float32)
         for s in range(pair.shape[0]):
             score += np.take(table[:, s], pair[s], axis=1)
-        score[qi[:, None] == ids[None, :]] = -np.inf
+        own = qi[:, None] == ids[None, :]
+        score[own] = -np.inf
         at = _best(score, RERANK)
         exact = np.einsum("qrd,qd->qr", x[at], qv)
-        exact[ids[at] == qi[:, None]] = -np.inf
-        top = np.lexsort((ids[at], -exact), axis=1)[:, :k]
-        row = np.arange(len(qi))[:, None]
-        found = exact[row, top]
-        ok = np.isfinite(found)
-        out.append((np.broadcast_to(qi[:, None], found.shape)[ok], ids[at[row, top]][ok], found[ok]))
+        exact[np.take_along_axis(own, at, axis=1)] = -np.inf
+        edge = np.maximum(least, np.partition(exact, -k, axis=1)[:, -k] if exact.shape[1] >= k else -np.inf)
+        size = np.sqrt((qv * qv).sum(axis=1))
+        slack = 1e-12 * size * longest  # rounding must not rule a row out: of doubles here, of table entries and their sums below
+        open_ = score >= ((edge - slack)[:, None] - size[:, None] * away) / unit[:, None] - 4e-7 * (pair.shape[0] + 2)
+        open_ &= ~own
+        cols = np.flatnonzero(open_.any(axis=0))
+        near = qv @ x[cols].T
+        near[~open_[:, cols]] = -np.inf
+        if len(cols) > k:
+            edge = np.maximum(edge, np.partition(near, len(cols) - k, axis=1)[:, -k])
+        # products of matrices only choose the pairs: their last digits depend on a row's place
+        row, col = np.nonzero((near >= (edge - slack)[:, None]) & np.isfinite(near))
+        col = cols[col]
+        found = np.concatenate([np.einsum("pd,pd->p", x[col[i : i + PAIRS]], qv[row[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)] or [np.zeros(0)])
+        best = np.lexsort((ids[col], -found, row))
+        nth = np.arange(len(best)) - np.searchsorted(row[best], row[best])
+        best = best[(nth < k) & (found[best] >= least[row[best]])]
+        out.append((qi[row[best]], ids[col[best]], found[best]))
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
@@ -199,6 +227,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     stats = {r["list"]: r for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away")).collect()}  # at most MAX_LISTS rows
     held = np.array([stats[i]["n"] if i in stats else 0 for i in range(len(q.lists))])
     radius = np.array([stats[i]["away"] if i in stats else 0.0 for i in range(len(q.lists))])
+    far = np.sqrt((q.lists**2).sum(axis=1))
     probes = max(LEAST_PROBES, lists // 8)
 
     def route(first: bool):
@@ -212,8 +241,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
                     enough = np.cumsum(held[order], axis=1) - held[order] < 10 * k
                     go = enough | (np.arange(order.shape[1]) < probes)
                     if not first:
-                        bound = dots + np.sqrt((x * x).sum(axis=1))[:, None] * radius
-                        bound += 1e-9 * (1 + np.abs(bound))  # rounding must not rule a list out
+                        size = np.sqrt((x * x).sum(axis=1))[:, None]
+                        bound = dots + size * (radius + 1e-12 * (radius + far))  # rounding must not rule a list out
                         go = ~go & np.take_along_axis(bound >= b.column("floor").to_numpy()[:, None], order, axis=1)
                     at = np.nonzero(go & (held[order] > 0))
                     rows = pa.array(at[0])
@@ -226,10 +255,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         left, right = left.combine_chunks(), right.combine_chunks()
         codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(left.num_rows, -1)
-        a, b, s = _search(shared.value, left["id"].to_numpy(), codes, _matrix(left["v"].chunk(0), dim), right["id"].to_numpy(), _matrix(right["v"].chunk(0), dim), k)
-        order = np.argsort(right["id"].to_numpy())
-        floor = right["floor"].to_numpy()[order][np.searchsorted(right["id"].to_numpy(), a, sorter=order)]
-        return pa.table({"query_id": a, "vec_id": b, "score": s}).filter(pa.array(s >= floor))
+        a, b, s = _search(shared.value, left["id"].to_numpy(), codes, _matrix(left["v"].chunk(0), dim), right["id"].to_numpy(), _matrix(right["v"].chunk(0), dim), right["floor"].to_numpy(), k)
+        return pa.table({"query_id": a, "vec_id": b, "score": s})
 
     key = ["list", "sub", "block"]
     own = lambda seed, of: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(of)).cast("int")

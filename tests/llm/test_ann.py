@@ -105,3 +105,17 @@ def test_repeated_ids_with_different_vectors(spark):
         v = np.array(min(r[1] for r in rows if r[0] == q))
         want = sorted((-float(np.float64(v) @ np.array(r[1], np.float64)), r[0]) for r in rows if r[0] != q)[:20]
         assert [(round(-s, 9), i) for s, i in want] == [(round(r[3], 9), r[2]) for r in runs[0] if r[0] == q]
+
+
+@pytest.mark.parametrize("kind", ["near copies", "far centre", "huge", "tiny"])
+def test_rows_that_codes_do_not_tell_apart(spark, kind):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 16))
+    if kind == "near copies":  # more than are reranked at first, all of one code
+        x[200:1200] = x[200] + 1e-4 * rng.standard_normal((1000, 16))
+    x = (x + {"far centre": 300.0}.get(kind, 0.0)) * {"huge": 1e25, "tiny": 1e-25}.get(kind, 1.0)
+    x = x.astype(np.float32)
+    got = {}
+    for r in search(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in v] for q, v in exact(np.arange(1500), x.astype(float)).items()}
