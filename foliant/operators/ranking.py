@@ -5,10 +5,11 @@ Candidates are rows of one query (or document) key; a window over that key sees
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.operators.search import cosine
+from foliant.operators.cosines import best_by_group, by_blocks
 
 #: Factors on the question-answer channel by intent, and on preambles by document type.
 QA_FACTORS, QA_OTHERWISE = {"INFORMATIONAL": 1.5, "NAVIGATIONAL": 0.3}, 0.8
@@ -105,13 +106,13 @@ def sparse_weights(features: DataFrame, id_col: str = "doc_id", token: str = "to
 def late_interaction(tokens: DataFrame, queries: DataFrame, doc: str, vec: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
     """(doc, score): mean over query tokens of the largest cosine with any token of the document.
 
-    Query tokens go out in blocks of about ``QUERY_BLOCK``, each against all document tokens; maxima are combined before
-    the shuffle, and one row a document and query token is all that moves.
+    Query tokens go out in blocks of about ``QUERY_BLOCK``, each against all document tokens, as products of matrices in tasks;
+    one row a task, document and query token is all that moves.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        q = queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).select(query_id, query_vec)
-        best = tokens.crossJoin(F.broadcast(q)).groupBy(doc, query_id).agg(F.max(cosine(F.col(vec), F.col(query_vec))).alias("best"))
-        out = best if out is None else out.unionByName(best)
-    return out.groupBy(doc).agg(F.avg("best").alias("score"))
+
+    def answer(rows: DataFrame, asked: pa.Table) -> DataFrame:
+        best = best_by_group(rows, asked, doc, vec, query_id, query_vec).groupBy(doc, query_id).agg(F.max("best").alias("best"))
+        return best.groupBy(doc).agg(F.sum("best").alias("_sum"), F.count("best").alias("_n"))
+
+    parts = by_blocks(tokens.select(doc, vec), queries.select(query_id, query_vec), query_id, QUERY_BLOCK, "late-interaction", answer)
+    return parts.groupBy(doc).agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("score"))
