@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.literals import Automaton, build
+from foliant.sources.batches import bound_batches, joined, pieces, trimmed
 
 MOST_HITS, MOST_PATTERN, MOST_REGEX_INPUT = 1000, 200, 200_000
 #: Actions that stop output, and what stands for a match where a policy names no replacement.
@@ -120,14 +121,17 @@ SCREENED = "text string, blocked boolean, matched array<int>, hits long, each ar
 def apply_policies(policies: list[Policy], stage: str = "ALL", **who) -> Callable[[Column | str], Column]:
     """An Arrow function text -> struct(text, blocked, matched, hits, each); the automaton is broadcast, ``build`` checks its size."""
     mine = [p for p in policies if p.applies(stage, **who)] if stage != "ALL" or who else [p for p in policies if p.active]
+    bound_batches(SparkSession.active())
     shared = SparkSession.active().sparkContext.broadcast(Screen(mine))
 
+    def screened(texts: list[str | None]) -> pd.DataFrame:
+        rows = shared.value.run(texts)
+        each = [[{"policy": i, "hits": n} for i, n in hits] for _, _, hits in rows]
+        return pd.DataFrame({"text": [r[0] for r in rows], "blocked": [r[1] for r in rows], "matched": [[h["policy"] for h in e] for e in each], "hits": [sum(h["hits"] for h in e) for e in each], "each": each})
+
     @F.pandas_udf(SCREENED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for c in batches:
-            rows = shared.value.run([t if isinstance(t, str) else None for t in c])
-            each = [[{"policy": i, "hits": n} for i, n in hits] for _, _, hits in rows]
-            yield pd.DataFrame({"text": [r[0] for r in rows], "blocked": [r[1] for r in rows], "matched": [[h["policy"] for h in e] for e in each], "hits": [sum(h["hits"] for h in e) for e in each], "each": each})
+        yield from trimmed(lambda cs: (joined([screened(p) for p in pieces(c)], screened([])) for c in cs))(batches)
 
     return run
 
@@ -138,14 +142,16 @@ def word_counts(rows: DataFrame, words: list[str], id_col: str, text_col: str, m
     A null or empty text holds nothing; words that repeat are counted once; empty words never occur.
     """
     named = sorted({w for w in words if w})
+    bound_batches(SparkSession.active())
     shared = SparkSession.active().sparkContext.broadcast((build(named), named))
 
+    def counted(texts: list[str | None]) -> pd.Series:
+        machine, names = shared.value
+        return pd.Series([[{"word": names[w], "hits": n} for w, n in sorted(x.items())] for x in machine.counts([t or "" for t in texts], most)], dtype=object)
+
     @F.pandas_udf("array<struct<word:string,hits:long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine, names = shared.value
-        for c in batches:
-            counts = machine.counts([t if isinstance(t, str) else "" for t in c], most)
-            yield pd.Series([[{"word": names[w], "hits": n} for w, n in sorted(x.items())] for x in counts])
+        yield from trimmed(lambda cs: (joined([counted(p) for p in pieces(c)], counted([])) for c in cs))(batches)
 
     return rows.select(F.col(id_col), F.explode(run(F.col(text_col))).alias("h_")).select(id_col, "h_.word", "h_.hits")
 
