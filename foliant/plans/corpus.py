@@ -87,9 +87,9 @@ def coverage_selection(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def parent_links(spark: SparkSession, d: str) -> DataFrame:
-    from foliant.operators.chunking import chunk_documents, link_parents
+    from foliant.operators.chunking import linked_chunks
 
-    return link_parents(chunk_documents(read(spark, d, "documents")))
+    return linked_chunks(read(spark, d, "documents"))
 
 
 @query("""
