@@ -15,13 +15,13 @@ steps over all of its documents in hash order, and the weights are averaged over
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,15 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
 
 
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts one after another, as ``words_of`` takes them, and their number by text; each different word is held once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    held = pc.not_equal(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(held.to_numpy(zero_copy_only=False))])
+    return flat.filter(held).cast(pa.binary()).dictionary_encode(), np.diff(before[ends])
+
+
 class Slots(dict):
     """Word -> code: the slot of a vocabulary word, and of any other its XXH64 with seed 42, as Spark's.
 
@@ -68,6 +77,19 @@ class Slots(dict):
     def codes(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def split(self, texts: pa.Array) -> list[np.ndarray]:
+        """Codes of each text's words; a word is looked up once, however often it occurs."""
+        words, sizes = split_words(texts)
+        known = pc.index_in(words.dictionary, value_set=pa.array(list(self), pa.binary()))
+        codes = np.empty(len(known), np.uint64)
+        found = known.is_valid().to_numpy(zero_copy_only=False)
+        codes[found] = np.fromiter(self.values(), np.uint64, len(self))[known.drop_null().to_numpy()]
+        others = words.dictionary.filter(known.is_null()).to_numpy(zero_copy_only=False).tolist()
+        codes[~found] = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in others), np.uint64, len(others))
+        codes[~found & (codes < SLOTS)] += np.uint64(SLOTS)
+        codes = codes[words.indices.to_numpy()]
+        return np.split(codes, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
     def log_once(self, slot: np.ndarray) -> np.ndarray:
         """Log of the share in a shared slot of a word seen once or never; a slot has 1 more for words never seen."""
         return -np.log(self.totals[slot - (SLOTS - RARE)] + 1)
@@ -142,59 +164,55 @@ class Network:
         np.tanh(h, out=out[:, :HIDDEN])
         return out
 
-    def safe(self) -> tuple[bool, bool]:
-        """Whether no value of the class layer, and of the word layer, can leave what float32 can take to a power: hidden values lie within 1."""
-        of_class = np.abs(self.classes).sum(axis=0) + np.abs(self.class_bias)
-        of_word = np.abs(self.words).sum(axis=1) + np.abs(self.word_bias)
-        return bool(of_class.max() < 60), bool(of_word.max() < 60)
-
     def log_probs(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Conditional log-probability of each token at ``at``, from both sides."""
         order, word, of, around, spans = _by_class(tokens, at)
         h, rows = self.hidden(around), np.arange(len(at))
-        safe = self.safe()
-        found = _log_softmax(h[:, :HIDDEN] @ self.classes + self.class_bias, rows, of, safe[0])
+        found = _log_softmax(h[:, :HIDDEN] @ self.classes + self.class_bias, rows, of)
         z = np.empty((len(at), PER_CLASS), np.float32)
         for c, lo, hi in spans:
             np.matmul(h[lo:hi], self.word_layer[c], out=z[lo:hi])
-        found += _log_softmax(z, rows, word, safe[1])
+        found += _log_softmax(z, rows, word)
         out = np.empty_like(found)
         out[order] = found
         return out
 
     def step(self, tokens: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One gradient step on the mean negative log-probability of the tokens at ``at``."""
-        _, word, of, around, spans = _by_class(tokens, at)
+        _, word, of, around, _ = _by_class(tokens, at)
+        sizes = np.bincount(of, minlength=CLASSES)
+        ranked, place, blocks, most = _in_blocks(sizes)
         wide, rows = self.hidden(around), np.arange(len(at))
         h = wide[:, :HIDDEN]
-        scale, n, ones = np.float32(rate), np.float32(len(at)), np.ones(len(at), np.float32)
-        safe = self.safe()
-        p = _softmax(h @ self.classes + self.class_bias, safe[0])
+        scale, n = np.float32(rate), np.float32(len(at))
+        p = _softmax(h @ self.classes + self.class_bias)
         p[rows, of] -= 1
-        back, change = p @ self.classes.T, h.T @ p
-        q, of_words = np.empty((len(at), PER_CLASS), np.float32), np.empty((len(at), HIDDEN), np.float32)
-        for c, lo, hi in spans:
-            np.matmul(wide[lo:hi], self.word_layer[c], out=q[lo:hi])
-        _softmax(q, safe[1])
+        back, change = p @ self.classes.T, wide.T @ p
+        x, z, of_words = np.zeros((most, HIDDEN + 1), np.float32), np.empty((most, PER_CLASS), np.float32), np.empty((most, HIDDEN), np.float32)
+        x[place] = wide
+        layers, share = self.word_layer[ranked], scale / np.maximum(sizes[ranked], 8).astype(np.float32)
+        split = [(layers[c], share[c, None, None], x[r].reshape(m, -1, HIDDEN + 1), z[r].reshape(m, -1, PER_CLASS), of_words[r].reshape(m, -1, HIDDEN)) for c, r, m in blocks]
+        for layer, _, near, own, _ in split:
+            np.matmul(near, layer, out=own)
+        q = _softmax(z.take(place, axis=0))
         q[rows, word] -= 1
-        share = np.array([scale / np.float32(max(hi - lo, 8)) for _, lo, hi in spans], np.float32)
-        shared = wide * np.repeat(share, [hi - lo for _, lo, hi in spans])[:, None]
-        for c, lo, hi in spans:
-            layer, own = self.word_layer[c], q[lo:hi]
-            np.matmul(own, layer[:HIDDEN].T, out=of_words[lo:hi])
-            layer -= shared[lo:hi].T @ own
-        back += of_words
-        self.classes -= scale / n * change
-        self.class_bias -= scale / n * (ones @ p)
+        z[place] = q  # the other rows are zero, as those of x
+        for layer, part, near, own, out in split:
+            np.matmul(own, layer[:, :HIDDEN].transpose(0, 2, 1), out=out)
+            layer -= part * (near.transpose(0, 2, 1) @ own)
+        self.word_layer[ranked] = layers
+        back += of_words.take(place, axis=0)
+        change *= scale / n
+        self.classes -= change[:HIDDEN]
+        self.class_bias -= change[HIDDEN]
         back *= 1 - h * h
-        self.bias -= scale / n * (ones @ back)
+        self.bias -= scale / n * (np.ones(len(at), np.float32) @ back)
         back *= scale / np.float32(16)  # a context slot is hit by few of a step's tokens
         np.clip(back, -0.1, 0.1, out=back)
-        order = np.argsort(around.ravel().astype(np.uint16), kind="stable")
-        held = around.ravel()[order]
-        first = _starts(held)
-        rows = self.context.reshape(-1, HIDDEN)
-        rows[held[first]] -= np.add.reduceat(back.take(order % len(at), axis=0), first, axis=0)
+        # rows of context tables two values at a time, as complex numbers: half as many additions
+        pairs, back = self.context.reshape(-1).view(np.complex64), back.view(np.complex64)
+        held = (around.astype(np.int64) * (HIDDEN // 2))[:, :, None] + _PAIRS
+        np.subtract.at(pairs, held.ravel(), np.broadcast_to(back, (len(around), *back.shape)).ravel())
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -208,6 +226,25 @@ def _starts(x: np.ndarray) -> np.ndarray:
 #: Offsets of context tokens, and the first row of each one's table; the row numbers of all tables fit 16 bits.
 _OFFSETS = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])[:, None]
 _TABLES = (np.arange(2 * WINDOW, dtype=np.int32) * (SLOTS + 1))[:, None]
+_PAIRS = np.arange(HIDDEN // 2)
+#: Classes by their number of tokens in a step, cut where blocks of equal height are filled to half at least, but for the smallest.
+_CUTS = [0, *(1 << k for k in range(CLASSES.bit_length()))]
+
+
+def _in_blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice, int]], int]:
+    """Room for rows in order of class, so that many classes are one product: classes from the most frequent on, each row's place,
+    (classes, places, number of classes) of each block, and the number of places."""
+    ranked = np.argsort(-sizes, kind="stable")
+    first, at, blocks = np.empty(len(sizes), np.int64), 0, []
+    for lo, hi, m in zip(_CUTS, _CUTS[1:], sizes[ranked[_CUTS[:-1]]].tolist(), strict=False):
+        first[lo:hi] = np.arange(at, at + m * (hi - lo), m) if m else at
+        if m:
+            blocks.append((slice(lo, hi), slice(at, at + m * (hi - lo)), hi - lo))
+        at += m * (hi - lo)
+    start = np.empty_like(first)
+    start[ranked] = first
+    start -= np.cumsum(sizes) - sizes
+    return ranked, np.repeat(start, sizes) + np.arange(sizes.sum()), blocks, at
 
 
 def _by_class(tokens: np.ndarray, at: np.ndarray):
@@ -221,27 +258,31 @@ def _by_class(tokens: np.ndarray, at: np.ndarray):
     return order, word, of, around, list(zip(of[first].tolist(), cut, cut[1:], strict=False))
 
 
-def _exp(z: np.ndarray, safe: bool) -> np.ndarray:
-    """exp in place, and the sums of rows; a row's largest value is taken off where values may be too large or small for float32."""
-    if not safe:
+def _shifted(z: np.ndarray) -> None:
+    """Takes off each row's largest value, in place, where values may be too large or small for float32."""
+    if z.size and not (z.min() > -60 and z.max() < 60):
         z -= z.max(axis=1, keepdims=True)
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp in place, and the sums of rows."""
     np.exp(z, out=z)
     return z @ np.ones(z.shape[1], np.float32)
 
 
-def _softmax(z: np.ndarray, safe: bool = False) -> np.ndarray:
+def _softmax(z: np.ndarray) -> np.ndarray:
     """Rows of ``z`` turned into probabilities, in place."""
-    total = _exp(z, safe)
+    _shifted(z)
+    total = _exp(z)
     z *= (1 / total)[:, None]
     return z
 
 
-def _log_softmax(z: np.ndarray, rows: np.ndarray, of: np.ndarray, safe: bool = False) -> np.ndarray:
+def _log_softmax(z: np.ndarray, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Logarithm of one probability in each row; ``z`` is used up."""
-    if not safe:
-        z -= z.max(axis=1, keepdims=True)
+    _shifted(z)
     out = z[rows, of].astype(np.float64)
-    return out - np.log(_exp(z, True))
+    return out - np.log(_exp(z))
 
 
 def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -255,15 +296,22 @@ def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
     """Slots by frequency over all documents, and the counts of all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        held, rows = [pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})], 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
         for batch in batches:
-            for t in batch.column(0):
-                held.update(words_of(t.as_py()))
-            if len(held) > COUNTED_WORDS:
-                yield flush()
-                held = Counter()
-        yield flush()
+            words, _ = split_words(batch.column(0))
+            held.append(pa.table({"word": words.dictionary, "n": np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))}))
+            rows += len(words.dictionary)
+            if rows > 2 * COUNTED_WORDS:
+                held = [merged()]
+                rows = held[0].num_rows
+            if rows > COUNTED_WORDS and len(held) == 1:
+                yield from held[0].combine_chunks().to_batches()
+                held, rows = [held[0].slice(0, 0)], 0
+        yield from merged().combine_chunks().to_batches()
 
     counted = settle(spread(docs.select(text_col)).mapInArrow(trimmed(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = counted.agg(F.sum("n")).first()[0] or 0
@@ -335,7 +383,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
                             yield weights()
                         shard, own, seen = int(of[lo]), shared.value.filled(shared.value.flat()), 0
                         rng = np.random.default_rng(shard)
-                    ids = [slots_of(slots.codes(w)) for w in (words_of(t.as_py()) for t in batch.column(1).slice(lo, hi - lo)) if w]
+                    ids = [slots_of(c) for c in slots.split(batch.column(1).slice(lo, hi - lo)) if len(c)]
                     tokens, at = padded(ids)
                     rng.shuffle(at)
                     for a in range(0, len(at), STEP_TOKENS):
@@ -349,13 +397,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     return vocab, net
 
 
-def _scored(words: list[list[bytes]], slots: Slots, net: Network) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def _scored(codes: list[np.ndarray], slots: Slots, net: Network) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Per document: the sum of its log-probabilities, shared-slot words counted as seen once, and those words' hashes and occurrences."""
-    codes = [slots.codes(w) for w in words]
     ids = [slots_of(c) for c in codes]
     tokens, at = padded(ids)
     if not len(at):
-        return np.zeros(len(words)), [(np.empty(0, np.uint64), np.empty(0, np.int64))] * len(words)
+        return np.zeros(len(codes)), [(np.empty(0, np.uint64), np.empty(0, np.int64))] * len(codes)
     log = np.concatenate([net.log_probs(tokens, at[lo : lo + CHUNK]) for lo in range(0, len(at), CHUNK)])
     rare = tokens[at] >= SLOTS - RARE
     log[rare] += slots.log_once(tokens[at][rare])
@@ -377,8 +424,8 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_i
         slots, net = shared.value
         for batch in batches:
             size, sums, held, group, n = [], [], [], [], 0
-            for i, t in enumerate(batch.column(2)):
-                group.append(words_of(t.as_py()))
+            for i, codes in enumerate(slots.split(batch.column(2))):
+                group.append(codes)
                 size.append(len(group[-1]))
                 n += size[-1]
                 if n >= SCORED_TOKENS or i == batch.num_rows - 1:

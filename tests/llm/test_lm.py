@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from foliant.llm import lm
@@ -158,3 +159,45 @@ def test_every_document_trains(frame, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_WORDS", 30)  # as on a large corpus
     fit(frame(["a b c"] * 100))
     assert seen == [(100, 10)]
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    texts = ["", None, " \t\n\x0b\x0c\r", "A a  B\x00b\x1cc\n", " É é x", " end ", "ÀB ab Ab"]
+    for column in (pa.array(texts), pa.array(["x", *texts, "y"]).slice(1, len(texts)), pa.array([], pa.string())):
+        words, sizes = lm.split_words(column)
+        each = [words_of(t) for t in column.to_pylist()]
+        assert words.to_pylist() == [w for x in each for w in x] and sizes.tolist() == [len(x) for x in each]
+        s = Slots({b"b": 1, b"a": 0, b"end": 7})
+        assert [c.tolist() for c in s.split(column)] == [s.codes(x).tolist() for x in each]
+
+
+def test_a_step_is_few_products_of_many_classes(monkeypatch):
+    calls, matmul = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda *a, **k: calls.append(1) or matmul(*a, **k))
+    rng = np.random.default_rng(2)
+    for ids in (rng.integers(0, SLOTS, 512), np.full(512, 70), np.array([64, 64, 128, 5])):
+        n, m = net(), net()
+        tokens, at = padded([ids.astype(np.int32)])
+        del calls[:]
+        n.step(tokens, at, 0.01)
+        assert len(calls) < 20  # one a class and direction before: over 100
+        for c in set(ids % CLASSES):
+            own = at[tokens[at] % CLASSES == c]
+            h = np.tanh(m.bias + sum(m.context[j, tokens[own + off]] for j, off in enumerate([-2, -1, 1, 2])).astype(float))
+            z = np.exp(h @ m.words[c] + m.word_bias[c])
+            z /= z.sum(axis=1, keepdims=True)
+            z[np.arange(len(own)), tokens[own] // CLASSES] -= 1
+            assert np.allclose(n.words[c], m.words[c] - 0.01 / max(len(own), 8) * (h.T @ z), atol=1e-6)
+        untouched = sorted(set(range(CLASSES)) - set((ids % CLASSES).tolist()))
+        assert np.array_equal(n.word_layer[untouched], m.word_layer[untouched])
+
+
+def test_counts_of_words_over_several_batches(frame, monkeypatch):
+    monkeypatch.setattr(lm, "COUNTED_WORDS", 5)
+    df = frame([f"A b{i} b{i} c{i % 7}" for i in range(60)] + [None, ""]).repartition(2)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        v = lm.vocabulary(df, "text")
+    finally:
+        df.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert v.words == 240 and {w: int(v.counts[i]) for w, i in v.slots.items()} == {b"a": 60, **{b"b%d" % i: 2 for i in range(60)}, **{b"c%d" % i: 9 if i < 4 else 8 for i in range(7)}}
