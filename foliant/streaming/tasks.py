@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -62,10 +64,16 @@ def retry_queue(results: DataFrame) -> DataFrame:
     return results.groupBy("task_id").applyInPandasWithState(_retry, "task_id long, ts timestamp, attempt int, action string, due timestamp", "attempts int", "append", GroupStateTimeout.NoTimeout)
 
 
-WAITING, PENDING = "at long, ok boolean", "due long, attempt int"
+#: Entries of the state lists, each of many results or retries: every entry is packed and sent by itself.
+WAITING, PENDING = "at array<long>, ok array<boolean>", "due array<long>, attempt array<int>"
 DELAYED = "task_id long, attempt int, action string, released timestamp"
 
 
+def _packed(rows: list[tuple]) -> tuple[list, list]:
+    first, second = zip(*rows, strict=True)
+    return list(first), list(second)
+
+
 class DelayQueue(StatefulProcessor):
     """Failures leave as retries when they are due, by timers in event time.
 
@@ -84,52 +92,46 @@ class DelayQueue(StatefulProcessor):
         self.waiting = handle.getListState("waiting", WAITING)
         self.pending = handle.getListState("pending", PENDING)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        new = [(int(at), bool(ok)) for pdf in rows for at, ok in zip(pdf["at"], pdf["ok"], strict=True)]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(at for at, _ in new))
-        yield self._frame([])
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803  Spark's names
+        new = [(int(r["at"]), bool(r["ok"])) for r in rows]
+        self.waiting.appendValue(_packed(new))
+        self.handle.registerTimer(min(at for at, _ in new))
+        return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        results, due = sorted(tuple(x) for x in self.waiting.get()), sorted(tuple(x) for x in self.pending.get())
-        n, = self.attempts.get() if self.attempts.exists() else (0,)
-        out, taken = [], 0
+        waited, pended = (sorted(x for packed in state.get() for x in zip(*packed, strict=True)) for state in (self.waiting, self.pending))
+        counted, = self.attempts.get() or (0,)
+        n, due, out, taken = counted, deque(pended), [], 0
         while True:
-            at = results[taken][0] if taken < len(results) else None
+            at = waited[taken][0] if taken < len(waited) else None
             if due and due[0][0] <= now and (at is None or due[0][0] <= at):
-                when, attempt = due.pop(0)
+                when, attempt = due.popleft()
                 out.append((key[0], attempt, "RETRY", when))
             elif at is not None and at <= now:
-                ok = results[taken][1]
+                ok = waited[taken][1]
                 taken += 1
                 if ok:
-                    n, due = 0, []
+                    n, due = 0, deque()
                 elif n + 1 >= self.most:
                     out.append((key[0], n + 1, "DEAD", at))
                     n = 0
                 else:
                     n += 1
-                    due = sorted([*due, (at + self.delay * n, n)])
+                    due = deque(sorted([*due, (at + self.delay * n, n)]))
             else:
                 break
-        left = results[taken:]
-        for state, kept in ((self.waiting, left), (self.pending, due), (self.attempts, [(n,)] if n else [])):
-            if not kept:
-                state.clear()
-            elif state is self.attempts:
-                state.update(kept[0])
-            else:
-                state.put(kept)
+        left, due = waited[taken:], list(due)
+        # every call is a message to the JVM, so what stays as it was is left alone
+        for state, before, kept in ((self.waiting, waited, left), (self.pending, pended, due)):
+            if kept != before:
+                state.put([_packed(kept)]) if kept else state.clear()
+        if n != counted:
+            self.attempts.update((n,)) if n else self.attempts.clear()
         if left or due:
             self.handle.registerTimer(min(x[0][0] for x in (left, due) if x))
-        yield self._frame(out)
-
-    @staticmethod
-    def _frame(out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["task_id", "attempt", "action", "released"])
-        return frame.assign(released=pd.to_datetime(frame["released"].astype("int64"), unit="ms", utc=True))
+        for task, attempt, action, when in out:
+            yield Row(task_id=task, attempt=attempt, action=action, released=datetime.fromtimestamp(when // 1000, timezone.utc).replace(microsecond=when % 1000 * 1000))
 
     def close(self) -> None:
         pass
@@ -142,7 +144,7 @@ def delayed_retries(results: DataFrame, most: int = 3, delay: int = 60, late: st
     The session needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass``.
     """
     rows = results.withWatermark("ts", late).select("task_id", "ts", F.unix_millis("ts").alias("at"), "ok")
-    return rows.groupBy("task_id").transformWithStateInPandas(DelayQueue(most, delay), DELAYED, "append", "EventTime")
+    return rows.groupBy("task_id").transformWithState(DelayQueue(most, delay), DELAYED, "append", "EventTime")
 
 
 def due(retries: DataFrame, now: Column, most: int = 20) -> DataFrame:

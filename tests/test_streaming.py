@@ -109,3 +109,20 @@ def test_state_is_freed_after_success(spark, tmp_path):
     assert [(r.task_id, r.attempt, r.action, r.released) for r in got] == [(2, 1, "RETRY", t(6))]
     held = {name: sorted({r.key.task_id for r in spark.read.format("statestore").option("path", f"{at}/state").option("stateVarName", name).load().collect()}) for name in ("attempts", "waiting", "pending")}
     assert held == {"attempts": [2], "waiting": [], "pending": []}
+
+
+def test_waiting_results_are_one_entry_a_micro_batch(spark, tmp_path):
+    """However many results of a task one micro-batch brings; entry by entry, each was packed, sent and read by itself."""
+    from foliant.plans import streams
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(t, start + datetime.timedelta(minutes=m), m % 5 == 0) for t in (1, 2) for m in range(40)]
+    spark.createDataFrame(rows, "task_id long, ts timestamp, ok boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
+    at = f"{tmp_path}/run"
+    s = spark.readStream.schema("task_id long, ts timestamp, ok boolean").parquet(f"{tmp_path}/in")
+    got = streams._drained(spark, tasks.delayed_retries(s, most=3, delay=120), "append", at).collect()
+    want = brute_delayed([(t, m, m % 5 == 0) for t in (1, 2) for m in range(40)], 3, 2, 39)
+    assert sorted((r.task_id, r.attempt, r.action, int((r.released - start).total_seconds() // 60)) for r in got) == want
+    entries = lambda name, batch: spark.read.format("statestore").option("path", f"{at}/state").option("batchId", batch).option("stateVarName", name).load().collect()
+    assert sorted(r.key.task_id for r in entries("waiting", 0)) == [1, 2] and entries("waiting", 1) == []
+    assert sorted(r.key.task_id for r in entries("pending", 1)) == [1, 2]
