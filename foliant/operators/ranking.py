@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.text import tokens
 from foliant.operators.cosines import best_by_group, by_blocks
+from foliant.operators.search import postings
+from foliant.sources.tables import spread
 
 #: Factors on the question-answer channel by intent, and on preambles by document type.
 QA_FACTORS, QA_OTHERWISE = {"INFORMATIONAL": 1.5, "NAVIGATIONAL": 0.3}, 0.8
@@ -103,6 +106,42 @@ def sparse_weights(features: DataFrame, id_col: str = "doc_id", token: str = "to
     return kept.withColumn("_n", nth).where(F.col("_n") <= most).select(id_col, token, F.round("_w", 4).alias(weight))
 
 
+def sparse_encoding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 64) -> DataFrame:
+    """(id, token, weight) as ``sparse_weights`` of the postings, each row by itself: nothing is hashed, sorted or shuffled beyond a row.
+
+    Only rows of an id that occurs more than once go through ``sparse_weights``.
+    """
+    held = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  a value that lambdas use, made once a row
+
+    def counted(t: Column) -> Column:
+        """(token, n) of sorted tokens: from where each begins to where the next one does."""
+        begins = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (t[i] != t[F.greatest(i - 1, F.lit(0))]))
+        return held(begins, lambda b: F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(t))), lambda at, end: F.struct(t[at].alias("token"), (end - at).cast("double").alias("n"))))
+
+    def weighed(words: Column, n: Column) -> Column:
+        middle, top = (n[F.floor((F.size(n) - 1) / 2).cast("int")] + n[F.floor(F.size(n) / 2).cast("int")]) / 2, n[F.size(n) - 1]
+        bounds = F.struct(middle.alias("middle"), top.alias("top"))
+
+        def each(b: Column) -> Column:
+            scaled = lambda x: F.when(b["top"] > b["middle"], 0.1 + 0.9 * (x - b["middle"]) / (b["top"] - b["middle"])).otherwise(0.5)
+            kept = F.filter(words, lambda w: (b["top"] <= b["middle"]) | (w["n"] >= b["middle"]))
+            return F.transform(kept, lambda w: F.struct((-scaled(w["n"])).alias("less"), w["token"].alias("token")))
+
+        return F.slice(F.array_sort(held(bounds, each)), 1, most)
+
+    def alone(rows: DataFrame) -> DataFrame:
+        t = spread(rows.select(id_col, text_col)).select(id_col, F.array_sort(tokens(F.col(text_col))).alias("_t")).where(F.size("_t") > 0)
+        best = held(F.col("_t"), lambda t: held(counted(t), lambda words: held(F.array_sort(F.transform(words, lambda w: w["n"])), lambda n: weighed(words, n))))
+        return t.select(id_col, F.explode(best).alias("_w")).select(id_col, "_w.token", F.round(-F.col("_w.less"), 4).alias("weight"))
+
+    repeated = docs.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    if repeated.isEmpty():
+        return alone(docs)
+    same = docs[id_col].eqNullSafe(repeated["_id"])
+    together = postings(docs.join(repeated, same, "left_semi"), id_col, text_col).select(id_col, F.col("term").alias("token"), F.col("tf").cast("double").alias("weight"))
+    return alone(docs.join(repeated, same, "left_anti")).unionByName(sparse_weights(together, id_col, most=most))
+
+
 def late_interaction(tokens: DataFrame, queries: DataFrame, doc: str, vec: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
     """(doc, score): mean over query tokens of the largest cosine with any token of the document.
 

@@ -109,8 +109,7 @@ def keyword_results(spark: SparkSession, d: str) -> DataFrame:
     select doc_id, token, round(x, 4) as weight from r where n <= 64
 """)
 def sparse_encoding(spark: SparkSession, d: str) -> DataFrame:
-    features = S.postings(read(spark, d, "documents")).select("doc_id", F.col("term").alias("token"), F.col("tf").cast("double").alias("weight"))
-    return R.sparse_weights(features)
+    return R.sparse_encoding(read(spark, d, "documents"))
 
 
 @query("""
