@@ -96,6 +96,11 @@ def shown_score(rank: Column, top: Column) -> Column:
     return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), 0.5 + 0.49 * rank / top)), 4)
 
 
+def _shown_weight(w: Column) -> Column:
+    """Four places; a value within one double of a half goes up, as the half itself."""
+    return F.round(w * 10_000) / 10_000
+
+
 def sparse_weights(features: DataFrame, id_col: str = "doc_id", token: str = "token", weight: str = "weight", most: int = 64) -> DataFrame:
     """(id, token, weight): weights from the median up, scaled to .1 to 1 (all .5 where they are equal), a token's largest, the best ``most``."""
     w = Window.partitionBy(id_col)
@@ -103,7 +108,7 @@ def sparse_weights(features: DataFrame, id_col: str = "doc_id", token: str = "to
     scaled = F.when(top > middle, F.when(F.col(weight) >= middle, 0.1 + 0.9 * (F.col(weight) - middle) / (top - middle))).otherwise(0.5)
     kept = features.withColumn("_w", scaled).where("_w > 0").groupBy(id_col, token).agg(F.max("_w").alias("_w"))
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("_w"), token))
-    return kept.withColumn("_n", nth).where(F.col("_n") <= most).select(id_col, token, F.round("_w", 4).alias(weight))
+    return kept.withColumn("_n", nth).where(F.col("_n") <= most).select(id_col, token, _shown_weight(F.col("_w")).alias(weight))
 
 
 def sparse_encoding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 64) -> DataFrame:
@@ -132,7 +137,7 @@ def sparse_encoding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def alone(rows: DataFrame) -> DataFrame:
         t = spread(rows.select(id_col, text_col)).select(id_col, F.array_sort(tokens(F.col(text_col))).alias("_t")).where(F.size("_t") > 0)
         best = held(F.col("_t"), lambda t: held(counted(t), lambda words: held(F.array_sort(F.transform(words, lambda w: w["n"])), lambda n: weighed(words, n))))
-        return t.select(id_col, F.explode(best).alias("_w")).select(id_col, "_w.token", F.round(-F.col("_w.less"), 4).alias("weight"))
+        return t.select(id_col, F.explode(best).alias("_w")).select(id_col, "_w.token", _shown_weight(-F.col("_w.less")).alias("weight"))
 
     repeated = docs.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
     if repeated.isEmpty():

@@ -32,3 +32,11 @@ def test_no_task_holds_more_than_a_row(spark, tmp_path):
     df = QUERIES["sparse_encoding"](spark, str(tmp_path))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert df.count() == 50 and not any(x in plan for x in ("Window", "Aggregate", "Join"))
+
+
+def test_weights_beside_a_half_round_as_the_half(spark):
+    """0.1 + 0.9 * (n - middle) / (top - middle) can be a half but for the last bit; its SQL rounds it up."""
+    words = {"a": 1, "b": 1, "c": 1, "d": 42, "e": 49}
+    text = " ".join(w for w, n in words.items() for _ in range(n))
+    got = {r.token: r.weight for r in R.sparse_encoding(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert got["d"] == 0.8688
