@@ -6,8 +6,8 @@ conditional probability.  A document's score is the sum of these log-probabiliti
 
 The vocabulary comes from word counts over all documents.  The most frequent words have slots of their own in the
 network; the others share hashed slots, and a slot's probability is split among its words by their counts, so every
-word has a probability of its own.  These counts stay a distributed table: a document's words with shared slots meet
-their counts in a join.  Training is data-parallel: documents are dealt to shards by a hash of id and text, their number
+word has a probability of its own.  Tasks hold a fixed number of these counts; the others stay a distributed table, and
+a document's words meet them in a join.  Texts are turned into slots once, for training and scoring.  Training is data-parallel: documents are dealt to shards by a hash of id and text, their number
 set by the number of words, so neither cores nor input partitions change the weights; each shard runs stochastic gradient
 steps over all of its documents in hash order, and the weights are averaged over shards by token count, in a tree, for
 ``ROUNDS`` rounds.  Driver and tasks hold one model of fixed size, however large the corpus is.
@@ -35,12 +35,15 @@ RARE = 256
 WINDOW, HIDDEN = 2, 32
 #: Rounds of averaging; tokens of a step and its rate, the best of a grid by held-out likelihood (README).
 ROUNDS, STEP_TOKENS, RATE = 1, 512, 0.5
-CHUNK = 1 << 13
+#: Tokens scored side by side, and steps laid out at once: what a processor's cache holds.
+CHUNK, PLANNED = 1 << 12, 64
 BLOCKS, FAN_IN = 16, 64
 #: Words of one training shard; beyond MOST_SHARDS shards they grow instead.
 SHARD_WORDS, MOST_SHARDS = 2_000_000, 16_384
 #: Words counted in a task before they are passed on.
 COUNTED_WORDS = 500_000
+#: Shared-slot words, the most frequent ones, whose counts tasks hold; the others meet theirs in a join.
+KNOWN = 1 << 18
 #: Tokens scored at once, so that one batch of very long texts needs no more memory than a short one.
 SCORED_TOKENS = 1 << 18
 PAD = SLOTS
@@ -53,13 +56,19 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
 
 
-def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The words of all texts one after another, as ``words_of`` takes them, and their number by text; each different word is held once."""
+def flat_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, as ``words_of`` takes them, and their number by text."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
     flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     held = pc.not_equal(pc.binary_length(flat), 0)
     before = np.concatenate([[0], np.cumsum(held.to_numpy(zero_copy_only=False))])
-    return flat.filter(held).cast(pa.binary()).dictionary_encode(), np.diff(before[ends])
+    return flat.filter(held).cast(pa.binary()), np.diff(before[ends])
+
+
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """``flat_words``, each different word held once."""
+    words, sizes = flat_words(texts)
+    return words.dictionary_encode(), sizes
 
 
 class Slots(dict):
@@ -77,17 +86,21 @@ class Slots(dict):
     def codes(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def codes_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all words one after another, and their number by text; a word beyond the vocabulary is hashed once, however often it occurs."""
+        words, sizes = flat_words(texts)
+        known = pc.index_in(words, value_set=pa.array(list(self), pa.binary()))
+        codes = np.append(np.fromiter(self.values(), np.uint64, len(self)), np.uint64(0))[known.fill_null(len(self)).to_numpy()]
+        if known.null_count:
+            others = words.filter(known.is_null()).dictionary_encode()
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in others.dictionary.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(others.dictionary))
+            hashes[hashes < SLOTS] += np.uint64(SLOTS)
+            codes[known.is_null().to_numpy(zero_copy_only=False)] = hashes[others.indices.to_numpy()]
+        return codes, sizes
+
     def split(self, texts: pa.Array) -> list[np.ndarray]:
-        """Codes of each text's words; a word is looked up once, however often it occurs."""
-        words, sizes = split_words(texts)
-        known = pc.index_in(words.dictionary, value_set=pa.array(list(self), pa.binary()))
-        codes = np.empty(len(known), np.uint64)
-        found = known.is_valid().to_numpy(zero_copy_only=False)
-        codes[found] = np.fromiter(self.values(), np.uint64, len(self))[known.drop_null().to_numpy()]
-        others = words.dictionary.filter(known.is_null()).to_numpy(zero_copy_only=False).tolist()
-        codes[~found] = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in others), np.uint64, len(others))
-        codes[~found & (codes < SLOTS)] += np.uint64(SLOTS)
-        codes = codes[words.indices.to_numpy()]
+        """Codes of each text's words."""
+        codes, sizes = self.codes_of(texts)
         return np.split(codes, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
     def log_once(self, slot: np.ndarray) -> np.ndarray:
@@ -96,39 +109,48 @@ class Slots(dict):
 
 
 def slots_of(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes < SLOTS, codes, SLOTS - RARE + codes % np.uint64(RARE)).astype(np.int32)
+    return np.where(codes < SLOTS, codes, SLOTS - RARE + (codes & np.uint64(RARE - 1))).astype(np.int32)
 
 
 @dataclass
 class Vocabulary:
     """Slots, occurrences by slot, occurrences of all words, and the shared-slot words that occur more than once.
 
-    ``rare`` has (h, n): the word's XXH64 with seed 42, as Spark's, and its occurrences.
+    ``rare`` has (h, n): the word's XXH64 with seed 42, as Spark's, and its occurrences; ``known`` the KNOWN most frequent
+    of them, as h in order and the logarithm of n.
     """
 
     slots: Slots
     counts: np.ndarray
     words: int
     rare: DataFrame | None = None
+    known: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0))
 
 
 @dataclass
 class Network:
-    """Weights as float32: context tables by position, hidden bias, class layer, and word layer with its bias as last row."""
+    """Weights as float32: context tables by position, hidden bias, class layer and word layer, each with its bias at the end of its inputs."""
 
     context: np.ndarray  # 2 * WINDOW, SLOTS + 1, HIDDEN
     bias: np.ndarray
-    classes: np.ndarray  # HIDDEN, CLASSES
-    class_bias: np.ndarray
-    word_layer: np.ndarray  # CLASSES, HIDDEN + 1, PER_CLASS
+    class_layer: np.ndarray  # HIDDEN + 1, CLASSES
+    word_layer: np.ndarray  # CLASSES, PER_CLASS, HIDDEN + 1
+
+    @property
+    def classes(self) -> np.ndarray:
+        return self.class_layer[:HIDDEN]
+
+    @property
+    def class_bias(self) -> np.ndarray:
+        return self.class_layer[HIDDEN]
 
     @property
     def words(self) -> np.ndarray:
-        return self.word_layer[:, :HIDDEN]
+        return self.word_layer[:, :, :HIDDEN].transpose(0, 2, 1)
 
     @property
     def word_bias(self) -> np.ndarray:
-        return self.word_layer[:, HIDDEN]
+        return self.word_layer[:, :, HIDDEN]
 
     @classmethod
     def fresh(cls, counts: np.ndarray, seed: int = 7) -> Network:
@@ -138,10 +160,11 @@ class Network:
         c = (counts + 1.0).reshape(PER_CLASS, CLASSES).T  # slot = word * CLASSES + class
         context, classes, words = small(2 * WINDOW, SLOTS + 1, HIDDEN), small(HIDDEN, CLASSES), small(CLASSES, HIDDEN, PER_CLASS)
         word_bias = np.log(c / c.sum(1, keepdims=True)).astype(np.float32)
-        return cls(context, np.zeros(HIDDEN, np.float32), classes, np.log(c.sum(1) / c.sum()).astype(np.float32), np.concatenate([words, word_bias[:, None]], axis=1))
+        class_bias = np.log(c.sum(1) / c.sum()).astype(np.float32)
+        return cls(context, np.zeros(HIDDEN, np.float32), np.concatenate([classes, class_bias[None]]), np.ascontiguousarray(np.concatenate([words.transpose(0, 2, 1), word_bias[:, :, None]], axis=2)))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.bias, self.classes, self.class_bias, self.word_layer]
+        return [self.context, self.bias, self.class_layer, self.word_layer]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays()])
@@ -154,65 +177,111 @@ class Network:
         return Network(*out)
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        """Hidden values of each place, and a last column of ones for the bias; ``around`` has a row of context rows a position."""
-        rows, n = self.context.reshape(-1, HIDDEN), around.shape[1]
-        h = rows.take(around[0], axis=0)
+        """Hidden values of each place; ``around`` has a row of context rows a position."""
+        h, *more = self.context.reshape(-1, HIDDEN).take(around, axis=0)
+        for x in more:
+            h += x
         h += self.bias
-        for tokens in around[1:]:
-            h += rows.take(tokens, axis=0)
-        out = np.ones((n, HIDDEN + 1), np.float32)
-        np.tanh(h, out=out[:, :HIDDEN])
-        return out
+        # tanh(x) = 1 - 2 / (exp(2 x) + 1)
+        h += h
+        with np.errstate(over="ignore"):
+            np.exp(h, out=h)
+        h += 1
+        np.divide(-2, h, out=h)
+        h += 1
+        return h
 
     def log_probs(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Conditional log-probability of each token at ``at``, from both sides."""
-        order, word, of, around, spans = _by_class(tokens, at)
-        h, rows = self.hidden(around), np.arange(len(at))
-        found = _log_softmax(h[:, :HIDDEN] @ self.classes + self.class_bias, rows, of)
-        z = np.empty((len(at), PER_CLASS), np.float32)
-        for c, lo, hi in spans:
-            np.matmul(h[lo:hi], self.word_layer[c], out=z[lo:hi])
-        found += _log_softmax(z, rows, word)
-        out = np.empty_like(found)
-        out[order] = found
+        order = np.argsort((tokens[at] % CLASSES).astype(np.uint8), kind="stable")
+        out, room, wide = np.empty(len(at)), np.empty((CHUNK, PER_CLASS), np.float32), np.ones((CHUNK, HIDDEN + 1), np.float32)
+        for lo in range(0, len(at), CHUNK):
+            own = order[lo : lo + CHUNK]
+            here = at[own]
+            word, of = np.divmod(tokens[here], CLASSES)
+            h, z, rows = wide[: len(own)], room[: len(own)], np.arange(len(own))
+            h[:, :HIDDEN] = self.hidden(tokens[here + _OFFSETS] + _TABLES)
+            first = _starts(of)
+            spans = list(zip(of[first].tolist(), first.tolist(), [*first[1:].tolist(), len(of)], strict=True))
+            found = _log_softmax(h @ self.class_layer, rows, of)
+            for c, a, b in spans:
+                np.matmul(h[a:b], self.word_layer[c].T, out=z[a:b])
+            out[own] = found + _log_softmax(z, rows, word)
         return out
 
     def step(self, tokens: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One gradient step on the mean negative log-probability of the tokens at ``at``."""
-        _, word, of, around, _ = _by_class(tokens, at)
-        sizes = np.bincount(of, minlength=CLASSES)
-        ranked, place, blocks, most = _in_blocks(sizes)
-        wide, rows = self.hidden(around), np.arange(len(at))
-        h = wide[:, :HIDDEN]
-        scale, n = np.float32(rate), np.float32(len(at))
-        p = _softmax(h @ self.classes + self.class_bias)
-        p[rows, of] -= 1
+        self.train(tokens, at, rate, len(at))
+
+    def train(self, tokens: np.ndarray, at: np.ndarray, rate: float, size: int) -> None:
+        """Gradient steps over the tokens at ``at``, ``size`` of them at a time."""
+        whole = len(at) // size * size if size else 0
+        for lo in range(0, whole, size * PLANNED):
+            for plan in _plans(tokens, at[lo : min(whole, lo + size * PLANNED)].reshape(-1, size)):
+                self._step(plan, np.float32(rate))
+        for plan in _plans(tokens, at[None, whole:]) if whole < len(at) else []:
+            self._step(plan, np.float32(rate))
+
+    def _step(self, plan: _Plan, rate: np.float32) -> None:
+        n, place, most = np.float32(len(plan.place)), plan.place, plan.most
+        h = self.hidden(plan.around)
+        wide, ones = np.ones((len(h), HIDDEN + 1), np.float32), np.ones(len(h), np.float32)
+        wide[:, :HIDDEN] = h
+        p = _softmax(wide @ self.class_layer)
+        p.reshape(-1)[plan.of] -= 1
         back, change = p @ self.classes.T, wide.T @ p
-        x, z, of_words = np.zeros((most, HIDDEN + 1), np.float32), np.empty((most, PER_CLASS), np.float32), np.empty((most, HIDDEN), np.float32)
+        x, z, of_words, total = (np.zeros((most, k), np.float32) for k in (HIDDEN + 1, PER_CLASS, HIDDEN, 1))
         x[place] = wide
-        layers, share = self.word_layer[ranked], scale / np.maximum(sizes[ranked], 8).astype(np.float32)
-        split = [(layers[c], share[c, None, None], x[r].reshape(m, -1, HIDDEN + 1), z[r].reshape(m, -1, PER_CLASS), of_words[r].reshape(m, -1, HIDDEN)) for c, r, m in blocks]
-        for layer, _, near, own, _ in split:
-            np.matmul(near, layer, out=own)
-        q = _softmax(z.take(place, axis=0))
-        q[rows, word] -= 1
-        z[place] = q  # the other rows are zero, as those of x
-        for layer, part, near, own, out in split:
-            np.matmul(own, layer[:, :HIDDEN].transpose(0, 2, 1), out=out)
-            layer -= part * (near.transpose(0, 2, 1) @ own)
-        self.word_layer[ranked] = layers
+        # by block: a class's weights, its tokens, their values a row a word, their results, and the sums of exponentials
+        layers = self.word_layer.take(plan.ranked, axis=0)
+        split = []
+        for lo, hi, at, m in plan.blocks:
+            r, k = slice(at, at + m * (hi - lo)), hi - lo
+            split.append((layers[lo:hi], x[r].reshape(k, m, -1), z[r].reshape(k, -1, m), of_words[r].reshape(k, m, -1), total[r].reshape(k, 1, m)))
+        for shifted in (False, True):
+            for layer, near, own, _, _ in split:
+                np.matmul(layer, near.transpose(0, 2, 1), out=own)
+                if shifted:
+                    own -= own.max(axis=1, keepdims=True)
+            with np.errstate(over="ignore"):
+                np.exp(z, out=z)
+                for _, _, own, _, sums in split:
+                    np.matmul(_ONES, own, out=sums)
+            if _fit(total):
+                break
+        # differences of probabilities times each token's sum, by which its row of x and of the results is divided
+        z.reshape(-1)[plan.word] -= total.take(place)
+        np.divide(1, total, out=total)
+        x *= total * (rate * plan.share)[:, None]
+        for layer, near, own, out, _ in split:
+            out[:] = (layer[:, :, :HIDDEN].transpose(0, 2, 1) @ own).transpose(0, 2, 1)
+            layer -= own @ near
+        self.word_layer[plan.ranked] = layers
+        of_words *= total
         back += of_words.take(place, axis=0)
-        change *= scale / n
-        self.classes -= change[:HIDDEN]
-        self.class_bias -= change[HIDDEN]
-        back *= 1 - h * h
-        self.bias -= scale / n * (np.ones(len(at), np.float32) @ back)
-        back *= scale / np.float32(16)  # a context slot is hit by few of a step's tokens
-        np.clip(back, -0.1, 0.1, out=back)
-        # rows of context tables two values at a time, as complex numbers: half as many additions
-        pairs, back = self.context.reshape(-1).view(np.complex64), back.view(np.complex64)
-        held = (around.astype(np.int64) * (HIDDEN // 2))[:, :, None] + _PAIRS
-        np.subtract.at(pairs, held.ravel(), np.broadcast_to(back, (len(around), *back.shape)).ravel())
+        change *= rate / n
+        self.class_layer -= change
+        h *= h
+        np.subtract(1, h, out=h)
+        back *= h
+        self.bias -= rate / n * (ones @ back)
+        back *= rate / np.float32(16)  # a context slot is hit by few of a step's tokens
+        if not -0.1 < back.min() <= back.max() < 0.1:
+            np.clip(back, -0.1, 0.1, out=back)
+        self._take_from_contexts(plan.around.reshape(-1), back)
+
+    def _take_from_contexts(self, row: np.ndarray, back: np.ndarray) -> None:
+        """Each token's ``back`` off its context rows: one occurrence of a row as a whole, the others two values at a time, as complex numbers."""
+        rows, nth = self.context.reshape(-1, HIDDEN), np.arange(len(row))
+        _LAST[row] = nth
+        one = _LAST.take(row) == nth
+        own, rest = np.flatnonzero(one), np.flatnonzero(~one)
+        to = row.take(own)
+        near = rows.take(to, axis=0)
+        near -= back.take(own % len(back), axis=0)
+        rows[to] = near
+        pairs = np.add.outer(row.take(rest) * (HIDDEN // 2), _PAIRS).reshape(-1)
+        np.subtract.at(rows.reshape(-1).view(np.complex64), pairs, back.view(np.complex64).take(rest % len(back), axis=0).reshape(-1))
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -223,73 +292,100 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-#: Offsets of context tokens, and the first row of each one's table; the row numbers of all tables fit 16 bits.
+#: Offsets of context tokens, and the first row of each one's table.
 _OFFSETS = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])[:, None]
-_TABLES = (np.arange(2 * WINDOW, dtype=np.int32) * (SLOTS + 1))[:, None]
+_TABLES = (np.arange(2 * WINDOW) * (SLOTS + 1))[:, None]
 _PAIRS = np.arange(HIDDEN // 2)
 #: Classes by their number of tokens in a step, cut where blocks of equal height are filled to half at least, but for the smallest.
 _CUTS = [0, *(1 << k for k in range(CLASSES.bit_length()))]
+_ONES = np.ones((1, PER_CLASS), np.float32)
+#: Room for one place of each context row.
+_LAST = np.empty(2 * WINDOW * (SLOTS + 1), np.int64)
 
 
-def _in_blocks(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice, int]], int]:
-    """Room for rows in order of class, so that many classes are one product: classes from the most frequent on, each row's place,
-    (classes, places, number of classes) of each block, and the number of places."""
-    ranked = np.argsort(-sizes, kind="stable")
-    first, at, blocks = np.empty(len(sizes), np.int64), 0, []
-    for lo, hi, m in zip(_CUTS, _CUTS[1:], sizes[ranked[_CUTS[:-1]]].tolist(), strict=False):
-        first[lo:hi] = np.arange(at, at + m * (hi - lo), m) if m else at
-        if m:
-            blocks.append((slice(lo, hi), slice(at, at + m * (hi - lo)), hi - lo))
-        at += m * (hi - lo)
-    start = np.empty_like(first)
-    start[ranked] = first
-    start -= np.cumsum(sizes) - sizes
-    return ranked, np.repeat(start, sizes) + np.arange(sizes.sum()), blocks, at
-
-
-def _by_class(tokens: np.ndarray, at: np.ndarray):
-    """Places in order of their token's class: that order, words in class, classes, rows of context tables, and (class, from, to)."""
-    order = np.argsort((tokens[at] % CLASSES).astype(np.uint8), kind="stable")
-    at = at[order]
-    word, of = np.divmod(tokens[at], CLASSES)
-    around = tokens[at + _OFFSETS] + _TABLES
-    first = _starts(of)
-    cut = [*first.tolist(), len(of)]
-    return order, word, of, around, list(zip(of[first].tolist(), cut, cut[1:], strict=False))
-
-
-def _shifted(z: np.ndarray) -> None:
-    """Takes off each row's largest value, in place, where values may be too large or small for float32."""
-    if z.size and not (z.min() > -60 and z.max() < 60):
+@dataclass
+class _Plan:
+    """Where the numbers of one step go; its tokens are in order of class."""
+
+    around: np.ndarray  # rows of the context tables, a row a position
+    of: np.ndarray  # the tokens' classes, in a flat table of tokens and classes
+    ranked: np.ndarray  # classes from the most frequent on
+    blocks: list[tuple[int, int, int, int]]  # classes (from, to) of equal room, their first place, places of each
+    most: int  # places of all blocks
+    place: np.ndarray  # of each token
+    word: np.ndarray  # the tokens' words in class, in a flat table of blocks, classes, words and places
+    share: np.ndarray  # 1 / tokens of the class, at least 8, by place
+
+
+def _plans(tokens: np.ndarray, at: np.ndarray) -> Iterator[_Plan]:
+    """A plan for each row of ``at``; many rows are laid out at once."""
+    steps, n = at.shape
+    each = np.arange(steps)[:, None]
+    at = np.take_along_axis(at, np.argsort((tokens[at] % CLASSES).astype(np.uint8), axis=1, kind="stable"), axis=1)
+    word, of = np.divmod(tokens[at].astype(np.int64), CLASSES)
+    around = tokens[at[:, None] + _OFFSETS] + _TABLES
+
+    sizes = np.bincount((of + each * CLASSES).ravel(), minlength=steps * CLASSES).reshape(steps, CLASSES)
+    ranked = np.argsort(-sizes, axis=1, kind="stable")
+    held, cuts = np.take_along_axis(sizes, ranked, axis=1), np.array(_CUTS)
+    block = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    room = held[:, cuts[block]]
+    first = np.cumsum(room, axis=1) - room
+    share = (1 / np.maximum(held, 8)).astype(np.float32)
+    nth = np.arange(n) - np.take_along_axis(np.cumsum(sizes, axis=1) - sizes, of, axis=1)
+    rank = np.empty_like(ranked)
+    np.put_along_axis(rank, ranked, np.arange(CLASSES)[None], axis=1)
+    rank = np.take_along_axis(rank, of, axis=1)
+    first_of, room_of = np.take_along_axis(first, rank, axis=1), np.take_along_axis(room, rank, axis=1)
+    place, word, of = first_of + nth, first_of * PER_CLASS + word * room_of + nth, np.arange(n) * CLASSES + of
+    for k in range(steps):
+        blocks = [(lo, hi, int(first[k, lo]), int(room[k, lo])) for lo, hi in zip(_CUTS[:-1], _CUTS[1:], strict=True) if room[k, lo]]
+        yield _Plan(around[k], of[k], ranked[k], blocks, int(room[k].sum()), place[k], word[k], np.repeat(share[k], room[k]))
+
+
+def _fit(total: np.ndarray) -> bool:
+    """Whether sums of exponentials are far from float32's limits."""
+    return not total.size or bool(total.min() > 1e-20 and total.max() < 1e20)
+
+
+def _exps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of ``z`` and its sums by row; where float32 can't hold them well, each row's largest value is taken off ``z`` before."""
+    ones = np.ones(z.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        total = e @ ones
+    if not _fit(total):
         z -= z.max(axis=1, keepdims=True)
-
-
-def _exp(z: np.ndarray) -> np.ndarray:
-    """exp in place, and the sums of rows."""
-    np.exp(z, out=z)
-    return z @ np.ones(z.shape[1], np.float32)
+        np.exp(z, out=e)
+        total = e @ ones
+    return e, total
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    """Rows of ``z`` turned into probabilities, in place."""
-    _shifted(z)
-    total = _exp(z)
-    z *= (1 / total)[:, None]
-    return z
+    """Rows of ``z`` as probabilities; ``z`` may be shifted."""
+    e, total = _exps(z)
+    e *= (1 / total)[:, None]
+    return e
 
 
 def _log_softmax(z: np.ndarray, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Logarithm of one probability in each row; ``z`` is used up."""
-    _shifted(z)
-    out = z[rows, of].astype(np.float64)
-    return out - np.log(_exp(z))
+    """Logarithm of one probability in each row; ``z`` may be shifted."""
+    _, total = _exps(z)
+    return z[rows, of].astype(np.float64) - np.log(total)
 
 
 def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Documents' tokens in one array with padding between them, and where the tokens are."""
-    gap = np.full(WINDOW, PAD, np.int32)
-    tokens = np.concatenate([gap, *[x for d in docs for x in (d, gap)]])
-    return tokens, np.flatnonzero(tokens != PAD)
+    return laid_out(np.concatenate([np.empty(0, np.int32), *docs]), np.array([len(d) for d in docs], np.int64))
+
+
+def laid_out(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``padded`` for documents that stand one after another, each of so many tokens; those without tokens take no room."""
+    sizes = sizes[sizes > 0]
+    at = np.arange(len(ids)) + np.repeat(np.arange(1, len(sizes) + 1) * WINDOW, sizes)
+    tokens = np.full(len(ids) + (len(sizes) + 1) * WINDOW, PAD, np.int32)
+    tokens[at] = ids
+    return tokens, at
 
 
 def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
@@ -325,6 +421,10 @@ def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
         for r in rare.groupBy(F.expr(f"cast(xxhash64(word) & {RARE - 1} as int)").alias("slot")).agg(F.sum("n").alias("n")).collect():
             out.slots.totals[r["slot"]] = r["n"]
         out.rare = rare.where("n > 1").select(F.xxhash64("word").alias("h"), "n")
+        most = out.rare.orderBy(F.desc("n"), "h").limit(KNOWN).toArrow()
+        h = most.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        out.known = h[order], np.log(most.column("n").to_numpy()[order])
         out.counts[SLOTS - RARE :] = out.slots.totals
     return out
 
@@ -346,12 +446,54 @@ def _averaged(rows: DataFrame, train, parts: int) -> tuple[np.ndarray, float] |
     return np.concatenate([np.frombuffer(r["mean"], np.float32) for r in found]) if found else None
 
 
-def _shards(docs: DataFrame, words: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(shard, text) in training order: shards by a hash of id and text, rows in hash order, whatever the partitions were."""
-    n = max(1, min(MOST_SHARDS, -(-words // SHARD_WORDS)))
+def coded(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row with its text as slots of two bytes, and two hashes of id and text, by which rows are dealt to shards and ordered.
+
+    ``more`` is the sum of the logarithms of its known shared-slot words' occurrences; ``h`` and ``times`` have the other ones.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((Slots(vocab.slots), *vocab.known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, known, log = shared.value
+        for batch in batches:
+            codes, sizes = slots.codes_of(batch.column(4))
+            ends = np.append(0, np.cumsum(2 * sizes)).astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(slots_of(codes).astype("<u2"))])
+            # texts' different words: a word's number among those of all texts, then one sort of both numbers
+            rare = codes >= SLOTS
+            words = pa.array(codes[rare]).dictionary_encode()
+            each, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[rare] * len(words.dictionary) + words.indices.to_numpy(), return_counts=True)
+            text, number = np.divmod(each, max(1, len(words.dictionary)))
+            words = words.dictionary.to_numpy()
+            at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+            found = known[at] == words if len(known) else np.zeros(len(words), bool)
+            worth = np.where(found, log[at], 0) if len(known) else np.zeros(len(words))
+            more = np.bincount(text, times * worth[number], len(sizes)).astype(float)
+            left = ~found[number]
+            lists = np.append(0, np.cumsum(np.bincount(text[left], minlength=len(sizes)))).astype(np.int32)
+            h, times = (pa.ListArray.from_arrays(pa.array(lists), pa.array(x)) for x in (words[number[left]].view(np.int64), times[left]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64()), held, pa.array(more), h, times], names=["key", "id", "mark", "turn", "n_tokens", "slots", "more", "h", "times"])
+
     text = F.col(text_col)
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(n)).cast("int").alias("shard"), F.xxhash64(text, F.lit(1)).alias("turn"), text.alias("text")).where("text is not null")
-    return rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "turn").select("shard", "text"), n
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), text).alias("mark"), F.xxhash64(text, F.lit(1)).alias("turn"), text.alias("text")))
+    rows = rows.select(F.monotonically_increasing_id().alias("key"), "id", "mark", "turn", "text")
+    return rows.mapInArrow(trimmed(run), f"key long, id {kind}, mark long, turn long, n_tokens long, slots binary, more double, h array<long>, times array<long>")
+
+
+def _shards(rows: DataFrame, words: int) -> tuple[DataFrame, int]:
+    """(shard, slots) in training order: shards by a hash of id and text, rows in hash order, whatever the partitions were."""
+    n = max(1, min(MOST_SHARDS, -(-words // SHARD_WORDS)))
+    rows = rows.where("n_tokens > 0").select(F.pmod("mark", F.lit(n)).cast("int").alias("shard"), "turn", "slots")
+    return rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "turn").select("shard", "slots"), n
+
+
+def _slots_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of all rows one after another, and their number by row."""
+    _, ends, held = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] // 2 if len(column) else np.zeros(1, np.int32)
+    ids = np.frombuffer(held, "<u2")[ends[0] : ends[-1]] if held else np.empty(0)
+    return ids.astype(np.int32), np.diff(ends).astype(np.int64)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Vocabulary, Network]:
@@ -360,14 +502,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     Rows of equal id and text train in one shard; the order of rows with equal texts makes no difference.
     """
     vocab = vocabulary(docs, text_col)
-    net = Network.fresh(vocab.counts)
-    rows, shards = _shards(docs, vocab.words, id_col, text_col)
-    shared_slots = docs.sparkSession.sparkContext.broadcast(Slots(vocab.slots))
+    return vocab, _trained(coded(docs, vocab, id_col, text_col), vocab)
+
+
+def _trained(rows: DataFrame, vocab: Vocabulary) -> Network:
+    """The network after training on ``coded`` rows."""
+    net, spark = Network.fresh(vocab.counts), rows.sparkSession
+    rows, shards = _shards(rows, vocab.words)
     for nth in range(ROUNDS if vocab.words else 0):
-        shared = docs.sparkSession.sparkContext.broadcast(net)
+        shared = spark.sparkContext.broadcast(net)
 
         def train(batches: Iterator[pa.RecordBatch], shared=shared, rate=RATE / (1 + nth)) -> Iterator[pa.RecordBatch]:
-            slots = shared_slots.value
             shard, own, seen = None, None, 0
 
             def weights() -> pa.RecordBatch:
@@ -383,31 +528,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
                             yield weights()
                         shard, own, seen = int(of[lo]), shared.value.filled(shared.value.flat()), 0
                         rng = np.random.default_rng(shard)
-                    ids = [slots_of(c) for c in slots.split(batch.column(1).slice(lo, hi - lo)) if len(c)]
-                    tokens, at = padded(ids)
+                    tokens, at = laid_out(*_slots_in(batch.column(1).slice(lo, hi - lo)))
                     rng.shuffle(at)
-                    for a in range(0, len(at), STEP_TOKENS):
-                        own.step(tokens, at[a : a + STEP_TOKENS], rate)
+                    own.train(tokens, at, rate, STEP_TOKENS)
                     seen += len(at)
             if seen:
                 yield weights()
 
         mean = _averaged(rows, trimmed(train), shards)
         net = net if mean is None else net.filled(mean)
-    return vocab, net
+    return net
 
 
-def _scored(codes: list[np.ndarray], slots: Slots, net: Network) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Per document: the sum of its log-probabilities, shared-slot words counted as seen once, and those words' hashes and occurrences."""
-    ids = [slots_of(c) for c in codes]
-    tokens, at = padded(ids)
-    if not len(at):
-        return np.zeros(len(codes)), [(np.empty(0, np.uint64), np.empty(0, np.int64))] * len(codes)
-    log = np.concatenate([net.log_probs(tokens, at[lo : lo + CHUNK]) for lo in range(0, len(at), CHUNK)])
-    rare = tokens[at] >= SLOTS - RARE
-    log[rare] += slots.log_once(tokens[at][rare])
-    held = [np.unique(c[c >= SLOTS], return_counts=True) for c in codes]
-    return np.array([x.sum() for x in np.split(log, np.cumsum([len(x) for x in ids])[:-1])]), held
+def _sums(ids: np.ndarray, sizes: np.ndarray, slots: Slots, net: Network) -> np.ndarray:
+    """By document, the sum of its log-probabilities, shared-slot words counted as seen once."""
+    log = net.log_probs(*laid_out(ids, sizes))
+    rare = ids >= SLOTS - RARE
+    log[rare] += slots.log_once(ids[rare])
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), log, len(sizes)).astype(float)
 
 
 def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,33 +555,37 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, id_col: str = "doc_i
     an empty table gives no rows; other columns are ignored.  Very long texts are scored whole, documents being taken
     ``SCORED_TOKENS`` tokens at a time.  A shared-slot word adds the logarithm of its occurrences, found in a join.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((vocab.slots, net))
+    return _scored(settle(coded(docs, vocab, id_col, text_col), "slots-of-texts"), vocab, net, id_col)
+
+
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` of the documents by the network that ``fit`` trains on them; texts are turned into slots once for both."""
+    vocab = vocabulary(docs, text_col)
+    rows = settle(coded(docs, vocab, id_col, text_col), "slots-of-texts")
+    return _scored(rows, vocab, _trained(rows, vocab), id_col)
+
+
+def _scored(rows: DataFrame, vocab: Vocabulary, net: Network, id_col: str) -> DataFrame:
+    """``score`` of settled ``coded`` rows."""
+    kind = rows.schema["id"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast((vocab.slots, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, net = shared.value
         for batch in batches:
-            size, sums, held, group, n = [], [], [], [], 0
-            for i, codes in enumerate(slots.split(batch.column(2))):
-                group.append(codes)
-                size.append(len(group[-1]))
-                n += size[-1]
-                if n >= SCORED_TOKENS or i == batch.num_rows - 1:
-                    s, h = _scored(group, slots, net)
-                    sums.extend(s.tolist())
-                    held.extend(h)
-                    group, n = [], 0
-            lists = np.r_[0, np.cumsum([len(h) for h, _ in held])].astype(np.int32)
-            h, times = (np.concatenate(x) if held else np.empty(0, np.int64) for x in (list(zip(*held, strict=True)) or [[], []]))
-            h, times = h.view(np.int64), times.astype(np.int64)
-            cols = [pa.array(size, pa.int64()), pa.array(sums, pa.float64()), *(pa.ListArray.from_arrays(pa.array(lists), pa.array(x)) for x in (h, times))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["key", "id", "n_tokens", "total", "h", "times"])
-
-    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(F.monotonically_increasing_id().alias("key"), "id", "text")
-    found = rows.mapInArrow(trimmed(run), f"key long, id {kind}, n_tokens long, total double, h array<long>, times array<long>")
+            ids, sizes = _slots_in(batch.column(4))
+            ends, sums, lo = np.cumsum(sizes), [np.empty(0)], 0
+            while lo < len(sizes):
+                start = ends[lo] - sizes[lo]
+                hi = min(len(sizes), int(np.searchsorted(ends, start + SCORED_TOKENS)) + 1)
+                sums.append(_sums(ids[start : ends[hi - 1]], sizes[lo:hi], slots, net))
+                lo = hi
+            total = np.concatenate(sums) + batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(total)], names=["key", "id", "n_tokens", "total"])
+
+    found = rows.select("key", "id", "n_tokens", "more", "slots").mapInArrow(trimmed(run), f"key long, id {kind}, n_tokens long, total double")
     if vocab.rare is not None:
-        found = settle(found, "network-scores")
-        each = found.select("key", F.explode(F.arrays_zip("h", "times")).alias("w")).select("key", "w.h", "w.times")
+        each = rows.select("key", F.explode(F.arrays_zip("h", "times")).alias("w")).select("key", "w.h", "w.times")
         more = each.join(vocab.rare, "h").groupBy("key").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
-        found = found.drop("h", "times").join(more, "key", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0)))
+        found = found.join(more, "key", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0)))
     return found.select(F.col("id").alias(id_col), "n_tokens", F.col("total").alias("pseudo_log_likelihood"), F.when(F.col("n_tokens") > 0, F.col("total") / F.col("n_tokens")).alias("mean_log_prob"))

@@ -11,10 +11,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm import fit, score
+    from .lm import fit_and_score
 
-    docs = read(spark, sf_dir, "documents")
-    return score(docs, *fit(docs))
+    return fit_and_score(read(spark, sf_dir, "documents"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,3 +201,38 @@ def test_counts_of_words_over_several_batches(frame, monkeypatch):
     finally:
         df.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert v.words == 240 and {w: int(v.counts[i]) for w, i in v.slots.items()} == {b"a": 60, **{b"b%d" % i: 2 for i in range(60)}, **{b"c%d" % i: 9 if i < 4 else 8 for i in range(7)}}
+
+
+def test_texts_become_slots_once(frame, monkeypatch):
+    """Training and scoring share the coded texts: two bytes a token, whatever the words are."""
+    df = frame(["a b c a", None, " ", "long" * 50 + " b"])
+    vocab = lm.vocabulary(df, "text")
+    rows = {r.id: r for r in lm.coded(df, vocab).collect()}
+    assert [(len(rows[i].slots), rows[i].n_tokens, rows[i].h) for i in sorted(rows)] == [(8, 4, []), (0, 0, []), (0, 0, []), (4, 2, [])]
+    calls, coded = [], lm.coded
+    monkeypatch.setattr(lm, "coded", lambda *a: calls.append(1) or coded(*a))
+    found = {tuple(r) for r in lm.fit_and_score(df).collect()}
+    assert len(calls) == 1 and found == {tuple(r) for r in score(df, *fit(df)).collect()}
+
+
+def test_known_counts_are_those_of_the_join(frame, monkeypatch):
+    monkeypatch.setattr(lm, "RARE", SLOTS - 2)
+    df = frame([" ".join(f"w{j}" for j in range(40) if i % (j + 1) == 0) for i in range(60)])
+    scores = []
+    for known in (0, 5, 1000):
+        monkeypatch.setattr(lm, "KNOWN", known)
+        vocab = lm.vocabulary(df, "text")
+        assert len(vocab.known[0]) == min(known, vocab.rare.count())
+        scores.append([r.pseudo_log_likelihood for r in score(df, vocab, net()).orderBy("doc_id").collect()])
+    assert np.allclose(scores[0], scores[1]) and np.allclose(scores[0], scores[2])
+
+
+def test_steps_laid_out_together_are_the_same_steps(monkeypatch):
+    rng = np.random.default_rng(5)
+    tokens, at = padded([rng.integers(0, 300, 700).astype(np.int32)])
+    rng.shuffle(at)
+    one, other = net(), net()
+    one.train(tokens, at, 0.5, 64)
+    for lo in range(0, len(at), 64):
+        other.step(tokens, at[lo : lo + 64], 0.5)
+    assert np.array_equal(one.flat(), other.flat())
