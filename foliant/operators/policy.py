@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foliant.operators.literals import Automaton, build
 from foliant.sources.batches import bound_batches, joined, pieces, trimmed
 
-MOST_HITS, MOST_PATTERN, MOST_REGEX_INPUT = 1000, 200, 200_000
+MOST_HITS, MOST_PATTERN = 1000, 200
 #: Actions that stop output, and what stands for a match where a policy names no replacement.
 BLOCKING = ("BLOCK_DOC", "BLOCK_SNIPPET", "BLOCK_QA")
 REDACTED = "[REDACTED]"
@@ -90,7 +90,7 @@ class Screen:
                 for i in due:
                     p, rx = self.policies[i], self.regexes.get(i)
                     if i in self.regexes:
-                        n = sum(1 for _, _ in zip(rx.finditer(out[row]), range(MOST_HITS), strict=False)) if rx and len(out[row]) <= MOST_REGEX_INPUT else 0
+                        n = sum(1 for _, _ in zip(rx.finditer(out[row]), range(MOST_HITS), strict=False)) if rx else 0
                     else:
                         n = counts[i]
                     if not n:

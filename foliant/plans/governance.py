@@ -117,7 +117,8 @@ def policy_word_hits(spark: SparkSession, d: str) -> DataFrame:
 """)
 def sensitive_blocking(spark: SparkSession, d: str) -> DataFrame:
     rules = [P.Policy(1, "WORD", "idiot", "BLOCK_QA"), P.Policy(2, "REGEX", "mor[o]n", "BLOCK_QA")]
-    return read(spark, d, "documents").select("doc_id", P.apply_policies(rules)("text")["blocked"].alias("blocked"))
+    blocked = P.apply_policies(rules)("text")["blocked"]
+    return read(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), blocked).alias("blocked"))
 
 
 @query("""

@@ -119,6 +119,12 @@ def test_overlapping_words_are_counted():
     assert P.filter_text("aaaa", [p]) == ("[REDACTED]" * 2, False, [1], 3) and P.occurrences("a" * 5000, "aa") == 1000 and P.occurrences("x", "") == 0
 
 
+def test_regexes_search_texts_of_any_length():
+    rules = [P.Policy(1, "REGEX", "mor[o]n", "MASK", "*"), P.Policy(2, "REGEX", "i[d]iot", "BLOCK_QA")]
+    for n in (0, 199_993, 199_994, 199_995, 1_500_000):
+        x = "x" * n
+        assert P.filter_text(x + " moron", rules) == (x + " *", False, [1], 1) and P.filter_text(x + " idiot", rules) == ("", True, [2], 1)
+
 def test_automaton_against_naive_search():
     rng = random.Random(1)
     naive = lambda t, w: sum(t.startswith(w, i) for i in range(len(t))) if w else 0

@@ -25,6 +25,12 @@ def test_query(spark, con, name):
         assert df.columns and df.count() > 0  # their rows are held against plain Python elsewhere
 
 
+def test_blocking_of_long_and_missing_texts(spark, tmp_path):
+    texts = [x * n + w for x in ("x", "é😀") for n in (0, 1000, 99_998, 199_995, 200_000, 1_500_000) for w in ("", "moron", " idiot", "moroon")]
+    texts += ["moron" + "x" * 300_000, "x" * 150_000 + "moron" + "x" * 150_000, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert oracle.compare(QUERIES["sensitive_blocking"](spark, str(tmp_path)), oracle.connect(tmp_path), ORACLE_SQL["sensitive_blocking"]) == ""
+
 def test_flagship(spark):
     assert flagship(spark, DATA).count() == 10
 
